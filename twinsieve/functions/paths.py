@@ -1,7 +1,12 @@
-"""Path expressions for POSIX paths, Windows paths and object-store URIs."""
+"""Path expressions for POSIX paths, Windows paths and object-store URIs.
+
+Every function takes the path as SQL text: a column name or an expression.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,73 +14,75 @@ from pyspark.sql import functions as F
 _PREFIX = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://|/+|\\\\)?"
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def _windows(p: str) -> str:
+    """Drive-letter (C:\\) and share (\\\\server) paths; everything else separates with /."""
+    return rf"(not startswith({p}, '/') and substring({p}, 2, 1) = ':' or startswith({p}, r'\\'))"
 
 
-def is_windows(path: Column | str) -> Column:
-    """Drive-letter (C:\\) and share (\\\\server) paths; everything else separates with /."""
-    p = _col(path)
-    return (~p.startswith("/") & (F.substring(p, 2, 1) == ":")) | p.startswith("\\\\")
+def _separator(p: str) -> str:
+    return rf"if({_windows(p)}, r'\', '/')"
+
 
+def _base(p: str) -> str:
+    return f"substring_index({p}, {_separator(p)}, -1)"
 
-def separator(path: Column | str) -> Column:
-    return F.when(is_windows(path), F.lit("\\")).otherwise(F.lit("/"))
 
+def _components(p: str) -> str:
+    rest = f"regexp_replace({p}, r'{_PREFIX}', '')"
+    return rf"filter(split({rest}, if({_windows(p)}, r'\\', '/')), part -> part <> '')"
 
-def base_name(path: Column | str) -> Column:
+
+def base_name(path: str) -> Column:
     """The last component."""
-    p = _col(path)
-    return F.call_function("substring_index", p, separator(p), F.lit(-1))
+    return F.expr(_base(path))
 
 
-def parent_of(path: Column | str) -> Column:
+def parent_of(path: str) -> Column:
     """The folder holding a path; a root is its own parent."""
-    p = _col(path)
-    cut = F.substring(p, F.lit(1), F.char_length(p) - F.char_length(base_name(p)) - 1)
-    drive = is_windows(p) & (F.char_length(cut) == 2) & cut.endswith(":")
-    return (
-        F.when(cut == "", F.when(p.startswith("/"), F.lit("/")).otherwise(cut))
-        .when(drive, F.concat(cut, F.lit("\\")))
-        .otherwise(cut)
+    cut = f"left({path}, char_length({path}) - char_length({_base(path)}) - 1)"
+    return F.expr(
+        rf"case when {cut} = '' and startswith({path}, '/') then '/'"
+        rf" when {_windows(path)} and {cut} rlike '^.:$' then {cut} || r'\'"
+        rf" else {cut} end"
     )
 
 
-def join_path(folder: Column | str, name: Column | str) -> Column:
-    f = _col(folder)
-    sep = separator(f)
-    return F.when(F.endswith(f, sep), F.concat(f, _col(name))).otherwise(F.concat(f, sep, _col(name)))
+def join_path(folder: str, name: str) -> Column:
+    sep = _separator(folder)
+    return F.expr(f"if(endswith({folder}, {sep}), {folder} || {name}, {folder} || {sep} || {name})")
 
 
-def path_depth(path: Column | str) -> Column:
+def path_depth(path: str) -> Column:
     """How many non-empty parts a path has, whichever separator is used."""
-    return F.size(F.filter(F.split(_col(path), r"[\\/]"), lambda part: part != ""))
+    return F.expr(rf"size(filter(split({path}, r'[\\/]'), part -> part <> ''))")
 
 
-def components(path: Column | str) -> Column:
+def components(path: str) -> Column:
     """The folder and file names a path consists of, outermost first."""
-    p = _col(path)
-    rest = F.regexp_replace(p, _PREFIX, "")
-    pieces = F.when(is_windows(p), F.split(rest, r"\\")).otherwise(F.split(rest, "/"))
-    return F.filter(pieces, lambda part: part != "")
+    return F.expr(_components(path))
 
 
-def tree_level(path: Column | str) -> Column:
+def tree_level(path: str) -> Column:
     """Position of a path in its tree: always one more than its parent's."""
-    return F.size(components(path))
+    return F.expr(f"size({_components(path)})")
+
 
+def level_of_root(root: str) -> int:
+    """:func:`tree_level` of a scan root named by the caller."""
+    return len([part for part in re.split(r"[\\/]", re.sub(_PREFIX, "", root)) if part])
 
-def ancestors(path: Column | str) -> Column:
+
+def ancestors(path: str) -> Column:
     """Every folder on the way to a path, outermost first, the path itself last."""
-    p = _col(path)
-    parts, sep = components(p), separator(p)
-    prefix = F.regexp_extract(p, _PREFIX, 0)
-
-    def upto(i: Column) -> Column:
-        joined = F.concat(prefix, F.array_join(F.slice(parts, F.lit(1), i), "\u0000"))
-        spelled = F.replace(joined, F.lit("\u0000"), sep)
-        return F.when((i == 1) & spelled.endswith(":"), F.concat(spelled, F.lit("\\"))).otherwise(spelled)
-
-    below = F.transform(F.sequence(F.lit(1), F.size(parts)), upto)
-    root = F.when(p.startswith("/"), F.array(F.lit("/"))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(parts) == 0, F.array(p)).otherwise(F.concat(root, below))
+    nul = r"'\u0000'"
+    upto = f"replace(b.prefix || array_join(slice(b.parts, 1, i), {nul}), {nul}, b.sep)"
+    drive = rf"if(i = 1 and {upto} rlike '^.:$', {upto} || r'\', {upto})"
+    below = f"transform(sequence(1, size(b.parts)), i -> {drive})"
+    root = "if(b.prefix = '/', array('/'), cast(array() as array<string>))"
+    bound = (
+        f"struct({_components(path)} as parts, regexp_extract({path}, r'{_PREFIX}', 0) as prefix, "
+        f"{_separator(path)} as sep)"
+    )
+    # A one-element array binds the split path, so it is split once.
+    every = f"if(size(b.parts) = 0, array({path}), concat({root}, {below}))"
+    return F.expr(f"element_at(transform(array({bound}), b -> {every}), 1)")

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import check_pattern, matches_any, name_key
-from ..functions.paths import components
+from ..functions.paths import components, level_of_root
 from ..functions.values import is_cold
 from ..sources.inventory import EXCLUDED_FILE, LINK, Catalog
 
 
-def deepest_match(path: Column | str, patterns: Sequence[str]) -> Column:
+def deepest_match(path: str, patterns: Sequence[str]) -> Column:
     """Position of the deepest component of a path whose name matches a pattern; 0 if none does.
 
     A folder at that position or below sees the path; every folder above does not.
@@ -24,16 +24,16 @@ def deepest_match(path: Column | str, patterns: Sequence[str]) -> Column:
     return F.coalesce(F.array_max(F.transform(components(path), hit)), F.lit(0))
 
 
-def _root_level(path: Column | str, roots: Sequence[str] | None) -> Column:
+def _root_level(path: str, roots: Sequence[str] | None) -> Column:
     """Position of the scan root in a path: the longest given root holding it, else the first name."""
-    p = F.col(path) if isinstance(path, str) else path
+    p = F.col(path)
     if roots is None:
         return F.lit(1)
     level = F.lit(0)
     for root in sorted(roots, key=len):
         bare = root.rstrip("/\\")
         inside = (p == root) | p.startswith(bare + "/") | p.startswith(bare + "\\")
-        level = F.when(inside, F.size(components(F.lit(root)))).otherwise(level)
+        level = F.when(inside, F.lit(level_of_root(root))).otherwise(level)
     return level
 
 

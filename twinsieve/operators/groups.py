@@ -1,4 +1,9 @@
-"""Keeping and joining groups without sending a hot group to one task."""
+"""Keeping and joining groups without sending a hot group to one task.
+
+Every join here first measures its smaller side. A side of checked size is broadcast, and the rows
+are not shuffled at all. Beyond that both sides are shuffled by key, and rows of hot keys are
+spread over several partitions.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import HOT_GROUP_ROWS, SALTS
+from .. import session
+from ..session import Table, materialize, small
 
 
 def group_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -15,58 +21,83 @@ def group_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows"))
 
 
+def measured_groups(groups: DataFrame) -> Table:
+    """Groups (one row per key, with ``group_rows``) with their bytes and the largest count."""
+    return materialize(groups, "groups", measure=groups.columns, extremes="group_rows")
+
+
 def join_groups(
     rows: DataFrame,
     groups: DataFrame,
     keys: Sequence[str],
     spread_by: Sequence[str],
     how: str = "left_semi",
-    hot_rows: int = HOT_GROUP_ROWS,
-    salts: int = SALTS,
+    total: int | None = None,
 ) -> DataFrame:
-    """Join rows to ``groups``: one row per key, with the key's row count in ``group_rows``.
+    """Join rows to ``groups``; ``spread_by`` columns tell the rows of one key apart.
 
-    Rows of a hot key are spread over ``salts`` partitions and the group's single row is repeated
-    for each of them. Hot keys can be broadcast safely: there is at most one for every
-    ``hot_rows`` rows of input.
+    ``total`` is the number of rows where it is known: too few rows for any key to be hot need no
+    measuring.
     """
-    hot = groups.filter(F.col("group_rows") > hot_rows).select(*keys, F.lit(True).alias("is_hot"))
-    own_salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")).otherwise(0)
-    salted = rows.join(F.broadcast(hot), list(keys), "left").withColumn("salt", own_salt).drop("is_hot")
-    all_salts = F.when(F.col("group_rows") > hot_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    repeated = groups.withColumn("salt", F.explode(all_salts))
-    return salted.join(repeated, [*keys, "salt"], how).drop("salt")
-
-
-def keep_repeated(rows: DataFrame, keys: Sequence[str], spread_by: Sequence[str], **skew: int) -> DataFrame:
+    if _few(total):
+        return rows.join(groups, list(keys), how)
+    table = measured_groups(groups)
+    if small(table):
+        return rows.join(F.broadcast(table.df), list(keys), how)
+    if table.most <= session.HOT_GROUP_ROWS:
+        return rows.join(table.df, list(keys), how)
+    hot = table.df.filter(F.col("group_rows") > session.HOT_GROUP_ROWS).select(*keys)
+    return _salted(rows, table.df, hot, keys, spread_by, how)
+
+
+def keep_repeated(
+    rows: DataFrame, keys: Sequence[str], spread_by: Sequence[str], total: int | None = None
+) -> DataFrame:
     """Rows whose key occurs more than once."""
-    groups = group_counts(rows, keys).filter(F.col("group_rows") > 1)
-    return join_groups(rows, groups, keys, spread_by, "left_semi", **skew)
+    groups = group_counts(rows, keys).filter("group_rows > 1")
+    return join_groups(rows, groups, keys, spread_by, "left_semi", total)
 
 
 def lookup(
     rows: DataFrame,
-    unique: DataFrame,
+    unique: DataFrame | Table,
     keys: Sequence[str],
     spread_by: Sequence[str],
     how: str = "left_semi",
-    hot_rows: int = HOT_GROUP_ROWS,
-    salts: int = SALTS,
+    total: int | None = None,
+) -> DataFrame:
+    """Join rows to a relation with one row per key.
+
+    When it is too large to broadcast, the hot keys are found by one partially aggregated pass over
+    the key columns of ``rows``.
+    """
+    if _few(total):
+        return rows.join(unique.df if isinstance(unique, Table) else unique, list(keys), how)
+    table = unique if isinstance(unique, Table) else materialize(unique, "lookup", measure=unique.columns)
+    if small(table):
+        return rows.join(F.broadcast(table.df), list(keys), how)
+    hot = group_counts(rows, keys).filter(F.col("group_rows") > session.HOT_GROUP_ROWS).select(*keys)
+    return _salted(rows, table.df, hot, keys, spread_by, how)
+
+
+def _few(total: int | None) -> bool:
+    return total is not None and total <= session.HOT_GROUP_ROWS
+
+
+def _salted(
+    rows: DataFrame, unique: DataFrame, hot: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str
 ) -> DataFrame:
-    """Join rows to a relation with one row per key whose row counts are not known yet.
+    """Spread rows of hot keys over SALTS partitions; repeat the key's single row for each.
 
-    The counts come from one partially aggregated pass over the key columns of ``rows``; they are
-    only needed to find the hot keys.
+    The list of hot keys is bounded: at most one for every HOT_GROUP_ROWS input rows.
     """
-    hot_keys = group_counts(rows, keys).filter(F.col("group_rows") > hot_rows)
-    hot = F.broadcast(hot_keys.select(*keys, F.lit(True).alias("is_hot")))
-    own_salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")).otherwise(0)
-    salted = rows.join(hot, list(keys), "left").withColumn("salt", own_salt).drop("is_hot")
-    all_salts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = unique.join(hot, list(keys), "left").withColumn("salt", F.explode(all_salts)).drop("is_hot")
-    return salted.join(repeated, [*keys, "salt"], how).drop("salt")
+    salts = session.SALTS
+    marked = F.broadcast(hot.select(*keys, F.lit(True).alias("is_hot")))
+    own = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")).otherwise(0)
+    every = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(marked, list(keys), "left").withColumn("salt", own).drop("is_hot")
+    right = unique.join(marked, list(keys), "left").withColumn("salt", F.explode(every)).drop("is_hot")
+    return left.join(right, [*keys, "salt"], how).drop("salt")
 
 
 def group_id(*parts: Column | str) -> Column:

@@ -34,7 +34,7 @@ def hash_files(candidates: Table, files: DataFrame, cache: DataFrame | None = No
         return content_hashes(files, candidates)
     paths = candidates.df.select("path")
     known = cache.select("path", "md5").join(paths, "path", "left_semi")
-    wanted = materialize(hash_workload(paths, cache), "to-hash", measure=["path"])
+    wanted = materialize(hash_workload(paths, cache), "to-hash", measure=["path"], columnar=True)
     return known if wanted.rows == 0 else known.unionByName(content_hashes(files, wanted))
 
 
@@ -61,7 +61,7 @@ def split_by_start(
         passed = passed.unionByName(join_groups(large, known, GROUP, ["path"]).select("*", as_is))
         unknown = sizes.join(hashed_groups, GROUP, "left_anti")
         large = join_groups(large, unknown, GROUP, ["path"])
-    wanted = materialize(large, "large", measure=["path"])
+    wanted = materialize(large, "large", measure=["path"], columnar=True)
     starts = content_hashes(files, wanted, first_bytes).withColumnRenamed("md5", "start_md5")
-    split = keep_repeated(wanted.df.join(starts, "path"), [*GROUP, "start_md5"], ["path"])
+    split = keep_repeated(wanted.df.join(starts, "path"), [*GROUP, "start_md5"], ["path"], wanted.rows)
     return passed.unionByName(split)

@@ -13,7 +13,7 @@ from ..functions.paths import ancestors, base_name, parent_of, tree_level
 from ..session import Table, materialize
 from ..sources.inventory import UNLISTABLE
 from .filters import deepest_match, split_unreadable
-from .groups import group_id, join_groups, keep_repeated, lookup
+from .groups import group_counts, group_id, join_groups, keep_repeated, lookup
 
 # A digest is eight numbers of seven hex digits: sums of 2**35 of them fit a BIGINT.
 _LIMBS = 8
@@ -43,14 +43,15 @@ def files_in_folders(files: DataFrame, folders: DataFrame) -> DataFrame:
     return lookup(files, known, ["folder"], ["path"])
 
 
-def folder_scope(folders: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The ``seeds`` (column ``path``) and every catalogued folder below them.
+def folder_scope(folders: DataFrame, seeds: DataFrame | Table, total: int | None = None) -> DataFrame:
+    """The ``seeds`` (column ``path``, distinct) and every catalogued folder below them.
 
     Equi-join on each folder's ancestors, so no recursion. A folder near the root is the ancestor of
     most rows; such keys are spread.
     """
     lines = folders.select("path").distinct().withColumn("above", F.explode(ancestors("path")))
-    wanted = seeds.select(F.col("path").alias("above")).distinct()
+    table = seeds if isinstance(seeds, Table) else materialize(seeds, "seeds", measure=["path"])
+    wanted = table._replace(df=table.df.select(F.col("path").alias("above")))
     return lookup(lines, wanted, ["above"], ["path"]).select("path").distinct()
 
 
@@ -62,7 +63,7 @@ def repeated_names(folders: DataFrame) -> DataFrame:
 
 def repeated_name_scope(folders: DataFrame) -> DataFrame:
     """Folders that could be duplicates by name, and everything below them."""
-    return folder_scope(folders, repeated_names(folders))
+    return folder_scope(folders, repeated_names(folders).select("path"))
 
 
 def tainted_folders(folders: DataFrame, files: DataFrame, unhashed: DataFrame | None = None) -> DataFrame:
@@ -122,12 +123,10 @@ def folder_rollup(files: DataFrame, folders: DataFrame, patterns: Sequence[str]
 # ---------------------------------------------------------------- fingerprints
 
 
-def _limbs(line: Column) -> list[Column]:
-    digest = F.sha2(line, 256)
-    return [
-        F.conv(F.substring(digest, 1 + i * _DIGITS, _DIGITS), 16, 10).cast("bigint").alias(LIMBS[i])
-        for i in range(_LIMBS)
-    ]
+def _limbs(digest: str) -> list[Column]:
+    """The eight numbers of a SHA-256 column."""
+    piece = "cast(conv(substring({}, {}, {}), 16, 10) as bigint) as {}"
+    return [F.expr(piece.format(digest, 1 + i * _DIGITS, _DIGITS, limb)) for i, limb in enumerate(LIMBS)]
 
 
 def _summed_limbs() -> list[Column]:
@@ -147,11 +146,9 @@ def folder_base(files: DataFrame, folders: DataFrame, with_md5: bool = False) ->
     if with_md5:
         complete = complete & F.col("md5").isNotNull()
         parts.append(F.col("md5"))
-    hashed = files.select(
-        F.col("folder").alias("path"), "size_bytes", complete.cast("int").alias("complete"),
-        *_limbs(F.concat_ws("|", *parts, F.col("name_key"))),
-    )
-    direct = hashed.groupBy("path").agg(
+    line = F.sha2(F.concat_ws("|", *parts, F.col("name_key")), 256).alias("line")
+    lines = files.select(F.col("folder").alias("path"), "size_bytes", complete.cast("int").alias("complete"), line)
+    direct = lines.select("*", *_limbs("line")).groupBy("path").agg(
         *_summed_limbs(),
         F.count(F.lit(1)).alias("lines"),
         F.sum("size_bytes").alias("bytes"),
@@ -165,7 +162,7 @@ def folder_base(files: DataFrame, folders: DataFrame, with_md5: bool = False) ->
         *[number(limb) for limb in LIMBS], number("lines"), number("bytes"),
         F.least("readable", F.coalesce("complete", F.lit(1))).alias("provable"),
     )
-    return materialize(base, "folder-base", level="level")
+    return materialize(base, "folder-base", extremes="level")
 
 
 def fingerprint(base: Table, levels_per_job: int = LEVELS_PER_JOB) -> Table:
@@ -175,15 +172,15 @@ def fingerprint(base: Table, levels_per_job: int = LEVELS_PER_JOB) -> Table:
     shuffle per level, of folders only; every ``levels_per_job`` levels the result is written. Columns:
     path, level, fingerprint (null when not provable), file_count, folder_count, size_bytes.
     """
-    if base.max_level is None:
+    if base.most is None:
         return Table(_level(base.df, None).withColumn("level", F.lit(0)), 0, 0)
-    if base.max_level > MAX_LEVELS:
-        raise ValueError(f"Folders are nested {base.max_level} deep; at most {MAX_LEVELS} are supported.")
+    if base.most > MAX_LEVELS:
+        raise ValueError(f"Folders are nested {base.most} deep; at most {MAX_LEVELS} are supported.")
     written: list[DataFrame] = []
     below: DataFrame | None = None
     rows = 0
-    top = base.min_level
-    for deepest in range(base.max_level, top - 1, -levels_per_job):
+    top = base.least
+    for deepest in range(base.most, top - 1, -levels_per_job):
         batch = []
         for level in range(deepest, max(deepest - levels_per_job, top - 1), -1):
             below = _level(base.df.filter(F.col("level") == level), below).withColumn("level", F.lit(level))
@@ -196,27 +193,27 @@ def fingerprint(base: Table, levels_per_job: int = LEVELS_PER_JOB) -> Table:
 
 
 def _level(own: DataFrame, below: DataFrame | None) -> DataFrame:
-    lines = own.select(
-        "path", *LIMBS, "lines", F.col("lines").alias("files"), F.lit(0).cast("bigint").alias("folders"),
-        "bytes", "provable", F.lit(1).alias("own"),
+    """Fingerprints of one level from its folders' own sums and the finished level below."""
+    lines = own.selectExpr(
+        "path", *LIMBS, "lines", "lines as files", "0L as folders", "bytes", "provable", "1 as own"
     )
     if below is not None:
-        child_line = F.concat_ws("|", F.lit("D"), F.col("fingerprint"), name_key(base_name("path")))
-        lines = lines.unionByName(
-            below.select(
-                parent_of("path").alias("path"), *_limbs(F.coalesce(child_line, F.lit(""))),
-                F.lit(1).cast("bigint").alias("lines"), F.col("file_count").alias("files"),
-                (F.col("folder_count") + 1).alias("folders"), F.col("size_bytes").alias("bytes"),
-                F.col("fingerprint").isNotNull().cast("int").alias("provable"), F.lit(0).alias("own"),
-            )
+        child_line = F.sha2(F.concat_ws("|", F.lit("D"), F.col("fingerprint"), name_key(base_name("path"))), 256)
+        children = below.select(
+            parent_of("path").alias("path"), child_line.alias("line"), "fingerprint", "file_count", "folder_count",
+            "size_bytes",
+        ).select(
+            "path", *_limbs("line"), F.expr("1L as lines"), F.col("file_count").alias("files"),
+            F.expr("folder_count + 1 as folders"), F.col("size_bytes").alias("bytes"),
+            F.expr("cast(fingerprint is not null as int) as provable"), F.lit(0).alias("own"),
         )
-    summed = lines.groupBy("path").agg(
-        *_summed_limbs(),
-        *[F.sum(c).alias(c) for c in ("lines", "files", "folders", "bytes")],
-        F.min("provable").alias("provable"), F.max("own").alias("own"),
-    )
+        lines = lines.unionByName(children).groupBy("path").agg(
+            *_summed_limbs(),
+            *[F.sum(c).alias(c) for c in ("lines", "files", "folders", "bytes")],
+            F.min("provable").alias("provable"), F.max("own").alias("own"),
+        ).filter("own = 1")
     digest = F.sha2(F.concat_ws("|", "lines", *LIMBS), 256)
-    return summed.filter("own = 1").select(
+    return lines.select(
         "path", F.when(F.col("provable") == 1, digest).alias("fingerprint"),
         F.col("files").alias("file_count"), F.col("folders").alias("folder_count"), F.col("bytes").alias("size_bytes"),
     )
@@ -225,29 +222,29 @@ def _level(own: DataFrame, below: DataFrame | None) -> DataFrame:
 # ---------------------------------------------------------------- sets of folders
 
 
-def folder_candidates(fingerprints: DataFrame) -> DataFrame:
+def folder_candidates(fingerprints: DataFrame, total: int | None = None) -> DataFrame:
     """Provable folders holding a file somewhere whose name key and fingerprint another folder has."""
     usable = fingerprints.filter(F.col("fingerprint").isNotNull() & (F.col("file_count") > 0))
     named = usable.withColumn("name_key", name_key(base_name("path")))
-    return keep_repeated(named, ["name_key", "fingerprint"], ["path"])
+    return keep_repeated(named, ["name_key", "fingerprint"], ["path"], total)
 
 
-def folder_members(fingerprints: DataFrame) -> DataFrame:
+def folder_members(fingerprints: DataFrame, total: int | None = None) -> DataFrame:
     """Members of every folder set, with the set's id; nested sets included."""
-    members = folder_candidates(fingerprints)
+    members = folder_candidates(fingerprints, total)
     return members.withColumn("set_id", group_id("fingerprint", "name_key"))
 
 
-def top_most(members: DataFrame) -> DataFrame:
+def top_most(members: DataFrame, total: int | None = None) -> DataFrame:
     """Drop a set iff every member sits in a folder that is itself a member of some set."""
     with_parent = members.withColumn("parent", parent_of("path"))
     inside = members.select(F.col("path").alias("parent"), F.lit(1).alias("nested"))
-    marked = lookup(with_parent, inside, ["parent"], ["path"], "left")
+    marked = lookup(with_parent, inside, ["parent"], ["path"], "left", total)
     groups = marked.groupBy("set_id").agg(
         F.count(F.lit(1)).alias("group_rows"), F.count_if(F.col("nested").isNull()).alias("outside")
     )
     kept = groups.filter("outside > 0").drop("outside")
-    return join_groups(members, kept, ["set_id"], ["path"])
+    return join_groups(members, kept, ["set_id"], ["path"], total=total)
 
 
 def folder_sets(members: DataFrame) -> DataFrame:
@@ -263,11 +260,11 @@ def folder_sets(members: DataFrame) -> DataFrame:
     )
 
 
-def folder_copies(members: DataFrame) -> DataFrame:
+def folder_copies(members: DataFrame, total: int | None = None) -> DataFrame:
     """One row per copy of a folder set, with the size of its set."""
     rows = members.select("set_id", F.col("path").alias("folder"), "path")
-    groups = members.groupBy("set_id").agg(F.count(F.lit(1)).alias("group_rows"))
-    return join_groups(rows, groups, ["set_id"], ["path"], "inner").withColumnRenamed("group_rows", "copies")
+    joined = join_groups(rows, group_counts(rows, ["set_id"]), ["set_id"], ["path"], "inner", total)
+    return joined.withColumnRenamed("group_rows", "copies")
 
 
 def unreadable_mark(paths: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def rank_sliced(rows: DataFrame, order: Sequence[Column], rank: str, group: Sequ
     keys = [F.col(c) for c in group]
     slices = parallelism(rows.sparkSession)
     sliced = rows.repartitionByRange(slices, *keys, *order).withColumn("slice", F.spark_partition_id())
-    written = materialize(sliced, "slices").df
+    written = materialize(sliced, "slices", columnar=True).df
     totals = written.groupBy(*group, "slice").agg(F.count(F.lit(1)).alias("slice_rows"))
     earlier = Window.partitionBy(*keys, F.lit(0)).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*group, "slice", F.coalesce(F.sum("slice_rows").over(earlier), F.lit(0)).alias("start"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import location_order, scan_key, sort_key
 from ..functions.times import saved_second, utc_offset
-from .groups import group_id, group_counts, join_groups, keep_repeated
+from .groups import group_counts, group_id, join_groups, keep_repeated
 
 # Fixed value: the most locations one wide row may have (16,384 columns less the 6 fixed ones).
 MAX_LOCATIONS = 16_378
@@ -47,11 +47,12 @@ def file_sets(hashed: DataFrame, tz: str) -> DataFrame:
     )
 
 
-def file_copies(hashed: DataFrame) -> DataFrame:
+def file_copies(hashed: DataFrame, total: int | None = None) -> DataFrame:
     """One row per copy, with the size of its set in ``copies``; the whole result, in long form."""
     rows = with_set_id(hashed).select("set_id", "folder", "name", "path")
     groups = group_counts(rows, ["set_id"]).filter("group_rows > 1")
-    return join_groups(rows, groups, ["set_id"], ["path"], "inner").withColumnRenamed("group_rows", "copies")
+    joined = join_groups(rows, groups, ["set_id"], ["path"], "inner", total)
+    return joined.withColumnRenamed("group_rows", "copies")
 
 
 def with_locations(sets: DataFrame, copies: DataFrame, location: str = "folder") -> DataFrame:

@@ -40,7 +40,7 @@ def hashed_candidates(
     hash_cache: DataFrame | None = None,
     first_bytes: int = FIRST_BYTES,
     first_bytes_min: int = FIRST_BYTES_MIN,
-) -> DataFrame:
+) -> Table:
     """Candidates with their full hash, as a written table; those that cannot be read drop out.
 
     The prefix stage saves reading whole objects. With a content column the scan has read the
@@ -48,9 +48,9 @@ def hashed_candidates(
     """
     if "content" not in files.columns:
         candidates = split_by_start(candidates, files, hash_cache, first_bytes, first_bytes_min).drop("start_md5")
-    listed: Table = materialize(candidates, "candidates", measure=["path"])
+    listed: Table = materialize(candidates, "candidates", measure=["path"], columnar=True)
     hashes = hash_files(listed, files, hash_cache)
-    return materialize(listed.df.join(hashes, "path"), "hashed").df
+    return materialize(listed.df.join(hashes, "path"), "hashed", columnar=True)
 
 
 def find_duplicate_files(
@@ -71,4 +71,5 @@ def find_duplicate_files(
     tz = tz or files.sparkSession.conf.get("spark.sql.session.timeZone")
     candidates = file_candidates(files, skip_cold, ignore_empty, minimum_size)
     hashed = hashed_candidates(files, candidates, hash_cache, first_bytes, first_bytes_min)
-    return FileDuplicates(file_sets(hashed, tz), file_copies(hashed), hashed.select("path", "md5"))
+    rows = hashed.df
+    return FileDuplicates(file_sets(rows, tz), file_copies(rows, hashed.rows), rows.select("path", "md5"))

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import is_cold
 from ..operators.groups import lookup
 from ..operators.hashing import hash_files
 from ..operators.hierarchy import (
-    fingerprint, folder_base, folder_candidates, folder_copies, folder_members, folder_scope, folder_sets, top_most,
+    fingerprint, folder_base, folder_candidates, folder_copies, folder_members, folder_readable, folder_scope,
+    folder_sets, top_most,
 )
-from ..session import materialize
+from ..session import Table, materialize
 from ..sources.inventory import metadata
 
 
@@ -25,37 +26,47 @@ class FolderDuplicates(NamedTuple):
     all_members: DataFrame
 
 
-def cheap_fingerprints(files: DataFrame, folders: DataFrame) -> DataFrame:
+def cheap_fingerprints(files: DataFrame, folders: DataFrame) -> Table:
     """Fingerprints by name, saved second and size; no content is read."""
-    return fingerprint(folder_base(metadata(files), folders)).df
+    return fingerprint(folder_base(metadata(files), folders))
 
 
 def confirmed_members(
     files: DataFrame, folders: DataFrame, skip_cold: bool = False, hash_cache: DataFrame | None = None
-) -> DataFrame:
+) -> Table:
     """Members of all folder sets, confirmed by content.
 
     Pass 1 compares metadata. Grouping by (name key, fingerprint) implies a repeated name, so
     names need no pass of their own. Pass 2 hashes the files below the candidates that are not in
     ``hash_cache`` and fingerprints those trees again.
     """
-    candidates = materialize(folder_candidates(cheap_fingerprints(files, folders)), "folder-candidates")
-    if candidates.rows == 0:
-        return candidates.df.withColumn("set_id", F.lit(None).cast("string"))
-    scope = materialize(folder_scope(folders, candidates.df), "folder-scope").df
-    inside = lookup(metadata(files), scope.withColumnRenamed("path", "folder"), ["folder"], ["path"])
-    listed = materialize(inside, "scope-files", measure=["path"])
+    known = materialize(folder_readable(folders), "folders").df
+    cheap = cheap_fingerprints(files, known)
+    candidates = folder_candidates(cheap.df, cheap.rows).select("path")
+    seeds = materialize(candidates, "folder-candidates", measure=["path"])
+    if seeds.rows == 0:
+        return Table(_no_members(files.sparkSession), 0, 0)
+    scope = materialize(folder_scope(known, seeds), "folder-scope", measure=["path"])
+    holding = scope._replace(df=scope.df.select(F.col("path").alias("folder")))
+    inside = lookup(metadata(files), holding, ["folder"], ["path"])
+    listed = materialize(inside, "scope-files", measure=["path"], columnar=True)
+    to_hash = listed
     if skip_cold:
         local = listed.df.filter(~is_cold("attributes"))
-        to_hash = materialize(local, "scope-local-files", measure=["path"])
-    else:
-        to_hash = listed
+        to_hash = materialize(local, "scope-local-files", measure=["path"], columnar=True)
     hashes = hash_files(to_hash, files, hash_cache)
     hashed = listed.df.join(hashes, "path", "left")
-    below = folders.join(scope, "path", "left_semi")
-    full = fingerprint(folder_base(hashed, below, with_md5=True)).df
-    confirmed = full.join(candidates.df.select("path"), "path", "left_semi")
-    return materialize(folder_members(confirmed), "folder-members").df
+    full = fingerprint(folder_base(hashed, lookup(known, scope, ["path"], ["path"]), with_md5=True))
+    confirmed = lookup(full.df, seeds, ["path"], ["path"], total=full.rows)
+    return materialize(folder_members(confirmed, full.rows), "folder-members")
+
+
+def _no_members(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        [],
+        "path string, level int, fingerprint string, file_count bigint, folder_count bigint, size_bytes bigint, "
+        "name_key string, set_id string",
+    )
 
 
 def find_duplicate_folders(
@@ -63,5 +74,5 @@ def find_duplicate_folders(
 ) -> FolderDuplicates:
     """Find sets of folders with the same name and the same tree; only the top-most are listed."""
     members = confirmed_members(files, folders, skip_cold, hash_cache)
-    top = top_most(members)
-    return FolderDuplicates(folder_sets(top), folder_copies(top), members)
+    top = top_most(members.df, members.rows)
+    return FolderDuplicates(folder_sets(top), folder_copies(top, members.rows), members.df)

@@ -35,17 +35,19 @@ def build_session(app_name: str = "twinsieve", master: str | None = None, **conf
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share for intermediate tables: the cluster's checkpoint folder.
+    """The folder all executors share for intermediate results: the cluster's checkpoint folder.
 
     A local session without one gets a temporary folder; a cluster without one is an error,
     since a machine-local folder would be lost with its machine.
     """
     configured = spark.conf.get(_CHECKPOINT_DIR, None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"Set {_CHECKPOINT_DIR} to a folder every executor can reach.")
-    return _local_dir(spark.sparkContext.applicationId)
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"Set {_CHECKPOINT_DIR} to a folder every executor can reach.")
+        configured = _local_dir(spark.sparkContext.applicationId)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(configured)
+    return configured
 
 
 @functools.cache
@@ -54,49 +56,52 @@ def _local_dir(application: str) -> str:
 
 
 class Table(NamedTuple):
-    """A written intermediate table with the totals observed while it was written."""
+    """An intermediate result in the shared folder, with the totals observed while it was written."""
 
     df: DataFrame
     rows: int
     measured_bytes: int
-    max_level: int | None = None
-    min_level: int | None = None
+    most: int | None = None
+    least: int | None = None
 
 
 def materialize(
-    df: DataFrame, label: str, measure: Sequence[str] = (), level: str | None = None, folder: str | None = None
+    df: DataFrame,
+    label: str,
+    measure: Sequence[str] = (),
+    extremes: str | None = None,
+    columnar: bool = False,
+    folder: str | None = None,
 ) -> Table:
-    """Write ``df`` to the shared folder and read it back.
+    """Compute ``df`` once and cut its lineage in the shared folder, where no executor's loss matters.
 
-    Cuts the lineage at a table that outlives any executor. Row count, the byte length of the
-    ``measure`` columns and the range of the ``level`` column are observed during the same write,
-    so size checks cost no job. With ``level`` the table is partitioned by it.
+    Row count, the byte length of the ``measure`` columns and the extremes of one column are
+    observed on the way, so size checks cost no job. Relations with a row per file are kept
+    ``columnar`` (Parquet: compact, readers take only their columns); groups and folders are
+    checkpointed, which also keeps their partitioning.
     """
     spark = df.sparkSession
-    path = folder or f"{shared_dir(spark)}/twinsieve/{uuid.uuid4().hex}-{label}"
-    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in measure), F.lit(8))
+    shared = shared_dir(spark)
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in measure), F.lit(8))
     totals = [F.count(F.lit(1)).alias("rows"), F.sum(width.cast("bigint")).alias("bytes")]
-    if level is not None:
-        totals += [F.max(level).alias("max_level"), F.min(level).alias("min_level")]
+    if extremes is not None:
+        totals += [F.max(extremes).alias("most"), F.min(extremes).alias("least")]
     seen = Observation(f"{label}-{uuid.uuid4().hex}")
-    writer = df.observe(seen, *totals).write.mode("overwrite")
-    if level is not None:
-        writer = writer.partitionBy(level)
-    writer.parquet(path)
+    observed = df.observe(seen, *totals)
+    if columnar or folder:
+        path = folder or f"{shared}/twinsieve/{uuid.uuid4().hex}-{label}"
+        observed.write.mode("overwrite").parquet(path)
+        # The schema is known, so reading back needs no inference job.
+        kept = spark.read.schema(df.schema).parquet(path)
+    else:
+        kept = observed.checkpoint()
     found = seen.get
-    # The schema is known, so reading back needs no inference job.
-    return Table(
-        spark.read.schema(df.schema).parquet(path),
-        found.get("rows") or 0,
-        found.get("bytes") or 0,
-        found.get("max_level"),
-        found.get("min_level"),
-    )
+    return Table(kept, found.get("rows") or 0, found.get("bytes") or 0, found.get("most"), found.get("least"))
 
 
-def small(table: Table, limit: int = BROADCAST_BYTES) -> bool:
+def small(table: Table, limit: int | None = None) -> bool:
     """Whether the measured columns of a written table are small enough to broadcast."""
-    return table.measured_bytes <= limit
+    return table.measured_bytes <= (BROADCAST_BYTES if limit is None else limit)
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -87,7 +87,7 @@ def scan_tree(
     while True:
         found = frontier.repartition(parallelism(spark)).mapInPandas(_list, _ENTRY)
         left_out = F.col("kind").isin("file", "folder", "link") & matches_any(name_key("name"), patterns)
-        level = materialize(found.filter(~left_out) if patterns else found, "listing")
+        level = materialize(found.filter(~left_out) if patterns else found, "listing", columnar=True)
         listed.append(level.df)
         frontier = level.df.filter("kind = 'folder'").select("path")
         if level.rows == 0 or frontier.isEmpty():
