@@ -8,7 +8,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import location_order, matches_any, name_key
+from ..functions.names import location_order, matches_any, name_key, path_order, sort_key
 from ..functions.paths import ancestors, base_name, parent_of, tree_level
 from ..session import Table, materialize
 from ..sources.inventory import UNLISTABLE
@@ -260,6 +260,11 @@ def folder_sets(members: DataFrame) -> DataFrame:
     )
 
 
+def folder_order() -> list[Column]:
+    """Row order of folder sets: name ignoring case, size, first location in path order."""
+    return [sort_key("folder_name", ignore_case=True), F.col("size_bytes"), *path_order("first_location")]
+
+
 def folder_copies(members: DataFrame, total: int | None = None) -> DataFrame:
     """One row per copy of a folder set, with the size of its set."""
     rows = members.select("set_id", F.col("path").alias("folder"), "path")

@@ -93,7 +93,7 @@ def file_tables(sets: DataFrame, ranked: DataFrame) -> tuple[DataFrame, DataFram
     Times are local beside their offset, as they are read. Copies repeat their set's columns, so
     validating and reusing hashes needs no join of the two.
     """
-    local = (F.col("saved_us") + F.col("utc_offset_s") * MICROS).alias("local_us")
+    local = (F.col("saved_us") + F.col("utc_offset_s").cast("bigint") * MICROS).alias("local_us")
     rows = sets.select("set_id", "file_name", local, "utc_offset_s", "size_bytes", "md5", "copies")
     return rows, _with_set_columns(ranked, rows)
 
@@ -106,7 +106,8 @@ def folder_tables(sets: DataFrame, ranked: DataFrame) -> tuple[DataFrame, DataFr
 
 def _with_set_columns(ranked: DataFrame, sets: DataFrame) -> DataFrame:
     groups = sets.withColumnRenamed("copies", "group_rows")
-    return join_groups(ranked.select("set_id", "pos", "folder"), groups, ["set_id"], ["pos"], "inner")
+    joined = join_groups(ranked.select("set_id", "pos", "folder"), groups, ["set_id"], ["pos"], "inner")
+    return joined.drop("group_rows")
 
 
 def write_report(
