@@ -28,7 +28,7 @@ def measured_groups(groups: DataFrame) -> Table:
 
 def join_groups(
     rows: DataFrame,
-    groups: DataFrame,
+    groups: DataFrame | Table,
     keys: Sequence[str],
     spread_by: Sequence[str],
     how: str = "left_semi",
@@ -39,9 +39,9 @@ def join_groups(
     ``total`` is the number of rows where it is known: too few rows for any key to be hot need no
     measuring.
     """
-    if _few(total):
-        return rows.join(groups, list(keys), how)
-    table = measured_groups(groups)
+    if few(total):
+        return rows.join(groups.df if isinstance(groups, Table) else groups, list(keys), how)
+    table = groups if isinstance(groups, Table) else measured_groups(groups)
     if small(table):
         return rows.join(F.broadcast(table.df), list(keys), how)
     if table.most <= session.HOT_GROUP_ROWS:
@@ -71,7 +71,7 @@ def lookup(
     When it is too large to broadcast, the hot keys are found by one partially aggregated pass over
     the key columns of ``rows``.
     """
-    if _few(total):
+    if few(total):
         return rows.join(unique.df if isinstance(unique, Table) else unique, list(keys), how)
     table = unique if isinstance(unique, Table) else materialize(unique, "lookup", measure=unique.columns)
     if small(table):
@@ -80,7 +80,8 @@ def lookup(
     return _salted(rows, table.df, hot, keys, spread_by, how)
 
 
-def _few(total: int | None) -> bool:
+def few(total: int | None) -> bool:
+    """Whether so few rows are known to be there that no key can be hot."""
     return total is not None and total <= session.HOT_GROUP_ROWS
 
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.names import location_order, matches_any, name_key, path_order, sort_key
 from ..functions.paths import ancestors, base_name, parent_of, tree_level
 from ..session import Table, materialize
-from ..sources.inventory import UNLISTABLE
 from .filters import deepest_match, split_unreadable
-from .groups import group_counts, group_id, join_groups, keep_repeated, lookup
+from .groups import group_id, join_groups, keep_repeated, lookup
+from .sets import Copies, copies_of
 
 # A digest is eight numbers of seven hex digits: sums of 2**35 of them fit a BIGINT.
 _LIMBS = 8
@@ -162,7 +162,8 @@ def folder_base(files: DataFrame, folders: DataFrame, with_md5: bool = False) ->
         *[number(limb) for limb in LIMBS], number("lines"), number("bytes"),
         F.least("readable", F.coalesce("complete", F.lit(1))).alias("provable"),
     )
-    return materialize(base, "folder-base", extremes="level")
+    # Sorted by level, a reader of one level skips most of each file.
+    return materialize(base.sortWithinPartitions("level"), "folder-base", extremes="level", columnar=True)
 
 
 def fingerprint(base: Table, levels_per_job: int = LEVELS_PER_JOB) -> Table:
@@ -265,13 +266,6 @@ def folder_order() -> list[Column]:
     return [sort_key("folder_name", ignore_case=True), F.col("size_bytes"), *path_order("first_location")]
 
 
-def folder_copies(members: DataFrame, total: int | None = None) -> DataFrame:
+def folder_copies(members: DataFrame, total: int) -> Copies:
     """One row per copy of a folder set, with the size of its set."""
-    rows = members.select("set_id", F.col("path").alias("folder"), "path")
-    joined = join_groups(rows, group_counts(rows, ["set_id"]), ["set_id"], ["path"], "inner", total)
-    return joined.withColumnRenamed("group_rows", "copies")
-
-
-def unreadable_mark(paths: DataFrame) -> DataFrame:
-    """``folders`` rows marking paths as not listable."""
-    return paths.select("path", F.lit(False).alias("readable"), F.lit(UNLISTABLE).alias("reason"))
+    return copies_of(members.select("set_id", F.col("path").alias("folder"), "path"), total)

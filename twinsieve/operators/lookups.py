@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import name_key, scan_key, sort_key
+from ..functions.names import name_key, sort_key
 from ..functions.paths import ancestors
 from ..functions.times import same_saved_date
-from ..session import BROADCAST_BYTES
+from ..session import BROADCAST_BYTES, materialize, small
 from .groups import lookup
 
 PRESENT, MISSING, CHANGED, UNAVAILABLE = "Present", "Missing", "Changed", "Unavailable"
@@ -48,6 +48,10 @@ def lookup_copy(copies: DataFrame, files: DataFrame) -> DataFrame:
     order. One join on (folder, name key) finds both, and its partitioning serves the choice.
     ``copies`` has ``set_id``, ``folder`` and ``file_name``.
     """
+    folders = materialize(copies.select("folder").distinct(), "recorded-folders", measure=["folder"])
+    if small(folders):
+        # Few folders are recorded: the rest of the catalog is not worth shuffling.
+        files = files.join(F.broadcast(folders.df), "folder", "left_semi")
     current = files.select(
         "folder", name_key("name").alias("name_key"), F.col("name").alias("found_name"),
         F.col("size_bytes").alias("now_size"), F.col("mtime_us").alias("now_us"),
@@ -94,11 +98,3 @@ def folder_state() -> Column:
         .when(same, PRESENT)
         .otherwise(CHANGED)
     )
-
-
-def first_in_scan_order(files: DataFrame, windows_paths: bool = False) -> DataFrame:
-    """One file per (folder, name key): the first in scan order."""
-    folder_key = name_key("folder") if windows_paths else F.col("folder")
-    record = F.struct("path", "size_bytes", "mtime_us")
-    keyed = files.select("*", folder_key.alias("folder_key"), name_key("name").alias("key"))
-    return keyed.groupBy("folder_key", "key").agg(F.min_by(record, scan_key("folder", "name")).alias("record"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import location_order
-from ..session import HOT_GROUP_ROWS, materialize, parallelism
+from .. import session
+from ..session import materialize, partitions_for
 
 
 def rank_sliced(rows: DataFrame, order: Sequence[Column], rank: str, group: Sequence[str] = ()) -> DataFrame:
@@ -19,8 +20,9 @@ def rank_sliced(rows: DataFrame, order: Sequence[Column], rank: str, group: Sequ
     row per slice and group, are accumulated together.
     """
     keys = [F.col(c) for c in group]
-    slices = parallelism(rows.sparkSession)
-    sliced = rows.repartitionByRange(slices, *keys, *order).withColumn("slice", F.spark_partition_id())
+    source = materialize(rows, "to-rank", columnar=True)
+    slices = partitions_for(rows.sparkSession, source.rows, session.HOT_GROUP_ROWS)
+    sliced = source.df.repartitionByRange(slices, *keys, *order).withColumn("slice", F.spark_partition_id())
     written = materialize(sliced, "slices", columnar=True).df
     totals = written.groupBy(*group, "slice").agg(F.count(F.lit(1)).alias("slice_rows"))
     earlier = Window.partitionBy(*keys, F.lit(0)).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -30,20 +32,16 @@ def rank_sliced(rows: DataFrame, order: Sequence[Column], rank: str, group: Sequ
     return ranked.withColumn(rank, (F.col("start") + place).cast("bigint")).drop("start", "slice")
 
 
-def copy_rank(
-    copies: DataFrame, hot_rows: int = HOT_GROUP_ROWS, has_hot: bool | None = None, location: str = "folder"
-) -> DataFrame:
+def copy_rank(copies: DataFrame, widest: int | None, location: str = "folder") -> DataFrame:
     """Number the copies of each set (``pos``) by location: least nested first, then path order.
 
-    ``copies`` has the set's size in ``copies``. Sets of at most ``hot_rows`` copies are sorted by one
-    task each; larger ones are ranked in slices.
+    ``copies`` has the set's size in ``copies``; ``widest`` is the largest of them, or None when it is
+    not known. Ordinary sets are sorted by one task each; hot ones are ranked in slices.
     """
     order = [*location_order(location), F.col("path")]
     ranked = F.row_number().over(Window.partitionBy("set_id").orderBy(*order)).cast("bigint")
-    if has_hot is None:
-        has_hot = not copies.filter(F.col("copies") > hot_rows).limit(1).isEmpty()
-    if not has_hot:
+    is_hot = F.col("copies") > session.HOT_GROUP_ROWS
+    if widest is not None and widest <= session.HOT_GROUP_ROWS:
         return copies.withColumn("pos", ranked)
-    usual = copies.filter(F.col("copies") <= hot_rows).withColumn("pos", ranked)
-    hot = rank_sliced(copies.filter(F.col("copies") > hot_rows), order, "pos", ["set_id"])
-    return usual.unionByName(hot)
+    usual = copies.filter(~is_hot).withColumn("pos", ranked)
+    return usual.unionByName(rank_sliced(copies.filter(is_hot), order, "pos", ["set_id"]))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import location_order, scan_key, sort_key
 from ..functions.times import saved_second, utc_offset
-from .groups import group_counts, group_id, join_groups, keep_repeated
+from ..session import Table
+from .groups import few, group_counts, group_id, join_groups, keep_repeated, measured_groups
 
 # Fixed value: the most locations one wide row may have (16,384 columns less the 6 fixed ones).
 MAX_LOCATIONS = 16_378
@@ -47,12 +50,30 @@ def file_sets(hashed: DataFrame, tz: str) -> DataFrame:
     )
 
 
-def file_copies(hashed: DataFrame, total: int | None = None) -> DataFrame:
-    """One row per copy, with the size of its set in ``copies``; the whole result, in long form."""
-    rows = with_set_id(hashed).select("set_id", "folder", "name", "path")
-    groups = group_counts(rows, ["set_id"]).filter("group_rows > 1")
+class Copies(NamedTuple):
+    """Copies of sets in long form, and the size of the widest set (an upper bound)."""
+
+    df: DataFrame
+    widest: int
+
+
+def copies_of(rows: DataFrame, total: int) -> Copies:
+    """``rows`` (with ``set_id`` and ``path``; ``total`` of them) of sets with two rows or more.
+
+    The size of its set is added to each row in ``copies``.
+    """
+    groups: DataFrame | Table = group_counts(rows, ["set_id"]).filter("group_rows > 1")
+    widest = total
+    if not few(total):
+        groups = measured_groups(groups)
+        widest = groups.most or 0
     joined = join_groups(rows, groups, ["set_id"], ["path"], "inner", total)
-    return joined.withColumnRenamed("group_rows", "copies")
+    return Copies(joined.withColumnRenamed("group_rows", "copies"), widest)
+
+
+def file_copies(hashed: Table) -> Copies:
+    """One row per copy of a duplicated file; the whole result, in long form."""
+    return copies_of(with_set_id(hashed.df).select("set_id", "folder", "name", "path"), hashed.rows)
 
 
 def with_locations(sets: DataFrame, copies: DataFrame, location: str = "folder") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.filters import min_size, split_cold, split_unreadable
 from ..operators.groups import keep_repeated
 from ..operators.hashing import FIRST_BYTES, FIRST_BYTES_MIN, GROUP, hash_files, split_by_start
-from ..operators.sets import date_size_groups, file_copies, file_sets
+from ..operators.sets import Copies, date_size_groups, file_copies, file_sets
 from ..session import Table, materialize
 from ..sources.inventory import metadata
 
@@ -19,7 +19,7 @@ class FileDuplicates(NamedTuple):
     """``sets`` (one row each), ``copies`` (long form) and ``hashes`` (path, md5) of the candidates."""
 
     sets: DataFrame
-    copies: DataFrame
+    copies: Copies
     hashes: DataFrame
 
 
@@ -72,4 +72,4 @@ def find_duplicate_files(
     candidates = file_candidates(files, skip_cold, ignore_empty, minimum_size)
     hashed = hashed_candidates(files, candidates, hash_cache, first_bytes, first_bytes_min)
     rows = hashed.df
-    return FileDuplicates(file_sets(rows, tz), file_copies(rows, hashed.rows), rows.select("path", "md5"))
+    return FileDuplicates(file_sets(rows, tz), file_copies(hashed), rows.select("path", "md5"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.values import is_cold
 from ..operators.groups import lookup
 from ..operators.hashing import hash_files
+from ..operators.sets import Copies
 from ..operators.hierarchy import (
     fingerprint, folder_base, folder_candidates, folder_copies, folder_members, folder_readable, folder_scope,
     folder_sets, top_most,
@@ -22,7 +23,7 @@ class FolderDuplicates(NamedTuple):
     """Top-most ``sets`` and their ``copies``; ``all_members`` also has the nested sets."""
 
     sets: DataFrame
-    copies: DataFrame
+    copies: Copies
     all_members: DataFrame
 
 

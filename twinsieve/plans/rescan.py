@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import name_key, sort_key
+from ..functions.names import name_key, scan_key, sort_key
 from ..functions.times import same_saved_date
 from ..functions.values import valid_md5
-from ..operators.lookups import first_in_scan_order
+from ..session import materialize, small
 
 
 def previous_hashes(
@@ -26,8 +26,16 @@ def previous_hashes(
         folder_key.alias("folder_key"), name_key("file_name").alias("key"), "file_name",
         F.col("size_bytes").alias("recorded_size"), "local_us", "utc_offset_s", F.upper("md5").alias("md5"),
     )
-    # Both sides are keyed by folder and name, close to unique, so no key is hot.
-    matched = recorded.join(first_in_scan_order(files, windows_paths), ["folder_key", "key"])
+    table = materialize(recorded, "recorded", measure=recorded.columns, columnar=True)
+    side = F.broadcast(table.df) if small(table) else table.df
+    current = files.select(
+        (name_key("folder") if windows_paths else F.col("folder")).alias("folder_key"), name_key("name").alias("key"),
+        F.struct("path", "size_bytes", "mtime_us").alias("record"), scan_key("folder", "name").alias("met"),
+    )
+    # A key is a name in a folder, close to unique, so none is hot. The first file in scan order counts.
+    matched = current.join(side, ["folder_key", "key"]).groupBy(*recorded.columns).agg(
+        F.min_by("record", "met").alias("record")
+    )
     same = (F.col("record.size_bytes") == F.col("recorded_size")) & same_saved_date(
         "record.mtime_us", "local_us", "utc_offset_s", tz
     )

@@ -66,12 +66,12 @@ def surviving_rows(sets: DataFrame, outcomes: DataFrame) -> DataFrame:
     return sets.drop("copies").join(kept, "set_id")
 
 
-def surviving_copies(states: DataFrame, rows: DataFrame) -> DataFrame:
+def surviving_copies(states: DataFrame, rows: DataFrame, widest: int | None = None) -> DataFrame:
     """Present and unavailable copies of surviving rows, numbered again."""
     kept = states.filter(F.col("state").isin(PRESENT, UNAVAILABLE)).drop("state", "pos")
     groups = rows.select("set_id", F.col("copies").alias("group_rows"))
     joined = join_groups(kept, groups, ["set_id"], ["folder"], "inner").withColumnRenamed("group_rows", "copies")
-    return copy_rank(joined.withColumn("path", F.col("folder"))).drop("path")
+    return copy_rank(joined.withColumn("path", F.col("folder")), widest).drop("path")
 
 
 def removed_copies(states: DataFrame, location_is_item: bool = False) -> DataFrame:
@@ -128,23 +128,27 @@ def validate(
     """
     tz = tz or spark.conf.get("spark.sql.session.timeZone")
     report = read_report(spark, report_dir)
-    states = materialize(copy_states(report.file_copies, catalog, roots, tz), "copy-states").df
-    outcomes = materialize(row_outcomes(report.file_sets, states), "row-outcomes").df
+    states = materialize(
+        copy_states(report.file_copies, catalog, roots, tz), "copy-states", columnar=True
+    ).df
+    outcomes = materialize(row_outcomes(report.file_sets, states), "row-outcomes", extremes="surviving")
     removed = removed_copies(states)
     folder_states = folder_outcomes = None
     if report.folder_sets is not None:
         checked = folder_copy_states(report.folder_copies, catalog, roots, report.settings.exclude_names)
         folder_states = materialize(checked, "folder-states").df
-        folder_outcomes = materialize(row_outcomes(report.folder_sets, folder_states), "folder-outcomes").df
+        folder_outcomes = materialize(
+            row_outcomes(report.folder_sets, folder_states), "folder-outcomes", extremes="surviving"
+        )
         removed = removed.unionByName(removed_copies(folder_states, location_is_item=True))
-    summary = materialize(validation_summary(outcomes, folder_outcomes), "summary").df
+    summary = materialize(validation_summary(outcomes.df, folder_outcomes.df if folder_outcomes else None), "summary").df
 
-    file_sets = surviving_rows(report.file_sets, outcomes)
-    file_copies = surviving_copies(states, file_sets)
+    file_sets = surviving_rows(report.file_sets, outcomes.df)
+    file_copies = surviving_copies(states, file_sets, outcomes.most or 0)
     folder_sets = folder_copies = None
     if folder_states is not None:
-        folder_sets = surviving_rows(report.folder_sets, folder_outcomes)
-        folder_copies = surviving_copies(folder_states, folder_sets)
+        folder_sets = surviving_rows(report.folder_sets, folder_outcomes.df)
+        folder_copies = surviving_copies(folder_states, folder_sets, folder_outcomes.most or 0)
     kept = report._replace(
         file_sets=file_sets, file_copies=file_copies, folder_sets=folder_sets, folder_copies=folder_copies
     )

@@ -104,6 +104,7 @@ def small(table: Table, limit: int | None = None) -> bool:
     return table.measured_bytes <= (BROADCAST_BYTES if limit is None else limit)
 
 
-def parallelism(spark: SparkSession) -> int:
+def partitions_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """Partitions for work that Spark cannot size by itself (listing, hashing, ranking)."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    usual = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(usual, -(-rows // rows_per_task))

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import md5_hex
-from ..session import Table, parallelism, small
+from ..session import Table, partitions_for, small
 
 CHUNK_BYTES = 1 << 20
+OBJECTS_PER_TASK = 10_000
 
 HASHES_SCHEMA = "path string, md5 string"
 
@@ -34,14 +35,15 @@ def _object_md5(path: str, limit: int) -> str | None:
     return digest.hexdigest().upper()
 
 
-def hash_objects(paths: DataFrame, limit: int = 0) -> DataFrame:
+def hash_objects(wanted: Table, limit: int = 0) -> DataFrame:
     """Hash objects on a mount every executor shares; memory per task is one chunk."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"path": batch["path"], "md5": [_object_md5(p, limit) for p in batch["path"]]})
 
-    spread = paths.select("path").repartition(parallelism(paths.sparkSession))
+    tasks = partitions_for(wanted.df.sparkSession, wanted.rows, OBJECTS_PER_TASK)
+    spread = wanted.df.select("path").repartition(tasks)
     return spread.mapInPandas(work, HASHES_SCHEMA).filter("md5 is not null")
 
 
@@ -53,7 +55,7 @@ def content_hashes(files: DataFrame, wanted: Table, limit: int = 0) -> DataFrame
     file whose content cannot be read has no row.
     """
     if "content" not in files.columns:
-        return hash_objects(wanted.df, limit)
+        return hash_objects(wanted, limit)
     paths = wanted.df.select("path")
     if small(wanted):
         rows = files.select("path", "content").join(F.broadcast(paths), "path", "left_semi")

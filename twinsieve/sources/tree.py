@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import matches_any, name_key
 from ..operators.filters import exclude_paths
-from ..session import materialize, parallelism
+from ..session import materialize, partitions_for
 from .inventory import LINK, UNLISTABLE, Catalog
 
 _ENTRY = (
@@ -20,6 +20,7 @@ _ENTRY = (
     "attributes int, reason string"
 )
 _BATCH = 50_000
+FOLDERS_PER_TASK = 1_000
 
 
 def _entries(folder: str) -> Iterator[tuple]:
@@ -83,14 +84,15 @@ def scan_tree(
     patterns = list(exclude_names)
     root = os.path.abspath(root)
     frontier = spark.createDataFrame([(root,)], "path string")
-    listed, roots = [], frontier.withColumn("readable", F.lit(True))
+    listed, roots, folders_found = [], frontier.withColumn("readable", F.lit(True)), 1
     while True:
-        found = frontier.repartition(parallelism(spark)).mapInPandas(_list, _ENTRY)
+        found = frontier.repartition(partitions_for(spark, folders_found, FOLDERS_PER_TASK)).mapInPandas(_list, _ENTRY)
         left_out = F.col("kind").isin("file", "folder", "link") & matches_any(name_key("name"), patterns)
         level = materialize(found.filter(~left_out) if patterns else found, "listing", columnar=True)
         listed.append(level.df)
         frontier = level.df.filter("kind = 'folder'").select("path")
-        if level.rows == 0 or frontier.isEmpty():
+        folders_found = frontier.count()
+        if folders_found == 0:
             break
     entries = reduce(DataFrame.unionByName, listed)
     files = entries.filter("kind = 'file'").select(

@@ -61,15 +61,15 @@ def apply_drop(
     spark = drop.sparkSession
     tz = tz or spark.conf.get("spark.sql.session.timeZone")
     known = _inventory(spark, state_dir, batch_id - 1)
-    arrived = materialize(_arrived(drop, known), "arrived").df
+    arrived = materialize(_arrived(drop, known), "arrived", columnar=True).df
     kept = known.join(arrived.select("path"), "path", "left_anti")
     now = kept.unionByName(arrived.filter("not deleted").drop("deleted"))
     inventory = materialize(now, "inventory", folder=f"{state_dir}/batch={batch_id}").df
 
     touched = materialize(arrived.select("name_key").distinct(), "touched").df
     usable = split_unreadable(min_size(inventory.filter("md5 is not null"), minimum_size)).kept
-    members = materialize(lookup(usable, touched, ["name_key"], ["path"]), "members").df
-    sets, copies = file_tables(file_sets(members, tz), copy_rank(file_copies(members)))
+    members = materialize(lookup(usable, touched, ["name_key"], ["path"]), "members", columnar=True)
+    sets, copies = file_tables(file_sets(members.df, tz), copy_rank(*file_copies(members)))
     earlier = [v for v in versions(spark, report_dir) if v <= batch_id]
     if earlier:
         previous = read_report(spark, report_dir, earlier[-1])

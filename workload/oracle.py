@@ -223,7 +223,7 @@ def statements() -> dict[str, str]:
 
     q["catalog_files"] = "SELECT path, folder, name, size_bytes, mtime_us, attributes FROM cat"
     q["catalog_folders"] = "SELECT path, true AS readable FROM dirs"
-    q["scan_tree_listing"] = """
+    q["scan_tree"] = """
         SELECT path, size_bytes, mtime_us FROM cat WHERE NOT regexp_matches(path, '(?i)/b3(/|$)')
         UNION ALL SELECT path, NULL, NULL FROM dirs WHERE NOT regexp_matches(path, '(?i)/b3(/|$)')"""
     q["report_roundtrip"] = """

@@ -20,7 +20,7 @@ from twinsieve.plans import duplicate_files as file_plan
 from twinsieve.plans import duplicate_folders as folder_plan
 from twinsieve.plans import validate as validation
 from twinsieve.plans.rescan import previous_hashes
-from twinsieve.session import materialize, shared_dir
+from twinsieve.session import Table, materialize, shared_dir
 from twinsieve.sources import inventory, report
 from twinsieve.streaming.rescan import start_rescans
 
@@ -37,7 +37,7 @@ COLD = values.ATTRIBUTE_RECALL_ON_OPEN
 
 
 def query(fn: Query) -> Query:
-    REGISTRY[fn.__name__] = fn
+    REGISTRY[fn.__name__.removesuffix("_query")] = fn
     return fn
 
 
@@ -49,20 +49,20 @@ def found_files(spark: SparkSession, sf: str, tz: str = UTC):
     return find_duplicate_files(derived.files(spark, sf), tz=tz)
 
 
-def hashed(spark: SparkSession, sf: str) -> DataFrame:
+def hashed(spark: SparkSession, sf: str) -> Table:
     files = derived.files(spark, sf)
-    return file_plan.hashed_candidates(files, file_plan.file_candidates(files)).df
+    return file_plan.hashed_candidates(files, file_plan.file_candidates(files))
 
 
 def recorded(spark: SparkSession, sf: str, tz: str = UTC) -> tuple[DataFrame, DataFrame]:
     """The report tables of the derived catalog."""
     found = found_files(spark, sf, tz)
-    return report.file_tables(found.sets, ranking.copy_rank(found.copies))
+    return report.file_tables(found.sets, ranking.copy_rank(*found.copies))
 
 
 def recorded_folders(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     found = find_duplicate_folders(derived.files(spark, sf), derived.folders(spark, sf))
-    return report.folder_tables(found.sets, ranking.copy_rank(found.copies))
+    return report.folder_tables(found.sets, ranking.copy_rank(*found.copies))
 
 
 def in_one_text(column: str) -> Column:
@@ -86,7 +86,7 @@ def catalog_folders(spark, sf):
 
 
 @query
-def scan_tree_listing(spark, sf):
+def scan_tree_query(spark, sf):
     """The derived catalog written as a file tree by the executors, then listed."""
     root = scratch(spark, "tree").removeprefix("file:")
 
@@ -150,14 +150,14 @@ def scan_settings(spark, sf):
 def locations_wide(spark, sf):
     found = found_files(spark, sf)
     fixed = found.sets.select("set_id", "file_name", "size_bytes", "md5")
-    return sets.wide_locations(ranking.copy_rank(found.copies), fixed, 3).drop("set_id")
+    return sets.wide_locations(ranking.copy_rank(*found.copies), fixed, 3).drop("set_id")
 
 
 @query
 def locations_unpivot(spark, sf):
     found = found_files(spark, sf)
     fixed = found.sets.select("set_id", "file_name", "md5")
-    wide = sets.wide_locations(ranking.copy_rank(found.copies), fixed, 3)
+    wide = sets.wide_locations(ranking.copy_rank(*found.copies), fixed, 3)
     # A blank in the middle, as an edited report may have.
     gap = F.when(F.pmod(F.octet_length("location_2"), F.lit(2)) == 0, F.col("location_2")).otherwise("")
     return sets.from_wide(wide.withColumn("location_2", gap), ["set_id", "file_name", "md5"]).drop("set_id")
@@ -359,7 +359,7 @@ def _start_cache(files: DataFrame) -> DataFrame:
 @query
 def md5_groups(spark, sf):
     rows = hashed(spark, sf)
-    return groups.keep_repeated(rows, [*hashing.GROUP, "md5"], ["path"]).select("path", "md5")
+    return groups.keep_repeated(rows.df, [*hashing.GROUP, "md5"], ["path"], rows.rows).select("path", "md5")
 
 
 @query
@@ -372,14 +372,14 @@ def hash_files(spark, sf):
 @query
 def duplicate_files(spark, sf):
     found = found_files(spark, sf, INDIA)
-    return sets.with_locations(found.sets, found.copies).drop("set_id").withColumn("locations", in_one_text("locations"))
+    return sets.with_locations(found.sets, found.copies.df).drop("set_id").withColumn("locations", in_one_text("locations"))
 
 
 @query
 def duplicate_copies(spark, sf):
     found = found_files(spark, sf)
     named = found.sets.select("set_id", "file_name", "size_bytes", "md5")
-    return ranking.copy_rank(found.copies).join(named, "set_id").drop("set_id", "copies")
+    return ranking.copy_rank(*found.copies).join(named, "set_id").drop("set_id", "copies")
 
 
 @query
@@ -408,7 +408,7 @@ def copy_rank(spark, sf):
     """Folders grouped by name, each group's folders numbered by location."""
     known = derived.folders(spark, sf).select(paths.base_name("path").alias("set_id"), F.col("path").alias("folder"), "path")
     counted = known.join(groups.group_counts(known, ["set_id"]).withColumnRenamed("group_rows", "copies"), "set_id")
-    return ranking.copy_rank(counted).select(F.col("set_id").alias("name"), "pos", "folder")
+    return ranking.copy_rank(counted, None).select(F.col("set_id").alias("name"), "pos", "folder")
 
 
 @query
@@ -481,7 +481,7 @@ def folder_sets_all(spark, sf):
 
 
 def _shown(found) -> DataFrame:
-    shown = sets.with_locations(found.sets.drop("first_location"), found.copies)
+    shown = sets.with_locations(found.sets.drop("first_location"), found.copies.df)
     return shown.drop("set_id").withColumn("locations", in_one_text("locations"))
 
 
