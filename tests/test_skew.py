@@ -1,0 +1,103 @@
+"""Every route that large data takes, forced on small data: results must not change."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from twinsieve import find_duplicate_files, find_duplicate_folders, session
+from twinsieve.operators.groups import join_groups, group_counts, keep_repeated, lookup
+from twinsieve.operators.lookups import root_of_path
+from twinsieve.operators.ranking import copy_rank, rank_sliced
+from twinsieve.operators.sets import copies_of
+
+from test_duplicate_files import FILE_SETS, TREE
+
+
+@pytest.fixture
+def at_scale(monkeypatch):
+    """Nothing is small enough to broadcast, and a key with more than two rows is hot."""
+    monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(session, "HOT_GROUP_ROWS", 2)
+    monkeypatch.setattr(session, "SALTS", 3)
+
+
+def test_file_and_folder_jobs(at_scale, tree, rows_of):
+    catalog = tree(TREE)
+    files = find_duplicate_files(catalog.files)
+    assert rows_of(files) == FILE_SETS
+    folders = find_duplicate_folders(catalog.files, catalog.folders, hash_cache=files.hashes.limit(3))
+    assert sorted((r.folder_name, r.copies) for r in folders.sets.collect()) == [("Holiday", 2), ("inner", 3), ("日本", 2)]
+
+
+@pytest.fixture
+def skewed(spark):
+    """A third of the rows share key 0; keys 1 to 9 share the rest; key 99 occurs once."""
+    rows = spark.range(900).selectExpr("if(id % 3 = 0, 0, 1 + id % 9) as k", "concat('p', id) as path")
+    return rows.unionByName(spark.createDataFrame([(99, "alone")], "k bigint, path string"))
+
+
+@pytest.mark.parametrize("how", ["left_semi", "left_anti", "inner", "left"])
+@pytest.mark.parametrize("hot", [10, 150, 10_000])
+def test_joins_by_every_route(spark, skewed, monkeypatch, how, hot):
+    unique = spark.createDataFrame([(k, f"v{k}") for k in (0, 1, 2, 7, 500)], "k bigint, v string")
+    sort = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    expected = sort(skewed.join(unique, ["k"], how))
+    monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(session, "HOT_GROUP_ROWS", hot)
+    assert sort(lookup(skewed, unique, ["k"], ["path"], how)) == expected
+    counted = unique.join(group_counts(skewed, ["k"]), "k", "left").fillna(0, ["group_rows"])
+    assert sort(join_groups(skewed, counted, ["k"], ["path"], how).drop("group_rows")) == expected
+
+
+def test_salting_spreads_the_hot_key(spark, skewed, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(session, "HOT_GROUP_ROWS", 150)
+    plan = keep_repeated(skewed, ["k"], ["path"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" in plan
+    kept = keep_repeated(skewed, ["k"], ["path"])
+    assert kept.count() == 900 and kept.filter("k = 99").isEmpty()
+
+
+def test_ranks_of_hot_sets(spark, monkeypatch):
+    rows = spark.range(500).selectExpr(
+        "if(id % 3 = 0, 'hot', concat('s', id % 50)) as set_id",
+        "concat('/r', repeat('/d', cast(id % 4 as int)), '/n', id * 7919 % 500) as folder",
+    ).withColumn("path", F.concat("folder", F.lit("/f")))
+    plain = copy_rank(*copies_of(rows, 500))
+    expected = sorted(map(tuple, plain.select("set_id", "pos", "folder").collect()))
+    monkeypatch.setattr(session, "HOT_GROUP_ROWS", 20)
+    for widest in (None, 167):
+        sliced = copy_rank(copies_of(rows, 500).df, widest)
+        assert sorted(map(tuple, sliced.select("set_id", "pos", "folder").collect())) == expected
+    assert "slice" in sliced._jdf.queryExecution().analyzed().toString()
+
+
+def test_global_rank(spark):
+    rows = spark.range(1_000).selectExpr("id * 7919 % 1000 as v")
+    ranked = rank_sliced(rows, [F.col("v")], "rank")
+    assert all(r["rank"] == r["v"] + 1 for r in ranked.collect())
+    assert ranked.count() == 1_000
+
+
+@pytest.mark.parametrize("inline", [0, 10_000])
+def test_roots_by_both_routes(spark, monkeypatch, inline):
+    rows = spark.createDataFrame(
+        [("/mnt/a/b",), ("/mnt/a/deep/x",), ("/mnt/ab",), ("C:\\x\\y",), ("/other",), ("/mnt/a",)], "path string"
+    )
+    roots = spark.createDataFrame([("/mnt/a", True), ("/mnt/a/deep", False), ("C:\\", False)], "root string, reachable boolean")
+    found = {r.path: (r.root, r.reachable) for r in root_of_path(rows, roots, inline_roots=inline).collect()}
+    assert found == {
+        "/mnt/a/b": ("/mnt/a", True), "/mnt/a/deep/x": ("/mnt/a/deep", False), "/mnt/ab": (None, None),
+        "C:\\x\\y": ("C:\\", False), "/other": (None, None), "/mnt/a": ("/mnt/a", True),
+    }
+
+
+def test_content_is_never_shuffled(at_scale, tree):
+    """Beyond broadcast size, each row is hashed where it is scanned: no exchange carries content."""
+    from twinsieve.session import materialize
+    from twinsieve.sources.content import content_hashes
+
+    files = tree(TREE).files
+    wanted = materialize(files.select("path"), "wanted", ["path"])
+    plan = content_hashes(files, wanted)._jdf.queryExecution().sparkPlan().toString()
+    above = plan[: plan.index("Scan")]
+    assert above.rindex("md5(") > above.rindex("Join")
