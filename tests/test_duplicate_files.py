@@ -121,12 +121,12 @@ def test_row_order_and_top(tree):
 def test_wide_view_and_back(tree):
     found = find_duplicate_files(tree(TREE).files)
     fixed = found.sets.select("set_id", "file_name")
-    wide = wide_locations(copy_rank(*found.copies), fixed, 3)
+    wide = wide_locations(copy_rank(found.copies.df, found.copies.widest), fixed, 3)
     assert wide.columns == ["set_id", "file_name", "location_1", "location_2", "location_3"]
     back = from_wide(wide, ["set_id", "file_name"])
     assert back.count() == sum(len(locations) for _, locations in FILE_SETS)
     with pytest.raises(ValueError):
-        wide_locations(copy_rank(*found.copies), fixed, 16_379)
+        wide_locations(copy_rank(found.copies.df, found.copies.widest), fixed, 16_379)
 
 
 def test_a_set_too_wide_for_one_row_is_an_error_in_the_array_view_only(tree, monkeypatch):

@@ -62,7 +62,7 @@ def test_ranks_of_hot_sets(spark, monkeypatch):
         "if(id % 3 = 0, 'hot', concat('s', id % 50)) as set_id",
         "concat('/r', repeat('/d', cast(id % 4 as int)), '/n', id * 7919 % 500) as folder",
     ).withColumn("path", F.concat("folder", F.lit("/f")))
-    plain = copy_rank(*copies_of(rows, 500))
+    plain = copy_rank(copies_of(rows, 500).df, 500)
     expected = sorted(map(tuple, plain.select("set_id", "pos", "folder").collect()))
     monkeypatch.setattr(session, "HOT_GROUP_ROWS", 20)
     for widest in (None, 167):

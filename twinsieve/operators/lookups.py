@@ -8,26 +8,33 @@ from pyspark.sql import functions as F
 from ..functions.names import name_key, sort_key
 from ..functions.paths import ancestors
 from ..functions.times import same_saved_date
-from ..session import BROADCAST_BYTES, materialize, small
+from ..session import Table, materialize, small
 from .groups import lookup
 
 PRESENT, MISSING, CHANGED, UNAVAILABLE = "Present", "Missing", "Changed", "Unavailable"
 
 # Roots are mount points; up to this many are matched without a join.
 MAX_INLINE_ROOTS = 10_000
+MAX_INLINE_BYTES = 4 << 20
 
 
-def root_of_path(rows: DataFrame, roots: DataFrame, path: str = "path", inline_roots: int = MAX_INLINE_ROOTS) -> DataFrame:
+def measured_roots(roots: DataFrame) -> Table:
+    """One row per root, unreachable if any of its rows is, with their bytes."""
+    ranked = roots.groupBy("root").agg(F.bool_and("reachable").alias("reachable"))
+    return materialize(ranked, "roots", measure=["root"])
+
+
+def root_of_path(
+    rows: DataFrame, roots: DataFrame | Table, path: str = "path", inline_roots: int = MAX_INLINE_ROOTS
+) -> DataFrame:
     """Add ``root`` and ``reachable``: the longest root that a path is or lies below, if any.
 
     A path's roots are among its own ancestors, so nothing is compared by prefix. A list of roots of
     checked size becomes one map read by every task; a longer one is joined by equality.
     """
-    ranked = roots.groupBy("root").agg(F.bool_and("reachable").alias("reachable"))
-    size = ranked.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("root")), F.lit(0)).alias("bytes")
-    ).first()
-    if size["n"] <= inline_roots and size["bytes"] <= BROADCAST_BYTES:
+    table = roots if isinstance(roots, Table) else measured_roots(roots)
+    ranked = table.df
+    if table.rows <= inline_roots and table.measured_bytes <= MAX_INLINE_BYTES:
         entries = F.collect_list(F.struct("root", "reachable"))
         known = ranked.agg(F.map_from_entries(entries).alias("known")).scalar()
         held = F.filter(ancestors(path), lambda a: F.map_contains_key(F.col("known_roots"), a))

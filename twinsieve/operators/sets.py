@@ -51,10 +51,11 @@ def file_sets(hashed: DataFrame, tz: str) -> DataFrame:
 
 
 class Copies(NamedTuple):
-    """Copies of sets in long form, and the size of the widest set (an upper bound)."""
+    """Copies of sets in long form; upper bounds of the widest set's size and of all rows."""
 
     df: DataFrame
     widest: int
+    rows: int
 
 
 def copies_of(rows: DataFrame, total: int) -> Copies:
@@ -68,7 +69,7 @@ def copies_of(rows: DataFrame, total: int) -> Copies:
         groups = measured_groups(groups)
         widest = groups.most or 0
     joined = join_groups(rows, groups, ["set_id"], ["path"], "inner", total)
-    return Copies(joined.withColumnRenamed("group_rows", "copies"), widest)
+    return Copies(joined.withColumnRenamed("group_rows", "copies"), widest, total)
 
 
 def file_copies(hashed: Table) -> Copies:

@@ -8,7 +8,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.filters import exclude, exclude_paths
-from ..operators.ranking import copy_rank
 from ..operators.sets import scan_totals
 from ..session import materialize
 from ..sources.inventory import Catalog
@@ -70,10 +69,10 @@ def scan(
     totals = scan_totals(files.sets, folders.sets if folders else None)
     version = None
     if report_dir is not None and not dry_run:
-        file_rows, file_copies = file_tables(files.sets, copy_rank(*files.copies))
+        file_rows, file_copies = file_tables(files.sets, files.copies)
         folder_rows = folder_copies = None
         if folders:
-            folder_rows, folder_copies = folder_tables(folders.sets, copy_rank(*folders.copies))
+            folder_rows, folder_copies = folder_tables(folders.sets, folders.copies)
         smallest = max(settings.minimum_size, 1) if ignore_empty else settings.minimum_size
         version = write_report(
             spark, report_dir, file_rows, file_copies, folder_rows, folder_copies,

@@ -12,15 +12,16 @@ from ..functions.times import local_utc_offset, saved_second
 from ..operators.groups import join_groups, lookup
 from ..operators.hierarchy import folder_rollup
 from ..operators.lookups import (
-    CHANGED, MISSING, PRESENT, UNAVAILABLE, copy_state, folder_listing, folder_state, lookup_copy, root_of_path,
+    CHANGED, MISSING, PRESENT, UNAVAILABLE, copy_state, folder_listing, folder_state, lookup_copy, measured_roots,
+    root_of_path,
 )
 from ..operators.ranking import copy_rank
-from ..session import materialize
+from ..session import Table, materialize
 from ..sources.inventory import Catalog
 from ..sources.report import Report, read_report, write_report
 
 
-def copy_states(file_copies: DataFrame, catalog: Catalog, roots: DataFrame, tz: str) -> DataFrame:
+def copy_states(file_copies: DataFrame, catalog: Catalog, roots: DataFrame | Table, tz: str) -> DataFrame:
     """Each recorded file copy with its ``state``."""
     found = lookup_copy(file_copies, catalog.files)
     listing = folder_listing(catalog.folders).withColumnRenamed("path", "folder")
@@ -30,7 +31,7 @@ def copy_states(file_copies: DataFrame, catalog: Catalog, roots: DataFrame, tz:
 
 
 def folder_copy_states(
-    folder_copies: DataFrame, catalog: Catalog, roots: DataFrame, patterns: list[str] | tuple[str, ...] = ()
+    folder_copies: DataFrame, catalog: Catalog, roots: DataFrame | Table, patterns: list[str] | tuple[str, ...] = ()
 ) -> DataFrame:
     """Each recorded folder copy with its ``state``: unchanged counts and size of its whole tree."""
     now = folder_rollup(catalog.files, catalog.folders, patterns).select(
@@ -66,11 +67,11 @@ def surviving_rows(sets: DataFrame, outcomes: DataFrame) -> DataFrame:
     return sets.drop("copies").join(kept, "set_id")
 
 
-def surviving_copies(states: DataFrame, rows: DataFrame, widest: int | None = None) -> DataFrame:
+def surviving_copies(states: Table, rows: DataFrame, widest: int) -> DataFrame:
     """Present and unavailable copies of surviving rows, numbered again."""
-    kept = states.filter(F.col("state").isin(PRESENT, UNAVAILABLE)).drop("state", "pos")
+    kept = states.df.filter(F.col("state").isin(PRESENT, UNAVAILABLE)).drop("state", "pos")
     groups = rows.select("set_id", F.col("copies").alias("group_rows"))
-    joined = join_groups(kept, groups, ["set_id"], ["folder"], "inner").withColumnRenamed("group_rows", "copies")
+    joined = join_groups(kept, groups, ["set_id"], ["folder"], "inner", states.rows).withColumnRenamed("group_rows", "copies")
     return copy_rank(joined.withColumn("path", F.col("folder")), widest).drop("path")
 
 
@@ -127,20 +128,20 @@ def validate(
     before the offset column get the offset of their local time when they are rewritten.
     """
     tz = tz or spark.conf.get("spark.sql.session.timeZone")
-    report = read_report(spark, report_dir)
+    report, roots = read_report(spark, report_dir), measured_roots(roots)
     states = materialize(
         copy_states(report.file_copies, catalog, roots, tz), "copy-states", columnar=True
-    ).df
-    outcomes = materialize(row_outcomes(report.file_sets, states), "row-outcomes", extremes="surviving")
-    removed = removed_copies(states)
+    )
+    outcomes = materialize(row_outcomes(report.file_sets, states.df), "row-outcomes", extremes="surviving")
+    removed = removed_copies(states.df)
     folder_states = folder_outcomes = None
     if report.folder_sets is not None:
         checked = folder_copy_states(report.folder_copies, catalog, roots, report.settings.exclude_names)
-        folder_states = materialize(checked, "folder-states").df
+        folder_states = materialize(checked, "folder-states")
         folder_outcomes = materialize(
-            row_outcomes(report.folder_sets, folder_states), "folder-outcomes", extremes="surviving"
+            row_outcomes(report.folder_sets, folder_states.df), "folder-outcomes", extremes="surviving"
         )
-        removed = removed.unionByName(removed_copies(folder_states, location_is_item=True))
+        removed = removed.unionByName(removed_copies(folder_states.df, location_is_item=True))
     summary = materialize(validation_summary(outcomes.df, folder_outcomes.df if folder_outcomes else None), "summary").df
 
     file_sets = surviving_rows(report.file_sets, outcomes.df)

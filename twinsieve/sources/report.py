@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.names import pattern_problem
 from ..functions.times import MICROS
 from ..operators.groups import join_groups
+from ..operators.ranking import copy_rank
+from ..operators.sets import Copies
 
 FILE_SETS_SCHEMA = (
     "set_id string, file_name string, local_us bigint, utc_offset_s int, size_bytes bigint, md5 string, copies bigint"
@@ -87,26 +89,27 @@ def report_exists(spark: SparkSession, report_dir: str) -> bool:
     return bool(versions(spark, report_dir))
 
 
-def file_tables(sets: DataFrame, ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """File sets and their ranked copies in the report's shape.
+def file_tables(sets: DataFrame, copies: Copies) -> tuple[DataFrame, DataFrame]:
+    """File sets and their copies, ranked, in the report's shape.
 
     Times are local beside their offset, as they are read. Copies repeat their set's columns, so
     validating and reusing hashes needs no join of the two.
     """
     local = (F.col("saved_us") + F.col("utc_offset_s").cast("bigint") * MICROS).alias("local_us")
     rows = sets.select("set_id", "file_name", local, "utc_offset_s", "size_bytes", "md5", "copies")
-    return rows, _with_set_columns(ranked, rows)
+    return rows, _with_set_columns(copies, rows)
 
 
-def folder_tables(sets: DataFrame, ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Folder sets and their ranked copies in the report's shape."""
+def folder_tables(sets: DataFrame, copies: Copies) -> tuple[DataFrame, DataFrame]:
+    """Folder sets and their copies, ranked, in the report's shape."""
     rows = sets.select("set_id", "folder_name", "file_count", "folder_count", "size_bytes", "copies")
-    return rows, _with_set_columns(ranked, rows)
+    return rows, _with_set_columns(copies, rows)
 
 
-def _with_set_columns(ranked: DataFrame, sets: DataFrame) -> DataFrame:
+def _with_set_columns(copies: Copies, sets: DataFrame) -> DataFrame:
+    ranked = copy_rank(copies.df, copies.widest).select("set_id", "pos", "folder")
     groups = sets.withColumnRenamed("copies", "group_rows")
-    joined = join_groups(ranked.select("set_id", "pos", "folder"), groups, ["set_id"], ["pos"], "inner")
+    joined = join_groups(ranked, groups, ["set_id"], ["pos"], "inner", copies.rows)
     return joined.drop("group_rows")
 
 

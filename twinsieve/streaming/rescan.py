@@ -10,7 +10,6 @@ from ..functions.names import name_key
 from ..functions.values import md5_hex
 from ..operators.filters import min_size, split_unreadable
 from ..operators.groups import lookup
-from ..operators.ranking import copy_rank
 from ..operators.sets import file_copies, file_sets
 from ..session import materialize
 from ..sources.inventory import metadata
@@ -69,7 +68,7 @@ def apply_drop(
     touched = materialize(arrived.select("name_key").distinct(), "touched").df
     usable = split_unreadable(min_size(inventory.filter("md5 is not null"), minimum_size)).kept
     members = materialize(lookup(usable, touched, ["name_key"], ["path"]), "members", columnar=True)
-    sets, copies = file_tables(file_sets(members.df, tz), copy_rank(*file_copies(members)))
+    sets, copies = file_tables(file_sets(members.df, tz), file_copies(members))
     earlier = [v for v in versions(spark, report_dir) if v <= batch_id]
     if earlier:
         previous = read_report(spark, report_dir, earlier[-1])

@@ -57,12 +57,12 @@ def hashed(spark: SparkSession, sf: str) -> Table:
 def recorded(spark: SparkSession, sf: str, tz: str = UTC) -> tuple[DataFrame, DataFrame]:
     """The report tables of the derived catalog."""
     found = found_files(spark, sf, tz)
-    return report.file_tables(found.sets, ranking.copy_rank(*found.copies))
+    return report.file_tables(found.sets, found.copies)
 
 
 def recorded_folders(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     found = find_duplicate_folders(derived.files(spark, sf), derived.folders(spark, sf))
-    return report.folder_tables(found.sets, ranking.copy_rank(*found.copies))
+    return report.folder_tables(found.sets, found.copies)
 
 
 def in_one_text(column: str) -> Column:
@@ -150,14 +150,14 @@ def scan_settings(spark, sf):
 def locations_wide(spark, sf):
     found = found_files(spark, sf)
     fixed = found.sets.select("set_id", "file_name", "size_bytes", "md5")
-    return sets.wide_locations(ranking.copy_rank(*found.copies), fixed, 3).drop("set_id")
+    return sets.wide_locations(ranking.copy_rank(found.copies.df, found.copies.widest), fixed, 3).drop("set_id")
 
 
 @query
 def locations_unpivot(spark, sf):
     found = found_files(spark, sf)
     fixed = found.sets.select("set_id", "file_name", "md5")
-    wide = sets.wide_locations(ranking.copy_rank(*found.copies), fixed, 3)
+    wide = sets.wide_locations(ranking.copy_rank(found.copies.df, found.copies.widest), fixed, 3)
     # A blank in the middle, as an edited report may have.
     gap = F.when(F.pmod(F.octet_length("location_2"), F.lit(2)) == 0, F.col("location_2")).otherwise("")
     return sets.from_wide(wide.withColumn("location_2", gap), ["set_id", "file_name", "md5"]).drop("set_id")
@@ -379,7 +379,7 @@ def duplicate_files(spark, sf):
 def duplicate_copies(spark, sf):
     found = found_files(spark, sf)
     named = found.sets.select("set_id", "file_name", "size_bytes", "md5")
-    return ranking.copy_rank(*found.copies).join(named, "set_id").drop("set_id", "copies")
+    return ranking.copy_rank(found.copies.df, found.copies.widest).join(named, "set_id").drop("set_id", "copies")
 
 
 @query
