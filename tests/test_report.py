@@ -174,3 +174,13 @@ def test_unavailable_copies_never_cause_a_rewrite(spark, tree, roots, tmp_path):
     done = validate(spark, at, tree([("x", "", 0)]), roots)
     assert done.version is None and done.summary.first().copies_unavailable == 2
     assert [r.removed for r in done.removed.collect()] == [False, False]
+
+
+def test_folders_in_another_case_count_on_windows_only(spark, tree, roots):
+    catalog = tree([("A/f.txt", "abc", 0)])
+    copies = file_rows(spark, [("1", "f.txt", "/data/a", 0, 0, 3, "A")])
+    state = lambda windows: copy_states(copies, catalog, roots, "UTC", windows).first().state
+    assert (state(False), state(True)) == ("Missing", "Present")
+    folders = spark.createDataFrame([("1", 1, "/data/a", "a", 1, 0, 3)], report.FOLDER_COPIES_SCHEMA)
+    state = lambda windows: folder_copy_states(folders, catalog, roots, (), windows).first().state
+    assert (state(False), state(True)) == ("Missing", "Present")

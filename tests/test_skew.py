@@ -91,13 +91,18 @@ def test_roots_by_both_routes(spark, monkeypatch, inline):
     }
 
 
-def test_content_is_never_shuffled(at_scale, tree):
-    """Beyond broadcast size, each row is hashed where it is scanned: no exchange carries content."""
+@pytest.mark.parametrize("limit", [-1, 64 << 20])
+def test_where_content_is_hashed(spark, tree, monkeypatch, tmp_path, limit):
+    """Wanted rows only when the list can be broadcast; else in the scan, so no exchange carries content."""
     from twinsieve.session import materialize
     from twinsieve.sources.content import content_hashes
 
-    files = tree(TREE).files
-    wanted = materialize(files.select("path"), "wanted", ["path"])
-    plan = content_hashes(files, wanted)._jdf.queryExecution().sparkPlan().toString()
-    above = plan[: plan.index("Scan")]
-    assert above.rindex("md5(") > above.rindex("Join")
+    tree(TREE).files.write.parquet(f"{tmp_path}/files")
+    files = spark.read.parquet(f"{tmp_path}/files")
+    monkeypatch.setattr(session, "BROADCAST_BYTES", limit)
+    wanted = materialize(files.filter("folder = '/data/a'").select("path"), "wanted", ["path"])
+    hashes = content_hashes(files, wanted)
+    plan = hashes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+    assert (plan.index("md5(") < plan.index("Join")) == (limit > 0)
+    assert hashes.count() == sum(path.startswith("a/") for path, *_ in TREE)

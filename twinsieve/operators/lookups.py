@@ -45,37 +45,43 @@ def root_of_path(
     held = lookup(lines, ranked, ["root"], [path], "inner")
     longest = F.max_by(F.struct("root", "reachable"), F.octet_length("root"))
     best = held.groupBy(path).agg(longest.alias("best"))
-    return lookup(rows, best, [path], [path], "left").select(*rows.columns, "best.root", "best.reachable")
+    return lookup(rows, best, [path], rows.columns, "left").select(*rows.columns, "best.root", "best.reachable")
 
 
-def lookup_copy(copies: DataFrame, files: DataFrame) -> DataFrame:
+def folder_key(folder: str, windows_paths: bool) -> Column:
+    """How folders of a report and a catalog are compared: exactly, or by name key on Windows."""
+    return name_key(folder) if windows_paths else F.col(folder)
+
+
+def lookup_copy(copies: DataFrame, files: DataFrame, windows_paths: bool = False) -> DataFrame:
     """Each recorded copy with the current file it stands for: ``found_name``, size and time.
 
     The exact name wins; else a name equal by name key in the same folder, the smallest in ordinal
-    order. One join on (folder, name key) finds both, and its partitioning serves the choice.
+    order. One join on (folder key, name key) finds both, and its partitioning serves the choice.
     ``copies`` has ``set_id``, ``folder`` and ``file_name``.
     """
-    folders = materialize(copies.select("folder").distinct(), "recorded-folders", measure=["folder"])
+    keyed = files.withColumn("folder_key", folder_key("folder", windows_paths))
+    recorded = copies.select("*", folder_key("folder", windows_paths).alias("folder_key"), name_key("file_name").alias("name_key"))
+    folders = materialize(recorded.select("folder_key").distinct(), "recorded-folders", measure=["folder_key"])
     if small(folders):
         # Few folders are recorded: the rest of the catalog is not worth shuffling.
-        files = files.join(F.broadcast(folders.df), "folder", "left_semi")
-    current = files.select(
-        "folder", name_key("name").alias("name_key"), F.col("name").alias("found_name"),
+        keyed = keyed.join(F.broadcast(folders.df), "folder_key", "left_semi")
+    current = keyed.select(
+        "folder_key", name_key("name").alias("name_key"), F.col("name").alias("found_name"),
         F.col("size_bytes").alias("now_size"), F.col("mtime_us").alias("now_us"),
     )
-    recorded = copies.withColumn("name_key", name_key("file_name"))
-    joined = recorded.join(current, ["folder", "name_key"], "left")
+    joined = recorded.join(current, ["folder_key", "name_key"], "left")
     preference = F.struct(F.col("found_name") != F.col("file_name"), sort_key("found_name"))
     found = F.struct("found_name", "now_size", "now_us")
-    keys = ["folder", "name_key", *[c for c in copies.columns if c != "folder"]]
+    keys = ["folder_key", "name_key", *copies.columns]
     best = joined.groupBy(*keys).agg(F.min_by(found, preference).alias("found"))
     return best.select(*copies.columns, "found.found_name", "found.now_size", "found.now_us")
 
 
-def folder_listing(folders: DataFrame) -> DataFrame:
-    """Whether each folder could be listed; marks for links or left-out files do not matter here."""
+def folder_listing(folders: DataFrame, windows_paths: bool = False) -> DataFrame:
+    """Whether each folder (by ``folder_key``) could be listed; marks for links or left-out files do not matter here."""
     failed = ~F.col("readable") & F.coalesce(F.col("reason") == "unlistable", F.lit(True))
-    return folders.groupBy("path").agg(F.max(failed.cast("int")).alias("unlistable"))
+    return folders.groupBy(folder_key("path", windows_paths).alias("folder_key")).agg(F.max(failed.cast("int")).alias("unlistable"))
 
 
 def copy_state(tz: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.names import name_key, scan_key, sort_key
 from ..functions.times import same_saved_date
 from ..functions.values import valid_md5
+from ..operators.lookups import folder_key
 from ..session import materialize, small
 
 
@@ -21,15 +22,14 @@ def previous_hashes(
     second goes unnoticed: the report is trusted.
     """
     tz = tz or files.sparkSession.conf.get("spark.sql.session.timeZone")
-    folder_key = name_key("folder") if windows_paths else F.col("folder")
     recorded = file_copies.filter(valid_md5("md5")).select(
-        folder_key.alias("folder_key"), name_key("file_name").alias("key"), "file_name",
+        folder_key("folder", windows_paths).alias("folder_key"), name_key("file_name").alias("key"), "file_name",
         F.col("size_bytes").alias("recorded_size"), "local_us", "utc_offset_s", F.upper("md5").alias("md5"),
     )
     table = materialize(recorded, "recorded", measure=recorded.columns, columnar=True)
     side = F.broadcast(table.df) if small(table) else table.df
     current = files.select(
-        (name_key("folder") if windows_paths else F.col("folder")).alias("folder_key"), name_key("name").alias("key"),
+        folder_key("folder", windows_paths).alias("folder_key"), name_key("name").alias("key"),
         F.struct("path", "size_bytes", "mtime_us").alias("record"), scan_key("folder", "name").alias("met"),
     )
     # A key is a name in a folder, close to unique, so none is hot. The first file in scan order counts.

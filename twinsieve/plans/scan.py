@@ -40,6 +40,7 @@ def scan(
     roots: Sequence[str] | None = None,
     own_files: DataFrame | None = None,
     tz: str | None = None,
+    windows_paths: bool = False,
 ) -> ScanResult:
     """Find duplicate files and folders and publish them at ``report_dir``.
 
@@ -55,7 +56,8 @@ def scan(
     if report_dir is not None and not rehash and report_exists(spark, report_dir):
         try:
             earlier = read_report(spark, report_dir)
-            cache = materialize(previous_hashes(earlier.file_copies, catalog.files, tz), "reused-hashes").df
+            reused = previous_hashes(earlier.file_copies, catalog.files, tz, windows_paths)
+            cache = materialize(reused, "reused-hashes", columnar=True).df
         except (AnalysisException, OSError, ValueError) as problem:
             warnings.append(f"Hashes of '{report_dir}' are not reused: {problem}")
     files = find_duplicate_files(

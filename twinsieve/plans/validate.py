@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from typing import NamedTuple, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from ..functions.times import local_utc_offset, saved_second
 from ..operators.groups import join_groups, lookup
 from ..operators.hierarchy import folder_rollup
 from ..operators.lookups import (
-    CHANGED, MISSING, PRESENT, UNAVAILABLE, copy_state, folder_listing, folder_state, lookup_copy, measured_roots,
+    CHANGED, MISSING, PRESENT, UNAVAILABLE, copy_state, folder_key, folder_listing, folder_state, lookup_copy, measured_roots,
     root_of_path,
 )
 from ..operators.ranking import copy_rank
@@ -21,24 +21,31 @@ from ..sources.inventory import Catalog
 from ..sources.report import Report, read_report, write_report
 
 
-def copy_states(file_copies: DataFrame, catalog: Catalog, roots: DataFrame | Table, tz: str) -> DataFrame:
+def copy_states(
+    file_copies: DataFrame, catalog: Catalog, roots: DataFrame | Table, tz: str, windows_paths: bool = False
+) -> DataFrame:
     """Each recorded file copy with its ``state``."""
-    found = lookup_copy(file_copies, catalog.files)
-    listing = folder_listing(catalog.folders).withColumnRenamed("path", "folder")
-    listed = lookup(found, listing, ["folder"], ["set_id", "pos"], "left")
+    found = lookup_copy(file_copies, catalog.files, windows_paths).withColumn("folder_key", folder_key("folder", windows_paths))
+    listing = folder_listing(catalog.folders, windows_paths)
+    listed = lookup(found, listing, ["folder_key"], ["set_id", "pos"], "left")
     rooted = root_of_path(listed, roots, "folder")
     return rooted.select(*file_copies.columns, copy_state(tz).alias("state"))
 
 
 def folder_copy_states(
-    folder_copies: DataFrame, catalog: Catalog, roots: DataFrame | Table, patterns: list[str] | tuple[str, ...] = ()
+    folder_copies: DataFrame,
+    catalog: Catalog,
+    roots: DataFrame | Table,
+    patterns: Sequence[str] = (),
+    windows_paths: bool = False,
 ) -> DataFrame:
     """Each recorded folder copy with its ``state``: unchanged counts and size of its whole tree."""
     now = folder_rollup(catalog.files, catalog.folders, patterns).select(
-        F.col("path").alias("folder"),
+        folder_key("path", windows_paths).alias("folder_key"),
         *[F.col(c).alias(f"now_{c}") for c in ("file_count", "folder_count", "size_bytes", "readable")],
     )
-    listed = folder_copies.join(now, "folder", "left")
+    keyed = folder_copies.withColumn("folder_key", folder_key("folder", windows_paths))
+    listed = keyed.join(now, "folder_key", "left")
     rooted = root_of_path(listed, roots, "folder")
     return rooted.select(*folder_copies.columns, folder_state().alias("state"))
 
@@ -121,6 +128,7 @@ def validate(
     roots: DataFrame,
     dry_run: bool = False,
     tz: str | None = None,
+    windows_paths: bool = False,
 ) -> Validation:
     """Classify every recorded copy, drop what is gone and publish a new version if anything changed.
 
@@ -130,13 +138,14 @@ def validate(
     tz = tz or spark.conf.get("spark.sql.session.timeZone")
     report, roots = read_report(spark, report_dir), measured_roots(roots)
     states = materialize(
-        copy_states(report.file_copies, catalog, roots, tz), "copy-states", columnar=True
+        copy_states(report.file_copies, catalog, roots, tz, windows_paths), "copy-states", columnar=True
     )
     outcomes = materialize(row_outcomes(report.file_sets, states.df), "row-outcomes", extremes="surviving")
     removed = removed_copies(states.df)
     folder_states = folder_outcomes = None
     if report.folder_sets is not None:
-        checked = folder_copy_states(report.folder_copies, catalog, roots, report.settings.exclude_names)
+        patterns = report.settings.exclude_names
+        checked = folder_copy_states(report.folder_copies, catalog, roots, patterns, windows_paths)
         folder_states = materialize(checked, "folder-states")
         folder_outcomes = materialize(
             row_outcomes(report.folder_sets, folder_states.df), "folder-outcomes", extremes="surviving"

@@ -106,5 +106,4 @@ def small(table: Table, limit: int | None = None) -> bool:
 
 def partitions_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """Partitions for work that Spark cannot size by itself (listing, hashing, ranking)."""
-    usual = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return max(usual, -(-rows // rows_per_task))
+    return max(1, min(spark.sparkContext.defaultParallelism, rows), -(-rows // rows_per_task))

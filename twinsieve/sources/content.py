@@ -57,9 +57,9 @@ def content_hashes(files: DataFrame, wanted: Table, limit: int = 0) -> DataFrame
     if "content" not in files.columns:
         return hash_objects(wanted, limit)
     paths = wanted.df.select("path")
+    # Tested on the content: a test of the hash would be pushed below the join and hash every row.
+    readable = files.select("path", "content").filter("content is not null")
+    md5 = md5_hex("content", limit).alias("md5")
     if small(wanted):
-        rows = files.select("path", "content").join(F.broadcast(paths), "path", "left_semi")
-        hashed = rows.select("path", md5_hex("content", limit).alias("md5"))
-    else:
-        hashed = files.select("path", md5_hex("content", limit).alias("md5")).join(paths, "path", "left_semi")
-    return hashed.filter("md5 is not null")
+        return readable.join(F.broadcast(paths), "path", "left_semi").select("path", md5)
+    return readable.select("path", md5).join(paths, "path", "left_semi")

@@ -33,7 +33,7 @@ def _entries(folder: str) -> Iterator[tuple]:
             for entry in listing:
                 try:
                     if entry.is_dir():
-                        kind = "link" if entry.is_symlink() or entry.is_junction() else "folder"
+                        kind = "link" if _is_folder_link(entry) else "folder"
                         yield kind, entry.path, folder, entry.name, None, None, 0, LINK if kind == "link" else None
                     elif entry.is_file():
                         yield _file(entry, folder)
@@ -43,6 +43,10 @@ def _entries(folder: str) -> Iterator[tuple]:
         yield "error", folder, folder, "", None, None, 0, problem.strerror
 
 
+def _is_folder_link(entry: os.DirEntry) -> bool:
+    return entry.is_symlink() or (hasattr(entry, "is_junction") and entry.is_junction())
+
+
 def _file(entry: os.DirEntry, folder: str) -> tuple:
     try:
         info = entry.stat()

@@ -101,4 +101,4 @@ def _arrived(drop: DataFrame, known: DataFrame) -> DataFrame:
 
 def _carried_over(table: DataFrame, touched: DataFrame) -> DataFrame:
     keyed = table.withColumn("name_key", name_key("file_name"))
-    return lookup(keyed, touched, ["name_key"], ["set_id"], "left_anti").drop("name_key")
+    return lookup(keyed, touched, ["name_key"], table.columns, "left_anti").drop("name_key")
