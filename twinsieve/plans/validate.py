@@ -16,7 +16,7 @@ from ..operators.lookups import (
     root_of_path,
 )
 from ..operators.ranking import copy_rank
-from ..session import Table, materialize
+from ..session import Table, materialize, together
 from ..sources.inventory import Catalog
 from ..sources.report import Report, read_report, write_report
 
@@ -137,19 +137,24 @@ def validate(
     """
     tz = tz or spark.conf.get("spark.sql.session.timeZone")
     report, roots = read_report(spark, report_dir), measured_roots(roots)
-    states = materialize(
-        copy_states(report.file_copies, catalog, roots, tz, windows_paths), "copy-states", columnar=True
-    )
-    outcomes = materialize(row_outcomes(report.file_sets, states.df), "row-outcomes", extremes="surviving")
-    removed = removed_copies(states.df)
-    folder_states = folder_outcomes = None
-    if report.folder_sets is not None:
+
+    def check_files() -> tuple[Table, Table]:
+        checked = copy_states(report.file_copies, catalog, roots, tz, windows_paths)
+        states = materialize(checked, "copy-states", columnar=True)
+        return states, materialize(row_outcomes(report.file_sets, states.df), "row-outcomes", extremes="surviving")
+
+    def check_folders() -> tuple[Table, Table] | None:
+        if report.folder_sets is None:
+            return None
         patterns = report.settings.exclude_names
         checked = folder_copy_states(report.folder_copies, catalog, roots, patterns, windows_paths)
-        folder_states = materialize(checked, "folder-states")
-        folder_outcomes = materialize(
-            row_outcomes(report.folder_sets, folder_states.df), "folder-outcomes", extremes="surviving"
-        )
+        states = materialize(checked, "folder-states")
+        return states, materialize(row_outcomes(report.folder_sets, states.df), "folder-outcomes", extremes="surviving")
+
+    (states, outcomes), of_folders = together(check_files, check_folders)
+    removed = removed_copies(states.df)
+    folder_states, folder_outcomes = of_folders or (None, None)
+    if folder_states is not None:
         removed = removed.unionByName(removed_copies(folder_states.df, location_is_item=True))
     summary = materialize(validation_summary(outcomes.df, folder_outcomes.df if folder_outcomes else None), "summary").df
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from typing import NamedTuple, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import Callable, NamedTuple, Sequence, TypeVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ BROADCAST_BYTES = 64 << 20
 HOT_GROUP_ROWS = 1_000_000
 SALTS = 64
 
+T = TypeVar("T")
+
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
@@ -107,3 +110,9 @@ def small(table: Table, limit: int | None = None) -> bool:
 def partitions_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """Partitions for work that Spark cannot size by itself (listing, hashing, ranking)."""
     return max(1, min(spark.sparkContext.defaultParallelism, rows), -(-rows // rows_per_task))
+
+
+def together(*jobs: Callable[[], T]) -> list[T]:
+    """Run independent Spark jobs side by side, so that one's last tasks leave no executor idle."""
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        return [done.result() for done in [pool.submit(job) for job in jobs]]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import partial
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from ..functions.times import MICROS
 from ..operators.groups import join_groups
 from ..operators.ranking import copy_rank
 from ..operators.sets import Copies
+from ..session import together
 
 FILE_SETS_SCHEMA = (
     "set_id string, file_name string, local_us bigint, utc_offset_s int, size_bytes bigint, md5 string, copies bigint"
@@ -137,10 +139,12 @@ def write_report(
     tables = {"file_sets": file_sets, "file_copies": file_copies}
     if folder_sets is not None:
         tables.update(folder_sets=folder_sets, folder_copies=folder_copies)
-    for name, df in tables.items():
-        shaped = df.select(*spark.createDataFrame([], _SCHEMAS[name]).columns)
-        shaped.write.mode("overwrite").parquet(f"{base}/{name}")
-    write_settings(spark, base, settings)
+
+    def write(name: str) -> None:
+        columns = [column.split()[0] for column in _SCHEMAS[name].split(", ")]
+        tables[name].select(*columns).write.mode("overwrite").parquet(f"{base}/{name}")
+
+    together(*[partial(write, name) for name in tables], lambda: write_settings(spark, base, settings))
     fs, marker = _fs(spark, f"{base}/{_PUBLISHED}")
     fs.create(marker, True).close()
     return version
