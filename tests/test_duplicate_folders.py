@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from twinsieve import find_duplicate_files, find_duplicate_folders
 from twinsieve.operators.filters import exclude, exclude_paths, mark_links
 from twinsieve.operators.hierarchy import fingerprint, folder_base, folder_order
-from twinsieve.sources.inventory import Catalog, metadata
+from twinsieve.sources.inventory import metadata
 
 from test_duplicate_files import TREE
 

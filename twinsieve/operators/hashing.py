@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Table, materialize
-from ..sources.content import HASHES_SCHEMA, content_hashes
+from ..sources.content import content_hashes
 from .groups import join_groups, keep_repeated
 
 # Files of at least this size are first compared by the hash of this many bytes.
@@ -16,10 +16,6 @@ FIRST_BYTES_MIN = 16 << 20
 GROUP = ["name_key", "saved_s", "size_bytes"]
 
 
-def no_hashes(files: DataFrame) -> DataFrame:
-    return files.sparkSession.createDataFrame([], HASHES_SCHEMA)
-
-
 def hash_workload(candidates: DataFrame, cache: DataFrame) -> DataFrame:
     """Candidates whose hash is not in the cache."""
     return candidates.join(cache.select("path"), "path", "left_anti")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators.filters import min_size, split_cold, split_unreadable
 from ..operators.groups import keep_repeated
