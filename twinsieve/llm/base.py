@@ -33,8 +33,12 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, label, columnar=True).df
 
 
+# Rows that a function of by_batch sees at once; bounds what it holds in memory.
+ROWS = 256
+
+
 def by_batch(df: DataFrame, make: Callable[..., dict[str, Any]], schema: str, *args: Any) -> DataFrame:
-    """Apply ``make(columns, *args)`` to each Arrow batch; it gets and gives columns by name."""
+    """Apply ``make(columns, *args)`` to slices of Arrow batches; it gets and gives columns by name."""
     fields = [part.split()[0] for part in schema.split(", ")]
     kinds = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -43,8 +47,10 @@ def by_batch(df: DataFrame, make: Callable[..., dict[str, Any]], schema: str, *a
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = make({n: batch.column(k) for k, n in enumerate(batch.schema.names)}, *args)
-            yield pa.RecordBatch.from_arrays([_array(out[n], arrow.field(n).type) for n in fields], schema=arrow)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                out = make({n: part.column(k) for k, n in enumerate(part.schema.names)}, *args)
+                yield pa.RecordBatch.from_arrays([_array(out[n], arrow.field(n).type) for n in fields], schema=arrow)
 
     return df.mapInArrow(run, kinds)
 
