@@ -7,13 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepieces
+from . import chosen_path, language_id, licences, packing, sentencepieces, syncmers, warc
 from .base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 # Queries that SQL can express.
 SQL: dict[str, str] = {}
+# Pages have no date of their own.
+PAGE_DATE = "2024-01-01T00:00:00Z"
 
 
 def query(fn: Query) -> Query:
@@ -24,3 +26,39 @@ def query(fn: Query) -> Query:
 @query
 def op1_sentencepiece(spark, sf_dir):
     return sentencepieces.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op5_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op6_syncmers(spark, sf_dir):
+    return syncmers.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_chosen_path(spark, sf_dir):
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), chosen_path.Rule(words=3, percent=85))
+
+
+@query
+def op8_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op9_licences(spark, sf_dir):
+    return licences.scan_known(table(spark, sf_dir, "documents"))
+
+
+SQL["op9_licences"] = licences.scan_sql()
+
+
+@query
+def op10_warc(spark, sf_dir):
+    return warc.page_derivatives(table(spark, sf_dir, "pages"), PAGE_DATE)
+
+
+SQL["op10_warc"] = warc.page_derivatives_sql(PAGE_DATE)
