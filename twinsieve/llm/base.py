@@ -57,3 +57,15 @@ def by_batch(df: DataFrame, make: Callable[..., dict[str, Any]], schema: str, *a
 
 def _array(values: Any, kind: pa.DataType) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
+def filter_batches(df: DataFrame, keep: Callable[..., list[bool]], *args: Any) -> DataFrame:
+    """The rows for which ``keep(columns, *args)`` says so, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield part.filter(pa.array(keep({n: part.column(k) for k, n in enumerate(part.schema.names)}, *args), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

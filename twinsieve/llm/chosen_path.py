@@ -368,3 +368,10 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
+
+
+def without_near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without near duplicates: of each group the smallest id stays."""
+    gone = near_duplicates(docs, rule).filter(~F.col("kept")).select("doc_id").distinct()
+    table = materialize(gone, "dropped", measure=["doc_id"], columnar=True)
+    return docs.join(F.broadcast(table.df) if small(table) else table.df, "doc_id", "left_anti").select(*docs.columns)

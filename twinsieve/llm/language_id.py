@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import by_batch, kept, remainder
+from .base import by_batch, filter_batches, kept, remainder
 
 MARK = "▁"
 WORD = re.compile(r"[^\W\d_]{1,48}")
@@ -224,13 +224,14 @@ class _Memo:
 _memo: _Memo | None = None
 
 
-def _predicted(columns, vocabulary, model):
+def _languages(texts: list[str | None], vocabulary: str, model) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
     global _memo
     key, languages, probability = model.value
     if _memo is None or _memo.key != key or len(_memo.place) > MEMO:
         _memo = _Memo(key, len(languages))
     found, scores = [], []
-    words = [WORD.findall(t.lower()) if t else [] for t in columns["text"].to_pylist()]
+    words = [WORD.findall(t.lower()) if t else [] for t in texts]
     if languages:
         _memo.learn([w for ws in words for w in ws], vocabulary, probability)
     place = _memo.place.__getitem__
@@ -243,9 +244,23 @@ def _predicted(columns, vocabulary, model):
         best = int(total.argmax())
         found.append(languages[best])
         scores.append(float(1 / np.exp(total - total[best]).sum()))
+    return found, scores
+
+
+def _predicted(columns, vocabulary, model):
+    found, scores = _languages(columns["text"].to_pylist(), vocabulary, model)
     return {"doc_id": columns["doc_id"], "held_out": columns["held_out"], "lang_pred": found, "score": scores}
 
 
+def _accepted(columns, vocabulary, model, least):
+    found, scores = _languages(columns["text"].to_pylist(), vocabulary, model)
+    return [lang != "und" and score >= least for lang, score in zip(found, scores)]
+
+
+def _shared(docs: DataFrame, model: Model):
+    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, list(model.languages), model.probability))
+
+
 def predict(docs: DataFrame, model: Model, vocabulary: str) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) per row of (doc_id, text, held_out).
 
@@ -253,9 +268,18 @@ def predict(docs: DataFrame, model: Model, vocabulary: str) -> DataFrame:
     alphabetical order. A text that is null or has no letter, or any text when no language was learnt, is
     ``und`` with score 0. Repeated rows and null doc_ids give a row each.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, list(model.languages), model.probability))
     schema = "doc_id bigint, held_out boolean, lang_pred string, score double"
-    return by_batch(docs.select("doc_id", "text", "held_out"), _predicted, schema, vocabulary, shared)
+    return by_batch(docs.select("doc_id", "text", "held_out"), _predicted, schema, vocabulary, _shared(docs, model))
+
+
+def accepted(docs: DataFrame, model: Model, vocabulary: str, least: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that have a language with a score of ``least`` or more."""
+    return filter_batches(docs, _accepted, vocabulary, _shared(docs, model), least)
+
+
+def learnable(docs: DataFrame) -> DataFrame:
+    """The rows that may be learnt from: crc32 of doc_id is not 1 modulo 3."""
+    return docs.select("doc_id", "text", "lang").filter(remainder("doc_id", 3) != 1)
 
 
 def identify(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -264,5 +288,4 @@ def identify(docs: DataFrame, vocabulary: str) -> DataFrame:
     Other columns than doc_id, text and lang are not looked at; an empty table gives an empty one.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
-    rows = rows.withColumn("held_out", remainder("doc_id", 3) == 1)
-    return predict(rows, train(rows.filter(~F.col("held_out")), vocabulary), vocabulary)
+    return predict(rows.withColumn("held_out", remainder("doc_id", 3) == 1), train(learnable(rows), vocabulary), vocabulary)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chosen_path, language_id, licences, packing, sentencepieces, syncmers, warc
+from . import brown, byte_cnn, chosen_path, language_id, licences, packing, sentencepieces, syncmers, top_k, warc
 from .base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,24 @@ def op1_sentencepiece(spark, sf_dir):
     return sentencepieces.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op2_brown(spark, sf_dir):
+    return brown.score_split(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_top_k(spark, sf_dir):
+    return top_k.search_hundredths(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op3_top_k"] = top_k.SQL
+
+
+@query
+def op4_byte_cnn(spark, sf_dir):
+    return byte_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op5_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
