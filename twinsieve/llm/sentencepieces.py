@@ -49,12 +49,11 @@ class Pieces:
         self.cost = {names[i]: -self.library.get_score(i) for i in plain}
         self.bytes = {int(names[i][1:-1], 16): i for i in range(size) if self.library.is_byte(i)}
         self.unknown = self.library.unk_id()
-        self.surface = [names[i].replace(MARK, " ") for i in range(size)]
-        for i in range(size):
-            if self.library.is_control(i):
-                self.surface[i] = ""
-            elif self.library.is_unknown(i):
-                self.surface[i] = " ⁇ "
+        self.surface = [n.replace(MARK, " ") for n in names]
+        self.silent = {i for i in range(size) if self.library.is_control(i)}
+        for i in self.silent:
+            self.surface[i] = ""
+        self.surface[self.unknown] = " ⁇ "
         self.spelt = {i: b for b, i in self.bytes.items()}
         self.decimal = [str(i) for i in range(size)]
         self.memo: dict[str, tuple[int, ...]] = {}
@@ -130,7 +129,8 @@ class Pieces:
                     run.clear()
                 parts.append(self.surface[i])
             text = "".join(parts) + _utf8(bytes(run))
-        return text[1:] if ids and text[:1] == " " and self.surface[ids[0]][:1] == " " else text
+        first = next((i for i in ids if i not in self.silent), self.unknown)
+        return text[1:] if first != self.unknown and self.surface[first][:1] == " " else text
 
 
 def _utf8(run: bytes) -> str:
