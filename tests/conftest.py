@@ -66,7 +66,7 @@ def rows_of():
     def read(found, name="file_name"):
         from twinsieve.operators.sets import with_locations
 
-        shown = with_locations(found.sets, found.copies.df).select(name, "locations")
+        shown = with_locations(found.sets, found.copies.df, 1_000).select(name, "locations")
         cut = F.transform("locations", lambda p: F.regexp_replace(p, "^/data/", ""))
         return sorted((r[0], list(r[1])) for r in shown.select(name, cut).collect())
 

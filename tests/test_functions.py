@@ -78,7 +78,7 @@ def test_wildcards_never_backtrack_exponentially(spark):
 @pytest.mark.parametrize("pattern", ["", "a/b", "a\\b"])
 def test_patterns_that_match_no_name_are_rejected(pattern):
     with pytest.raises(ValueError):
-        names.wildcard_regex(pattern)
+        names.matches_pattern("name", pattern)
 
 
 def test_paths(spark):

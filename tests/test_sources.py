@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinsieve import find_duplicate_files, find_duplicate_folders, load_catalog, read_report, scan_tree
+from twinsieve.sources import report
 from twinsieve.streaming.rescan import apply_drop, start_rescans
 
 from conftest import SAVED_US
@@ -130,3 +131,37 @@ def test_stream_of_drops(spark, tmp_path):
         last = published(spark, at)
     assert last == []
     assert len(read_report(spark, at, 2).file_sets.collect()) == 1
+
+
+def test_a_lost_inventory_is_an_error(spark, tmp_path):
+    state, at = f"file:{tmp_path}/state", f"file:{tmp_path}/report"
+    apply_drop(rows(spark, ("a/f", "1", 0, 1), ("b/f", "1", 0, 1)), 0, state, at)
+    os.remove(tmp_path / "state/batch=0/_COMPLETE")
+    with pytest.raises(FileNotFoundError):
+        apply_drop(rows(spark, ("c/f", "1", 0, 1)), 1, state, at)
+    assert published(spark, at) == [("f", 2)]
+
+
+def test_drops_beside_scans_and_with_folders(spark, tmp_path):
+    """A stream never writes into a version that a scan has published, and carries over from its own."""
+    state, at = f"file:{tmp_path}/state", f"file:{tmp_path}/report"
+    first = rows(spark, ("a/T/f", "1", 0, 1), ("b/T/f", "1", 0, 1), ("a/T/g.tmp", "2", 0, 1), ("b/T/g.tmp", "2", 0, 1))
+    copies = spark.createDataFrame([], report.FILE_COPIES_SCHEMA)
+    report.write_report(spark, at, spark.createDataFrame([], report.FILE_SETS_SCHEMA), copies)
+    for batch, drop in enumerate([first, rows(spark, ("c/T/f", "1", 0, 1))]):
+        apply_drop(drop, batch, state, at, exclude_names=["*.tmp"], include_folders=True)
+    assert report.versions(spark, at) == [1, 2, 3] and read_report(spark, at, 1).file_sets.count() == 0
+    last = read_report(spark, at)
+    assert published(spark, at) == [("f", 3)] and last.settings.exclude_names == ["*.tmp"]
+    assert [(r.folder_name, r.copies) for r in last.folder_sets.collect()] == [("T", 3)]
+
+
+def test_file_uris_are_read(spark, tmp_path):
+    from twinsieve.sources.content import object_digest
+
+    put(tmp_path, "a b/ü", "content")
+    plain = object_digest(f"{tmp_path}/a b/ü", 0)
+    assert plain[0] == object_digest(f"file://{tmp_path}/a b/ü", 0)[0] == "9A0364B9E99BB480DD25E1F0284C8555"
+    assert object_digest(f"{tmp_path}/none", 0)[0] is None
+    with pytest.raises(ValueError):
+        object_digest("nowhere://x/y", 0)

@@ -32,6 +32,21 @@ def _components(p: str) -> str:
     return rf"filter(split({rest}, if({_windows(p)}, r'\\', '/')), part -> part <> '')"
 
 
+def plain_folder(path: str) -> Column:
+    """A folder's path without repeated separators and without one at its end, but for roots.
+
+    The double separator in front of shares and behind a URI's scheme stays.
+    """
+    p, backslash = F.expr(path), F.lit("\\")
+    scheme = F.regexp_extract(p, "^[A-Za-z][A-Za-z0-9+.-]*://", 0)
+    single = F.regexp_replace(F.substring(p, F.char_length(scheme) + 1, F.char_length(p)), "/+", "/")
+    posix = F.concat(scheme, F.when((single == "/") & (scheme == ""), single).otherwise(F.regexp_replace(single, "/$", "")))
+    share = F.when(F.startswith(p, F.lit("\\\\")), backslash).otherwise("")
+    joined = F.regexp_replace(p, r"\\+", r"\\")
+    bare = F.when(F.rlike(joined, F.lit(r"^.:\\$")), joined).otherwise(F.regexp_replace(joined, r"\\$", ""))
+    return F.when(F.expr(_windows(path)), F.concat(share, bare)).otherwise(posix)
+
+
 def base_name(path: str) -> Column:
     """The last component."""
     return F.expr(_base(path))
@@ -43,6 +58,7 @@ def parent_of(path: str) -> Column:
     return F.expr(
         rf"case when {cut} = '' and startswith({path}, '/') then '/'"
         rf" when {_windows(path)} and {cut} rlike '^.:$' then {cut} || r'\'"
+        rf" when {cut} rlike '^[A-Za-z][A-Za-z0-9+.-]*:/$' then {path}"
         rf" else {cut} end"
     )
 

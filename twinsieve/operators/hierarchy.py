@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import location_order, matches_any, name_key, path_order, sort_key
 from ..functions.paths import ancestors, base_name, parent_of, tree_level
-from ..session import Table, materialize
+from ..session import Table, materialize, small
 from .filters import deepest_match, split_unreadable
 from .groups import group_id, join_groups, keep_repeated, lookup
 from .sets import Copies, copies_of
@@ -22,7 +22,6 @@ LIMBS = [f"limb{i}" for i in range(_LIMBS)]
 
 # Levels computed by one job before the result is written and the lineage cut.
 LEVELS_PER_JOB = 4
-MAX_LEVELS = 4_096
 
 
 def folder_readable(folders: DataFrame) -> DataFrame:
@@ -83,12 +82,16 @@ def provable_folders(folders: DataFrame, tainted: DataFrame) -> DataFrame:
     return folders.select("path").distinct().join(spoiled, "path", "left_anti")
 
 
-def folder_rollup(files: DataFrame, folders: DataFrame, patterns: Sequence[str] = ()) -> DataFrame:
+def folder_rollup(
+    files: DataFrame, folders: DataFrame, patterns: Sequence[str] = (), recorded: Table | None = None, windows_paths: bool = False
+) -> DataFrame:
     """Per folder: files, sub folders and bytes of its whole tree, and whether all could be read.
 
     With ``patterns`` matching names are left out as seen from each folder: a folder whose own name,
     or one above it, matches still has its tree counted. Rows are summed per folder before each
-    folder is exploded to its ancestors; the final sums combine before the shuffle.
+    folder is exploded to its ancestors; the final sums combine before the shuffle. Only the ``recorded`` folders
+    (``folder_key``) are needed by a caller that gives them: a list of measured size is broadcast, and the rest is
+    not summed up.
     """
     patterns = list(patterns)
     known = folders.groupBy("path").agg(F.min(F.col("readable").cast("int")).alias("readable"))
@@ -106,6 +109,9 @@ def folder_rollup(files: DataFrame, folders: DataFrame, patterns: Sequence[str]
     above = rows.select("*", F.explode(ancestors("path")).alias("above"))
     if patterns:
         above = above.filter(tree_level("above") >= F.col("seen_from"))
+    if recorded is not None and small(recorded):
+        keyed = above.withColumn("folder_key", name_key("above") if windows_paths else F.col("above"))
+        above = keyed.join(F.broadcast(recorded.df), "folder_key", "left_semi").drop("folder_key")
     is_self = F.col("above") == F.col("path")
     summed = above.groupBy("above").agg(
         F.sum("files").cast("bigint").alias("file_count"),
@@ -175,8 +181,6 @@ def fingerprint(base: Table, levels_per_job: int = LEVELS_PER_JOB) -> Table:
     """
     if base.most is None:
         return Table(_level(base.df, None).withColumn("level", F.lit(0)), 0, 0)
-    if base.most > MAX_LEVELS:
-        raise ValueError(f"Folders are nested {base.most} deep; at most {MAX_LEVELS} are supported.")
     written: list[DataFrame] = []
     below: DataFrame | None = None
     rows = 0

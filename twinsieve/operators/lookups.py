@@ -6,43 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import name_key, sort_key
-from ..functions.paths import ancestors
+from ..functions.paths import ancestors, plain_folder
 from ..functions.times import same_saved_date
 from ..session import Table, materialize, small
 from .groups import lookup
 
 PRESENT, MISSING, CHANGED, UNAVAILABLE = "Present", "Missing", "Changed", "Unavailable"
 
-# Roots are mount points; up to this many are matched without a join.
-MAX_INLINE_ROOTS = 10_000
-MAX_INLINE_BYTES = 4 << 20
-
 
 def measured_roots(roots: DataFrame) -> Table:
-    """One row per root, unreachable if any of its rows is, with their bytes."""
-    ranked = roots.groupBy("root").agg(F.bool_and("reachable").alias("reachable"))
+    """One row per root, unreachable if any of its rows is, with their bytes.
+
+    Separators at the end do not matter, but for a root that is nothing else; rows without a root are left out.
+    """
+    plain = roots.filter("root is not null").select(plain_folder("root").alias("root"), "reachable")
+    ranked = plain.groupBy("root").agg(F.bool_and("reachable").alias("reachable"))
     return materialize(ranked, "roots", measure=["root"])
 
 
-def root_of_path(
-    rows: DataFrame, roots: DataFrame | Table, path: str = "path", inline_roots: int = MAX_INLINE_ROOTS
-) -> DataFrame:
+def root_of_path(rows: DataFrame, roots: DataFrame | Table, path: str = "path") -> DataFrame:
     """Add ``root`` and ``reachable``: the longest root that a path is or lies below, if any.
 
-    A path's roots are among its own ancestors, so nothing is compared by prefix. A list of roots of
-    checked size becomes one map read by every task; a longer one is joined by equality.
+    A path's roots are among its own ancestors: those of each different path are joined with the roots by
+    equality (a list of measured size is broadcast), and the longest that is found counts.
     """
     table = roots if isinstance(roots, Table) else measured_roots(roots)
-    ranked = table.df
-    if table.rows <= inline_roots and table.measured_bytes <= MAX_INLINE_BYTES:
-        entries = F.collect_list(F.struct("root", "reachable"))
-        known = ranked.agg(F.map_from_entries(entries).alias("known")).scalar()
-        held = F.filter(ancestors(path), lambda a: F.map_contains_key(F.col("known_roots"), a))
-        found = rows.withColumn("known_roots", known).withColumn("root", F.try_element_at(held, F.lit(-1)))
-        reachable = F.try_element_at(F.col("known_roots"), F.col("root"))
-        return found.withColumn("reachable", reachable).drop("known_roots")
     lines = rows.select(path).distinct().select(path, F.explode(ancestors(path)).alias("root"))
-    held = lookup(lines, ranked, ["root"], [path], "inner")
+    held = lookup(lines, table, ["root"], [path], "inner")
     longest = F.max_by(F.struct("root", "reachable"), F.octet_length("root"))
     best = held.groupBy(path).agg(longest.alias("best"))
     return lookup(rows, best, [path], rows.columns, "left").select(*rows.columns, "best.root", "best.reachable")

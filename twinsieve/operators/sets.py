@@ -12,9 +12,6 @@ from ..functions.times import saved_second, utc_offset
 from ..session import Table
 from .groups import few, group_counts, group_id, join_groups, keep_repeated, measured_groups
 
-# Fixed value: the most locations one wide row may have (16,384 columns less the 6 fixed ones).
-MAX_LOCATIONS = 16_378
-
 
 def name_groups(files: DataFrame) -> DataFrame:
     """Files whose name key another file has."""
@@ -77,16 +74,14 @@ def file_copies(hashed: Table) -> Copies:
     return copies_of(with_set_id(hashed.df).select("set_id", "folder", "name", "path"), hashed.rows)
 
 
-def with_locations(sets: DataFrame, copies: DataFrame, location: str = "folder") -> DataFrame:
+def with_locations(sets: DataFrame, copies: DataFrame, most: int, location: str = "folder") -> DataFrame:
     """The array view: each set's locations in order, repeats kept.
 
-    Meant for reading. A set with more locations than a wide row can hold is an error, raised before
-    anything is collected; the long form has no such limit.
+    Meant for reading small results. The caller says how many locations one row may hold; a larger set is an
+    error, raised before anything is collected. The long form is the result and has no such limit.
     """
-    too_wide = F.concat(
-        F.lit("A set has "), F.col("copies"), F.lit(f" copies; a wide row holds at most {MAX_LOCATIONS}.")
-    )
-    fits = F.when(F.col("copies") > MAX_LOCATIONS, F.raise_error(too_wide).cast("boolean")).otherwise(True)
+    too_wide = F.concat(F.lit("A set has "), F.col("copies"), F.lit(f" copies; a row was to hold at most {most}."))
+    fits = F.when(F.col("copies") > most, F.raise_error(too_wide).cast("boolean")).otherwise(True)
     depth, folded, exact = location_order(location)
     entry = F.struct(depth.alias("d"), folded.alias("u"), exact.alias("x"), F.col(location).alias("at"))
     ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["at"])
@@ -94,17 +89,19 @@ def with_locations(sets: DataFrame, copies: DataFrame, location: str = "folder")
     return sets.join(lists, "set_id")
 
 
-def wide_locations(ranked: DataFrame, fixed: DataFrame, max_n: int, location: str = "folder") -> DataFrame:
+def wide_locations(ranked: DataFrame, fixed: DataFrame, max_n: int | None = None, location: str = "folder") -> DataFrame:
     """One column per copy, ``location_1`` to ``location_n``, beside the ``fixed`` columns of each set.
 
-    ``ranked`` are copies with their ``pos``. ``max_n`` is the widest set of interest; it cannot exceed
-    what a wide row holds.
+    ``ranked`` are copies with their ``pos``. The view is as wide as its widest set; with ``max_n`` it has that
+    many columns, and a wider set is an error, never cut.
     """
-    if not 1 <= max_n <= MAX_LOCATIONS:
-        raise ValueError(f"A wide row holds 1 to {MAX_LOCATIONS} locations, not {max_n}.")
-    numbered = ranked.filter(F.col("pos") <= max_n).select("set_id", F.col("pos").cast("int").alias("pos"), location)
-    pivoted = numbered.groupBy("set_id").pivot("pos", list(range(1, max_n + 1))).agg(F.first(location))
-    named = pivoted.select("set_id", *[F.col(f"`{n}`").alias(f"location_{n}") for n in range(1, max_n + 1)])
+    widest = ranked.agg(F.max("pos")).first()[0] or 0
+    if max_n is not None and widest > max_n:
+        raise ValueError(f"A set has {widest} copies; the view was to hold at most {max_n}.")
+    columns = range(1, (widest if max_n is None else max_n) + 1)
+    numbered = ranked.select("set_id", F.col("pos").cast("int").alias("pos"), location)
+    pivoted = numbered.groupBy("set_id").pivot("pos", list(columns) or [0]).agg(F.first(location))
+    named = pivoted.select("set_id", *[F.col(f"`{n}`").alias(f"location_{n}") for n in columns])
     return fixed.join(named, "set_id")
 
 

@@ -7,14 +7,15 @@ from typing import NamedTuple, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.filters import exclude, exclude_paths
+from ..operators.filters import exclude, exclude_paths, min_size
 from ..operators.sets import scan_totals
+from ..operators.warnings import scan_warnings
 from ..session import materialize
-from ..sources.inventory import Catalog
+from ..sources.inventory import Catalog, metadata
 from ..sources.report import (
     ScanSettings, file_tables, folder_tables, read_report, report_exists, write_report,
 )
-from .duplicate_files import FileDuplicates, find_duplicate_files
+from .duplicate_files import FileDuplicates, file_candidates, find_duplicate_files
 from .duplicate_folders import FolderDuplicates, find_duplicate_folders
 from .rescan import previous_hashes
 
@@ -25,6 +26,7 @@ class ScanResult(NamedTuple):
     totals: DataFrame
     warnings: list[str]
     version: int | None
+    skipped: DataFrame
 
 
 def scan(
@@ -45,7 +47,9 @@ def scan(
     """Find duplicate files and folders and publish them at ``report_dir``.
 
     Hashes in an earlier report there are reused unless ``rehash``; a report that cannot be read
-    only warns. ``own_files`` (column ``path``) are left out, such as the report's own tables.
+    only warns. ``own_files`` (column ``path``) are left out, such as the report's own tables. ``skipped`` of the
+    result has (kind, path, reason) rows for what could not be listed, sized or read. If no content at all could be
+    read, the scan fails and publishes nothing.
     """
     settings = settings or ScanSettings()
     catalog = exclude(catalog, settings.exclude_names, roots)
@@ -68,6 +72,15 @@ def scan(
         # The file pass has hashed almost everything below a duplicate folder already.
         known = files.hashes if cache is None else files.hashes.unionByName(cache).dropDuplicates(["path"])
         folders = find_duplicate_folders(catalog.files, catalog.folders, skip_cold, hash_cache=known)
+    if files.copies.rows == 0 and not file_candidates(
+        catalog.files, skip_cold, ignore_empty, settings.minimum_size
+    ).isEmpty():
+        raise OSError("No content could be read of any file that needs it; nothing is published.")
+    hashes = files.hashes if cache is None else files.hashes.unionByName(cache)
+    considered = catalog.files.filter("size_bytes is null").unionByName(
+        min_size(catalog.files.filter("size_bytes is not null"), settings.minimum_size, ignore_empty)
+    )
+    skipped = scan_warnings(metadata(considered), catalog.folders, hashes, skip_cold)
     totals = scan_totals(files.sets, folders.sets if folders else None)
     version = None
     if report_dir is not None and not dry_run:
@@ -80,4 +93,4 @@ def scan(
             spark, report_dir, file_rows, file_copies, folder_rows, folder_copies,
             ScanSettings(list(settings.exclude_names), smallest),
         )
-    return ScanResult(files, folders, totals, warnings, version)
+    return ScanResult(files, folders, totals, warnings, version, skipped)

@@ -40,12 +40,19 @@ def folder_copy_states(
     windows_paths: bool = False,
 ) -> DataFrame:
     """Each recorded folder copy with its ``state``: unchanged counts and size of its whole tree."""
-    now = folder_rollup(catalog.files, catalog.folders, patterns).select(
-        folder_key("path", windows_paths).alias("folder_key"),
-        *[F.col(c).alias(f"now_{c}") for c in ("file_count", "folder_count", "size_bytes", "readable")],
-    )
     keyed = folder_copies.withColumn("folder_key", folder_key("folder", windows_paths))
-    listed = keyed.join(now, "folder_key", "left")
+    recorded = materialize(keyed.select("folder_key").distinct(), "recorded-folders", measure=["folder_key"])
+    counted = ("file_count", "folder_count", "size_bytes", "readable")
+    now = folder_rollup(catalog.files, catalog.folders, patterns, recorded, windows_paths).select(
+        folder_key("path", windows_paths).alias("folder_key"), "path", *[F.col(c).alias(f"now_{c}") for c in counted]
+    )
+    joined = keyed.join(now, "folder_key", "left")
+    if windows_paths:
+        # Two spellings of one folder may be catalogued: the recorded one counts, else the first in order.
+        found = F.struct(*[f"now_{c}" for c in counted])
+        first = F.min_by(found, F.struct(F.col("path") != F.col("folder"), "path"))
+        joined = joined.groupBy(*keyed.columns).agg(first.alias("found")).select(*keyed.columns, "found.*")
+    listed = joined
     rooted = root_of_path(listed, roots, "folder")
     return rooted.select(*folder_copies.columns, folder_state().alias("state"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import re
 from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,44 +18,85 @@ from ..session import Table, partitions_for, small
 CHUNK_BYTES = 1 << 20
 OBJECTS_PER_TASK = 10_000
 
-HASHES_SCHEMA = "path string, md5 string"
+BYTES_PER_TASK = 8 << 30
 
+OBJECTS_SCHEMA = "path string, md5 string, reason string"
+_PLACE = re.compile("^([A-Za-z][A-Za-z0-9+.-]+)://([^/]*)(.*)$")
 
-def _object_md5(path: str, limit: int) -> str | None:
-    """MD5 of one object read in chunks; None when it cannot be read."""
-    digest = hashlib.md5(usedforsecurity=False)
-    left = limit or None
+
+class UnsupportedLocation(ValueError):
+    """No file system can read paths of this kind; the job fails instead of leaving files out."""
+
+
+@functools.lru_cache(maxsize=64)
+def _file_system(place: str) -> fs.FileSystem:
+    """The file system of ``scheme://authority``, or of local paths (the empty place), once per worker."""
+    if not place:
+        return fs.LocalFileSystem()
     try:
-        with open(path, "rb", buffering=0) as stream:
-            while left is None or left > 0:
-                chunk = stream.read(CHUNK_BYTES if left is None else min(CHUNK_BYTES, left))
-                if not chunk:
-                    break
-                digest.update(chunk)
-                left = None if left is None else left - len(chunk)
-    except OSError:
-        return None
-    return digest.hexdigest().upper()
+        return fs.FileSystem.from_uri(f"{place}/")[0]
+    except (pa.ArrowException, OSError, ImportError) as problem:
+        raise UnsupportedLocation(f"Objects at {place} cannot be read here: {problem}") from problem
 
 
-def hash_objects(wanted: Table, limit: int = 0) -> DataFrame:
-    """Hash objects on a mount every executor shares; memory per task is one chunk."""
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """A path's file system, and the path inside it."""
+    match = _PLACE.match(path)
+    if match is None:
+        return _file_system(""), path
+    scheme, authority, inner = match.groups()
+    system = _file_system(f"{scheme}://{authority}")
+    return system, inner if scheme in ("file", "hdfs", "viewfs") else f"{authority}{inner}"
+
+
+def object_digest(path: str, limit: int) -> tuple[str | None, str | None]:
+    """(MD5, None) of an object or of its first ``limit`` bytes, or (None, why it cannot be read)."""
+    system, inner = located(path)
+    digest, left = hashlib.md5(usedforsecurity=False), limit
+    try:
+        with system.open_input_stream(inner) as stream:
+            while block := stream.read(min(CHUNK_BYTES, left) if limit else CHUNK_BYTES):
+                digest.update(block)
+                left -= len(block)
+    except (OSError, pa.ArrowException) as problem:
+        return None, str(problem)
+    return digest.hexdigest().upper(), None
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def read_objects(wanted: Table, limit: int = 0) -> DataFrame:
+    """(path, md5, reason) of objects read where the executors can reach them: local mounts and any file system
+    known by URI (``file``, ``hdfs``, ``s3``, ``gs``, ``abfs``). Memory per task is one chunk.
+
+    A path of another kind is an error. Objects are spread by number, and by bytes where sizes are known.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "md5": [_object_md5(p, limit) for p in batch["path"]]})
+            paths = batch.column(0).to_pylist()
+            found = [object_digest(p, limit) for p in paths]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(paths, pa.string()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())],
+                names=["path", "md5", "reason"],
+            )
 
     tasks = partitions_for(wanted.df.sparkSession, wanted.rows, OBJECTS_PER_TASK)
-    spread = wanted.df.select("path").repartition(tasks)
-    return spread.mapInPandas(work, HASHES_SCHEMA).filter("md5 is not null")
+    if "size_bytes" in wanted.df.columns:
+        size = F.least("size_bytes", F.lit(limit)) if limit else F.col("size_bytes")
+        total = wanted.df.agg(F.sum(size)).first()[0] or 0
+        tasks = max(tasks, min(max(1, wanted.rows), -(-total // BYTES_PER_TASK)))
+    return wanted.df.select("path").repartition(tasks).mapInArrow(work, OBJECTS_SCHEMA)
+
+
+def hash_objects(wanted: Table, limit: int = 0) -> DataFrame:
+    """(path, md5) of the objects that can be read."""
+    return read_objects(wanted, limit).filter("md5 is not null").select("path", "md5")
 
 
 def content_hashes(files: DataFrame, wanted: Table, limit: int = 0) -> DataFrame:
     """(path, md5) of the wanted paths; with ``limit``, of their first bytes only.
 
     Content is never shuffled. A wanted list of checked size is broadcast, so only wanted rows are
-    hashed; beyond that each row is hashed where it is scanned and only (path, md5) is joined. A
-    file whose content cannot be read has no row.
+    hashed; beyond that each row is hashed where it is scanned and only (path, md5) is joined. A file whose content cannot be read has no row.
     """
     if "content" not in files.columns:
         return hash_objects(wanted, limit)

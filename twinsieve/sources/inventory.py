@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import name_key
-from ..functions.paths import ancestors, base_name, parent_of
+from ..functions.paths import ancestors, base_name, parent_of, plain_folder
 from ..functions.times import saved_second
 from ..functions.values import parse_size
 
@@ -60,9 +60,12 @@ def canonical_files(raw: DataFrame) -> DataFrame:
     if types.get("size_bytes") == "string":
         size = parse_size(size)
     mtime = F.unix_micros(F.col("mtime").cast("timestamp")) if "mtime" in have else F.lit(None)
+    if "folder" not in have:
+        raw = raw.withColumn("folder", parent_of("path"))
     columns = [
         F.col("path"),
-        given("folder", parent_of("path")).alias("folder"),
+        # Folders are compared as texts: one spelling each, also where a path has empty parts.
+        plain_folder("folder").alias("folder"),
         given("name", base_name("path")).alias("name"),
         size.cast("bigint").alias("size_bytes"),
         given("mtime_us", mtime).try_cast("bigint").alias("mtime_us"),
@@ -79,7 +82,7 @@ def canonical_folders(raw: DataFrame) -> DataFrame:
     if "is_link" in have:
         link = F.coalesce(F.col("is_link").cast("boolean"), F.lit(False))
         readable, reason = readable & ~link, F.when(link, F.lit(LINK)).otherwise(reason)
-    return raw.select("path", readable.alias("readable"), reason.cast("string").alias("reason"))
+    return raw.select(plain_folder("path").alias("path"), readable.alias("readable"), reason.cast("string").alias("reason"))
 
 
 def folders_of(files: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from dataclasses import dataclass, field
 from functools import partial
 from typing import NamedTuple
@@ -77,14 +79,45 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    fs, where = _fs(spark, path)
+    fs.create(where, True).close()
+
+
 def versions(spark: SparkSession, report_dir: str) -> list[int]:
     """Published versions, oldest first. Unpublished ones are leftovers of a failed write."""
     fs, where = _fs(spark, report_dir)
     if not fs.exists(where):
         return []
+    return [n for n in _numbers(fs, where) if exists(spark, f"{report_dir}/v={n}/{_PUBLISHED}")]
+
+
+def _numbers(fs, where) -> list[int]:
     names = [status.getPath().getName() for status in fs.listStatus(where)]
-    numbers = sorted(int(m.group(1)) for m in map(_VERSION.match, names) if m)
-    return [n for n in numbers if exists(spark, f"{report_dir}/v={n}/{_PUBLISHED}")]
+    return sorted(int(m.group(1)) for m in map(_VERSION.match, names) if m)
+
+
+def published(spark: SparkSession, report_dir: str, version: int) -> dict:
+    """What a version's marker says: the folder and names of its tables, and its label."""
+    fs, marker = _fs(spark, f"{report_dir}/v={version}/{_PUBLISHED}")
+    stream = fs.open(marker)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def prune(spark: SparkSession, report_dir: str, keep: int) -> list[int]:
+    """Delete all but the last ``keep`` published versions and the leftovers of failed writes below them."""
+    if keep < 1:
+        raise ValueError(f"At least one version is kept, not {keep}.")
+    known = versions(spark, report_dir)
+    fs, where = _fs(spark, report_dir)
+    gone = [n for n in _numbers(fs, where) if n < known[-keep]] if len(known) > keep else []
+    for n in gone:
+        delete(spark, f"{report_dir}/v={n}")
+    return gone
 
 
 def report_exists(spark: SparkSession, report_dir: str) -> bool:
@@ -123,30 +156,34 @@ def write_report(
     folder_sets: DataFrame | None = None,
     folder_copies: DataFrame | None = None,
     settings: ScanSettings | None = None,
-    version: int | None = None,
+    label: dict | None = None,
 ) -> int:
-    """Write all tables of a new version, then publish it with a marker.
+    """Write all tables of a new version, then publish it with a marker, and return its number.
 
-    Readers see the last published version, so a failed write is never seen and a reader of the
-    previous version is not disturbed. Tables are in the shapes of the ``*_SCHEMA`` constants.
+    Tables go to a folder of their own, which the marker names together with the tables that belong to it:
+    what a failed write has left is never seen. A published version is never written again; if another
+    writer publishes the same number first, this one fails. Tables are in the shapes of the ``*_SCHEMA``
+    constants; ``label`` is kept with the version.
     """
     settings = settings or ScanSettings()
     if settings.minimum_size < 0:
         raise ValueError(f"minimum_size is negative: {settings.minimum_size}.")
-    if version is None:
-        version = max(versions(spark, report_dir), default=0) + 1
-    base = f"{report_dir}/v={version}"
+    version = max(versions(spark, report_dir), default=0) + 1
+    own = uuid.uuid4().hex
+    base = f"{report_dir}/v={version}/{own}"
     tables = {"file_sets": file_sets, "file_copies": file_copies}
     if folder_sets is not None:
         tables.update(folder_sets=folder_sets, folder_copies=folder_copies)
 
     def write(name: str) -> None:
         columns = [column.split()[0] for column in _SCHEMAS[name].split(", ")]
-        tables[name].select(*columns).write.mode("overwrite").parquet(f"{base}/{name}")
+        tables[name].select(*columns).write.parquet(f"{base}/{name}")
 
     together(*[partial(write, name) for name in tables], lambda: write_settings(spark, base, settings))
-    fs, marker = _fs(spark, f"{base}/{_PUBLISHED}")
-    fs.create(marker, True).close()
+    fs, marker = _fs(spark, f"{report_dir}/v={version}/{_PUBLISHED}")
+    stream = fs.create(marker, False)
+    stream.write(bytearray(json.dumps({"folder": own, "tables": sorted(tables), "label": label}).encode()))
+    stream.close()
     return version
 
 
@@ -192,15 +229,17 @@ def read_settings(spark: SparkSession, folder: str) -> tuple[ScanSettings, DataF
 
 def read_report(spark: SparkSession, report_dir: str, version: int | None = None) -> Report:
     """A published version, the last one by default. Reports made before the offset column have null offsets."""
-    published = versions(spark, report_dir)
-    if not published:
-        raise FileNotFoundError(f"There is no report at '{report_dir}'.")
-    base = f"{report_dir}/v={version or published[-1]}"
+    known = versions(spark, report_dir)
+    if not known or version is not None and version not in known:
+        raise FileNotFoundError(f"There is no report at '{report_dir}'" + (f" with version {version}." if known else "."))
+    number = version or known[-1]
+    marker = published(spark, report_dir, number)
+    base = f"{report_dir}/v={number}/{marker['folder']}"
 
     def table(name: str) -> DataFrame:
         return spark.read.schema(_SCHEMAS[name]).parquet(f"{base}/{name}")
 
-    has_folders = exists(spark, f"{base}/folder_sets")
+    has_folders = "folder_sets" in marker["tables"]
     settings, warnings = read_settings(spark, base)
     return Report(
         table("file_sets"),

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.names import name_key
 from ..functions.values import md5_hex
-from ..operators.filters import min_size, split_unreadable
+from ..operators.filters import exclude, min_size, split_cold, split_unreadable
 from ..operators.groups import lookup
 from ..operators.sets import file_copies, file_sets
+from ..plans.duplicate_folders import find_duplicate_folders
 from ..session import materialize
-from ..sources.inventory import metadata
-from ..sources.report import delete, exists, file_tables, read_report, versions, write_report
+from ..sources.inventory import Catalog, folders_of, metadata
+from ..sources.report import (
+    ScanSettings, delete, exists, file_tables, folder_tables, mark, published, read_report, versions, write_report,
+)
 
+_COMPLETE = "_COMPLETE"
 INVENTORY_SCHEMA = (
     "path string, folder string, name string, size_bytes bigint, mtime_us bigint, attributes int, "
     "name_key string, saved_s bigint, md5 string"
@@ -31,57 +37,97 @@ def start_rescans(
     files_per_batch: int | None = None,
     minimum_size: int = 0,
     tz: str | None = None,
+    exclude_names: Sequence[str] = (),
+    skip_cold: bool = False,
+    include_folders: bool = False,
 ) -> StreamingQuery:
     """Process every inventory drop that has arrived, then stop (trigger ``availableNow``).
 
     A drop is Parquet in the ``files`` shape with ``content``, naming new and changed files; a row
     without content stands for an unchanged file, whose recorded hash is kept if size and second
-    agree. An optional ``deleted`` column takes files out.
+    agree. An optional ``deleted`` column takes files out. Names to exclude, cold files and the smallest size are
+    applied as in a scan and stored with the report; with ``include_folders`` folder sets are found anew from the recorded
+    hashes after each drop.
     """
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def apply(drop: DataFrame, batch_id: int) -> None:
-        apply_drop(drop, batch_id, state_dir, report_dir, minimum_size, tz)
+        apply_drop(drop, batch_id, state_dir, report_dir, minimum_size, tz, exclude_names, skip_cold, include_folders)
 
     writer = reader.parquet(drops_dir).writeStream.foreachBatch(apply)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def apply_drop(
-    drop: DataFrame, batch_id: int, state_dir: str, report_dir: str, minimum_size: int = 0, tz: str | None = None
+    drop: DataFrame,
+    batch_id: int,
+    state_dir: str,
+    report_dir: str,
+    minimum_size: int = 0,
+    tz: str | None = None,
+    exclude_names: Sequence[str] = (),
+    skip_cold: bool = False,
+    include_folders: bool = False,
 ) -> None:
-    """Update the inventory with one drop and publish the report again.
+    """Update the inventory with one drop and publish the report as a new version.
 
-    Only sets of the touched name keys are computed; the others are carried over. A replayed batch
-    starts from the same earlier state and writes the same versions, so it changes nothing.
+    Only sets of the touched name keys are computed; the others are carried over from the version that this stream
+    published last. A version is labelled with its stream and batch, so a replayed batch that was published already
+    changes nothing, and one that was not starts from the same earlier state.
     """
     spark = drop.sparkSession
     tz = tz or spark.conf.get("spark.sql.session.timeZone")
+    batches = _published_batches(spark, report_dir, state_dir)
+    if batch_id in batches:
+        return
     known = _inventory(spark, state_dir, batch_id - 1)
     arrived = materialize(_arrived(drop, known), "arrived", columnar=True).df
     kept = known.join(arrived.select("path"), "path", "left_anti")
     now = kept.unionByName(arrived.filter("not deleted").drop("deleted"))
     inventory = materialize(now, "inventory", folder=f"{state_dir}/batch={batch_id}").df
-
-    touched = materialize(arrived.select("name_key").distinct(), "touched").df
-    usable = split_unreadable(min_size(inventory.filter("md5 is not null"), minimum_size)).kept
+    mark(spark, f"{state_dir}/batch={batch_id}/{_COMPLETE}")
+
+    catalog = exclude(Catalog(inventory, folders_of(inventory)), exclude_names)
+    earlier = max((b for b in batches if b < batch_id), default=None)
+    # Without a version of its own to carry sets over from, every name counts as touched.
+    names = arrived if earlier is not None else inventory
+    touched = materialize(names.select("name_key").distinct(), "touched").df
+    usable = split_unreadable(min_size(catalog.files.filter("md5 is not null"), minimum_size)).kept
+    if skip_cold:
+        usable = split_cold(usable).kept
     members = materialize(lookup(usable, touched, ["name_key"], ["path"]), "members", columnar=True)
     sets, copies = file_tables(file_sets(members.df, tz), file_copies(members))
-    earlier = [v for v in versions(spark, report_dir) if v <= batch_id]
-    if earlier:
-        previous = read_report(spark, report_dir, earlier[-1])
+    if earlier is not None:
+        previous = read_report(spark, report_dir, batches[earlier])
         sets = sets.unionByName(_carried_over(previous.file_sets, touched))
         copies = copies.unionByName(_carried_over(previous.file_copies, touched))
-    write_report(spark, report_dir, sets, copies, version=batch_id + 1)
+    folder_rows = folder_copies = None
+    if include_folders:
+        hashes = catalog.files.filter("md5 is not null").select("path", "md5")
+        plain = catalog.files.drop("md5", "name_key", "saved_s").withColumn("content", F.lit(None).cast("binary"))
+        found = find_duplicate_folders(plain, catalog.folders, skip_cold, hash_cache=hashes)
+        folder_rows, folder_copies = folder_tables(found.sets, found.copies)
+    settings = ScanSettings(list(exclude_names), minimum_size)
+    label = {"stream": state_dir, "batch": batch_id}
+    write_report(spark, report_dir, sets, copies, folder_rows, folder_copies, settings, label)
     delete(spark, f"{state_dir}/batch={batch_id - 2}")
 
 
+def _published_batches(spark: SparkSession, report_dir: str, state_dir: str) -> dict[int, int]:
+    """Version of each batch that this stream has published."""
+    labels = {v: published(spark, report_dir, v)["label"] or {} for v in versions(spark, report_dir)}
+    return {label["batch"]: v for v, label in labels.items() if label.get("stream") == state_dir}
+
+
 def _inventory(spark: SparkSession, state_dir: str, batch_id: int) -> DataFrame:
-    path = f"{state_dir}/batch={batch_id}"
-    if not exists(spark, f"{path}/_SUCCESS"):
+    """The inventory after a batch. Only before the first one there is none."""
+    if batch_id < 0:
         return spark.createDataFrame([], INVENTORY_SCHEMA)
+    path = f"{state_dir}/batch={batch_id}"
+    if not exists(spark, f"{path}/{_COMPLETE}"):
+        raise FileNotFoundError(f"The inventory of batch {batch_id} is missing or incomplete at '{path}'.")
     return spark.read.schema(INVENTORY_SCHEMA).parquet(path)
 
 

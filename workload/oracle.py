@@ -257,6 +257,7 @@ def statements() -> dict[str, str]:
         "alike": "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY name_key, saved_s, size_bytes) AS k FROM named WHERE size_bytes IS NOT NULL) WHERE k > 1",
         "local": "SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY name_key, saved_s, size_bytes) AS l FROM alike WHERE attributes = 0) WHERE l > 1",
     })
+    q["scan_job_warnings"] = q["scan_warnings"]
     q["exclude_files"] = f"SELECT path FROM cat WHERE NOT regexp_matches(name_key, '{_FILE_PATTERNS}')"
     q["exclude_folders"] = """
         SELECT 'file' AS kind, path FROM cat WHERE NOT regexp_matches(folder, '(?i)/(src1[^/]*|b3)(/|$)')
@@ -313,7 +314,9 @@ def statements() -> dict[str, str]:
         SELECT c.path, coalesce(r.md5, upper(md5(c.content))) AS md5 FROM now_cand c LEFT JOIN reused r USING (path)""",
         _duplicates("now_", "later"))
     q["duplicate_files"] = """
-        SELECT file_name, saved_us, 19800 AS utc_offset_s, size_bytes, md5, copies, locations FROM dup_sets"""
+        SELECT file_name, saved_us + 19800000000 AS local_us, 19800 AS utc_offset_s, size_bytes, md5, pos, folder FROM dup_copies"""
+    q["duplicate_files_objects"] = """
+        SELECT file_name, saved_us AS local_us, 0 AS utc_offset_s, size_bytes, md5, pos, folder FROM dup_copies"""
     q["duplicate_copies"] = "SELECT file_name, size_bytes, md5, folder, name, path, pos FROM dup_copies"
     totals = """(SELECT count(*) AS file_sets, CAST(sum(copies) AS BIGINT) AS file_copies,
                         CAST(sum(size_bytes * (copies - 1)) AS BIGINT) AS reclaimable_bytes FROM dup_sets {0})"""
@@ -354,8 +357,9 @@ def statements() -> dict[str, str]:
         SELECT path FROM (SELECT path, count(*) OVER (PARTITION BY upper({_BASE.format('path')})) AS n FROM dirs) WHERE n > 1"""})
     q["folder_candidates"] = "SELECT path, name_key, file_count FROM cheap_alike"
     q["folder_sets_all"] = "SELECT path, first_equal, file_count, folder_count, size_bytes FROM full_alike"
-    shown = "SELECT folder_name, file_count, folder_count, size_bytes, copies, locations FROM {0}folder_sets"
+    shown = "SELECT folder_name, file_count, folder_count, size_bytes, pos, folder FROM {0}folder_copies"
     q["duplicate_folders"] = shown.format("full_")
+    q["duplicate_folders_spelt"] = q["duplicate_folders"]
     q["duplicate_folders_excl"] = _sql(shown.format("kept_"), {
         "kept_files": f"""SELECT * FROM cat WHERE NOT regexp_matches(folder, '(?i)/(b3|d1[^/]\\.txt|[^/]*5\\.txt)(/|$)')
                           AND NOT regexp_matches(name_key, '{_FILE_PATTERNS}')""",
@@ -382,8 +386,9 @@ def statements() -> dict[str, str]:
         SELECT p_partkey, p_name ILIKE '%l%_e%' AS runs, p_name ILIKE '_L%' AS anchored, p_name ILIKE 'small ring' AS exact,
                p_name ILIKE 'b%t' AS ends, p_name ILIKE '%a%a%e%n%' AS many FROM part"""
     q["fn_saved_second"] = f"SELECT event_id, CAST(floor(us / 1000000.0) AS BIGINT) AS second FROM {instants}"
+    whole = "CAST(floor({0} / 1000000.0) AS BIGINT)"
     q["fn_utc_offset"] = f"""
-        SELECT event_id, {offset_at.format('us // 1000000')} AS offset_s FROM {instants} WHERE event_id % 7 <> 0"""
+        SELECT event_id, {offset_at.format(whole.format('us'))} AS offset_s FROM {instants}"""
     # Eastern time in 2024: summer time from 10 March 2:00 (the skipped hour counts as standard time) to
     # 3 November; the repeated hour from 1:00 counts as standard time.
     q["fn_local_utc_offset"] = """
@@ -395,8 +400,9 @@ def statements() -> dict[str, str]:
                || CASE WHEN abs(s) % 60 <> 0 THEN printf(':%02d', abs(s) % 60) ELSE '' END AS offset_text, s AS parsed_s
         FROM (SELECT event_id, CAST((event_id * 37) % 100000 - 50000 AS INT) AS s FROM events)"""
     q["fn_same_saved_date"] = f"""
-        SELECT event_id, us // 1000000 = (us + CASE event_id % 3 WHEN 0 THEN 400000 WHEN 1 THEN -400000 ELSE 1000000 END) // 1000000 AS same
-        FROM {instants} WHERE event_id % 7 <> 0"""
+        SELECT event_id, {whole.format('us')} =
+            {whole.format('(us + CASE event_id % 3 WHEN 0 THEN 400000 WHEN 1 THEN -400000 ELSE 1000000 END)')} AS same
+        FROM {instants}"""
     q["fn_parse_size"] = """
         SELECT doc_id, n_chars || half || unit AS size_text,
                CASE WHEN doc_id % 8 < 6 AND v < 9223372036854775808.0 THEN CAST(v AS BIGINT) END AS size_bytes

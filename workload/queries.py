@@ -10,6 +10,7 @@ import uuid
 from typing import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from twinsieve.plans import duplicate_folders as folder_plan
 from twinsieve.plans import validate as validation
 from twinsieve.plans.rescan import previous_hashes
 from twinsieve.session import Table, materialize, shared_dir
-from twinsieve.sources import inventory, report
+from twinsieve.sources import content, inventory, report
 from twinsieve.streaming.rescan import start_rescans
 
 from . import derived
@@ -65,10 +66,6 @@ def recorded_folders(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
     return report.folder_tables(found.sets, found.copies)
 
 
-def in_one_text(column: str) -> Column:
-    return F.array_join(column, "|").alias(column)
-
-
 # ---------------------------------------------------------------- sources and sinks
 
 
@@ -150,14 +147,14 @@ def scan_settings(spark, sf):
 def locations_wide(spark, sf):
     found = found_files(spark, sf)
     fixed = found.sets.select("set_id", "file_name", "size_bytes", "md5")
-    return sets.wide_locations(ranking.copy_rank(found.copies.df, found.copies.widest), fixed, 3).drop("set_id")
+    return sets.wide_locations(ranking.copy_rank(found.copies.df, found.copies.widest), fixed).drop("set_id")
 
 
 @query
 def locations_unpivot(spark, sf):
     found = found_files(spark, sf)
     fixed = found.sets.select("set_id", "file_name", "md5")
-    wide = sets.wide_locations(ranking.copy_rank(found.copies.df, found.copies.widest), fixed, 3)
+    wide = sets.wide_locations(ranking.copy_rank(found.copies.df, found.copies.widest), fixed)
     # A blank in the middle, as an edited report may have.
     gap = F.when(F.pmod(F.octet_length("location_2"), F.lit(2)) == 0, F.col("location_2")).otherwise("")
     return sets.from_wide(wide.withColumn("location_2", gap), ["set_id", "file_name", "md5"]).drop("set_id")
@@ -189,6 +186,12 @@ def scan_warnings(spark, sf):
     return warnings.scan_warnings(inventory.metadata(files), _marked(spark, sf), found.hashes, skip_cold=True)
 
 
+@query
+def scan_job_warnings(spark, sf):
+    flawed = inventory.Catalog(_flawed(spark, sf), _marked(spark, sf))
+    return scan(spark, flawed, skip_cold=True, include_folders=False, tz=UTC).skipped
+
+
 # ---------------------------------------------------------------- filters
 
 
@@ -372,7 +375,28 @@ def hash_files(spark, sf):
 @query
 def duplicate_files(spark, sf):
     found = found_files(spark, sf, INDIA)
-    return sets.with_locations(found.sets, found.copies.df).drop("set_id").withColumn("locations", in_one_text("locations"))
+    return report.file_tables(found.sets, found.copies)[1].drop("set_id")
+
+
+@query
+def duplicate_files_objects(spark, sf):
+    """The contents as objects of their own: first bytes and whole contents are read by path."""
+    root = scratch(spark, "objects")
+    files = derived.files(spark, sf)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                system, at = content.located(root + path)
+                system.create_dir(at.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(at) as out:
+                    out.write(text.encode())
+            yield batch.select(["path"])
+
+    materialize(files.select("path", "content").mapInArrow(write, "path string"), "objects")
+    listed = files.drop("content").withColumn("path", F.concat(F.lit(root), "path"))
+    found = find_duplicate_files(listed, tz=UTC, first_bytes=FIRST_BYTES, first_bytes_min=LARGE_BYTES)
+    return report.file_tables(found.sets, found.copies)[1].drop("set_id")
 
 
 @query
@@ -481,8 +505,7 @@ def folder_sets_all(spark, sf):
 
 
 def _shown(found) -> DataFrame:
-    shown = sets.with_locations(found.sets.drop("first_location"), found.copies.df)
-    return shown.drop("set_id").withColumn("locations", in_one_text("locations"))
+    return report.folder_tables(found.sets, found.copies)[1].drop("set_id")
 
 
 @query
@@ -490,6 +513,15 @@ def duplicate_folders(spark, sf):
     return _shown(find_duplicate_folders(derived.files(spark, sf), derived.folders(spark, sf)))
 
 
+@query
+def duplicate_folders_spelt(spark, sf):
+    """Paths with empty parts in them, as object stores allow: one folder, however it is spelt."""
+    twice = F.when(F.col("doc_id") % 2 == 0, F.replace("path", F.lit("/b"), F.lit("//b"))).otherwise(F.col("path"))
+    listing = derived.files(spark, sf).select(twice.alias("path"), "size_bytes", "mtime_us", "content")
+    files = inventory.canonical_files(listing)
+    return _shown(find_duplicate_folders(files, inventory.folders_of(files)))
+
+
 @query
 def duplicate_folders_excl(spark, sf):
     kept = filters.exclude(derived.catalog(spark, sf), FILE_PATTERNS + ["b3"], ROOTS)
@@ -564,8 +596,7 @@ def fn_saved_second(spark, sf):
 
 @query
 def fn_utc_offset(spark, sf):
-    recent = _instants(spark, sf).filter("event_id % 7 <> 0")
-    return recent.select("event_id", times.utc_offset(times.saved_second("us"), NEW_YORK).alias("offset_s"))
+    return _instants(spark, sf).select("event_id", times.utc_offset(times.saved_second("us"), NEW_YORK).alias("offset_s"))
 
 
 @query
@@ -592,7 +623,7 @@ def fn_same_saved_date(spark, sf):
     event, us = F.col("event_id"), F.col("us")
     jitter = F.when(event % 3 == 0, 400_000).when(event % 3 == 1, -400_000).otherwise(1_000_000)
     offset = F.when(event % 2 == 0, F.lit(19_800)).cast("int")
-    rows = _instants(spark, sf).filter("event_id % 7 <> 0").select(
+    rows = _instants(spark, sf).select(
         "event_id", "us", offset.alias("offset"), (us + 19_800 * times.MICROS + jitter).alias("local_us")
     )
     return rows.select("event_id", times.same_saved_date("us", "local_us", "offset", INDIA).alias("same"))
