@@ -165,3 +165,18 @@ def test_file_uris_are_read(spark, tmp_path):
     assert object_digest(f"{tmp_path}/none", 0)[0] is None
     with pytest.raises(ValueError):
         object_digest("nowhere://x/y", 0)
+
+
+def test_names_that_are_no_text_and_trees_by_uri(spark, tmp_path):
+    root = tmp_path / "data"
+    put(root, "a/f"), put(root, "b/a/f"), put(root, "b/a/g ü")
+    with open(os.fsencode(root) + b"/a/bad\xff", "wb") as out:
+        out.write(b"x")
+    catalog, warnings = scan_tree(spark, str(root))
+    assert [(r.kind, r.path, r.reason) for r in warnings.collect()] == [("entry", f"{root}/a/bad\\xff", "name is not UTF-8")]
+    assert sorted(r.path for r in catalog.files.collect()) == [f"{root}/a/f", f"{root}/b/a/f", f"{root}/b/a/g ü"]
+    assert {r.path for r in catalog.folders.filter("not readable").collect()} == {f"{root}/a"}
+    by_uri, _ = scan_tree(spark, f"file://{root}/b")
+    assert sorted((r.path, r.size_bytes) for r in by_uri.files.collect()) == [(f"file://{root}/b/a/f", 4), (f"file://{root}/b/a/g ü", 4)]
+    with pytest.raises(NotADirectoryError):
+        scan_tree(spark, f"file://{root}/none")

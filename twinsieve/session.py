@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     A local session without one gets a temporary folder; a cluster without one is an error,
     since a machine-local folder would be lost with its machine.
     """
-    configured = spark.conf.get(_CHECKPOINT_DIR, None)
+    configured = spark.conf.get(_CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if not configured:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"Set {_CHECKPOINT_DIR} to a folder every executor can reach.")
@@ -92,7 +92,7 @@ def materialize(
     seen = Observation(f"{label}-{uuid.uuid4().hex}")
     observed = df.observe(seen, *totals)
     if columnar or folder:
-        path = folder or f"{shared}/twinsieve/{uuid.uuid4().hex}-{label}"
+        path = folder or f"{shared}/twinsieve/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{label}"
         observed.write.mode("overwrite").parquet(path)
         # The schema is known, so reading back needs no inference job.
         kept = spark.read.schema(df.schema).parquet(path)
@@ -102,6 +102,15 @@ def materialize(
     return Table(kept, found.get("rows") or 0, found.get("bytes") or 0, found.get("most"), found.get("least"))
 
 
+def remove_intermediates(spark: SparkSession) -> None:
+    """Delete the written intermediate tables of this application, when none of its results is needed any more.
+
+    Checkpoints go with ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/twinsieve/{spark.sparkContext.applicationId}")
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small(table: Table, limit: int | None = None) -> bool:
     """Whether the measured columns of a written table are small enough to broadcast."""
     return table.measured_bytes <= (BROADCAST_BYTES if limit is None else limit)

@@ -39,6 +39,10 @@ def _file_system(place: str) -> fs.FileSystem:
         raise UnsupportedLocation(f"Objects at {place} cannot be read here: {problem}") from problem
 
 
+def is_uri(path: str) -> bool:
+    return _PLACE.match(path) is not None
+
+
 def located(path: str) -> tuple[fs.FileSystem, str]:
     """A path's file system, and the path inside it."""
     match = _PLACE.match(path)

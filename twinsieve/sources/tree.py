@@ -1,4 +1,4 @@
-"""Catalog source: a file tree on a mount every executor shares, listed level by level."""
+"""Catalog source: a file tree every executor can reach, by mount or by URI, listed level by level."""
 
 from __future__ import annotations
 
@@ -7,14 +7,18 @@ from functools import reduce
 from typing import Iterable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import matches_any, name_key
 from ..operators.filters import exclude_paths
 from ..session import materialize, partitions_for
+from .content import is_uri, located
 from .inventory import LINK, UNLISTABLE, Catalog
 
+NOT_TEXT = "name is not UTF-8"
+
 _ENTRY = (
     "kind string, path string, folder string, name string, size_bytes bigint, mtime_us bigint, "
     "attributes int, reason string"
@@ -28,11 +32,16 @@ def _entries(folder: str) -> Iterator[tuple]:
 
     Devices, pipes and sockets are neither. Links to files count as files.
     """
+    if is_uri(folder):
+        yield from _objects(folder)
+        return
     try:
         with os.scandir(folder) as listing:
             for entry in listing:
                 try:
-                    if entry.is_dir():
+                    if not _is_text(entry.name):
+                        yield "skipped", _shown(entry.path), folder, _shown(entry.name), None, None, 0, NOT_TEXT
+                    elif entry.is_dir():
                         kind = "link" if _is_folder_link(entry) else "folder"
                         yield kind, entry.path, folder, entry.name, None, None, 0, LINK if kind == "link" else None
                     elif entry.is_file():
@@ -43,6 +52,36 @@ def _entries(folder: str) -> Iterator[tuple]:
         yield "error", folder, folder, "", None, None, 0, problem.strerror
 
 
+def _objects(folder: str) -> Iterator[tuple]:
+    """The same for a folder named by URI."""
+    try:
+        system, inner = located(folder)
+        found = system.get_file_info(fs.FileSelector(inner))
+    except OSError as problem:
+        yield "error", folder, folder, "", None, None, 0, str(problem)
+        return
+    for info in found:
+        path = f"{folder.rstrip('/')}/{info.base_name}"
+        if info.type == fs.FileType.Directory:
+            yield "folder", path, folder, info.base_name, None, None, 0, None
+        else:
+            saved = None if info.mtime_ns is None else info.mtime_ns // 1000
+            yield "file", path, folder, info.base_name, info.size, saved, 0, None
+
+
+def _is_text(name: str) -> bool:
+    try:
+        name.encode()
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _shown(name: str) -> str:
+    """A name whose bytes are not UTF-8, with those bytes escaped."""
+    return os.fsencode(name).decode("utf-8", "backslashreplace")
+
+
 def _is_folder_link(entry: os.DirEntry) -> bool:
     return entry.is_symlink() or (hasattr(entry, "is_junction") and entry.is_junction())
 
@@ -81,12 +120,17 @@ def scan_tree(
     """List a tree: its catalog, and a warning per folder or entry that had to be skipped.
 
     Each level's folders are spread over the executors; folders left out by name are never listed,
-    folder links are not followed, and a folder that cannot be read does not stop the scan.
+    folder links are not followed, and a folder that cannot be read does not stop the scan. An entry whose name is
+    not UTF-8 is skipped with a warning, and its folder is never taken for fully known.
     """
-    if not os.path.isdir(root):
+    if is_uri(root):
+        system, inner = located(root)
+        is_folder = system.get_file_info(inner).type == fs.FileType.Directory
+    else:
+        is_folder, root = os.path.isdir(root), os.path.abspath(root)
+    if not is_folder:
         raise NotADirectoryError(f"'{root}' is not a folder.")
     patterns = list(exclude_names)
-    root = os.path.abspath(root)
     frontier = spark.createDataFrame([(root,)], "path string")
     listed, roots, folders_found = [], frontier.withColumn("readable", F.lit(True)), 1
     while True:
@@ -107,6 +151,9 @@ def scan_tree(
         "path", (F.col("kind") == "folder").alias("readable"),
         F.when(failed, F.lit(UNLISTABLE)).otherwise(F.col("reason")).alias("reason"),
     ).unionByName(roots.withColumn("reason", F.lit(None).cast("string")))
+    # What such a folder holds is not fully known.
+    unknown = entries.filter(F.col("reason") == NOT_TEXT).select(F.col("folder").alias("path"), F.lit(False).alias("readable"), "reason")
+    folders = folders.unionByName(unknown.distinct())
     catalog = Catalog(files, folders)
     if own_files is not None:
         catalog = exclude_paths(catalog, own_files)
