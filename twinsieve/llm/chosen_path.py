@@ -4,8 +4,9 @@ A document is the set of its word shingles. Equal sets are one class, found by t
 classes. Each class has a sketch of minwise tokens. In every tree a node picks few of the sketch's coordinates at
 random, so that a pair at the threshold agrees in one of them on average, and its members go to the child named
 by their token there. Nodes small enough are compared exhaustively by bits of the sketches; larger ones branch
-again, and what is still large at the last level is compared block by block. Independent trees repeat that, so
-that a pair at the threshold is missed by all of them with a probability below one in ten thousand.
+again, and what is still large at the last level is compared block by block. Independent trees repeat that: a pair
+at a threshold of 0.85 whose nodes all go down to the last level, the worst case, survives there from each of the
+roots' about 21 choices with a probability of 0.85 x 0.468, and so is missed with one of about 2 in 100,000.
 
 Nothing emits pairs. A node gives a forest over its similar members, so candidates are clusters; the full sets of
 a cluster's members, each fetched once, are intersected with each other where they lie, and links are what passes
@@ -29,7 +30,7 @@ from .base import by_batch, kept, texts
 from .graphs import components
 
 COORDINATES = 128
-TREES = 20
+TREES = 14
 LEVELS = 3
 LEAF = 512  # members of a node, or of a block of a cluster, that are compared exhaustively
 BLOCK_SHINGLES = 4 << 20  # shingles in a block
@@ -345,8 +346,8 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
 
     A-Z count as lower case; words are runs without ASCII white space. Fewer words than a shingle has make one
     shingle. Documents without words are linked with nothing, and so are rows with a null doc_id (their component_id is null
-    and they are kept). Rows that repeat a doc_id are one document. An empty table gives an empty one;
-    columns other than doc_id and text are not looked at.
+    and they are kept). Rows that repeat doc_id and text get the same result each; where a repeated doc_id has another text, each row
+    gets the component of its own text. An empty table gives an empty one; columns other than doc_id and text are not looked at.
     """
     rows = texts(docs)
     sketched = kept(by_batch(rows, _sketched, "doc_id bigint, n_shingles bigint, digest string, sketch binary", rule.words), "sketches")
