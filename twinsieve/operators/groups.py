@@ -90,10 +90,12 @@ def _salted(
 ) -> DataFrame:
     """Spread rows of hot keys over SALTS partitions; repeat the key's single row for each.
 
-    The list of hot keys is bounded: at most one for every HOT_GROUP_ROWS input rows.
+    There is at most one hot key for every HOT_GROUP_ROWS input rows; their list is broadcast if its measured size allows.
     """
     salts = session.SALTS
-    marked = F.broadcast(hot.select(*keys, F.lit(True).alias("is_hot")))
+    table = materialize(hot, "hot-keys", measure=list(keys))
+    marked = table.df.select(*keys, F.lit(True).alias("is_hot"))
+    marked = F.broadcast(marked) if small(table) else marked
     own = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")).otherwise(0)
     every = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     left = rows.join(marked, list(keys), "left").withColumn("salt", own).drop("is_hot")
