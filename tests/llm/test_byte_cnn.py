@@ -89,11 +89,13 @@ def test_held_out_accuracy(spark, sf):
 
 
 def test_awkward(spark, docs, awkward):
-    labels = spark.createDataFrame([(4, 1), (4, 1), (9, 0), (9, 1), (7, None), (None, 1), (10, 0), (99, 1)], "doc_id bigint, quality int").selectExpr("*", "1 as toxic", "'x' as text")
+    labels = spark.createDataFrame([(1, 1), (4, 1), (4, 1), (5, 0), (9, 0), (9, 1), (7, None), (None, 1), (10, 0), (99, 1)], "doc_id bigint, quality int").selectExpr("*", "1 as toxic", "'x' as text")
     got = byte_cnn.classify(docs(awkward), labels).collect()
     assert len(got) == len(awkward) and all(0 <= r.score <= 1 for r in got)
     same = {r.doc_id: r.score for r in got}
     assert same[1] == same[2] and same[4] == same[5]
+    net = byte_cnn.learn(docs(awkward), byte_cnn.labelled(labels))
+    assert {r.doc_id for r in byte_cnn.accepted(docs(awkward), net).collect()} <= {d for d, _ in awkward}
 
 
 def test_without_labels_and_empty(spark, docs):

@@ -188,7 +188,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     one = usable.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow()
+    sampled = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # A repeated id counts once.
+    found = sampled.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toArrow()
     rows = sorted(zip(found["doc_id"].to_pylist(), found["text"].to_pylist(), found["quality"].to_pylist()))
     return train([r[1] for r in rows], np.array([r[2] for r in rows], np.float32))
 
