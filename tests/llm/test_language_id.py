@@ -22,7 +22,7 @@ def brute(word, p):
     for cut in cuts("▁" + word):
         product = np.ones(p.shape[1])
         for part in cut:
-            number = table.prefixes.get(part, -1)
+            number = table.number.get(part, -1)
             if number < 0 and len(part) > 1:
                 break
             product = product * p[number if number >= 0 else table.pieces]
@@ -46,8 +46,8 @@ def test_forward_and_backward_meet(p):
     words = ["▁hello", "▁x", "▁straßenbahn"]
     lengths = np.array([len(w) for w in words])
     edges = language_id.lattice(MODEL).edges(words)
-    weight = p[edges[3], 0]
-    alpha, beta = language_id.forward(3, lengths, edges, weight), language_id.backward(3, lengths, edges, weight)
+    weight = p[edges.piece, 0]
+    alpha, beta = language_id.forward(lengths, edges, weight), language_id.backward(lengths, edges, weight)
     assert np.allclose(alpha[np.arange(3), lengths], beta[:, 0])
 
 

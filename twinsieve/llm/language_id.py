@@ -17,6 +17,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -40,8 +41,17 @@ class Model(NamedTuple):
     probability: np.ndarray  # (pieces + 1, languages); the last row is the unknown character
 
 
+class Edges(NamedTuple):
+    """Pieces in words, ordered by where they end."""
+
+    word: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    piece: np.ndarray
+
+
 class Lattice:
-    """The vocabulary as a prefix table: piece number, or -1 for what only begins pieces."""
+    """The vocabulary as a trie in arrays, walked from all places of many words at once."""
 
     def __init__(self, vocabulary: str) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -49,34 +59,55 @@ class Lattice:
         sp = SentencePieceProcessor(model_file=vocabulary)
         names = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         self.pieces = len(names)
-        self.prefixes: dict[str, int] = {}
-        for number, name in enumerate(names):
-            for end in range(1, len(name)):
-                self.prefixes.setdefault(name[:end], -1)
-            self.prefixes[name] = number
-
-    def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
-        """Word, start, end and piece of every piece in every word, ordered by (end, word)."""
-        get, unknown = self.prefixes.get, self.pieces
-        packed: list[int] = []
-        add = packed.append
-        for w, word in enumerate(words):
-            n = len(word)
-            for s in range(n):
-                low = w << 22 | s << 16
-                for e in range(s + 1, n + 1):
-                    piece = get(word[s:e])
-                    if piece is None:
-                        if e == s + 1:
-                            add(e << 42 | low | unknown)
-                        break
-                    if piece >= 0:
-                        add(e << 42 | low | piece)
-                    elif e == s + 1:
-                        add(e << 42 | low | unknown)
-        x = np.array(packed, np.int64)
-        x.sort()
-        return x >> 22 & 0xFFFFF, x >> 16 & 0x3F, x >> 42, x & 0xFFFF
+        self.number = {name: i for i, name in enumerate(names)}
+        # Characters get small numbers; 0 is any that no piece has, and the end of a word.
+        letters = sorted({ord(c) for name in names for c in name})
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[letters] = np.arange(1, len(letters) + 1)
+        self.radix = len(letters) + 1
+        state = {"": 0}
+        moves: dict[int, int] = {}
+        for name in names:
+            for end in range(1, len(name) + 1):
+                if name[:end] not in state:
+                    state[name[:end]] = len(state)
+                    moves[state[name[: end - 1]] * self.radix + int(self.letter[ord(name[end - 1])])] = state[name[:end]]
+        self.keys = np.array(sorted(moves), np.int64)
+        self.target = np.array([moves[k] for k in self.keys.tolist()], np.int64)
+        self.piece_at = np.full(len(state), -1, np.int64)
+        for name, number in self.number.items():
+            self.piece_at[state[name]] = number
+
+    def edges(self, words: list[str]) -> Edges:
+        """Every piece in every word; a character that is no piece by itself is an edge of the unknown piece."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), np.uint32)
+        letters = self.letter[codes] * (codes != 0)
+        word = np.repeat(np.arange(len(words)), lengths)
+        begin = np.cumsum(lengths + 1) - lengths - 1
+        start = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        place, at, state = begin[word] + start, np.arange(len(word)), np.zeros(len(word), np.int64)
+        found: list[tuple[np.ndarray, ...]] = []
+        length = 0
+        while len(at):
+            key = state * self.radix + letters[place[at] + length]
+            to = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = (self.keys[to] == key) & (letters[place[at] + length] > 0)
+            length += 1
+            if length == 1:
+                single = np.zeros(len(at), bool)
+                single[hit] = self.piece_at[self.target[to[hit]]] >= 0
+                lone = at[~single]
+                found.append((lone, np.ones(len(lone), np.int64), np.full(len(lone), self.pieces)))
+            at, state = at[hit], self.target[to[hit]]
+            piece = self.piece_at[state]
+            is_piece = piece >= 0
+            found.append((at[is_piece], np.full(int(is_piece.sum()), length), piece[is_piece]))
+        at, size, piece = (np.concatenate(x) for x in zip(*found))
+        end = (start[at] + size).astype(np.int16)
+        order = np.argsort(end, kind="stable")
+        at = at[order]
+        return Edges(word[at], start[at], end[order].astype(np.int64), piece[order])
 
 
 @functools.lru_cache(maxsize=2)
@@ -84,39 +115,32 @@ def lattice(vocabulary: str) -> Lattice:
     return Lattice(vocabulary)
 
 
-def _grouped(word: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the values of each run of equal words."""
-    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    return word[starts], np.add.reduceat(values, starts, axis=0)
+def _by_end(edges: Edges, positions: int) -> list[slice]:
+    bounds = np.searchsorted(edges.end, np.arange(1, positions + 1))
+    return [slice(bounds[e - 1], bounds[e]) for e in range(1, positions)]
 
 
-def forward(words: int, lengths: np.ndarray, edges: tuple[np.ndarray, ...], weight: np.ndarray) -> np.ndarray:
+def forward(lengths: np.ndarray, edges: Edges, weight: np.ndarray) -> np.ndarray:
     """alpha[word, position]: sum over all segmentations of the word's beginning; ``weight`` is per edge."""
-    word, start, end, _ = edges
-    alpha = np.zeros((words, int(lengths.max()) + 1, *weight.shape[1:]))
+    positions = int(lengths.max()) + 1
+    alpha = np.zeros((len(lengths), positions))
     alpha[:, 0] = 1
-    bounds = np.searchsorted(end, np.arange(1, alpha.shape[1] + 1))
-    for e in range(1, alpha.shape[1]):
-        part = slice(bounds[e - 1], bounds[e])
-        if part.start < part.stop:
-            which, sums = _grouped(word[part], alpha[word[part], start[part]] * weight[part])
-            alpha[which, e] = sums
+    flat = alpha.ravel()
+    source, to = edges.word * positions + edges.start, edges.word * positions + edges.end
+    for part in _by_end(edges, positions):
+        np.add.at(flat, to[part], flat[source[part]] * weight[part])
     return alpha
 
 
-def backward(words: int, lengths: np.ndarray, edges: tuple[np.ndarray, ...], weight: np.ndarray) -> np.ndarray:
+def backward(lengths: np.ndarray, edges: Edges, weight: np.ndarray) -> np.ndarray:
     """beta[word, position]: sum over all segmentations of the word's rest."""
-    word, start, end, _ = edges
-    order = np.lexsort((word, start))
-    word, start, end, weight = word[order], start[order], end[order], weight[order]
-    beta = np.zeros((words, int(lengths.max()) + 1))
-    beta[np.arange(words), lengths] = 1
-    bounds = np.searchsorted(start, np.arange(beta.shape[1] + 1))
-    for s in range(beta.shape[1] - 2, -1, -1):
-        part = slice(bounds[s], bounds[s + 1])
-        if part.start < part.stop:
-            which, sums = _grouped(word[part], weight[part] * beta[word[part], end[part]])
-            beta[which, s] = sums
+    positions = int(lengths.max()) + 1
+    beta = np.zeros((len(lengths), positions))
+    beta[np.arange(len(lengths)), lengths] = 1
+    flat = beta.ravel()
+    source, to = edges.word * positions + edges.start, edges.word * positions + edges.end
+    for part in reversed(_by_end(edges, positions)):
+        np.add.at(flat, source[part], flat[to[part]] * weight[part])
     return beta
 
 
@@ -125,8 +149,8 @@ def word_probabilities(words: list[str], vocabulary: str, probability: np.ndarra
     marked = [MARK + w for w in words]
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     edges = lattice(vocabulary).edges(marked)
-    alpha = forward(len(marked), lengths, edges, probability[edges[3]])
-    return alpha[np.arange(len(marked)), lengths]
+    each = np.arange(len(marked))
+    return np.stack([forward(lengths, edges, p[edges.piece])[each, lengths] for p in np.ascontiguousarray(probability.T)], 1)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +187,7 @@ def _expected(vocabulary: str, model):
                 edges = lattice(vocabulary).edges(words)
                 word, start, end, piece = edges
                 weight = probability[piece, lang[word]]
-                alpha, beta = forward(len(words), lengths, edges, weight), backward(len(words), lengths, edges, weight)
+                alpha, beta = forward(lengths, edges, weight), backward(lengths, edges, weight)
                 whole = alpha[np.arange(len(words)), lengths]
                 share = n[word] * alpha[word, start] * weight * beta[word, end] / whole[word]
                 total += np.bincount(piece * len(languages) + lang[word], share, total.size).reshape(total.shape)
@@ -204,21 +228,22 @@ def train(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> Model:
 
 
 class _Memo:
-    """Log probabilities of words seen by this worker, for one model."""
+    """Log probabilities of words seen by this worker, for one model; a column per word."""
 
     def __init__(self, key: str, languages: int) -> None:
-        self.key, self.place = key, {}
-        self.logs = np.zeros((0, languages))
-
-    def learn(self, words: list[str], vocabulary: str, probability: np.ndarray) -> None:
-        fresh = list(set(words).difference(self.place))
-        parts = [self.logs]
+        self.key = key
+        self.place: dict[str, int] = {}
+        self.logs = np.zeros((languages, 1 << 12))
+
+    def learn(self, words: set[str], vocabulary: str, probability: np.ndarray) -> None:
+        fresh = list(words.difference(self.place))
+        first = len(self.place)
+        while self.logs.shape[1] < first + len(fresh):
+            self.logs = np.hstack([self.logs, np.zeros_like(self.logs)])
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
-            parts.append(np.log(word_probabilities(part, vocabulary, probability)))
-        for word in fresh:
-            self.place[word] = len(self.place)
-        self.logs = np.vstack(parts)
+            self.logs[:, first + at : first + at + len(part)] = np.log(word_probabilities(part, vocabulary, probability)).T
+        self.place.update(zip(fresh, range(first, first + len(fresh))))
 
 
 _memo: _Memo | None = None
@@ -233,14 +258,14 @@ def _languages(texts: list[str | None], vocabulary: str, model) -> tuple[list[st
     found, scores = [], []
     words = [WORD.findall(t.lower()) if t else [] for t in texts]
     if languages:
-        _memo.learn([w for ws in words for w in ws], vocabulary, probability)
+        _memo.learn(set(chain.from_iterable(words)), vocabulary, probability)
     place = _memo.place.__getitem__
     for ws in words:
         if not languages or not any(c.isalpha() for w in ws for c in w):
             found.append("und")
             scores.append(0.0)
             continue
-        total = _memo.logs[np.fromiter(map(place, ws), np.int64, len(ws))].sum(0)
+        total = _memo.logs.take(np.fromiter(map(place, ws), np.int64, len(ws)), 1).sum(1)
         best = int(total.argmax())
         found.append(languages[best])
         scores.append(float(1 / np.exp(total - total[best]).sum()))
