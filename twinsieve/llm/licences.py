@@ -25,15 +25,17 @@ SPELLINGS = [
 ]
 STEPS = [
     ("lower",),
-    ("regex", "\r\n?", "\n"),
+    ("replace", "\r\n", "\n"),
+    ("replace", "\r", "\n"),
+    ("wrap", "\n", ""),
     # A line that names a holder or a year, and the usual line behind it; wording about copyright stays.
-    ("regex", r"(?:^|\n)[ \t#*/;-]*(?:copyright(?:[ \t]+notice)?[ \t:]*(?:\(c\)|©|[0-9]|\[|<|by[ \t])|\(c\)[ \t]|©)[^\n]*", "\n"),
-    ("regex", r"(?:^|\n)[ \t#*/;-]*all rights reserved[ \t.!]*(?:\n|\z)", "\n"),
+    ("regex", r"\n[ \t#*/;-]*(?:copyright(?:[ \t]+notice)?[ \t:]*(?:\(c\)|©|[0-9]|\[|<|by[ \t])|\(c\)[ \t]|©)[^\n]*", "\n"),
+    ("regex", r"\n[ \t#*/;-]*all rights reserved[ \t.!]*(?:\n|\z)", "\n"),
     ("regex", r"[^\p{L}\p{N}]+", " "),
-    ("regex", r"^ | \z", ""),
-    ("pad",),
+    ("trim",),
+    ("wrap", " ", " "),
     *[("replace", a, b) for a, b in SPELLINGS],
-    ("regex", r"^ | \z", ""),
+    ("trim",),
 ]
 
 
@@ -55,19 +57,22 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     ``licence`` is that of the whole text or null; ``notices`` are the licences of single lines, sorted
     and joined by commas (null: none). A null text counts as empty and, like every text without letters and
-    digits, is no licence. Rows that repeat both doc_id and canonical text share their notices. An empty
+    digits, is no licence. Rows that repeat
+    both doc_id and text count their lines together. An empty
     table gives an empty one; columns other than doc_id and text are not looked at.
     """
     digests = known_digests(known)
-    rows = texts(docs).select("doc_id", digest(F.col("text")).alias("text_sha256"), "text")
-    lines = rows.select("doc_id", "text_sha256", F.explode(F.split("text", "\r\n?|\n")).alias("line")).filter(F.length("line") > 0)
-    hits = lines.select("doc_id", "text_sha256", digest(F.col("line")).alias("digest")).join(digests, "digest")
-    notices = hits.groupBy("doc_id", "text_sha256").agg(
-        F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"), F.count(F.lit(1)).alias("n_notice_lines")
+    rows = texts(docs)
+    # The raw text's hash tells rows of one doc_id apart; making the text canonical for that would cost as much again.
+    lines = rows.select("doc_id", F.xxhash64("text").alias("own"), F.explode(F.split("text", "\r\n?|\n")).alias("line"))
+    hits = lines.filter(F.length("line") > 0).select("doc_id", "own", digest(F.col("line")).alias("digest")).join(digests, "digest")
+    distinct = hits.groupBy("doc_id", "own", "licence").agg(F.count(F.lit(1)).alias("n"))
+    notices = distinct.groupBy("doc_id", "own").agg(
+        F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"), F.sum("n").alias("n_notice_lines")
     )
-    whole = rows.drop("text").join(digests.withColumnRenamed("digest", "text_sha256"), "text_sha256", "left")
-    n = notices.withColumnsRenamed({"doc_id": "notice_id", "text_sha256": "notice_sha256"})
-    found = whole.join(n, F.col("doc_id").eqNullSafe(F.col("notice_id")) & (F.col("text_sha256") == F.col("notice_sha256")), "left")
+    whole = rows.select("doc_id", F.xxhash64("text").alias("own"), digest(F.col("text")).alias("text_sha256")).join(digests.withColumnRenamed("digest", "text_sha256"), "text_sha256", "left")
+    n = notices.withColumnsRenamed({"doc_id": "notice_id", "own": "notice_own"})
+    found = whole.join(n, F.col("doc_id").eqNullSafe(F.col("notice_id")) & (F.col("own") == F.col("notice_own")), "left")
     return found.select("doc_id", "text_sha256", "licence", "notices", F.coalesce("n_notice_lines", F.lit(0)).alias("n_notice_lines"))
 
 
@@ -82,10 +87,10 @@ def scan_sql() -> str:
     return f"""
         WITH known AS (SELECT {made('t')} AS digest, min(l) AS licence FROM (VALUES {known}) AS v(l, t) GROUP BY 1),
         d AS (SELECT doc_id, coalesce(text, '') AS text, {made("coalesce(text, '')")} AS text_sha256 FROM documents),
-        lines AS (SELECT doc_id, text_sha256, unnest(regexp_split_to_array(text, '\r\n?|\n')) AS line FROM d),
+        lines AS (SELECT doc_id, text, unnest(regexp_split_to_array(text, '\r\n?|\n')) AS line FROM d),
         n AS (
-            SELECT doc_id, text_sha256, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices, count(*) AS n_notice_lines
-            FROM (SELECT doc_id, text_sha256, {made('line')} AS digest FROM lines WHERE line <> '') JOIN known USING (digest) GROUP BY 1, 2
+            SELECT doc_id, text, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices, count(*) AS n_notice_lines
+            FROM (SELECT doc_id, text, {made('line')} AS digest FROM lines WHERE line <> '') JOIN known USING (digest) GROUP BY 1, 2
         )
         SELECT doc_id, text_sha256, licence, notices, coalesce(n_notice_lines, 0) AS n_notice_lines
-        FROM d LEFT JOIN known ON d.text_sha256 = known.digest LEFT JOIN n USING (doc_id, text_sha256)"""
+        FROM d LEFT JOIN known ON d.text_sha256 = known.digest LEFT JOIN n USING (doc_id, text)"""

@@ -1,7 +1,7 @@
 """Rewriting steps on text, as Spark columns and as the SQL that checks them.
 
-A step is ("regex", pattern, replacement), ("replace", from, to), ("lower",) or ("pad",), which puts a
-space on either side. Patterns use only what both
+A step is ("regex", pattern, replacement), ("replace", from, to), ("lower",), ("trim",) of spaces, or
+("wrap", before, behind). Patterns use only what both
 regular expression dialects share; replacements have no group references.
 """
 
@@ -19,8 +19,10 @@ def rewritten(text: Column, steps: Steps) -> Column:
     for kind, *args in steps:
         if kind == "lower":
             text = F.lower(text)
-        elif kind == "pad":
-            text = F.concat(F.lit(" "), text, F.lit(" "))
+        elif kind == "trim":
+            text = F.trim(text)
+        elif kind == "wrap":
+            text = F.concat(F.lit(args[0]), text, F.lit(args[1]))
         elif kind == "regex":
             text = F.regexp_replace(text, args[0], args[1])
         else:
@@ -36,8 +38,10 @@ def rewritten_sql(text: str, steps: Steps) -> str:
     for kind, *args in steps:
         if kind == "lower":
             text = f"lower({text})"
-        elif kind == "pad":
-            text = f"(' ' || {text} || ' ')"
+        elif kind == "trim":
+            text = f"trim({text}, ' ')"
+        elif kind == "wrap":
+            text = f"({literal(args[0])} || {text} || {literal(args[1])})"
         elif kind == "regex":
             text = f"regexp_replace({text}, {literal(args[0])}, {literal(args[1])}, 'g')"
         else:
