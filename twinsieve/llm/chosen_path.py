@@ -250,7 +250,12 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     rows, is_root = classes, True
     edges = []
     for level in range(LEVELS):
-        nodes = branched(rows, rate, is_root, False)
+        if is_root:
+            # Cheap to make, large to keep: made again for each use, and without the sketches where they are not needed.
+            nodes, whole = branched(rows, rate, True, False), branched(rows, rate, True, True)
+        else:
+            whole = kept(branched(rows, rate, False, True), "children")
+            nodes = whole.drop("sketch")
         counted = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > LEAF)
         crowded = materialize(counted, "crowded-nodes", measure=["node", "members"], columnar=True)
         hint = F.broadcast if small(crowded) else (lambda df: df)
@@ -263,7 +268,7 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
             split = _in_blocks(nodes.join(hint(blocks), "node"), "node", "blocks").drop("blocks")
             edges.append(compared(split, percent))
         else:
-            inner = branched(rows, rate, is_root, True).join(hint(crowded.df.select("node")), "node", "left_semi")
+            inner = whole.join(hint(crowded.df.select("node")), "node", "left_semi")
             rows, is_root = kept(inner, "crowded-members"), False
     return edges[0] if len(edges) == 1 else _all(edges)
 
