@@ -233,3 +233,21 @@ def test_what_a_scan_skips_is_said(spark, tree):
     lost = F.when(F.col("path") != "/data/c/f", F.col("content"))
     done = scan(spark, listed._replace(files=listed.files.withColumn("content", lost)), include_folders=False)
     assert sorted((r.kind, r.path) for r in done.skipped.collect()) == [("folder", "/data/d"), ("hash", "/data/c/f")]
+
+
+def test_large_objects_told_apart_by_their_first_bytes_are_no_failure(spark, tmp_path):
+    at, size = f"file:{tmp_path}/r", 16 << 20
+    for folder, start in (("a", b"1"), ("b", b"2")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "f").write_bytes(start * size)
+    root = f"{tmp_path}/in"
+    rows = [(f"{root}/{d}/f", "f", f"{root}/{d}", size, 0, 0) for d in ("a", "b", "gone")]
+    files = spark.createDataFrame(rows, "path string, name string, folder string, size_bytes bigint, mtime_us bigint, attributes int")
+    folders = spark.createDataFrame([(f"{root}/{d}", True, None) for d in ("a", "b", "gone")], "path string, readable boolean, reason string")
+    done = scan(spark, Catalog(files, folders), at)
+    assert done.version == 1 and done.files.sets.count() == 0
+    # Only what could not be read is said to be so.
+    assert [(r.kind, r.path) for r in done.skipped.collect()] == [("hash", f"{root}/gone/f")]
+    with pytest.raises(OSError):
+        lost = files.withColumn("path", F.concat("path", F.lit(".lost")))
+        scan(spark, Catalog(lost, folders), at, rehash=True)

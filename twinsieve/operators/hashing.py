@@ -46,6 +46,17 @@ def split_by_start(
     Smaller groups, and groups with a member whose full hash is cached, pass as they are. Returns
     the candidates with ``start_md5`` (null where a group passed).
     """
+    return split_and_started(candidates, files, cache, first_bytes, first_bytes_min)[0]
+
+
+def split_and_started(
+    candidates: DataFrame,
+    files: DataFrame,
+    cache: DataFrame | None = None,
+    first_bytes: int = FIRST_BYTES,
+    first_bytes_min: int = FIRST_BYTES_MIN,
+) -> tuple[DataFrame, DataFrame]:
+    """``split_by_start``, and the (path) of all files whose first bytes were read for it."""
     as_is = F.lit(None).cast("string").alias("start_md5")
     is_large = F.col("size_bytes") >= first_bytes_min
     large, passed = candidates.filter(is_large), candidates.filter(~is_large).select("*", as_is)
@@ -58,6 +69,7 @@ def split_by_start(
         unknown = sizes.join(hashed_groups, GROUP, "left_anti")
         large = join_groups(large, unknown, GROUP, ["path"])
     wanted = materialize(large, "large", measure=["path"], columnar=True)
-    starts = content_hashes(files, wanted, first_bytes).withColumnRenamed("md5", "start_md5")
+    hashed = content_hashes(files, wanted, first_bytes).withColumnRenamed("md5", "start_md5")
+    starts = materialize(hashed, "starts", columnar=True).df
     split = keep_repeated(wanted.df.join(starts, "path"), [*GROUP, "start_md5"], ["path"], wanted.rows)
-    return passed.unionByName(split)
+    return passed.unionByName(split), starts.select("path")

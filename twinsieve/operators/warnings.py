@@ -16,7 +16,7 @@ from .sets import name_groups
 def scan_warnings(metadata: DataFrame, folders: DataFrame, hashes: DataFrame, skip_cold: bool = False) -> DataFrame:
     """(kind, path, reason) for everything skipped while matching files.
 
-    ``hashes`` are those of the candidates. Only files that reached a stage can be skipped by it: a
+    ``hashes`` has a row (path) for each candidate with a hash, or with first bytes that no other has. Only files that reached a stage can be skipped by it: a
     file without size or time is reported when another has its name, a cold file or one without a
     hash when another agrees on name, second and size. With ``skip_cold`` cold files appear as one
     row with their number.

@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame
 
 from ..operators.filters import min_size, split_cold, split_unreadable
 from ..operators.groups import keep_repeated
-from ..operators.hashing import FIRST_BYTES, FIRST_BYTES_MIN, GROUP, hash_files, split_by_start
+from ..operators.hashing import FIRST_BYTES, FIRST_BYTES_MIN, GROUP, hash_files, split_and_started
 from ..operators.sets import Copies, date_size_groups, file_copies, file_sets
 from ..session import Table, materialize
 from ..sources.inventory import metadata
 
 
 class FileDuplicates(NamedTuple):
-    """``sets`` (one row each), ``copies`` (long form) and ``hashes`` (path, md5) of the candidates."""
+    """``sets`` (one row each), ``copies`` (long form) and ``hashes`` (path, md5) of the candidates.
+
+    ``separated`` (path) are candidates that needed no full hash: no other has their first bytes. None if none were compared.
+    """
 
     sets: DataFrame
     copies: Copies
     hashes: DataFrame
+    separated: DataFrame | None = None
 
 
 def file_candidates(
@@ -45,11 +49,25 @@ def hashed_candidates(
     The prefix stage saves reading whole objects. With a content column the scan has read the
     content anyway, so it is left out there; it never changes the result.
     """
+    return hashed_and_separated(files, candidates, hash_cache, first_bytes, first_bytes_min)[0]
+
+
+def hashed_and_separated(
+    files: DataFrame,
+    candidates: DataFrame,
+    hash_cache: DataFrame | None = None,
+    first_bytes: int = FIRST_BYTES,
+    first_bytes_min: int = FIRST_BYTES_MIN,
+) -> tuple[Table, DataFrame | None]:
+    """``hashed_candidates``, and the (path) of those that the prefix stage read and left out."""
+    started = None
     if "content" not in files.columns:
-        candidates = split_by_start(candidates, files, hash_cache, first_bytes, first_bytes_min).drop("start_md5")
+        candidates, started = split_and_started(candidates, files, hash_cache, first_bytes, first_bytes_min)
+        candidates = candidates.drop("start_md5")
     listed: Table = materialize(candidates, "candidates", measure=["path"], columnar=True)
     hashes = hash_files(listed, files, hash_cache)
-    return materialize(listed.df.join(hashes, "path"), "hashed", columnar=True)
+    separated = None if started is None else started.join(listed.df.select("path"), "path", "left_anti")
+    return materialize(listed.df.join(hashes, "path"), "hashed", columnar=True), separated
 
 
 def find_duplicate_files(
@@ -69,6 +87,6 @@ def find_duplicate_files(
     """
     tz = tz or files.sparkSession.conf.get("spark.sql.session.timeZone")
     candidates = file_candidates(files, skip_cold, ignore_empty, minimum_size)
-    hashed = hashed_candidates(files, candidates, hash_cache, first_bytes, first_bytes_min)
+    hashed, separated = hashed_and_separated(files, candidates, hash_cache, first_bytes, first_bytes_min)
     rows = hashed.df
-    return FileDuplicates(file_sets(rows, tz), file_copies(hashed), rows.select("path", "md5"))
+    return FileDuplicates(file_sets(rows, tz), file_copies(hashed), rows.select("path", "md5"), separated)

@@ -72,7 +72,9 @@ def scan(
         # The file pass has hashed almost everything below a duplicate folder already.
         known = files.hashes if cache is None else files.hashes.unionByName(cache).dropDuplicates(["path"])
         folders = find_duplicate_folders(catalog.files, catalog.folders, skip_cold, hash_cache=known)
-    if files.copies.rows == 0 and not file_candidates(
+    # Files told apart by their first bytes were read as far as they need.
+    none_separated = files.separated is None or files.separated.isEmpty()
+    if files.copies.rows == 0 and none_separated and not file_candidates(
         catalog.files, skip_cold, ignore_empty, settings.minimum_size
     ).isEmpty():
         raise OSError("No content could be read of any file that needs it; nothing is published.")
@@ -80,7 +82,10 @@ def scan(
     considered = catalog.files.filter("size_bytes is null").unionByName(
         min_size(catalog.files.filter("size_bytes is not null"), settings.minimum_size, ignore_empty)
     )
-    skipped = scan_warnings(metadata(considered), catalog.folders, hashes, skip_cold)
+    checked = hashes.select("path")
+    if files.separated is not None:
+        checked = checked.unionByName(files.separated)
+    skipped = scan_warnings(metadata(considered), catalog.folders, checked, skip_cold)
     totals = scan_totals(files.sets, folders.sets if folders else None)
     version = None
     if report_dir is not None and not dry_run:
