@@ -86,3 +86,46 @@ def test_awkward(docs, awkward):
 def test_nothing_learnt_and_empty(docs):
     assert [(r.lang_pred, r.score) for r in language_id.identify(docs([(3, "words")]), MODEL).collect()] == [("und", 0.0)]
     assert language_id.identify(docs([]), MODEL).collect() == []
+
+
+def unseen_letters():
+    """48 letters that are pieces by themselves only, and what they get from 1e10 pieces of five languages."""
+    table = language_id.lattice(MODEL)
+    letters = [n for n in table.number if len(n) == 1 and "一" <= n <= "鿿"][:48]
+    word = "".join(letters)
+    assert len(word) == 48 and len(table.edges(["▁" + word]).piece) == 49
+    p = np.full((table.pieces + 1, 2), 1e-4)
+    p[[table.number[c] for c in letters]] = 8e-19
+    return word, letters, p
+
+
+def test_words_below_underflow_have_logarithms():
+    word, _, p = unseen_letters()
+    got = language_id.word_logs([word, "hello"], MODEL, p)
+    assert np.allclose(got[0], np.log(1e-4) + 48 * np.log(8e-19))
+    assert np.allclose(got[1], np.log(language_id.word_probabilities(["hello"], MODEL, p)[0]))
+
+
+def test_words_below_underflow_are_counted():
+    word, _, p = unseen_letters()
+    table = language_id.lattice(MODEL)
+    marked = ["▁" + word, "▁hello"]
+    lengths = np.array([49, 6])
+    edges = table.edges(marked)
+    got = language_id.shares(lengths, edges, p[edges.piece, 0])
+    assert np.allclose(got[edges.word == 0], 1)
+    alone = table.edges(marked[1:])
+    assert np.allclose(got[edges.word == 1], language_id.shares(lengths[1:], alone, p[alone.piece, 0]))
+    # The same in logarithms and in numbers.
+    logs = np.log(p[alone.piece, 0])
+    assert np.allclose(np.exp(language_id.log_forward(lengths[1:], alone, logs)), language_id.forward(lengths[1:], alone, np.exp(logs)))
+    assert np.allclose(np.exp(language_id.log_backward(lengths[1:], alone, logs)), language_id.backward(lengths[1:], alone, np.exp(logs)))
+
+
+def test_a_quote_of_unseen_letters_keeps_the_language(docs):
+    word, _, p = unseen_letters()
+    table = language_id.lattice(MODEL)
+    p[table.edges(["▁hello"]).piece, 1] = 1e-2
+    (r,) = language_id.predict(docs([(1, f"hello {word} hello")]).selectExpr("doc_id", "text", "true as held_out"), language_id.Model(["a", "b"], p), MODEL).collect()
+    assert r.lang_pred == "b" and 0.9 < r.score <= 1
+    assert language_id.accepted(docs([(1, f"hello {word}")]), language_id.Model(["a", "b"], p), MODEL, 0.5).count() == 1

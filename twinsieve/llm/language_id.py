@@ -7,7 +7,8 @@ expected count in every segmentation, Spark adds them up, and the sums become th
 Only sums per (language, piece) reach the driver: at most languages x vocabulary numbers.
 
 Words are maximal runs of letters in lower case with the vocabulary's word mark in front; runs of more than
-48 letters are cut every 48, so that a lattice stays small and its products stay above underflow.
+48 letters are cut every 48, so that a lattice stays small. A word whose products come near underflow, such as a run of
+letters that no language has shown, is worked out once more in logarithms.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ ROUNDS = 4
 UNKNOWN = 1e-5  # probability of a character that no piece has
 PRIOR = 0.5  # count that is shared out to all pieces by their frequency in all languages together
 FLUSH = 400_000  # distinct words counted before a batch of counts goes out
+LEAST = 1e-250  # words below this probability are worked out in logarithms
 MEMO = 400_000  # words whose probabilities a worker remembers
 
 
@@ -144,6 +146,60 @@ def backward(lengths: np.ndarray, edges: Edges, weight: np.ndarray) -> np.ndarra
     return beta
 
 
+def log_forward(lengths: np.ndarray, edges: Edges, logs: np.ndarray) -> np.ndarray:
+    """Logarithms of ``forward``, of any size; ``logs`` are those of the weights."""
+    positions = int(lengths.max()) + 1
+    alpha = np.full((len(lengths), positions), -np.inf)
+    alpha[:, 0] = 0
+    flat = alpha.ravel()
+    source, to = edges.word * positions + edges.start, edges.word * positions + edges.end
+    for part in _by_end(edges, positions):
+        np.logaddexp.at(flat, to[part], flat[source[part]] + logs[part])
+    return alpha
+
+
+def log_backward(lengths: np.ndarray, edges: Edges, logs: np.ndarray) -> np.ndarray:
+    """Logarithms of ``backward``, of any size."""
+    positions = int(lengths.max()) + 1
+    beta = np.full((len(lengths), positions), -np.inf)
+    beta[np.arange(len(lengths)), lengths] = 0
+    flat = beta.ravel()
+    source, to = edges.word * positions + edges.start, edges.word * positions + edges.end
+    for part in reversed(_by_end(edges, positions)):
+        np.logaddexp.at(flat, source[part], flat[to[part]] + logs[part])
+    return beta
+
+
+def shares(lengths: np.ndarray, edges: Edges, weight: np.ndarray) -> np.ndarray:
+    """The part of each edge's word's probability that goes through the edge."""
+    word, start, end, piece = edges
+    alpha, beta = forward(lengths, edges, weight), backward(lengths, edges, weight)
+    whole = alpha[np.arange(len(lengths)), lengths]
+    share = alpha[word, start] * weight * beta[word, end] / np.maximum(whole, LEAST)[word]
+    low = np.flatnonzero(whole < LEAST)
+    if len(low):
+        at = np.flatnonzero(np.isin(word, low))
+        few = Edges(np.searchsorted(low, word[at]), start[at], end[at], piece[at])
+        logs = np.log(weight[at])
+        alpha, beta = log_forward(lengths[low], few, logs), log_backward(lengths[low], few, logs)
+        share[at] = np.exp(alpha[few.word, few.start] + logs + beta[few.word, few.end] - alpha[few.word, lengths[low][few.word]])
+    return share
+
+
+def word_logs(words: list[str], vocabulary: str, probability: np.ndarray) -> np.ndarray:
+    """(word, language): logarithm of each word's probability, finite however small that is."""
+    found = word_probabilities(words, vocabulary, probability)
+    logs = np.log(np.maximum(found, LEAST))
+    low = np.flatnonzero(found.min(1, initial=1) < LEAST)
+    if len(low):
+        marked = [MARK + words[i] for i in low]
+        lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+        edges = lattice(vocabulary).edges(marked)
+        each = np.arange(len(marked))
+        logs[low] = np.stack([log_forward(lengths, edges, p[edges.piece])[each, lengths] for p in np.log(probability).T], 1)
+    return logs
+
+
 def word_probabilities(words: list[str], vocabulary: str, probability: np.ndarray) -> np.ndarray:
     """(word, language): each word's probability, all segmentations summed."""
     marked = [MARK + w for w in words]
@@ -185,11 +241,8 @@ def _expected(vocabulary: str, model):
                 n = part["n"].to_numpy().astype(float)
                 lengths = np.fromiter(map(len, words), np.int64, len(words))
                 edges = lattice(vocabulary).edges(words)
-                word, start, end, piece = edges
-                weight = probability[piece, lang[word]]
-                alpha, beta = forward(lengths, edges, weight), backward(lengths, edges, weight)
-                whole = alpha[np.arange(len(words)), lengths]
-                share = n[word] * alpha[word, start] * weight * beta[word, end] / whole[word]
+                word, piece = edges.word, edges.piece
+                share = n[word] * shares(lengths, edges, probability[piece, lang[word]])
                 total += np.bincount(piece * len(languages) + lang[word], share, total.size).reshape(total.shape)
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({"piece": pa.array(piece, pa.int32()), "lang": pa.array(lang, pa.int32()), "n": pa.array(total[piece, lang])})
@@ -242,7 +295,7 @@ class _Memo:
             self.logs = np.hstack([self.logs, np.zeros_like(self.logs)])
         for at in range(0, len(fresh), 20_000):
             part = fresh[at : at + 20_000]
-            self.logs[:, first + at : first + at + len(part)] = np.log(word_probabilities(part, vocabulary, probability)).T
+            self.logs[:, first + at : first + at + len(part)] = word_logs(part, vocabulary, probability).T
         self.place.update(zip(fresh, range(first, first + len(fresh))))
 
 
