@@ -93,3 +93,58 @@ def test_exchange_only_gains(monkeypatch):
                 other = of.copy()
                 other[w] = c
                 assert brown.likelihood(bigrams, other) <= best + 1e-6
+
+
+def test_best_classes_are_those_of_brute_force():
+    rng = np.random.default_rng(5)
+    size, n_words = brown.CLASSES + 1, 30
+    cls = rng.integers(0, 5, n_words)
+    # Words on even places have classes of their own, so that no neighbour shares a word's class or moves with it.
+    flow = np.empty(400, np.int64)
+    flow[0::2], flow[1::2] = rng.integers(0, 15, 200), rng.integers(15, 30, 200)
+    cls[15:] = 10 + cls[15:]
+    path = np.r_[brown.CLASSES, cls[flow], brown.CLASSES]
+
+    def table_of(path):
+        return np.bincount(path[:-1] * size + path[1:], minlength=size * size).reshape(size, size).astype(float)
+
+    table = table_of(path)
+    words = np.unique(flow)
+    entries = Counter()
+    for i, w in enumerate(flow):
+        at = int(np.searchsorted(words, w))
+        entries[at, path[i]] += 1
+        entries[at, size + path[i + 2]] += 1
+    word, key = (np.array(x) for x in zip(*sorted(entries)))
+    n = np.array([entries[e] for e in sorted(entries)])
+    got = brown.best_classes(table, cls[words], np.bincount(flow)[words], word, key, n)
+    for w, new in zip(words, got):
+        def moved(c):
+            return brown.likelihood(table_of(np.r_[brown.CLASSES, np.where(flow == w, c, cls[flow]), brown.CLASSES]), np.arange(size))
+
+        strange = {10, 11, 12, 13, 14} if w < 15 else {0, 1, 2, 3, 4}
+        if new not in strange:
+            assert moved(new) >= max(moved(c) for c in range(brown.CLASSES) if c not in strange) - 1e-6
+
+
+def test_rare_words_get_the_class_of_their_neighbours(docs, monkeypatch):
+    """Words that share a suffix unit, but stand in the places of h and of k, get two classes."""
+    asked = []
+    whole = brown.word_classes
+    monkeypatch.setattr(brown, "word_classes", lambda *a: asked.append(whole(*a)) or asked[-1])
+    rows = [(d, f"a w{d // 2 % 40}xyz b v{d // 2 % 40}xyz c d" if d % 2 else "a h b k c d") for d in range(800)]
+    # These fill the places of frequent words.
+    rows += [(d, " ".join(f"f{i}" for i in range(1100))) for d in range(800, 830)]
+    got = brown.score_split(docs(rows)).collect()
+    assert len(got) == 830
+    check_base(rows, got)
+    known, table, once = asked[0]
+    of = {bytes(r.word): r.cls for r in known.distinct().collect()}
+    left, right = ({of[b"%c%dxyz" % (kind, i)] for i in range(40)} for kind in b"wv")
+    assert not left & right
+    train = [t for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    want = Counter()
+    for t in train:
+        path = [brown.CLASSES, *[of[w] for w in tokens(t)], brown.CLASSES]
+        want.update(zip(path, path[1:]))
+    assert {(i, j): table[i, j] for i, j in zip(*np.nonzero(table))} == want

@@ -1,21 +1,24 @@
 """Language-model scores by Brown's class-based bigrams.
 
-log P(text) is the sum of log P(class | class before) + log P(word | class). Every word belongs to a unit: a frequent
+log P(text) is the sum of log P(class | class before) + log P(word | class). The classes start from units: a frequent
 word is its own, the others share one by their ending. The exchange algorithm moves units between classes while that
-raises the bigram likelihood of the training text. Transitions are interpolated with class frequencies; a class keeps
-the share of its once-seen words for unseen ones (Good-Turing).
-
-Counts cover all words of all training documents and are made by Spark. Texts are dealt into chunks of bounded size;
-a chunk asks once for each of its different words, the answers meet its texts again in one task, and so the
-vocabulary is never broadcast, however large. The driver sees the frequent words and sums per pair of units: numbers
-bounded by parameters, not by the corpus.
+raises the bigram likelihood of the training text. From there every word of the training texts, however rare, has an
+exchange of its own: a sweep sums its left and right neighbours per class and takes the class that raises the
+likelihood most while the other words stay; frequent words keep what their exchange found. All words move at once, so
+from the second sweep on one that lowers the likelihood is taken back and ends the exchange. Only words never seen in training get their ending's class. Transitions are interpolated with
+class frequencies; a class keeps the share of its once-seen words for unseen ones (Good-Turing).
+
+Counts cover all words of all training documents and are made by Spark. Texts are dealt into chunks of bounded size,
+in which a token is its word's number in the chunk. A chunk asks once for each of its different words, the answers
+(count and class) meet its texts again in one task, and so the vocabulary is never broadcast, however large. The driver
+sees the frequent words and sums per pair of units or classes: numbers bounded by parameters, not by the corpus.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -33,6 +36,9 @@ ENDINGS = 256  # units that the other words share
 END = FREQUENT + ENDINGS  # the unit of the end token
 CLASSES = 64  # besides the class of the end token
 SWEEPS = 6  # of the exchange over all units
+WORD_SWEEPS = 2  # of the exchange over all words
+SMALL = 16  # neighbour counts below this have their gains looked up
+GROUPS = 512  # words whose gains are computed at once
 SHARED = 8.0  # weight of class frequencies in a transition
 MEMO = 400_000
 
@@ -55,57 +61,63 @@ class Units(dict):
 # ---------------------------------------------------------------- counting
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    chunk, size = TaskContext.get().partitionId() << 32, 0
-    for batch in batches:
-        ids = []
-        for length in pa.compute.binary_length(batch["text"]).to_pylist():
-            if size and size + length > CHUNK_BYTES:
-                chunk, size = chunk + 1, 0
-            size += length
-            ids.append(chunk)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *batch.columns], names=["chunk", *batch.schema.names])
+class _Places(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        return place
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each chunk's different words with their training counts (0: only in held-out texts)."""
-    now, counts = None, Counter()
+def packed(codes: np.ndarray) -> bytes:
+    """32-bit numbers byte plane by byte plane, which compresses well."""
+    return codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    def out() -> Iterator[pa.RecordBatch]:
-        if counts:
-            words = list(counts)
-            yield pa.RecordBatch.from_pydict({
-                "chunk": pa.array([now] * len(words), pa.int64()), "word": pa.array(words, pa.binary()), "n": pa.array(list(counts.values()), pa.int64())
-            })
-        counts.clear()
 
-    for batch in batches:
-        for chunk, held_out, text in zip(batch["chunk"].to_pylist(), batch["held_out"].to_pylist(), batch["text"].to_pylist()):
-            if chunk != now:
-                yield from out()
-                now = chunk
-            words = tokens(text)
-            if held_out:
-                for word in words:
-                    counts.setdefault(word, 0)
-            else:
-                counts.update(words)
-    yield from out()
-
-
-def _unit_sums(frequent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(frequent.value)
-        sums = np.zeros((2, END + 1), np.int64)
-        for batch in batches:
-            of = np.fromiter(map(units.__getitem__, batch["word"].to_pylist()), np.int64, batch.num_rows)
-            c = batch["c"].to_numpy()
-            sums[0] += np.bincount(of, c, END + 1).astype(np.int64)
-            sums[1] += np.bincount(of[c == 1], minlength=END + 1)
-        unit = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_pydict({"unit": pa.array(unit, pa.int32()), "n": pa.array(sums[0][unit]), "once": pa.array(sums[1][unit])})
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel().astype(np.int64)
 
-    return run
+
+CODED = "chunk bigint, doc_id bigint, held_out boolean, codes binary, word binary, place int, n bigint"
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text, as its words' places in the chunk, and one for each different word of a chunk, with its
+    training count there (0: only in held-out texts)."""
+    chunk, size, places = TaskContext.get().partitionId() << 32, 0, _Places()
+    counts = np.zeros(1 << 16, np.int64)
+
+    def rows(chunks, ids, held_out, codes, words, numbers, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({
+            "chunk": pa.array(chunks, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held_out, pa.bool_()),
+            "codes": pa.array(codes, pa.binary()), "word": pa.array(words, pa.binary()), "place": pa.array(numbers, pa.int32()), "n": pa.array(n, pa.int64()),
+        })
+
+    def vocabulary() -> pa.RecordBatch:
+        none = [None] * len(places)
+        out = rows([chunk] * len(places), none, none, none, list(places), np.arange(len(places)), counts[: len(places)].copy())
+        places.clear()
+        counts[:] = 0
+        return out
+
+    for batch in batches:
+        chunks, codes = [], []
+        for length, held_out, text in zip(pa.compute.binary_length(batch["text"]).to_pylist(), batch["held_out"].to_pylist(), batch["text"]):
+            if size and size + length > CHUNK_BYTES:
+                yield vocabulary()
+                chunk, size = chunk + 1, 0
+            size += length
+            chunks.append(chunk)
+            words = tokens(text.as_py())
+            found = np.fromiter(map(places.__getitem__, words), np.int32, len(words))
+            if len(places) > len(counts):
+                counts = np.r_[counts, np.zeros(len(places), np.int64)]
+            if not held_out:
+                np.add.at(counts, found, 1)
+            codes.append(packed(found))
+        none = [None] * len(chunks)
+        yield rows(chunks, batch["doc_id"].to_pylist(), batch["held_out"].to_pylist(), codes, none, none, none)
+    yield vocabulary()
 
 
 def _bigrams(frequent):
@@ -185,6 +197,167 @@ def exchange(bigrams: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
     return of
 
 
+def _known_classes(known: pa.Table, frequent: dict[bytes, int], of: np.ndarray) -> np.ndarray:
+    """The class of each row's word: its own where it has one by now, else its unit's."""
+    if "cls" in known.column_names:
+        return known["cls"].to_numpy().astype(np.int64)
+    units = Units(frequent)
+    return of[np.fromiter(map(units.__getitem__, known["word"].to_pylist()), np.int64, known.num_rows)]
+
+
+ONCE = (CLASSES + 1) ** 2  # sums from here on are of once-seen words per class, those before of pairs of classes
+NEIGHBOURS = "chunk bigint, place int, word binary, c bigint, cls int, keys binary, counts binary"
+CLASSED = "chunk bigint, place int, word binary, c bigint, cls int"
+
+
+def _pieces(numbers: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of ``numbers``, cut at ``bounds``."""
+    offsets = (bounds * numbers.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(numbers)])
+
+
+def _neighbours(seed, summed: bool):
+    """A chunk's words, with their neighbours per class if ``summed``, and its sums: rows without a word."""
+
+    def run(known: pa.Table, docs: pa.Table) -> pa.Table:
+        size = CLASSES + 1
+        known = known.sort_by("place")
+        words, c = known.num_rows, known["c"].to_numpy()
+        cls = np.r_[_known_classes(known, *seed.value), CLASSES].astype(np.int32)
+        # As narrow as the numbers allow: a chunk has millions of tokens.
+        kind = np.int32 if (words + 1) * 2 * size < 1 << 31 else np.int64
+        end = np.array([words], kind)
+        flow = np.concatenate([end, *chain.from_iterable((unpacked(codes).astype(kind), end) for codes in docs["codes"].to_pylist())])
+        del docs
+        path = cls[flow]
+        own = np.bincount(flow, minlength=words + 1)[:-1]
+        sums = np.r_[np.bincount(path[:-1] * size + path[1:], minlength=size * size), np.bincount(cls[:-1][(c == 1) & (own > 0)], minlength=size)]
+        at = np.flatnonzero(sums)
+        none = [None] * len(at)
+        parts = [pa.table({
+            "chunk": pa.array(none, pa.int64()), "place": pa.array(at, pa.int32()), "word": pa.array(none, pa.binary()), "c": pa.array(sums[at], pa.int64()),
+            "cls": pa.array(none, pa.int32()), "keys": pa.array(none, pa.binary()), "counts": pa.array(none, pa.binary()),
+        })]
+        if summed:
+            inner = np.flatnonzero(flow != words)
+            both = np.empty(2 * len(inner), kind)
+            both[: len(inner)] = flow[inner] * (2 * size) + path[inner - 1]
+            both[len(inner) :] = flow[inner] * (2 * size) + size + path[inner + 1]
+            del flow, path, inner
+            both.sort()
+            first = np.flatnonzero(np.diff(both, prepend=-1))
+            n = np.diff(first, append=len(both)).astype("<u4")
+            found = both[first]
+            del both, first
+            bounds = np.searchsorted(found, np.arange(words + 1, dtype=kind) * (2 * size))
+            keys = (found % (2 * size)).astype(np.uint8)
+            parts.append(pa.table({
+                **{name: known[name] for name in ("chunk", "place", "word", "c")}, "cls": pa.array(cls[:-1]),
+                "keys": _pieces(keys, bounds), "counts": _pieces(n, bounds),
+            }))
+        return pa.concat_tables(parts)
+
+    return run
+
+
+def best_classes(table: np.ndarray, own: np.ndarray, total: np.ndarray, word: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The class of each word that raises the likelihood most while all other words stay.
+
+    ``own`` and ``total`` are words' classes and counts; (word, key, n), ordered by word, are neighbours: keys up to
+    CLASSES are classes on the left, the others on the right. Every word has some.
+    """
+    cells = np.vstack([table[:, :CLASSES], table[:CLASSES].T])
+    base = _g(cells)
+    small = np.stack([_g(cells + i) - base for i in range(SMALL)])
+    sides = table.sum(1)[:CLASSES], table.sum(0)[:CLASSES]
+    new = own.copy()
+    for first in range(0, len(own), GROUPS):
+        mine, count = own[first : first + GROUPS], total[first : first + GROUPS].astype(float)
+        a, b = np.searchsorted(word, [first, first + len(mine)])
+        w, k, x = word[a:b] - first, key[a:b], n[a:b]
+        change = small[np.minimum(x, SMALL - 1), k]
+        large = np.flatnonzero(x >= SMALL)
+        change[large] = _g(cells[k[large]] + x[large, None]) - base[k[large]]
+        # Its own class has the word in it already.
+        e = np.arange(len(w))
+        change[e, mine[w]] = base[k, mine[w]] - _g(cells[k, mine[w]] - x)
+        gain = np.add.reduceat(change, np.searchsorted(w, np.arange(len(mine))), axis=0)
+        each = np.arange(len(mine))
+        for side in sides:
+            loss = _g(side + count[:, None]) - _g(side)
+            loss[each, mine] = _g(side[mine]) - _g(side[mine] - count)
+            gain -= loss
+        best = gain.argmax(1)
+        new[first : first + GROUPS] = np.where(gain[each, best] > gain[each, mine] + 1e-9, best, mine)
+    return new
+
+
+def _moved(seed, shared):
+    """Words with new classes, from rows in the order of words; frequent ones keep those of their own exchange."""
+
+    def moved(rows: pa.Table) -> pa.RecordBatch:
+        table, frequent = shared.value, seed.value[0]
+        words = rows["word"].combine_chunks()
+        group = np.r_[0, np.cumsum(pa.compute.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False))].astype(np.int64)
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        cls, c = rows["cls"].to_numpy().astype(np.int64), rows["c"].to_numpy()
+        stay = np.fromiter((w in frequent for w in words.take(pa.array(first)).to_pylist()), bool, len(first))
+        taken = np.flatnonzero((c[first] > 0) & ~stay)
+        keys = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.uint8).astype(np.int64)
+        counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), "<u4").astype(np.int64)
+        at = np.repeat(group, pa.compute.binary_length(rows["keys"]).to_numpy())
+        width, moving = 2 * (CLASSES + 1), ~stay[at]
+        found, inverse = np.unique(np.searchsorted(taken, at[moving]) * width + keys[moving], return_inverse=True)
+        n = np.bincount(inverse, counts[moving], len(found)).astype(np.int64)
+        own = cls[first]
+        if len(taken):
+            own[taken] = best_classes(table, own[taken], c[first[taken]], found // width, found % width, n)
+        out = rows.select(["chunk", "place", "word", "c"]).append_column("cls", pa.array(own[group], pa.int32()))
+        return out.combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if held[0]["word"][0] == batch["word"][-1]:
+                continue
+            rows = pa.Table.from_batches(held)
+            # The last word may go on in the next batch.
+            last = rows.num_rows - pa.compute.sum(pa.compute.equal(rows["word"], batch["word"][-1])).as_py()
+            yield moved(rows.slice(0, last))
+            held = rows.slice(last).combine_chunks().to_batches()
+        if held:
+            yield moved(pa.Table.from_batches(held))
+
+    return run
+
+
+def word_classes(known: DataFrame, train: DataFrame, frequent: dict[bytes, int], of: np.ndarray) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The words of each chunk with their classes (as yet those of their units if there is no ``cls``), the table of
+    classes and the once-seen words of each class."""
+    context, size = known.sparkSession.sparkContext, CLASSES + 1
+    seed = context.broadcast((frequent, of))
+    best = None
+    for sweep in range(WORD_SWEEPS + 1):
+        summed = sweep < WORD_SWEEPS
+        met = known.groupBy("chunk").cogroup(train.groupBy("chunk")).applyInArrow(_neighbours(seed, summed), NEIGHBOURS)
+        if summed:
+            met = kept(met, "neighbours")
+        sums = np.zeros(ONCE + size)
+        for at, n in met.filter("word is null").groupBy("place").agg(F.sum("c")).collect():
+            sums[at] = n
+        table, once = sums[:ONCE].reshape(size, size), sums[ONCE:]
+        if sweep > 1 and likelihood(table, np.arange(size)) < likelihood(best[1], np.arange(size)):
+            break
+        best = known, table, once
+        if summed:
+            ordered = met.filter("word is not null").repartition("word").sortWithinPartitions("word")
+            known = kept(ordered.mapInArrow(_moved(seed, context.broadcast(table)), CLASSED), "word-classes")
+    return best
+
+
 class Model(NamedTuple):
     frequent: dict[bytes, int]
     of: np.ndarray  # class of each unit
@@ -199,22 +372,31 @@ class Model(NamedTuple):
 def model_of(frequent: dict[bytes, int], bigrams: np.ndarray, n: np.ndarray, once: np.ndarray, types: int) -> Model:
     """Probabilities from sums per unit and pair of units; the end token's count is in ``n``."""
     of = exchange(bigrams)
-    table = class_table(bigrams, of)
-    total = np.bincount(of, n, CLASSES + 1)
+    return class_model(frequent, of, class_table(bigrams, of), np.bincount(of, n, CLASSES + 1), np.bincount(of, once, CLASSES + 1), types)
+
+
+def class_model(frequent: dict[bytes, int], of: np.ndarray, table: np.ndarray, total: np.ndarray, once: np.ndarray, types: int) -> Model:
+    """Probabilities from the table of classes and the tokens and once-seen words of each."""
     share = (total + 0.5) / (total.sum() + 0.5 * (CLASSES + 1))
     transition = (table + SHARED * share) / (table.sum(1, keepdims=True) + SHARED)
-    unseen = (np.bincount(of, once, CLASSES + 1) + 0.5) / (total + 1)
-    unseen[CLASSES] = 0.0 if n[END] else 1.0  # the end token is the only one of its class
-    return Model(frequent, of, np.log10(transition), total, unseen, int(n.sum()), types, int(n[END]))
+    unseen = (once + 0.5) / (total + 1)
+    documents = int(total[CLASSES])
+    unseen[CLASSES] = 0.0 if documents else 1.0  # the end token is the only one of its class
+    return Model(frequent, of, np.log10(transition), total, unseen, int(total.sum()), types, documents)
 
 
 # ---------------------------------------------------------------- scores
 
 
-def word_columns(words: list[bytes], counts: np.ndarray, model: Model) -> tuple[np.ndarray, ...]:
-    """Count, class, log10 P(word | class) and base log10 probability of words; the end token is put behind them."""
+def word_columns(words: list[bytes], counts: np.ndarray, model: Model, own: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Count, class, log10 P(word | class) and base log10 probability of words; the end token is put behind them.
+
+    ``own`` has the classes of words with a count; the others, or all without it, have their units' classes.
+    """
     units = Units(model.frequent)
     cls = model.of[np.fromiter(map(units.__getitem__, words), np.int64, len(words))] if words else np.zeros(0, np.int64)
+    if own is not None:
+        cls = np.where(counts > 0, own, cls)
     cls, counts = np.r_[cls, CLASSES].astype(np.int64), np.r_[counts, model.documents].astype(np.int64)
     seen = (1 - model.unseen[cls]) * counts / np.maximum(model.total[cls], 1)
     emission = np.log10(np.where(counts > 0, seen, model.unseen[cls]))
@@ -222,12 +404,10 @@ def word_columns(words: list[bytes], counts: np.ndarray, model: Model) -> tuple[
     return counts, cls, emission, base
 
 
-def text_scores(text: str, place: dict[bytes, int], columns: tuple[np.ndarray, ...], model: Model) -> tuple[int, int, float, float]:
-    """Tokens, known tokens, base score and score of one text."""
+def text_scores(codes: np.ndarray, columns: tuple[np.ndarray, ...], model: Model) -> tuple[int, int, float, float]:
+    """Tokens, known tokens, base score and score of one text, given as its words' places in ``columns``."""
     counts, cls, emission, base = columns
-    words = tokens(text)
-    at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-    at = np.r_[at, len(counts) - 1]
+    at = np.r_[codes, len(counts) - 1]
     path = cls[at]
     before = np.r_[CLASSES, path[:-1]]
     score = emission[at].sum() + model.transition[before, path].sum()
@@ -240,10 +420,10 @@ SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, trai
 def _scored(model):
     def run(answers: pa.Table, docs: pa.Table) -> pa.Table:
         m = model.value
-        words = answers["word"].to_pylist()
-        place = {w: i for i, w in enumerate(words)}
-        columns = word_columns(words, answers["c"].to_numpy(), m)
-        found = [text_scores(t.as_py(), place, columns, m) for t in docs["text"]]
+        answers = answers.sort_by("place")
+        own = answers["cls"].to_numpy() if "cls" in answers.column_names else None
+        columns = word_columns(answers["word"].to_pylist(), answers["c"].to_numpy(), m, own)
+        found = [text_scores(unpacked(codes.as_py()), columns, m) for codes in docs["codes"]]
         n, known, base, score = (np.array(x) for x in zip(*found)) if found else [np.zeros(0)] * 4
         return pa.table({
             "doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()),
@@ -262,35 +442,33 @@ def score_documents(docs: DataFrame) -> DataFrame:
     doc_ids give a row each; without training rows every token is unseen; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    staged = kept(
-        texts(docs, "held_out").mapInArrow(_chunks, "chunk bigint, doc_id bigint, text string, held_out boolean"), "chunks"
-    )
-    asked = staged.select("chunk", "held_out", "text").mapInArrow(_asked, "chunk bigint, word binary, n bigint")
+    rows = texts(docs, "held_out")
+    staged = kept(rows.mapInArrow(_coded, CODED), "chunks")
+    coded = staged.filter("codes is not null").select("chunk", "doc_id", "held_out", "codes")
+    train = coded.filter(~F.col("held_out")).select("chunk", "codes")
+    asked = staged.filter("word is not null").select("chunk", "place", "word", "n")
     word = Window.partitionBy("word")
     # A word has at most a row per chunk.
     answers = kept(
         asked.select(
-            "chunk", "word", F.sum("n").over(word).alias("c"), (F.row_number().over(word.orderBy("chunk")) == 1).alias("is_first")
+            "chunk", "place", "word", F.sum("n").over(word).alias("c"), (F.row_number().over(word.orderBy("chunk")) == 1).alias("is_first")
         ), "word-counts",
     )
     words = answers.filter(F.col("is_first") & (F.col("c") > 0)).select("word", "c")
     types, = words.agg(F.count(F.lit(1))).first()
-    documents = staged.filter(~F.col("held_out")).count()
+    documents = train.count()
     top = words.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
     frequent = {bytes(r["word"]): i for i, r in enumerate(top)}
     shared = spark.sparkContext.broadcast(frequent)
-    n, once = np.zeros(END + 1), np.zeros(END + 1)
-    sums = words.mapInArrow(_unit_sums(shared), "unit int, n bigint, once bigint").groupBy("unit").agg(F.sum("n").alias("n"), F.sum("once").alias("once"))
-    for unit, count, single in sums.collect():
-        n[unit], once[unit] = count, single
-    n[END] = documents
-    train = staged.filter(~F.col("held_out")).select("text")
-    pairs = train.mapInArrow(_bigrams(shared), "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    known_texts = rows.filter(~F.col("held_out")).select("text")
+    pairs = known_texts.mapInArrow(_bigrams(shared), "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     bigrams = np.zeros((END + 1) ** 2)
     bigrams[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
-    model = model_of(frequent, bigrams.reshape(END + 1, END + 1), n, once, types + (documents > 0))
-    known = answers.select("chunk", "word", "c").groupBy("chunk")
-    return known.cogroup(staged.groupBy("chunk")).applyInArrow(_scored(spark.sparkContext.broadcast(model)), SCORES)
+    of = exchange(bigrams.reshape(END + 1, END + 1))
+    known, table, once = word_classes(answers.select("chunk", "place", "word", "c"), train, frequent, of)
+    model = class_model(frequent, of, table, table.sum(0), once, types + (documents > 0))
+    scored = _scored(spark.sparkContext.broadcast(model))
+    return known.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(scored, SCORES)
 
 
 def score_split(docs: DataFrame) -> DataFrame:
