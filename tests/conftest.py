@@ -1,18 +1,16 @@
 import os
 import sys
-from datetime import datetime, timezone
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import functions as F  # noqa: E402
+from support import SAVED_US  # noqa: E402
 
 from twinsieve import build_session  # noqa: E402
 from twinsieve.sources.inventory import Catalog  # noqa: E402
 
-SAVED_US = int(datetime(2024, 5, 17, 10, 30, tzinfo=timezone.utc).timestamp()) * 1_000_000
-
 
 @pytest.fixture(scope="session")
 def spark():

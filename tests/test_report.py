@@ -8,7 +8,7 @@ from twinsieve.plans.validate import copy_states, folder_copy_states
 from twinsieve.sources import report
 from twinsieve.sources.inventory import Catalog
 
-from conftest import SAVED_US
+from support import SAVED_US
 from test_duplicate_files import TREE
 
 

@@ -9,7 +9,7 @@ from twinsieve import find_duplicate_files, find_duplicate_folders, load_catalog
 from twinsieve.sources import report
 from twinsieve.streaming.rescan import apply_drop, start_rescans
 
-from conftest import SAVED_US
+from support import SAVED_US
 
 FILES = "path string, folder string, name string, size_bytes bigint, mtime_us bigint, attributes int, content string"
 
