@@ -1,6 +1,7 @@
 import math
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from twinsieve.llm import top_k
@@ -39,12 +40,26 @@ def test_awkward_vectors(spark):
 
 
 def test_large_components_are_exact(spark):
-    rows = [(i, [float(2 ** (20 + i % 3)), 3.0 + i]) for i in range(30)]
+    rows = [(i, [float(2 ** (18 + i % 3)), 3.0 + i]) for i in range(30)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = top_k.search(df, F.col("vec_id") % 7 == 0, 4).collect()
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == brute(rows, lambda q: q % 7 == 0, 4)
 
 
+def test_only_scores_that_count_may_not_overflow(spark):
+    big = float(2**22)
+
+    def run(rows, k):
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        return sorted(map(tuple, top_k.search(df, F.col("vec_id") == 0, k).collect()))
+
+    # The query's own square needs 65 bits, and so does the third's score, which is not among the best.
+    assert run([(0, [big, 0.0]), (1, [0.0, big]), (2, [1.0, 0.0]), (3, [-big, 1.0])], 2) == [(0, 1, 2, 2**42), (0, 2, 1, 0)]
+    for rows, k in (([(0, [big, 0.0]), (1, [big, 0.0])], 1), ([(0, [big, 0.0]), (3, [-big, 1.0])], 2)):
+        with pytest.raises(Exception, match="64 bits"):
+            run(rows, k)
+
+
 def test_waves_and_blocks_change_nothing(spark, sf, monkeypatch):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     want = sorted(map(tuple, top_k.search(df, F.col("vec_id") % 5 == 0, 10).collect()))

@@ -33,14 +33,26 @@ def features(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(columns, 1) if columns else np.zeros((len(x), 0))
 
 
-def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products, exactly; overflow of 64 bits is an error."""
-    largest = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    if largest < 2.0**53:
+# Stands for a score below the range of 64 bits; an error if it is among a query's best.
+TOO_LOW = np.iinfo(np.int64).min
+
+
+def products(q: np.ndarray, c: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Integer inner products of q's rows and c's, exactly, where ``counts`` says that a pair counts.
+
+    Norms bound a product and all its partial sums, so each pair is worked out in the plainest arithmetic that is exact for it. A
+    pair that counts and exceeds 64 bits is an error, since nothing else could push it out of its query's best.
+    """
+    bound = np.outer(*(np.sqrt((x.astype(np.float64) ** 2).sum(1)) for x in (q, c))) * (1 + 1e-9)
+    if bound.max(initial=0) < 2.0**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    if largest >= 2.0**63:
-        raise ArithmeticError("an inner product does not fit in 64 bits")
-    return q @ c.T
+    found = q @ c.T
+    for i, j in zip(*np.nonzero((bound >= 2.0**63) & counts)):
+        exact = sum(int(a) * int(b) for a, b in zip(q[i], c[j]))
+        if exact > np.iinfo(np.int64).max:
+            raise ArithmeticError("an inner product does not fit in 64 bits")
+        found[i, j] = max(exact, TOO_LOW)
+    return found
 
 
 class Best:
@@ -74,8 +86,8 @@ class Best:
         if not len(left):
             return
         ids = ids[left]
-        found = products(self.x, c[left])
         wanted &= self.ids[:, None] != ids[None, :]
+        found = products(self.x, c[left], wanted)
         wanted &= found >= self.floor[:, None]
         if wanted.shape[1] > self.k and len(np.unique(ids)) == len(ids):
             low = np.where(wanted, found, np.iinfo(np.int64).min)
@@ -134,7 +146,7 @@ def search(vectors: DataFrame, is_query, k: int, factor: int = 1024) -> DataFram
     Vectors are compared with those of their own length. Rows that repeat a vec_id are one vector; where their
     components differ, the best score counts. Null vectors, and those with null or non-finite components, take no part, nor do
     null vec_ids. A query without any partner has no row; an empty table gives an empty one. Columns
-    other than vec_id and embedding are not looked at.
+    other than vec_id and embedding are not looked at. A best score outside 64 bits is an error.
     """
     spark = vectors.sparkSession
     rows = scaled(vectors.select("vec_id", "embedding"), factor)
@@ -150,7 +162,8 @@ def search(vectors: DataFrame, is_query, k: int, factor: int = 1024) -> DataFram
     pairs = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     ranked = pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    fits = F.when(F.col("score") == F.lit(int(TOO_LOW)), F.raise_error(F.lit("an inner product does not fit in 64 bits")).cast("bigint")).otherwise(F.col("score"))
+    return ranked.select("query_id", "rank", "vec_id", fits.alias("score"))
 
 
 def search_hundredths(vectors: DataFrame) -> DataFrame:
