@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown, byte_cnn, chosen_path, language_id, licences, packing, sentencepieces, syncmers, top_k, warc
+from . import brown, byte_cnn, chosen_path, language_id, licences, packing, prefix_free, sentencepieces, syncmers, top_k, warc
 from .base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,11 @@ def op10_warc(spark, sf_dir):
 
 
 SQL["op10_warc"] = warc.page_derivatives_sql(PAGE_DATE)
+
+
+@query
+def op11_prefix_free(spark, sf_dir):
+    return prefix_free.collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_prefix_free"] = prefix_free.SQL
