@@ -2,6 +2,8 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from twinsieve.llm import prefix_free
@@ -62,22 +64,46 @@ def test_brute_force(spark, rows):
 def test_routes_agree(spark, rows, monkeypatch):
     df = spark.createDataFrame(rows, "text string, lang string")
     want = sorted(map(tuple, prefix_free.collocations(df, 5).collect()))
-    for name, value in (("HASHES", 0), ("HELD", 300), ("PARSED", 40), ("TRIGGER", 1)):
+    for name, value in (("HASHES", 0), ("HELD", 300), ("SCANNED", 40), ("TRIGGER", 1)):
         monkeypatch.setattr(prefix_free, name, value)
         assert sorted(map(tuple, prefix_free.collocations(df, 5).collect())) == want
 
 
-def test_chunks_own_each_phrase_once(words):
-    for n in (1, 2, 3, 10, 200):
-        flow = [w.encode() for w in words(n, n)]
-        found = list(prefix_free.chunks(flow, prefix_free._Triggers()))
-        owned = [c.split(b" ")[: len(c.split(b" ")) - behind] for c, behind in found]
-        assert [w for c in owned for w in c] == flow
-        assert all(behind <= 2 for _, behind in found)
+def parse(text):
+    _, found, behind = prefix_free.chunks(pa.array([text.encode()], pa.binary()))
+    return [(c.split(), int(k)) for c, k in zip(found, behind)]
+
+
+def test_chunks_own_each_word_once(words):
+    for n in (0, 1, 2, 3, 10, 500):
+        flow = words(n, n + 1)
+        found = parse(" ".join(flow))
+        assert [w.decode() for c, k in found for w in c[: len(c) - k]] == flow and all(k <= 2 for _, k in found)
     # Equal passages are cut equally, whatever stands around them.
-    passage = [w.encode() for w in words(60, 9)]
-    inside = [{c for c, _ in prefix_free.chunks([b"x"] * k + passage + [b"y"] * k, prefix_free._Triggers())} for k in (0, 1, 5)]
-    assert len(inside[0] & inside[1] & inside[2]) >= len(inside[0]) - 2
+    passage = " ".join(words(300, 9))
+    inside = [{b" ".join(c) for c, _ in parse(text)} for text in (passage, "x " + passage + " y y y", passage + ". " + passage)]
+    assert len(inside[0]) > 8 and len(inside[0] & inside[1] & inside[2]) >= len(inside[0]) - 2
+
+
+def test_hashes_are_of_the_words_alone(words):
+    flow = [*words(50, 2), "é" * 400, "é" * 399 + "e", "a", "aa", ""]
+    texts = [" ".join(flow), "\n".join(reversed(flow)), *flow]
+    data = "".join(texts).encode()
+    bounds = np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
+    found = prefix_free.scanned(np.frombuffer(data, np.uint8), bounds)
+    of = {}
+    for row, start, h in zip(found.row, found.start, found.hash):
+        of.setdefault(texts[row].encode()[start:].split()[0], set()).add(int(h))
+    assert set(of) == {w.encode() for w in flow if w} and all(len(x) == 1 for x in of.values())
+    assert len({next(iter(x)) for x in of.values()}) == len(of)
+    assert len(found.row) == 3 * (len(flow) - 1)
+
+
+def test_bit_table_has_what_was_put_in():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2)
+    table = prefix_free.likely_of(h)
+    assert table.has(h).all() and table.has(h + np.uint64(1 << 60)).mean() < 0.1
+    assert not prefix_free.likely_of(h[:0]).has(h).any()
 
 
 def test_repeated_passages_are_parsed_once(spark, words):

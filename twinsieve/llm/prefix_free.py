@@ -1,22 +1,21 @@
 """Collocations, counted on a prefix-free parse.
 
-A piece of text is cut in front of its trigger words, which are chosen by a hash of the word alone. A chunk goes on for up to
+A text is cut in front of its trigger words, which are chosen by a hash of the word alone. A chunk goes on for up to
 LONGEST - 1 words behind its end, so that every phrase lies whole in some chunk, and owns the phrases that begin before
 its end, so that the words in which chunks overlap count once. Equal passages are cut equally wherever they stand:
 the different chunks form a dictionary with the number of times each was parsed, and phrases are counted inside the
 dictionary's chunks, weighted by these numbers, not in the texts.
 
 Words and pairs are counted by 64-bit hash first. Equal hashes only add up, so what stays below the least count there is no
-candidate nor part of one, and of longer phrases only those need counting whose pairs are all left. The list
-of hashes is sent to the tasks if its measured size allows; beyond that all phrases are counted. Either way the counts that
-follow are of the words themselves and exact.
+candidate nor part of one, and of longer phrases only those need counting whose pairs are all left. A bit table
+of those hashes is sent to the tasks if their measured number allows; beyond that all phrases are counted. Either way the
+counts that follow are of the words themselves and exact.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,188 +24,248 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.groups import lookup
 from ..session import materialize
 from .base import kept
 
 LONGEST = 3  # words of a phrase, at most
-TRIGGER = 8  # one word in so many begins a chunk
+TRIGGER = 16  # one different word in so many begins a chunk
 LEAST = 10  # occurrences of a candidate
 SHARE = 50  # percent of a phrase's occurrences in one longer phrase that take it out
 TOP = 2000  # phrases reported for each language
 NO_LANG = "und"
-PARSED = 300_000  # different chunks that a task holds
-HELD = 2_000_000  # words whose phrases a task counts at once
-HASHES = 4 << 20  # hashes that are sent to the tasks, 8 bytes each
+SCANNED = 2 << 20  # bytes of text that are scanned at once
+HELD = 16 << 20  # bytes of chunks whose phrases a task counts at once
+HASHES = 4 << 20  # hashes in a bit table that is sent to the tasks, 4 bytes each
 
+SPACE, END = 32, 10
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes.maketrans(_CAPITALS + _ENDS + b"\t", _CAPITALS.lower() + b"\n" * len(_ENDS) + b" ")
-
-
-class _Triggers(dict):
-    def __missing__(self, word: bytes) -> bool:
-        found = zlib.crc32(word) % TRIGGER == 0
-        if len(self) < PARSED:
-            self[word] = found
-        return found
-
-
-def pieces(text: bytes) -> Iterator[list[bytes]]:
-    """The words of each piece in ASCII lower case; pieces without words go."""
-    return filter(None, map(bytes.split, text.translate(_PLAIN).split(b"\n")))
-
-
-def chunks(words: list[bytes], triggers: dict[bytes, bool]) -> Iterator[tuple[bytes, int]]:
-    """The chunks of a piece, with the number of words behind each chunk's end."""
-    starts = [at for at, found in enumerate(map(triggers.__getitem__, words)) if found and at]
-    first = 0
-    for end in (*starts, len(words)):
-        inside = words[first : end + LONGEST - 1]
-        yield b" ".join(inside), len(inside) - (end - first)
-        first = end
+_FAR = 255  # bytes of a word from here on share a factor
+_FACTORS = np.cumprod(np.full(_FAR + 1, 0x9E3779B97F4A7C15, np.uint64))
+
+
+class Words(NamedTuple):
+    row: np.ndarray  # of the text that a word is in
+    start: np.ndarray  # its first byte, counted from its text's
+    hash: np.ndarray  # 64 bits of its bytes
+    joined: np.ndarray  # whether it follows the word before in one piece
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def scanned(data: np.ndarray, bounds: np.ndarray) -> Words:
+    """The words of texts that lie one behind the other; words end at spaces, pieces at line ends."""
+    parts, first = [], 0
+    while first < len(bounds) - 1:
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + SCANNED, "right")) - 1)
+        parts.append(_scanned(data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first], first))
+        first = last
+    return Words(*(np.concatenate(x) for x in zip(*parts))) if parts else Words(*(np.zeros(0, kind) for kind in (np.int64, np.int64, np.uint64, bool)))
+
+
+def _scanned(data: np.ndarray, bounds: np.ndarray, first_row: int) -> Words:
+    end = data == END
+    inside = ~(end | (data == SPACE))
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    heads = bounds[:-1][bounds[:-1] < bounds[1:]]
+    first[heads] = inside[heads]
+    start = np.flatnonzero(first)
+    if not len(start):
+        return Words(*(np.zeros(0, kind) for kind in (np.int64, np.int64, np.uint64, bool)))
+    far = np.arange(start[0], len(data), dtype=np.int32) - np.repeat(start, np.diff(start, append=len(data))).astype(np.int32)
+    value = _FACTORS[np.minimum(far, _FAR)] * (data[start[0] :].astype(np.uint64) + np.uint64(1))
+    value[~inside[start[0] :]] = 0
+    h = mixed(np.add.reduceat(value, start - start[0]))
+    row = np.searchsorted(bounds, start, "right") - 1
+    ends = np.cumsum(end, dtype=np.int32)[start]
+    joined = np.r_[False, (row[1:] == row[:-1]) & (ends[1:] == ends[:-1])]
+    return Words(row + first_row, start - bounds[row], h, joined)
+
+
+def _bytes(texts: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The bytes of binary values, one behind the other, and where each begins and the last one ends."""
+    if not len(texts):
+        return b"", np.zeros(1, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    return (data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if data is not None else b""), offsets - offsets[0]
+
+
+def chunks(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The chunks of texts, given as binary values: the row that each is in, its bytes and the number of its words that stand
+    behind its end."""
+    data, bounds = _bytes(texts)
+    data = data.translate(_PLAIN)
+    words = scanned(np.frombuffer(data, np.uint8), bounds)
+    n = len(words.row)
+    if not n:
+        return np.zeros(0, np.int64), [], np.zeros(0, np.int64)
+    new = np.r_[True, words.row[1:] != words.row[:-1]]
+    first = np.flatnonzero(new | ((words.hash >> np.uint64(32)) % np.uint64(TRIGGER) == 0))
+    row = words.row[first]
+    after = np.r_[first[1:], n]
+    last = np.searchsorted(words.row, row, "right")  # words up to the end of the text
+    reach = np.minimum(after + LONGEST - 1, last)
+    begin = bounds[words.row] + words.start
+    # Up to the next word, or to the end of the text.
+    stop = np.where(reach < last, np.r_[begin, len(data)][reach], bounds[row + 1])
+    return row, [data[a:b] for a, b in zip(begin[first].tolist(), stop.tolist())], reach - after
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    triggers = _Triggers()
-    found: dict[tuple[str, int, bytes], int] = defaultdict(int)
-
-    def rows() -> pa.RecordBatch:
-        langs, behind, inside = zip(*found) if found else ((), (), ())
-        out = pa.RecordBatch.from_pydict({
-            "lang": pa.array(langs, pa.string()), "chunk": pa.array(inside, pa.binary()).cast(pa.string()), "behind": pa.array(behind, pa.int32()),
-            "n": pa.array(list(found.values()), pa.int64()),
-        })
-        found.clear()
-        return out
-
     for batch in batches:
-        for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
-            for words in pieces(text.as_py()):
-                for chunk, behind in chunks(words, triggers):
-                    found[lang, behind, chunk] += 1
-                if len(found) > PARSED:
-                    yield rows()
-    yield rows()
+        ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)
+        first = 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 4 * SCANNED, "right")))
+            part = batch.slice(first, last - first)
+            row, found, behind = chunks(part["text"])
+            yield pa.RecordBatch.from_pydict({
+                "lang": part["lang"].take(pa.array(row)), "chunk": pc.ascii_rtrim_whitespace(pa.array(found, pa.binary()).cast(pa.string())), "behind": pa.array(behind, pa.int32()),
+            })
+            first = last
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
     """(lang, chunk, behind, n): the different chunks of (text, lang), with the number of times each was parsed."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("binary").alias("text")).filter("text is not null")
-    found = rows.mapInArrow(_parsed, "lang string, chunk string, behind int, n bigint")
-    return found.groupBy("lang", "chunk", "behind").agg(F.sum("n").alias("n"))
+    found = rows.mapInArrow(_parsed, "lang string, chunk string, behind int")
+    return found.groupBy("lang", "chunk", "behind").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- counting
 
 
-class _Held:
-    """Chunks as word numbers, until enough are there to be counted together."""
-
-    def __init__(self) -> None:
-        self.numbers: dict[str, dict[bytes, int]] = defaultdict(dict)
-        self.words: list[bytes] = []
-        self.langs: list[str] = []
-        self.flow: list[int] = []
-        self.chunks: list[tuple[int, int, int]] = []  # words, owned words, times
-
-    def add(self, lang: str, chunk: bytes, behind: int, n: int) -> None:
-        known = self.numbers[lang]
-        words = chunk.split(b" ")
-        for word in words:
-            number = known.get(word)
-            if number is None:
-                known[word] = number = len(self.words)
-                self.words.append(word)
-                self.langs.append(lang)
-            self.flow.append(number)
-        self.chunks.append((len(words), len(words) - behind, n))
-
-    def counted(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each number of words: the different phrases (phrase, word) and their counts."""
-        flow, total = np.array(self.flow, np.int64), len(self.words)
-        length, owned, n = np.array(self.chunks, np.int64).T
-        place = np.arange(len(flow)) - np.repeat(np.cumsum(length) - length, length)
-        left, mine, times = np.repeat(length, length) - place, place < np.repeat(owned, length), np.repeat(n, length)
-        phrases, counts = [], []
-        key, heads = flow, np.zeros((0, 0), np.int64)
-        for size in range(1, LONGEST + 1):
-            if size > 1:
-                # A phrase's number is that of its words but the last, followed by the last.
-                key = group * total + np.r_[flow[size - 1 :], np.zeros(size - 1, np.int64)][: len(flow)]
-            whole = left >= size
-            found, inverse = np.unique(key[whole], return_inverse=True)
-            group = np.zeros(len(flow), np.int64)
-            group[whole] = inverse
-            heads = found[:, None] if size == 1 else np.c_[heads[found // total], found % total]
-            counts.append(np.bincount(inverse, np.where(mine, times, 0)[whole], len(found)).astype(np.int64))
-            phrases.append(heads)
-        return phrases, counts
+class _Held(NamedTuple):
+    """Chunks that are counted together."""
+
+    langs: pa.Array
+    lang: np.ndarray  # of each word, as a place in langs
+    words: Words
+    times: np.ndarray  # of each word's chunk; 0 where another chunk owns the word
+
+    def follows(self, size: int) -> np.ndarray:
+        """Where phrases of ``size`` words begin."""
+        found = np.ones(len(self.times), bool)
+        for k in range(1, size):
+            found[: len(found) - k] &= self.words.joined[k:]
+            found[len(found) - k :] = False
+        return found
 
     def hashes(self) -> np.ndarray:
-        """A hash of each word and its language."""
-        return np.array([xxhash.xxh64_intdigest(word, xxhash.xxh32_intdigest(lang)) for lang, word in zip(self.langs, self.words)], np.uint64)
+        """Of each word and its language."""
+        of = np.array([xxhash.xxh64_intdigest(lang) for lang in self.langs.to_pylist()], np.uint64)
+        return mixed(self.words.hash + of[self.lang]) if len(of) else self.words.hash
+
+    def pairs(self, h: np.ndarray) -> np.ndarray:
+        """Of each word and the next; at the end of a piece it means nothing."""
+        return mixed(h + np.uint64(0x94D049BB133111EB)) + np.r_[h[1:], h[:1]]
 
 
-def _mixed(words: np.ndarray, phrases: np.ndarray) -> np.ndarray:
-    """A hash of each phrase from those of its words."""
-    h = words[phrases[:, 0]]
-    for at in range(1, phrases.shape[1]):
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[phrases[:, at]]
-    return h
+def _held(rows: pa.Table) -> _Held:
+    lang = rows["lang"].combine_chunks().dictionary_encode()
+    data, bounds = _bytes(rows["chunk"].combine_chunks())
+    words = scanned(np.frombuffer(data, np.uint8), bounds)
+    count = np.bincount(words.row, minlength=rows.num_rows)
+    place = np.arange(len(words.row)) - (np.cumsum(count) - count)[words.row]
+    mine = place < (count - rows["behind"].to_numpy())[words.row]
+    return _Held(lang.dictionary, lang.indices.to_numpy()[words.row], words, np.where(mine, rows["n"].to_numpy()[words.row], 0))
 
 
-def _by_held(make):
+def _by_held(make: Callable[[_Held, pa.Table], pa.RecordBatch]):
     """Apply ``make`` to the chunks of a dictionary, many at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held()
+        rows, size = [], 0
         for batch in batches:
-            for lang, chunk, behind, n in zip(batch["lang"].to_pylist(), batch["chunk"].cast(pa.binary()).to_pylist(), batch["behind"].to_pylist(), batch["n"].to_pylist()):
-                held.add(lang, chunk, behind, n)
-                if len(held.flow) >= HELD:
-                    yield make(held)
-                    held = _Held()
-        if held.flow:
-            yield make(held)
+            rows.append(batch)
+            size += batch["chunk"].nbytes
+            if size >= HELD:
+                table = pa.Table.from_batches(rows)
+                yield make(_held(table), table)
+                rows, size = [], 0
+        if rows:
+            table = pa.Table.from_batches(rows)
+            yield make(_held(table), table)
 
     return run
 
 
-def _hash_counts(held: _Held) -> pa.RecordBatch:
-    words = held.hashes()
-    phrases, counts = held.counted()
-    h = np.concatenate([_mixed(words, p) for p in phrases[: LONGEST - 1]])
-    n = np.concatenate(counts[: LONGEST - 1])
-    return pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "n": pa.array(n)})
-
-
-def _phrase_counts(left):
-    """Counts of the phrases that ``left``, sorted hashes, does not rule out."""
-
-    def make(held: _Held) -> pa.RecordBatch:
-        words, texts, langs = held.hashes(), pa.array(held.words, pa.binary()).cast(pa.string()), pa.array(held.langs, pa.string())
-        out = []
-        phrases, counts = held.counted()
-        for found, n in zip(phrases, counts):
-            size = found.shape[1]
-            if left is not None:
-                parts = [found] if size < LONGEST else [found[:, :-1], found[:, 1:]]
-                keep = n > 0
-                for part in parts:
-                    h = _mixed(words, part)
-                    keep &= left.value[np.searchsorted(left.value, h).clip(0, max(0, len(left.value) - 1))] == h if len(left.value) else False
-            else:
-                keep = n > 0
-            found, n = found[keep], n[keep]
-            joined = pc.binary_join_element_wise(*[texts.take(pa.array(column)) for column in found.T], " ") if size > 1 else texts.take(pa.array(found[:, 0]))
-            out.append(pa.table({"lang": langs.take(pa.array(found[:, 0])), "phrase": joined, "size": pa.array(np.full(len(n), size, np.int32)), "n": pa.array(n)}))
-        totals: dict[str, int] = defaultdict(int)
-        for word, n in zip(phrases[0][:, 0].tolist(), counts[0].tolist()):
-            totals[held.langs[word]] += n
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and the sums of their numbers; most numbers are 1, and those need no order of places."""
+    once = np.sort(key[n == 1])
+    first = np.flatnonzero(np.r_[True, once[1:] != once[:-1]]) if len(once) else np.zeros(0, np.int64)
+    more, inverse = np.unique(key[n > 1], return_inverse=True)
+    found = np.r_[once[first], more]
+    sums = np.r_[np.diff(first, append=len(once)), np.bincount(inverse, n[n > 1], len(more)).astype(np.int64)]
+    return found, sums
+
+
+def _hash_counts(held: _Held, rows: pa.Table) -> pa.RecordBatch:
+    h = held.hashes()
+    two = held.follows(2)
+    parts = [_summed(h, held.times), _summed(held.pairs(h)[two], held.times[two])]
+    found, n = (np.concatenate(x) for x in zip(*parts))
+    return pa.RecordBatch.from_pydict({"h": pa.array(found.view(np.int64)), "n": pa.array(n)})
+
+
+class Likely(NamedTuple):
+    """A bit for each value of a hash's first bits, with at least 32 bits for each hash."""
+
+    bits: np.ndarray
+    shift: np.uint64
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = h >> self.shift
+        return ((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).astype(bool)
+
+
+def likely_of(hashes: np.ndarray) -> Likely:
+    width = max(3, int(32 * max(1, len(hashes)) - 1).bit_length())
+    at = (hashes >> np.uint64(64 - width)).astype(np.int64)
+    bits = np.zeros(1 << (width - 3), np.uint8)
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return Likely(bits, np.uint64(64 - width))
+
+
+def _phrase_counts(likely):
+    """Counts of the phrases that ``likely`` does not rule out, and of all words of each language."""
+
+    def make(held: _Held, rows: pa.Table) -> pa.RecordBatch:
+        words = pc.list_flatten(pc.ascii_split_whitespace(rows["chunk"].combine_chunks().cast(pa.string())))
+        coded = words.filter(pc.greater(pc.binary_length(words), 0)).dictionary_encode()
+        ids, texts = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        alive, pairs = np.ones(len(ids), bool), None
+        if likely is not None:
+            h = held.hashes()
+            alive, pairs = likely.value.has(h), likely.value.has(held.pairs(h))
+        out, total = [], max(1, len(texts))
+        group, heads = held.lang.astype(np.int64), np.zeros((len(held.langs), 0), np.int64)
+        for size in range(1, LONGEST + 1):
+            if size > 1 and pairs is not None:
+                # A false positive of the table may stand behind a word that is ruled out.
+                alive &= np.r_[pairs[size - 2 :], np.zeros(size - 2, bool)][: len(ids)]
+            at = np.flatnonzero(alive & held.follows(size))
+            # A phrase's number is that of its words but the last, followed by the last.
+            found, inverse = np.unique(group[at] * total + ids[at + size - 1], return_inverse=True)
+            before = found // total
+            group = np.zeros(len(ids), np.int64)
+            group[at] = inverse
+            heads = np.c_[heads[before] if size > 1 else before[:, None], found % total]
+            n = np.bincount(inverse, held.times[at], len(found)).astype(np.int64)
+            some = np.flatnonzero(n)
+            parts = [texts.take(pa.array(column[some])) for column in heads[:, 1:].T]
+            out.append(pa.table({
+                "lang": held.langs.take(pa.array(heads[some, 0])), "phrase": pc.binary_join_element_wise(*parts, " "),
+                "size": pa.array(np.full(len(some), size, np.int32)), "n": pa.array(n[some]),
+            }))
+        sums = np.bincount(held.lang, held.times, len(held.langs)).astype(np.int64)
         out.append(pa.table({
-            "lang": pa.array(list(totals), pa.string()), "phrase": pa.array([""] * len(totals), pa.string()), "size": pa.array([0] * len(totals), pa.int32()),
-            "n": pa.array(list(totals.values()), pa.int64()),
+            "lang": held.langs, "phrase": pa.array([""] * len(held.langs), pa.string()), "size": pa.array([0] * len(held.langs), pa.int32()), "n": pa.array(sums),
         }))
         return pa.concat_tables(out).combine_chunks().to_batches()[0]
 
@@ -216,13 +275,14 @@ def _phrase_counts(left):
 def phrase_counts(parsed: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, size, n): phrases of up to LONGEST words that occur at least ``least`` times; the empty phrase stands
     for all word occurrences of a language."""
-    hashed = parsed.mapInArrow(_by_held(_hash_counts), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    likely = materialize(hashed.filter(F.col("n") >= least).select("h"), "likely", columnar=True)
-    left = None
-    if likely.rows <= HASHES:
-        left = parsed.sparkSession.sparkContext.broadcast(np.sort(likely.df.toArrow()["h"].to_numpy().view(np.uint64)))
-    found = parsed.mapInArrow(_by_held(_phrase_counts(left)), "lang string, phrase string, size int, n bigint")
-    return found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("size") == 0))
+    rows = parsed.select("lang", F.col("chunk").cast("binary").alias("chunk"), "behind", "n")
+    hashed = rows.mapInArrow(_by_held(_hash_counts), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    found = materialize(hashed.filter(F.col("n") >= least).select("h"), "likely", columnar=True)
+    likely = None
+    if found.rows <= HASHES:
+        likely = parsed.sparkSession.sparkContext.broadcast(likely_of(found.df.toArrow()["h"].to_numpy().view(np.uint64)))
+    counts = rows.mapInArrow(_by_held(_phrase_counts(likely)), "lang string, phrase string, size int, n bigint")
+    return counts.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("size") == 0))
 
 
 # ---------------------------------------------------------------- scores
@@ -248,7 +308,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int
     cuts = cuts.withColumn("left_part", first).withColumn("right_part", F.expr("substring(phrase, char_length(left_part) + 2)"))
     for side, count in (("left_part", "l"), ("right_part", "r")):
         parts = counts.filter(F.col("size").between(1, LONGEST - 1)).select("lang", F.col("phrase").alias(side), F.col("n").alias(count))
-        cuts = lookup(cuts, parts, ["lang", side], ["phrase", "k"], "inner")
+        # Counts have one row for each part, so the phrases of a hot part can be split over tasks.
+        cuts = cuts.join(parts, ["lang", side])
     scored = cuts.withColumn("score", cut_score("a", "l", "r"))
     lowest = scored.groupBy("lang", "phrase", "size", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     # Every phrase inside a longer one is the longer one without its first or its last word, or inside such a phrase.
