@@ -35,6 +35,7 @@ TOP = 2000  # phrases reported for each language
 NO_LANG = "und"
 SCANNED = 2 << 20  # bytes of text that are scanned at once
 HELD = 16 << 20  # bytes of chunks whose phrases a task counts at once
+PARTS = 16  # in which a language's phrases are ranked first
 HASHES = 4 << 20  # hashes in a bit table that is sent to the tasks, 4 bytes each
 
 SPACE, END = 32, 10
@@ -320,8 +321,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int
     around = phrases.filter("size > 2").select("lang", "a", F.inline(inner)).groupBy("lang", "inner_phrase").agg(F.max("a").alias("longer"))
     joined = lowest.join(around.withColumnRenamed("inner_phrase", "phrase"), ["lang", "phrase"], "left")
     free = joined.filter(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
-    best = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = free.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    order = [F.desc("cut.score"), F.desc("a"), F.col("phrase")]
+    # A language's best are among the best of its parts; so one task ranks a bounded number, however many phrases there are.
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order)
+    likely = free.withColumn("place", F.row_number().over(part)).filter(F.col("place") <= top)
+    ranked = likely.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     totals = counts.filter("size = 0").select("lang", "n")
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
 
