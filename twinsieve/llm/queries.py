@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown, byte_cnn, chosen_path, language_id, licences, packing, prefix_free, sentencepieces, spelling_trie, syncmers, top_k, warc
+from . import brown, byte_cnn, chosen_path, kneser_ney, language_id, licences, packing, prefix_free, sentencepieces, spelling_trie, syncmers, top_k, warc
 from .base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,11 @@ def op11_prefix_free(spark, sf_dir):
 SQL["op11_prefix_free"] = prefix_free.SQL
 
 
+@query
+def op12_kneser_ney(spark, sf_dir):
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op13_spelling_trie(spark, sf_dir):
     return spelling_trie.variants(table(spark, sf_dir, "documents"))
