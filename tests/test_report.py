@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from twinsieve import ScanSettings, previous_hashes, read_report, scan, validate, write_report
 from twinsieve.plans.validate import copy_states, folder_copy_states
-from twinsieve.sources import report
+from twinsieve.sources import publishing, report
 from twinsieve.sources.inventory import Catalog
 
 from support import SAVED_US
@@ -200,6 +200,59 @@ def test_what_a_failed_write_left_is_never_published(spark, tree, tmp_path):
         read_report(spark, at, 3)
 
 
+def test_a_crash_before_publishing_leaves_no_version(spark, tmp_path, monkeypatch):
+    at = f"file:{tmp_path}/r"
+    copies = file_rows(spark, [("1", "f", "/x/a", 0, 0, 3, "A" * 32), ("1", "f", "/x/b", 0, 0, 3, "A" * 32)])
+    assert write_report(spark, at, sets_of(copies), copies) == 1
+
+    def crash(*args):
+        raise KeyboardInterrupt
+
+    for step in ("claim", "publish"):
+        with monkeypatch.context() as broken:
+            broken.setattr(report, step, crash)
+            with pytest.raises(KeyboardInterrupt):
+                write_report(spark, at, sets_of(copies), copies)
+        assert report.versions(spark, at) == [1] and read_report(spark, at).file_copies.count() == 2
+    # The second crash has claimed number 2, which is never used.
+    assert write_report(spark, at, sets_of(copies), copies) == 3 and report.versions(spark, at) == [1, 3]
+
+
+def test_an_empty_marker_is_no_version(spark, tmp_path):
+    at = f"file:{tmp_path}/r"
+    copies = file_rows(spark, [("1", "f", "/x/a", 0, 0, 3, "A" * 32), ("1", "f", "/x/b", 0, 0, 3, "A" * 32)])
+    write_report(spark, at, sets_of(copies), copies)
+    (tmp_path / "r/v=2").mkdir()
+    (tmp_path / "r/v=2/_PUBLISHED").touch()
+    assert report.versions(spark, at) == [1]
+    assert write_report(spark, at, sets_of(copies), copies) == 3 and read_report(spark, at).file_sets.count() == 1
+
+
+def test_of_two_writers_one_fails(spark, tmp_path, monkeypatch):
+    at = f"file:{tmp_path}/r"
+    copies = file_rows(spark, [("1", "f", "/x/a", 0, 0, 3, "A" * 32), ("1", "f", "/x/b", 0, 0, 3, "A" * 32)])
+    plain, others = report.write_settings, []
+
+    def meanwhile(*args):
+        plain(*args)
+        if not others:
+            others.append(None)
+            others.append(write_report(spark, at, sets_of(copies), copies))
+
+    monkeypatch.setattr(report, "write_settings", meanwhile)
+    with pytest.raises(publishing.Conflict):
+        write_report(spark, at, sets_of(copies), copies)
+    assert others == [None, 1] and report.versions(spark, at) == [1]
+    # And one that has the same number in hand, but not yet published.
+    publishing.claim(spark, f"{at}/first")
+    with pytest.raises(publishing.Conflict):
+        publishing.claim(spark, f"{at}/first")
+    publishing.publish(spark, f"{at}/second", {"a": 1})
+    with pytest.raises(publishing.Conflict):
+        publishing.publish(spark, f"{at}/second", {"a": 2})
+    assert publishing.read_published(spark, f"{at}/second") == {"a": 1}
+
+
 def test_old_versions_go_on_request(spark, tmp_path):
     at = f"file:{tmp_path}/r"
     copies = file_rows(spark, [("1", "f", "/x/a", 0, 0, 3, "A" * 32), ("1", "f", "/x/b", 0, 0, 3, "A" * 32)])

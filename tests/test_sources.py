@@ -1,12 +1,16 @@
 """Inventories, file trees, object contents and streams of drops."""
 
+import json
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from twinsieve import find_duplicate_files, find_duplicate_folders, load_catalog, read_report, scan_tree
 from twinsieve.sources import report
+from twinsieve.streaming import buckets, rescan
+from twinsieve.streaming.buckets import inventory, load_state
 from twinsieve.streaming.rescan import apply_drop, start_rescans
 
 from support import SAVED_US
@@ -133,6 +137,89 @@ def test_stream_of_drops(spark, tmp_path):
     assert len(read_report(spark, at, 2).file_sets.collect()) == 1
 
 
+def buckets_of(tmp_path, batch):
+    return {int(k): [at for at, _ in parts] for k, parts in json.loads((tmp_path / f"state/batch={batch}/_COMPLETE").read_text())["parts"].items()}
+
+
+def report_parts(spark, at, version):
+    return report.published(spark, at, version)["parts"]
+
+
+def test_a_drop_touches_the_buckets_of_its_names_alone(spark, tmp_path, monkeypatch):
+    state, at = f"file:{tmp_path}/state", f"file:{tmp_path}/report"
+    everything = {}
+
+    def drop(batch, *files, deleted=()):
+        for p, c, s, n in files:
+            everything[p] = (c, s, n)
+        gone = rows(spark, *[(p, None, 0, 1) for p in deleted]).withColumn("deleted", F.lit(True))
+        for p in deleted:
+            everything.pop(p)
+        apply_drop(rows(spark, *files).withColumn("deleted", F.lit(False)).unionByName(gone), batch, state, at, tz="UTC", buckets=16)
+        groups = Counter((p.rsplit("/", 1)[1], *v) for p, v in everything.items())
+        assert published(spark, at) == sorted((name, n) for (name, *_), n in groups.items() if n > 1)
+        stored = inventory(spark, load_state(spark, state, batch))
+        assert sorted(r.path for r in stored.collect()) == sorted(f"/d/{p}" for p in everything)
+
+    drop(0, *[(f"{d}/f{i}", str(i % 3), 0, 1) for d in "abc" for i in range(40)])
+    before, first = buckets_of(tmp_path, 0), report_parts(spark, at, 1)
+    assert len(before) > 10 and set(map(int, first["file_sets"])) == set(before)
+    drop(1, ("d/f1", "1", 0, 1), ("a/f2", "changed", 7, 1), deleted=["b/f3"])
+    after, second = buckets_of(tmp_path, 1), report_parts(spark, at, 2)
+    touched = {k for k in after if after[k] != before.get(k)}
+    assert 1 <= len(touched) <= 3 and all(len(after[k]) == 2 for k in touched)
+    for table in ("file_sets", "file_copies"):
+        assert {int(k) for k in second[table] if second[table][k] != first[table].get(k)} == touched
+    # Deltas are merged after a while, and what no state has any more goes; so do old versions, but for the buckets still in use.
+    monkeypatch.setattr(buckets, "DELTAS", 2)
+    for batch in range(2, 6):
+        drop(batch, (f"e{batch}/f1", "1", 0, 1), ("d/f1", str(batch), batch, 1))
+    last = buckets_of(tmp_path, 5)
+    assert max(map(len, last.values())) <= 3 and any("/base/" in at for parts in last.values() for at in parts)
+    assert not (tmp_path / "state/batch=2/_COMPLETE").exists()
+    want = published(spark, at)
+    assert report.prune(spark, at, 1) == [1, 2, 3, 4, 5] and report.versions(spark, at) == [6]
+    assert published(spark, at) == want and (tmp_path / "report/v=1").exists() and not (tmp_path / "report/v=4").exists()
+    drop(6, deleted=[p for p in everything if p.endswith("/f5")])
+
+
+def test_a_lost_bucket_is_an_error(spark, tmp_path):
+    state, at = f"file:{tmp_path}/state", f"file:{tmp_path}/report"
+    apply_drop(rows(spark, ("a/f", "1", 0, 1), ("b/f", "1", 0, 1)), 0, state, at)
+    (folder,), = buckets_of(tmp_path, 0).values()
+    for part in (tmp_path / "state" / folder).glob("*.parquet"):
+        part.unlink()
+    with pytest.raises(FileNotFoundError, match="damaged"):
+        apply_drop(rows(spark, ("c/f", "1", 0, 1)), 1, state, at)
+    assert published(spark, at) == [("f", 2)]
+
+
+def test_a_batch_that_lost_its_report_is_finished(spark, tmp_path, monkeypatch):
+    state, at = f"file:{tmp_path}/state", f"file:{tmp_path}/report"
+    apply_drop(rows(spark, ("a/f", "1", 0, 1), ("b/f", "1", 0, 1)), 0, state, at)
+    second = rows(spark, ("c/f", "1", 0, 1), ("a/g", "1", 0, 1), ("b/g", "1", 0, 1))
+
+    def crash(*args):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as broken:
+        broken.setattr(rescan, "write_report", crash)
+        with pytest.raises(KeyboardInterrupt):
+            apply_drop(second, 1, state, at)
+    apply_drop(second, 1, state, at)
+    assert published(spark, at) == [("f", 3), ("g", 2)] and report.versions(spark, at) == [1, 2]
+
+
+def test_an_empty_drop_keeps_the_sets(spark, tmp_path):
+    state, at = f"file:{tmp_path}/state", f"file:{tmp_path}/report"
+    for batch in (0, 1):
+        apply_drop(rows(spark), batch, state, at)
+    assert published(spark, at) == []
+    apply_drop(rows(spark, ("a/f", "1", 0, 1), ("b/f", "1", 0, 1)), 2, state, at)
+    apply_drop(rows(spark), 3, state, at)
+    assert published(spark, at) == [("f", 2)]
+
+
 def test_a_lost_inventory_is_an_error(spark, tmp_path):
     state, at = f"file:{tmp_path}/state", f"file:{tmp_path}/report"
     apply_drop(rows(spark, ("a/f", "1", 0, 1), ("b/f", "1", 0, 1)), 0, state, at)

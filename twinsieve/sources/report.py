@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
 import re
 import uuid
 from dataclasses import dataclass, field
 from functools import partial
-from typing import NamedTuple
+from typing import Collection, NamedTuple, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from ..operators.groups import join_groups
 from ..operators.ranking import copy_rank
 from ..operators.sets import Copies
 from ..session import together
+from .publishing import Conflict, children, claim, delete, is_published, publish, read_published
 
 FILE_SETS_SCHEMA = (
     "set_id string, file_name string, local_us bigint, utc_offset_s int, size_bytes bigint, md5 string, copies bigint"
@@ -40,6 +40,10 @@ _SCHEMAS = {
     "folder_copies": FOLDER_COPIES_SCHEMA,
 }
 _PUBLISHED = "_PUBLISHED"
+_CLAIMED = "_CLAIMED"
+BUCKET = "bucket"
+BUCKET_ROWS = 1_000_000  # rows of a table that go to one file, about
+_BUCKETED = ("file_sets", "file_copies")
 _VERSION = re.compile(r"^v=(\d+)$")
 
 
@@ -51,6 +55,13 @@ class ScanSettings:
     minimum_size: int = 0
 
 
+class Touched(NamedTuple):
+    """The buckets of a report that a write gives anew, and the version that has the others."""
+
+    buckets: Collection[int]
+    version: int | None
+
+
 class Report(NamedTuple):
     """Set tables and their long copies. The folder tables are None when folders were skipped,
     and empty when none were found. Without ``utc_offset_s`` a row's time is only known as local."""
@@ -63,61 +74,52 @@ class Report(NamedTuple):
     warnings: DataFrame | None = None
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, where = _fs(spark, path)
-    return fs.exists(where)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    fs, where = _fs(spark, path)
-    fs.delete(where, True)
-
-
-def mark(spark: SparkSession, path: str) -> None:
-    """An empty file."""
-    fs, where = _fs(spark, path)
-    fs.create(where, True).close()
+def versions(spark: SparkSession, report_dir: str) -> list[int]:
+    """Published versions, oldest first. Unpublished ones are leftovers of a failed write, or still being written."""
+    return [n for n in _numbers(spark, report_dir) if is_published(spark, f"{report_dir}/v={n}/{_PUBLISHED}")]
 
 
-def versions(spark: SparkSession, report_dir: str) -> list[int]:
-    """Published versions, oldest first. Unpublished ones are leftovers of a failed write."""
-    fs, where = _fs(spark, report_dir)
-    if not fs.exists(where):
-        return []
-    return [n for n in _numbers(fs, where) if exists(spark, f"{report_dir}/v={n}/{_PUBLISHED}")]
+def _numbers(spark: SparkSession, report_dir: str) -> list[int]:
+    return sorted(int(m.group(1)) for m in map(_VERSION.match, children(spark, report_dir)) if m)
 
 
-def _numbers(fs, where) -> list[int]:
-    names = [status.getPath().getName() for status in fs.listStatus(where)]
-    return sorted(int(m.group(1)) for m in map(_VERSION.match, names) if m)
+def _taken(spark: SparkSession, report_dir: str) -> int:
+    """The highest number that a writer has claimed; with an older layout, an empty marker counts."""
+    claimed = (n for n in reversed(_numbers(spark, report_dir)) if {_CLAIMED, _PUBLISHED} & {*children(spark, f"{report_dir}/v={n}")})
+    return next(claimed, 0)
 
 
 def published(spark: SparkSession, report_dir: str, version: int) -> dict:
-    """What a version's marker says: the folder and names of its tables, and its label."""
-    fs, marker = _fs(spark, f"{report_dir}/v={version}/{_PUBLISHED}")
-    stream = fs.open(marker)
-    try:
-        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
+    """What a version's marker says: the folder and names of its tables, the buckets' folders, and its label."""
+    return read_published(spark, f"{report_dir}/v={version}/{_PUBLISHED}")
 
 
 def prune(spark: SparkSession, report_dir: str, keep: int) -> list[int]:
-    """Delete all but the last ``keep`` published versions and the leftovers of failed writes below them."""
+    """Delete all but the last ``keep`` published versions and the leftovers of failed writes below them.
+
+    Buckets that a kept version has from an earlier one stay.
+    """
     if keep < 1:
         raise ValueError(f"At least one version is kept, not {keep}.")
     known = versions(spark, report_dir)
-    fs, where = _fs(spark, report_dir)
-    gone = [n for n in _numbers(fs, where) if n < known[-keep]] if len(known) > keep else []
+    gone = [n for n in _numbers(spark, report_dir) if n < known[-keep]] if len(known) > keep else []
+    parts = (published(spark, report_dir, n).get("parts") or {} for n in known[-keep:])
+    used = {folder for tables in parts for folders in tables.values() for folder in folders.values()}
+    deleted = []
     for n in gone:
-        delete(spark, f"{report_dir}/v={n}")
-    return gone
+        if not any(folder.startswith(f"v={n}/") for folder in used):
+            delete(spark, f"{report_dir}/v={n}")
+            deleted.append(n)
+        elif n in known:
+            # Without its marker it is no version any more; tables go folder by folder.
+            delete(spark, f"{report_dir}/v={n}/{_PUBLISHED}")
+            deleted.append(n)
+        for own in children(spark, f"{report_dir}/v={n}"):
+            for table in _SCHEMAS:
+                for bucket in children(spark, f"{report_dir}/v={n}/{own}/{table}"):
+                    if f"v={n}/{own}/{table}/{bucket}" not in used:
+                        delete(spark, f"{report_dir}/v={n}/{own}/{table}/{bucket}")
+    return deleted
 
 
 def report_exists(spark: SparkSession, report_dir: str) -> bool:
@@ -157,36 +159,77 @@ def write_report(
     folder_copies: DataFrame | None = None,
     settings: ScanSettings | None = None,
     label: dict | None = None,
+    touched: Touched | None = None,
 ) -> int:
     """Write all tables of a new version, then publish it with a marker, and return its number.
 
     Tables go to a folder of their own, which the marker names together with the tables that belong to it:
-    what a failed write has left is never seen. A published version is never written again; if another
-    writer publishes the same number first, this one fails. Tables are in the shapes of the ``*_SCHEMA``
-    constants; ``label`` is kept with the version.
+    what a failed write has left is never seen. The marker is written aside and renamed, so it is seen whole or
+    not at all. A published version is never written again; if another writer has published since this one
+    began, or claims the same number first, this one fails with ``Conflict``. A number that a crashed writer has claimed is
+    left out. Tables are in the shapes of the ``*_SCHEMA`` constants; ``label`` is kept with the version.
+
+    With ``touched``, file tables have a ``bucket`` column and only the rows of those buckets; all other buckets
+    are taken over from the version named there, without being read.
     """
     settings = settings or ScanSettings()
     if settings.minimum_size < 0:
         raise ValueError(f"minimum_size is negative: {settings.minimum_size}.")
-    version = max(versions(spark, report_dir), default=0) + 1
+    base = max(versions(spark, report_dir), default=0)
+    version = max(base, _taken(spark, report_dir)) + 1
     own = uuid.uuid4().hex
-    base = f"{report_dir}/v={version}/{own}"
+    folder = f"{report_dir}/v={version}/{own}"
     tables = {"file_sets": file_sets, "file_copies": file_copies}
     if folder_sets is not None:
         tables.update(folder_sets=folder_sets, folder_copies=folder_copies)
+    bucketed = _BUCKETED if touched else ()
 
     def write(name: str) -> None:
         columns = [column.split()[0] for column in _SCHEMAS[name].split(", ")]
-        tables[name].select(*columns).write.parquet(f"{base}/{name}")
-
-    together(*[partial(write, name) for name in tables], lambda: write_settings(spark, base, settings))
-    fs, marker = _fs(spark, f"{report_dir}/v={version}/{_PUBLISHED}")
-    stream = fs.create(marker, False)
-    stream.write(bytearray(json.dumps({"folder": own, "tables": sorted(tables), "label": label}).encode()))
-    stream.close()
+        if name in bucketed:
+            write_buckets(tables[name].select(*columns, BUCKET), f"{folder}/{name}")
+        else:
+            tables[name].select(*columns).write.parquet(f"{folder}/{name}")
+
+    together(*[partial(write, name) for name in tables], lambda: write_settings(spark, folder, settings))
+    parts = {}
+    for name in bucketed:
+        earlier = {} if touched.version is None else published(spark, report_dir, touched.version)["parts"][name]
+        parts[name] = {k: at for k, at in earlier.items() if int(k) not in touched.buckets}
+        parts[name] |= {k: f"v={version}/{own}/{name}/{BUCKET}={k}" for k in written_buckets(spark, f"{folder}/{name}")}
+    if max(versions(spark, report_dir), default=0) != base:
+        raise Conflict(f"Another writer has published at '{report_dir}' meanwhile.")
+    claim(spark, f"{report_dir}/v={version}/{_CLAIMED}")
+    publish(spark, f"{report_dir}/v={version}/{_PUBLISHED}", {"folder": own, "tables": sorted(tables), "label": label, "parts": parts})
     return version
 
 
+def write_buckets(rows: DataFrame, folder: str) -> None:
+    """Rows in a folder for each ``bucket``. A bucket's rows are dealt over as many tasks as they need, so a name that many
+    files have goes to several."""
+    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != BUCKET]), F.col("share")).cast("int")
+    sizes = rows.groupBy(BUCKET).agg(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET_ROWS)).alias("share"))
+    # One row for each bucket.
+    dealt = rows.join(F.broadcast(sizes), BUCKET).withColumn("share", spread)
+    dealt.repartition(BUCKET, "share").drop("share").write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
+
+
+def written_buckets(spark: SparkSession, folder: str) -> list[str]:
+    """The numbers of the buckets that are there, as texts."""
+    return [name.split("=")[1] for name in children(spark, folder) if name.startswith(f"{BUCKET}=")]
+
+
+def read_buckets(spark: SparkSession, schema: str, folders: Sequence[str]) -> DataFrame:
+    """The rows of buckets' folders; a folder that is not there is an error."""
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def report_buckets(spark: SparkSession, report_dir: str, version: int, name: str, buckets: Collection[int]) -> DataFrame:
+    """The rows of a version's table that are in the given buckets."""
+    parts = published(spark, report_dir, version)["parts"][name]
+    return read_buckets(spark, _SCHEMAS[name], [f"{report_dir}/{at}" for k, at in sorted(parts.items()) if int(k) in buckets])
+
+
 def write_settings(spark: SparkSession, folder: str, settings: ScanSettings) -> None:
     """Settings as (setting, value) rows."""
     rows = [("exclude_name", p) for p in settings.exclude_names]
@@ -236,7 +279,11 @@ def read_report(spark: SparkSession, report_dir: str, version: int | None = None
     marker = published(spark, report_dir, number)
     base = f"{report_dir}/v={number}/{marker['folder']}"
 
+    parts = marker.get("parts") or {}
+
     def table(name: str) -> DataFrame:
+        if name in parts:
+            return read_buckets(spark, _SCHEMAS[name], [f"{report_dir}/{at}" for _, at in sorted(parts[name].items())])
         return spark.read.schema(_SCHEMAS[name]).parquet(f"{base}/{name}")
 
     has_folders = "folder_sets" in marker["tables"]

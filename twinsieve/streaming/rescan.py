@@ -17,14 +17,9 @@ from ..plans.duplicate_folders import find_duplicate_folders
 from ..session import materialize
 from ..sources.inventory import Catalog, folders_of, metadata
 from ..sources.report import (
-    ScanSettings, delete, exists, file_tables, folder_tables, mark, published, read_report, versions, write_report,
-)
-
-_COMPLETE = "_COMPLETE"
-INVENTORY_SCHEMA = (
-    "path string, folder string, name string, size_bytes bigint, mtime_us bigint, attributes int, "
-    "name_key string, saved_s bigint, md5 string"
+    BUCKET, ScanSettings, Touched, file_tables, folder_tables, published, report_buckets, versions, write_report,
 )
+from .buckets import BUCKETS, advance, bucket_of, forget, has_state, inventory, load_state, read_delta, written_delta
 
 
 def start_rescans(
@@ -40,6 +35,7 @@ def start_rescans(
     exclude_names: Sequence[str] = (),
     skip_cold: bool = False,
     include_folders: bool = False,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Process every inventory drop that has arrived, then stop (trigger ``availableNow``).
 
@@ -47,14 +43,14 @@ def start_rescans(
     without content stands for an unchanged file, whose recorded hash is kept if size and second
     agree. An optional ``deleted`` column takes files out. Names to exclude, cold files and the smallest size are
     applied as in a scan and stored with the report; with ``include_folders`` folder sets are found anew from the recorded
-    hashes after each drop.
+    hashes after each drop. Inventory and report are kept in ``buckets`` (set by the first drop) of name keys.
     """
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def apply(drop: DataFrame, batch_id: int) -> None:
-        apply_drop(drop, batch_id, state_dir, report_dir, minimum_size, tz, exclude_names, skip_cold, include_folders)
+        apply_drop(drop, batch_id, state_dir, report_dir, minimum_size, tz, exclude_names, skip_cold, include_folders, buckets)
 
     writer = reader.parquet(drops_dir).writeStream.foreachBatch(apply)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -70,29 +66,42 @@ def apply_drop(
     exclude_names: Sequence[str] = (),
     skip_cold: bool = False,
     include_folders: bool = False,
+    buckets: int = BUCKETS,
 ) -> None:
     """Update the inventory with one drop and publish the report as a new version.
 
-    Only sets of the touched name keys are computed; the others are carried over from the version that this stream
-    published last. A version is labelled with its stream and batch, so a replayed batch that was published already
-    changes nothing, and one that was not starts from the same earlier state.
+    Only the buckets that the drop's names fall into are read and written, in the inventory and in the report, and
+    only sets of the touched name keys are computed; the others are carried over from the version that this stream
+    published last. Folder sets, if included, take the whole inventory. A version is labelled with its stream and batch, so a
+    replayed batch that was published already changes nothing, and one that was not starts from the same earlier state.
+    A drop without rows publishes a version with the same sets.
     """
     spark = drop.sparkSession
     tz = tz or spark.conf.get("spark.sql.session.timeZone")
     batches = _published_batches(spark, report_dir, state_dir)
     if batch_id in batches:
         return
-    known = _inventory(spark, state_dir, batch_id - 1)
-    arrived = materialize(_arrived(drop, known), "arrived", columnar=True).df
-    kept = known.join(arrived.select("path"), "path", "left_anti")
-    now = kept.unionByName(arrived.filter("not deleted").drop("deleted"))
-    inventory = materialize(now, "inventory", folder=f"{state_dir}/batch={batch_id}").df
-    mark(spark, f"{state_dir}/batch={batch_id}/{_COMPLETE}")
-
-    catalog = exclude(Catalog(inventory, folders_of(inventory)), exclude_names)
+    state = load_state(spark, state_dir, batch_id - 1, buckets)
+    keys = drop.select(bucket_of(name_key("name"), state.buckets).alias(BUCKET)).distinct()
+    # At most as many as there are buckets.
+    touched_buckets = {row[0] for row in keys.collect()}
+    known = inventory(spark, state, touched_buckets)
+    if has_state(spark, state_dir, batch_id):
+        # The batch got as far as its inventory before.
+        arrived, after = read_delta(spark, state, batch_id), load_state(spark, state_dir, batch_id)
+    else:
+        arrived = written_delta(spark, state, batch_id, _arrived(drop, known))
+        after = advance(spark, state, batch_id)
+
     earlier = max((b for b in batches if b < batch_id), default=None)
-    # Without a version of its own to carry sets over from, every name counts as touched.
-    names = arrived if earlier is not None else inventory
+    if earlier is None:
+        # Without a version of its own to carry sets over from, every name counts as touched.
+        touched_buckets = set(range(after.buckets))
+        now = names = inventory(spark, after)
+    else:
+        now = known.join(arrived.select("path"), "path", "left_anti").unionByName(arrived.filter("not deleted").drop("deleted"))
+        names = arrived
+    catalog = exclude(Catalog(now, folders_of(now)), exclude_names)
     touched = materialize(names.select("name_key").distinct(), "touched").df
     usable = split_unreadable(min_size(catalog.files.filter("md5 is not null"), minimum_size)).kept
     if skip_cold:
@@ -100,35 +109,31 @@ def apply_drop(
     members = materialize(lookup(usable, touched, ["name_key"], ["path"]), "members", columnar=True)
     sets, copies = file_tables(file_sets(members.df, tz), file_copies(members))
     if earlier is not None:
-        previous = read_report(spark, report_dir, batches[earlier])
-        sets = sets.unionByName(_carried_over(previous.file_sets, touched))
-        copies = copies.unionByName(_carried_over(previous.file_copies, touched))
+        sets, copies = (
+            new.unionByName(_carried_over(report_buckets(spark, report_dir, batches[earlier], name, touched_buckets), touched))
+            for new, name in ((sets, "file_sets"), (copies, "file_copies"))
+        )
+    sets, copies = (t.withColumn(BUCKET, bucket_of(name_key("file_name"), after.buckets)) for t in (sets, copies))
     folder_rows = folder_copies = None
     if include_folders:
-        hashes = catalog.files.filter("md5 is not null").select("path", "md5")
-        plain = catalog.files.drop("md5", "name_key", "saved_s").withColumn("content", F.lit(None).cast("binary"))
-        found = find_duplicate_folders(plain, catalog.folders, skip_cold, hash_cache=hashes)
+        whole = inventory(spark, after)
+        everything = exclude(Catalog(whole, folders_of(whole)), exclude_names)
+        hashes = everything.files.filter("md5 is not null").select("path", "md5")
+        plain = everything.files.drop("md5", "name_key", "saved_s").withColumn("content", F.lit(None).cast("binary"))
+        found = find_duplicate_folders(plain, everything.folders, skip_cold, hash_cache=hashes)
         folder_rows, folder_copies = folder_tables(found.sets, found.copies)
     settings = ScanSettings(list(exclude_names), minimum_size)
     label = {"stream": state_dir, "batch": batch_id}
-    write_report(spark, report_dir, sets, copies, folder_rows, folder_copies, settings, label)
-    delete(spark, f"{state_dir}/batch={batch_id - 2}")
+    changed = Touched(touched_buckets, None if earlier is None else batches[earlier])
+    write_report(spark, report_dir, sets, copies, folder_rows, folder_copies, settings, label, changed)
+    forget(spark, after, batch_id - 2)
 
 
 def _published_batches(spark: SparkSession, report_dir: str, state_dir: str) -> dict[int, int]:
-    """Version of each batch that this stream has published."""
-    labels = {v: published(spark, report_dir, v)["label"] or {} for v in versions(spark, report_dir)}
-    return {label["batch"]: v for v, label in labels.items() if label.get("stream") == state_dir}
-
-
-def _inventory(spark: SparkSession, state_dir: str, batch_id: int) -> DataFrame:
-    """The inventory after a batch. Only before the first one there is none."""
-    if batch_id < 0:
-        return spark.createDataFrame([], INVENTORY_SCHEMA)
-    path = f"{state_dir}/batch={batch_id}"
-    if not exists(spark, f"{path}/{_COMPLETE}"):
-        raise FileNotFoundError(f"The inventory of batch {batch_id} is missing or incomplete at '{path}'.")
-    return spark.read.schema(INVENTORY_SCHEMA).parquet(path)
+    """Version of each batch that this stream has published in buckets."""
+    markers = {v: published(spark, report_dir, v) for v in versions(spark, report_dir)}
+    own = {v: m["label"] for v, m in markers.items() if m.get("parts") and (m["label"] or {}).get("stream") == state_dir}
+    return {label["batch"]: v for v, label in own.items()}
 
 
 def _arrived(drop: DataFrame, known: DataFrame) -> DataFrame:
