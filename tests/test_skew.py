@@ -8,6 +8,7 @@ from twinsieve.operators.groups import join_groups, group_counts, keep_repeated,
 from twinsieve.operators.lookups import root_of_path
 from twinsieve.operators.ranking import copy_rank, rank_sliced
 from twinsieve.operators.sets import copies_of
+from twinsieve.sources import content
 
 from test_duplicate_files import FILE_SETS, TREE
 
@@ -107,3 +108,27 @@ def test_where_content_is_hashed(spark, tree, monkeypatch, tmp_path, limit):
     assert plan.count("md5(") == 1
     assert (plan.index("md5(") < plan.index("Join")) == (limit > 0)
     assert hashes.count() == sum(path.startswith("p/") for path, *_ in TREE)
+
+
+def test_only_likely_rows_are_hashed_beyond_the_broadcast_limit(spark, at_scale, monkeypatch):
+    files = spark.range(20_000).select(F.format_string("/x/%d.txt", "id").alias("path"), F.concat(F.lit("text "), "id").alias("content"))
+    wanted = session.materialize(files.filter("pmod(hash(path), 50) = 0").unionByName(files.limit(3)).select("path"), "wanted", measure=["path"], columnar=True)
+    passed = {r.path for r in content.likely_wanted(files, wanted).select("path").collect()}
+    asked = {r.path for r in wanted.df.collect()}
+    assert asked <= passed and len(passed - asked) < 0.02 * 20_000
+    want = {r.path: r.md5 for r in files.join(wanted.df.distinct(), "path").select("path", F.upper(F.md5("content")).alias("md5")).collect()}
+    hashes = content.content_hashes(files, wanted)
+    assert {r.path: r.md5 for r in hashes.collect()} == want
+    # Contents are hashed below every shuffle.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = content.content_hashes(files, wanted)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above, _, below = plan.partition("md5(")
+    assert "SortMergeJoin" in above and "Exchange hashpartitioning" in above and "content" not in above.partition("SortMergeJoin")[2].partition("Exchange")[0]
+    # A filter that is far too small lets more pass, and changes no result.
+    monkeypatch.setattr(content, "FILTER_BYTES", content.BLOCK_BITS // 8)
+    assert {r.path: r.md5 for r in content.content_hashes(files, wanted).collect()} == want
+    none = session.materialize(wanted.df.limit(0), "none", measure=["path"], columnar=True)
+    assert content.content_hashes(files, none).count() == 0

@@ -5,21 +5,28 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from functools import reduce
 from typing import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import md5_hex
-from ..session import Table, partitions_for, small
+from ..session import Table, materialize, partitions_for, small
 
 CHUNK_BYTES = 1 << 20
 OBJECTS_PER_TASK = 10_000
 
 BYTES_PER_TASK = 8 << 30
 
+# The filter of wanted paths: bits of a block, bits and hashes for each path, and bytes in all.
+BLOCK_BITS = 2_048
+FILTER_BITS = 16
+FILTER_HASHES = 4
+FILTER_BYTES = 64 << 20
+
 OBJECTS_SCHEMA = "path string, md5 string, reason string"
 _PLACE = re.compile("^([A-Za-z][A-Za-z0-9+.-]+)://([^/]*)(.*)$")
 
@@ -100,7 +107,8 @@ def content_hashes(files: DataFrame, wanted: Table, limit: int = 0) -> DataFrame
     """(path, md5) of the wanted paths; with ``limit``, of their first bytes only.
 
     Content is never shuffled. A wanted list of checked size is broadcast, so only wanted rows are
-    hashed; beyond that each row is hashed where it is scanned and only (path, md5) is joined. A file whose content cannot be read has no row.
+    hashed. Beyond that a filter of bounded size, made of the wanted paths, is broadcast in its place: what passes is hashed where
+    it is scanned, and only (path, md5) is joined. A file whose content cannot be read has no row.
     """
     if "content" not in files.columns:
         return hash_objects(wanted, limit)
@@ -110,4 +118,46 @@ def content_hashes(files: DataFrame, wanted: Table, limit: int = 0) -> DataFrame
     md5 = md5_hex("content", limit).alias("md5")
     if small(wanted):
         return readable.join(F.broadcast(paths), "path", "left_semi").select("path", md5)
-    return readable.select("path", md5).join(paths, "path", "left_semi")
+    hashed = likely_wanted(readable, wanted).select("path", md5)
+    # An inner join: a semi join would be pushed below the hashes, and contents shuffled.
+    return hashed.join(paths.distinct(), "path")
+
+
+def path_filter(wanted: Table) -> tuple[DataFrame, int]:
+    """A Bloom filter of the wanted paths in blocks, (block, bits), and the number of blocks.
+
+    A path sets FILTER_HASHES bits of one block. There are FILTER_BITS bits for each path, up to FILTER_BYTES in all; with
+    more paths than that allows the filter lets more of the others pass, never fewer of the wanted ones.
+    """
+    blocks = max(1, min(-(-wanted.rows * FILTER_BITS // BLOCK_BITS), FILTER_BYTES * 8 // BLOCK_BITS))
+    bits = wanted.df.select(_block(blocks).alias("block"), F.explode(F.array(*_bits())).alias("bit"))
+    words = bits.groupBy("block", F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("set"))
+    # At most a word for each 64 bits of a block.
+    held = words.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "set"))).alias("words"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda w: F.coalesce(F.try_element_at("words", w), F.lit(0).cast("bigint")))
+    return held.select("block", dense.alias("bits")), blocks
+
+
+def likely_wanted(files: DataFrame, wanted: Table) -> DataFrame:
+    """The rows of ``files`` whose path passes the wanted paths' filter, all wanted ones among them; nothing is shuffled."""
+    bits, blocks = path_filter(wanted)
+    table = materialize(bits, "path-filter", columnar=True).df.withColumnRenamed("block", "filter_block")
+    joined = files.join(F.broadcast(table), _block(blocks) == F.col("filter_block"))
+    is_set = [F.get("bits", F.shiftright(bit, 6)).bitwiseAND(_mask(bit)) != 0 for bit in _bits()]
+    return joined.filter(reduce(Column.__and__, is_set)).select(*files.columns)
+
+
+def _block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("path"), F.lit(blocks))
+
+
+def _bits() -> list[Column]:
+    """The places of a path's bits in its block."""
+    width = BLOCK_BITS.bit_length() - 1
+    own = F.xxhash64(F.lit("bits"), "path")
+    return [F.shiftrightunsigned(own, width * k).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int") for k in range(FILTER_HASHES)]
+
+
+def _mask(bit: Column) -> Column:
+    powers = F.array(*[F.lit(1 << k if k < 63 else -(1 << 63)).cast("bigint") for k in range(64)])
+    return F.get(powers, bit.bitwiseAND(F.lit(63)))

@@ -439,4 +439,6 @@ def statements() -> dict[str, str]:
             "edited": """SELECT l.*, coalesce(r.md5, upper(md5(CASE WHEN l.doc_id % 6 = 0 THEN reverse(l.content) ELSE l.content END))) AS md5_now
                          FROM later l LEFT JOIN reused r USING (path)""", **edited})
     q["rescan_stream"] = "SELECT file_name, saved_us AS local_us, 0 AS utc_offset_s, size_bytes, md5, copies FROM dup_sets"
+    left = {"left_files": "SELECT * FROM cat WHERE NOT (root = 'live' AND doc_id % 5 = 0)", **_duplicates("left_", "left_files")}
+    q["rescan_stream_deletions"] = _sql("SELECT file_name, saved_us AS local_us, 0 AS utc_offset_s, size_bytes, md5, copies FROM left_sets", left)
     return {name: text if text.startswith("WITH ") else _sql(text) for name, text in q.items()}

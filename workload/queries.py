@@ -718,3 +718,17 @@ def rescan_stream(spark, sf):
         files.filter(which).drop("doc_id", "root").write.mode("append").parquet(drops)
         start_rescans(spark, drops, schema, state, at, checkpoint, tz=UTC).awaitTermination()
     return read_report(spark, at).file_sets.drop("set_id")
+
+
+@query
+def rescan_stream_deletions(spark, sf):
+    """Three drops: the live files with the archive, the backup, and deletions; few buckets."""
+    drops, state, at, checkpoint = scratch(spark, "drops"), scratch(spark, "state"), scratch(spark, "report"), scratch(spark, "stream")
+    files = derived.files(spark, sf)
+    schema = (
+        "path string, folder string, name string, size_bytes bigint, mtime_us bigint, attributes int, content string, deleted boolean"
+    )
+    for which, gone in (("root <> 'backup'", False), ("root = 'backup'", False), ("root = 'live' and doc_id % 5 = 0", True)):
+        files.filter(which).withColumn("deleted", F.lit(gone)).drop("doc_id", "root").write.mode("append").parquet(drops)
+        start_rescans(spark, drops, schema, state, at, checkpoint, tz=UTC, buckets=16).awaitTermination()
+    return read_report(spark, at).file_sets.drop("set_id")
