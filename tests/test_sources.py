@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinsieve import find_duplicate_files, find_duplicate_folders, load_catalog, read_report, scan_tree
-from twinsieve.sources import report
+from twinsieve.sources import report, tree
 from twinsieve.streaming import buckets, rescan
 from twinsieve.streaming.buckets import inventory, load_state
 from twinsieve.streaming.rescan import apply_drop, start_rescans
@@ -254,6 +254,66 @@ def test_file_uris_are_read(spark, tmp_path):
         object_digest("nowhere://x/y", 0)
 
 
+def test_links_loops_and_pipes_are_alike_by_mount_and_by_uri(spark, tmp_path):
+    root = tmp_path / "data"
+    put(root, "a/f"), put(root, "a/b/g", "longer")
+    (root / "a/loop").symlink_to(root / "a")
+    (root / "a/up").symlink_to("..")
+    (root / "a/b/self").symlink_to("self")
+    (root / "a/b/broken").symlink_to("nothing")
+    (root / "a/b/to-file").symlink_to(root / "a/f")
+    os.mkfifo(root / "a/b/pipe")
+    (root / "a/b/to-pipe").symlink_to(root / "a/b/pipe")
+    found = {}
+    for kind, start in (("mount", str(root)), ("uri", f"file://{root}")):
+        catalog, warnings = scan_tree(spark, start)
+        cut = len(start)
+        found[kind] = (
+            sorted((r.path[cut:], r.name, r.size_bytes, r.mtime_us) for r in catalog.files.collect()),
+            sorted((r.path[cut:], r.readable, r.reason or "") for r in catalog.folders.collect()),
+            sorted((r.kind, r.path[cut:]) for r in warnings.collect()),
+        )
+        assert all(r.folder.startswith(start) for r in catalog.files.collect())
+        copies = find_duplicate_files(catalog.files).copies.df.collect()
+        assert sorted(r.path[cut:] for r in copies) == []
+    assert found["mount"] == found["uri"]
+    files, folders, skipped = found["uri"]
+    assert [(p, n) for p, _, n, _ in files] == [("/a/b/g", 6), ("/a/b/to-file", 4), ("/a/f", 4)]
+    assert folders == [("", True, ""), ("/a", True, ""), ("/a/b", True, ""), ("/a/loop", False, "link"), ("/a/up", False, "link")]
+    assert skipped == [("entry", "/a/b/self")]
+    # What holds a link is never taken for fully known.
+    catalog, _ = scan_tree(spark, f"file://{root}")
+    assert find_duplicate_folders(catalog.files, catalog.folders).sets.count() == 0
+
+
+def test_pipes_are_never_opened(tmp_path):
+    from twinsieve.sources.content import NO_FILE, object_digest
+
+    os.mkfifo(tmp_path / "pipe")
+    assert object_digest(f"{tmp_path}/pipe", 0) == object_digest(f"file://{tmp_path}/pipe", 0) == (None, NO_FILE)
+    assert object_digest(str(tmp_path), 0)[0] is None
+
+
+def test_one_large_folder_goes_to_several_tasks(spark, tmp_path, monkeypatch):
+    root = tmp_path / "data"
+    root.mkdir()
+    for i in range(900):
+        (root / f"f{i:04}").write_text("x" * (i % 7))
+    plain, tasks = tree.materialize, []
+
+    def watched(df, label, *args, **kwargs):
+        done = plain(df, label, *args, **kwargs)
+        if label == "sizes":
+            tasks.append(done.df.select(F.input_file_name()).distinct().count())
+        return done
+
+    monkeypatch.setattr(tree, "FILES_PER_TASK", 100)
+    monkeypatch.setattr(tree, "materialize", watched)
+    catalog, _ = scan_tree(spark, f"file://{root}", exclude_names=["f0001"])
+    sizes = {r.name: r.size_bytes for r in catalog.files.collect()}
+    assert sizes == {f"f{i:04}": i % 7 for i in range(900) if i != 1} and tasks[0] > 4
+
+
 def test_names_that_are_no_text_and_trees_by_uri(spark, tmp_path):
     root = tmp_path / "data"
     put(root, "a/f"), put(root, "b/a/f"), put(root, "b/a/g ü")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import re
 from functools import reduce
 from typing import Iterator
@@ -27,6 +28,7 @@ FILTER_BITS = 16
 FILTER_HASHES = 4
 FILTER_BYTES = 64 << 20
 
+NO_FILE = "not a regular file"
 OBJECTS_SCHEMA = "path string, md5 string, reason string"
 _PLACE = re.compile("^([A-Za-z][A-Za-z0-9+.-]+)://([^/]*)(.*)$")
 
@@ -60,9 +62,23 @@ def located(path: str) -> tuple[fs.FileSystem, str]:
     return system, inner if scheme in ("file", "hdfs", "viewfs") else f"{authority}{inner}"
 
 
+def local_path(path: str) -> str | None:
+    """The path on a mount that a path or a ``file`` URI names; None for other URIs."""
+    match = _PLACE.match(path)
+    if match is None:
+        return path
+    return match.group(3) if match.group(1) == "file" and not match.group(2) else None
+
+
 def object_digest(path: str, limit: int) -> tuple[str | None, str | None]:
-    """(MD5, None) of an object or of its first ``limit`` bytes, or (None, why it cannot be read)."""
+    """(MD5, None) of an object or of its first ``limit`` bytes, or (None, why it cannot be read).
+
+    Pipes and devices are never opened: that could wait for ever.
+    """
     system, inner = located(path)
+    mounted = local_path(path)
+    if mounted is not None and os.path.exists(mounted) and not os.path.isfile(mounted):
+        return None, NO_FILE
     digest, left = hashlib.md5(usedforsecurity=False), limit
     try:
         with system.open_input_stream(inner) as stream:
