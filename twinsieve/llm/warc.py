@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rewriting import literal, rewritten, rewritten_sql
+from .syncmers import let
 
 CRLF = "\r\n"
 # HTML elements that begin a new line, and named characters.
@@ -50,20 +51,42 @@ def _numbers(text: Column) -> Column:
         known = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("�")
 
-    refs = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBER), 1))
-    return F.aggregate(refs, text, lambda t, ref: F.replace(t, F.concat(F.lit("&#"), ref, F.lit(";")), char(ref)))
+    def replaced(t: Column) -> Column:
+        refs = F.array_distinct(F.regexp_extract_all(t, F.lit(NUMBER), 1))
+        return F.when(
+            F.contains(t, F.lit("&#")), F.aggregate(refs, t, lambda x, ref: F.replace(x, F.concat(F.lit("&#"), ref, F.lit(";")), char(ref)))
+        ).otherwise(t)
+
+    return let(text, replaced)
+
+
+def _names(text: Column) -> Column:
+    """Named character references as characters: cut at every ``&``, and the name behind it looked up."""
+    known = F.create_map(*[F.lit(x) for pair in (*NAMED.items(), ("amp", "&")) for x in pair])
+
+    def resolved(part: Column) -> Column:
+        name = F.substring_index(part, ";", 1)
+        char = F.when(F.contains(part, F.lit(";")), F.try_element_at(known, name))
+        return F.coalesce(F.concat(char, F.substr(part, F.char_length(name) + 2)), F.concat(F.lit("&"), part))
+
+    def replaced(t: Column) -> Column:
+        return let(F.split(t, "&"), lambda p: F.concat(p[0], F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), resolved), "")))
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), replaced(t)).otherwise(t))
 
 
 def plain_text(html: Column) -> Column:
     """Visible text: one line per block, white space collapsed, character references resolved."""
-    return rewritten(rewritten(_numbers(rewritten(html, PLAIN)), _NAMES), LAYOUT)
+    return rewritten(_names(_numbers(rewritten(html, PLAIN))), LAYOUT)
 
 
 def urn(*parts: Column) -> Column:
     """A name-based URN: version 3 of the parts joined by ``|``."""
-    h = F.md5(F.concat_ws("|", *parts).cast("binary"))
-    cut = [F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-3"), F.substring(h, 14, 3), F.lit("-8"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12)]
-    return F.concat(F.lit("<urn:uuid:"), *cut, F.lit(">"))
+    def cut(h: Column) -> Column:
+        shown = [F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-3"), F.substring(h, 14, 3), F.lit("-8"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12)]
+        return F.concat(F.lit("<urn:uuid:"), *shown, F.lit(">"))
+
+    return let(F.md5(F.concat_ws("|", *parts).cast("binary")), cut)
 
 
 def sha256(block: Column) -> Column:
@@ -110,7 +133,7 @@ def derive(responses: DataFrame, key: str) -> DataFrame:
     parts = text.select(
         "*", urn(F.lit("conversion"), F.col("record_id")).alias("conversion_id"), sha256(F.col("text")).alias("text_digest"),
         F.regexp_extract_all("payload", F.lit(HREF), 1).alias("links"),
-        rewritten(rewritten(_numbers(F.regexp_extract("payload", TITLE, 1)), _NAMES), INLINE).alias("title"),
+        rewritten(_names(_numbers(F.regexp_extract("payload", TITLE, 1))), INLINE).alias("title"),
     )
     http = F.regexp_replace(F.regexp_replace("http_header", "(?:\r?\n)+$", ""), "\r?\n", f"{CRLF}http-header: ")
     fields = F.concat(
