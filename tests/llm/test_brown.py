@@ -148,3 +148,12 @@ def test_rare_words_get_the_class_of_their_neighbours(docs, monkeypatch):
         path = [brown.CLASSES, *[of[w] for w in tokens(t)], brown.CLASSES]
         want.update(zip(path, path[1:]))
     assert {(i, j): table[i, j] for i, j in zip(*np.nonzero(table))} == want
+
+
+def test_large_counts_are_given_in_parts():
+    n, bounds = np.array([1, 255, 256, 1000, 510, 3]), np.array([0, 0, 2, 5, 6])
+    keys, small, cut = brown._in_bytes(np.array([7, 8, 9, 10, 11, 12], np.uint8), n, bounds)
+    assert small.max() <= 255 and small.min() >= 1
+    assert {k: int(small[keys == k].sum()) for k in keys.tolist()} == dict(zip([7, 8, 9, 10, 11, 12], n.tolist()))
+    assert [keys[a:b].tolist() for a, b in zip(cut, cut[1:])] == [[], [7, 8], [9, 9, 10, 10, 10, 10, 11, 11], [12]]
+    assert [x.tolist() for x in brown._in_bytes(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.array([0, 0]))] == [[], [], [0, 0]]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from ..sources.publishing import delete
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,13 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, label, columnar=True).df
 
 
+def forgotten(table: DataFrame) -> None:
+    """Delete a table of ``kept`` that nothing will read again; what was made of it is written out by then."""
+    files = table.inputFiles()
+    if files:
+        delete(table.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 # Rows that a function of by_batch sees at once; bounds what it holds in memory.
 ROWS = 256
 

@@ -216,8 +216,18 @@ def _pieces(numbers: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(numbers)])
 
 
+def _in_bytes(keys: np.ndarray, n: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts as bytes: a larger one is given in parts, each with the key. ``bounds`` tell which belong together."""
+    parts = (n + 254) // 255
+    last = np.cumsum(parts)
+    small = np.full(int(last[-1]) if len(last) else 0, 255, np.uint8)
+    small[last - 1] = n - 255 * (parts - 1)
+    return np.repeat(keys, parts), small, np.r_[0, last][bounds]
+
+
 def _neighbours(seed, summed: bool):
-    """A chunk's words, with their neighbours per class if ``summed``, and its sums: rows without a word."""
+    """A chunk's words, with their neighbours per class if ``summed``, and its sums: rows without a word. Frequent words, which keep
+    their classes, have no neighbours here."""
 
     def run(known: pa.Table, docs: pa.Table) -> pa.Table:
         size = CLASSES + 1
@@ -239,18 +249,19 @@ def _neighbours(seed, summed: bool):
             "cls": pa.array(none, pa.int32()), "keys": pa.array(none, pa.binary()), "counts": pa.array(none, pa.binary()),
         })]
         if summed:
-            inner = np.flatnonzero(flow != words)
+            stays = np.r_[np.fromiter((w in seed.value[0] for w in known["word"].to_pylist()), bool, words), True]
+            inner = np.flatnonzero(~stays[flow])
             both = np.empty(2 * len(inner), kind)
             both[: len(inner)] = flow[inner] * (2 * size) + path[inner - 1]
             both[len(inner) :] = flow[inner] * (2 * size) + size + path[inner + 1]
             del flow, path, inner
             both.sort()
             first = np.flatnonzero(np.diff(both, prepend=-1))
-            n = np.diff(first, append=len(both)).astype("<u4")
+            n = np.diff(first, append=len(both))
             found = both[first]
             del both, first
             bounds = np.searchsorted(found, np.arange(words + 1, dtype=kind) * (2 * size))
-            keys = (found % (2 * size)).astype(np.uint8)
+            keys, n, bounds = _in_bytes((found % (2 * size)).astype(np.uint8), n, bounds)
             parts.append(pa.table({
                 **{name: known[name] for name in ("chunk", "place", "word", "c")}, "cls": pa.array(cls[:-1]),
                 "keys": _pieces(keys, bounds), "counts": _pieces(n, bounds),
@@ -304,7 +315,7 @@ def _moved(seed, shared):
         stay = np.fromiter((w in frequent for w in words.take(pa.array(first)).to_pylist()), bool, len(first))
         taken = np.flatnonzero((c[first] > 0) & ~stay)
         keys = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.uint8).astype(np.int64)
-        counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), "<u4").astype(np.int64)
+        counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.uint8).astype(np.int64)
         at = np.repeat(group, pa.compute.binary_length(rows["keys"]).to_numpy())
         width, moving = 2 * (CLASSES + 1), ~stay[at]
         found, inverse = np.unique(np.searchsorted(taken, at[moving]) * width + keys[moving], return_inverse=True)
@@ -339,7 +350,7 @@ def word_classes(known: DataFrame, train: DataFrame, frequent: dict[bytes, int],
     classes and the once-seen words of each class."""
     context, size = known.sparkSession.sparkContext, CLASSES + 1
     seed = context.broadcast((frequent, of))
-    best = None
+    best = before = None
     for sweep in range(WORD_SWEEPS + 1):
         summed = sweep < WORD_SWEEPS
         met = known.groupBy("chunk").cogroup(train.groupBy("chunk")).applyInArrow(_neighbours(seed, summed), NEIGHBOURS)
@@ -351,10 +362,13 @@ def word_classes(known: DataFrame, train: DataFrame, frequent: dict[bytes, int],
         table, once = sums[:ONCE].reshape(size, size), sums[ONCE:]
         if sweep > 1 and likelihood(table, np.arange(size)) < likelihood(best[1], np.arange(size)):
             break
-        best = known, table, once
+        if sweep > 1:
+            forgotten(before)  # the classes that could have been gone back to
+        best, before = (known, table, once), known
         if summed:
             ordered = met.filter("word is not null").repartition("word").sortWithinPartitions("word")
             known = kept(ordered.mapInArrow(_moved(seed, context.broadcast(table)), CLASSED), "word-classes")
+            forgotten(met)
     return best
 
 
