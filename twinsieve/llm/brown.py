@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import kept, remainder, texts
+from .base import forgotten, kept, remainder, texts
 
 CHUNK_BYTES = 16 << 20
 FREQUENT = 1024  # words that are units of their own
