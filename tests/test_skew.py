@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from twinsieve import find_duplicate_files, find_duplicate_folders, session
 from twinsieve.operators.groups import join_groups, group_counts, keep_repeated, lookup
+from twinsieve.operators import lookups
 from twinsieve.operators.lookups import root_of_path
 from twinsieve.operators.ranking import copy_rank, rank_sliced
 from twinsieve.operators.sets import copies_of
@@ -93,6 +94,24 @@ def test_roots_by_both_routes(spark, monkeypatch, limit):
     }
 
 
+def test_roots_are_found_without_a_shuffle_of_rows(spark, monkeypatch):
+    paths = [f"/mnt/r{i % 5}/d{i % 3}/e{i % 7}/f{i}" for i in range(200)] + ["/", "/mnt", "s3://b/r/x", "s3://b/rr/x", "\\\\srv\\share\\a", "C:\\x", ""]
+    rows = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, n int").repartition(3)
+    named = [("/mnt/r1", True), ("/mnt/r1/d2", False), ("/mnt/r2/d0/e1", True), ("s3://b/r", False), ("\\\\srv\\share", True), ("C:\\", True), ("/mnt/r4/", True)]
+    for extra in ([], [("/", False)]):
+        roots = spark.createDataFrame(named + extra, "root string, reachable boolean")
+        found = root_of_path(rows, roots)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(path" not in plan and "BroadcastHashJoin" in plan
+        got = [(r.path, r.n, r.root, r.reachable) for r in found.collect()]
+        with monkeypatch.context() as other:
+            other.setattr(lookups, "ROOT_LEVELS", 1)
+            assert sorted(((r.path, r.n, r.root, r.reachable) for r in root_of_path(rows, roots).collect()), key=str) == sorted(got, key=str)
+        assert len(got) == len(paths) and any(r[2] == "s3://b/r" for r in got)
+    none = spark.createDataFrame([], "root string, reachable boolean")
+    assert {(r.root, r.reachable) for r in root_of_path(rows, none).collect()} == {(None, None)}
+
+
 @pytest.mark.parametrize("limit", [-1, 64 << 20])
 def test_where_content_is_hashed(spark, tree, monkeypatch, tmp_path, limit):
     """Wanted rows only when the list can be broadcast; else in the scan, so no exchange carries content."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from ..functions.times import same_saved_date
 from ..session import Table, materialize, small
 from .groups import lookup
 
+# Levels of roots that are looked up one by one.
+ROOT_LEVELS = 16
+
 PRESENT, MISSING, CHANGED, UNAVAILABLE = "Present", "Missing", "Changed", "Unavailable"
 
 
@@ -27,10 +32,17 @@ def measured_roots(roots: DataFrame) -> Table:
 def root_of_path(rows: DataFrame, roots: DataFrame | Table, path: str = "path") -> DataFrame:
     """Add ``root`` and ``reachable``: the longest root that a path is or lies below, if any.
 
-    A path's roots are among its own ancestors: those of each different path are joined with the roots by
-    equality (a list of measured size is broadcast), and the longest that is found counts.
+    A path's roots are among its own ancestors, each at the place it has among its own. Roots of measured size are
+    broadcast, those of each level as a table of their own in which the path's ancestor of that level is looked up; rows
+    are not shuffled. Beyond that, or with roots of more than ROOT_LEVELS levels, different paths are joined with the roots by
+    all their ancestors.
     """
     table = roots if isinstance(roots, Table) else measured_roots(roots)
+    if small(table):
+        levelled = table.df.withColumn("level", F.size(ancestors("root")))
+        levels = [row[0] for row in levelled.select("level").distinct().orderBy("level").limit(ROOT_LEVELS + 1).collect()]
+        if len(levels) <= ROOT_LEVELS:
+            return _root_by_level(rows, levelled, levels, path)
     lines = rows.select(path).distinct().select(path, F.explode(ancestors(path)).alias("root"))
     held = lookup(lines, table, ["root"], [path], "inner")
     longest = F.max_by(F.struct("root", "reachable"), F.octet_length("root"))
@@ -38,6 +50,16 @@ def root_of_path(rows: DataFrame, roots: DataFrame | Table, path: str = "path")
     return lookup(rows, best, [path], rows.columns, "left").select(*rows.columns, "best.root", "best.reachable")
 
 
+def _root_by_level(rows: DataFrame, roots: DataFrame, levels: Sequence[int], path: str) -> DataFrame:
+    found = rows.withColumn("path_ancestors", ancestors(path))
+    for level in levels:
+        own = roots.filter(F.col("level") == level).select(F.col("root").alias(f"root_{level}"), F.struct("root", "reachable").alias(f"held_{level}"))
+        found = found.join(F.broadcast(own), F.try_element_at("path_ancestors", F.lit(level)) == F.col(f"root_{level}"), "left")
+    nothing = F.lit(None).cast("struct<root: string, reachable: boolean>")
+    best = F.coalesce(*[F.col(f"held_{level}") for level in reversed(levels)], nothing)
+    return found.withColumn("best_root", best).select(*rows.columns, "best_root.root", "best_root.reachable")
+
+
 def folder_key(folder: str, windows_paths: bool) -> Column:
     """How folders of a report and a catalog are compared: exactly, or by name key on Windows."""
     return name_key(folder) if windows_paths else F.col(folder)
