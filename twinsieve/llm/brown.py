@@ -362,7 +362,7 @@ def word_classes(known: DataFrame, train: DataFrame, frequent: dict[bytes, int],
         table, once = sums[:ONCE].reshape(size, size), sums[ONCE:]
         if sweep > 1 and likelihood(table, np.arange(size)) < likelihood(best[1], np.arange(size)):
             break
-        if sweep > 1:
+        if before is not None:
             forgotten(before)  # the classes that could have been gone back to
         best, before = (known, table, once), known
         if summed:
