@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple, Sequence
+from dataclasses import dataclass
+from functools import cached_property
+from typing import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,13 +22,20 @@ from .duplicate_folders import FolderDuplicates, find_duplicate_folders
 from .rescan import previous_hashes
 
 
-class ScanResult(NamedTuple):
+@dataclass(frozen=True)
+class ScanResult:
+    """What a scan has found. ``skipped`` is worked out when it is first asked for."""
+
     files: FileDuplicates
     folders: FolderDuplicates | None
     totals: DataFrame
     warnings: list[str]
     version: int | None
-    skipped: DataFrame
+    find_skipped: Callable[[], DataFrame]
+
+    @cached_property
+    def skipped(self) -> DataFrame:
+        return self.find_skipped()
 
 
 def scan(
@@ -73,19 +82,19 @@ def scan(
         known = files.hashes if cache is None else files.hashes.unionByName(cache).dropDuplicates(["path"])
         folders = find_duplicate_folders(catalog.files, catalog.folders, skip_cold, hash_cache=known)
     # Files told apart by their first bytes were read as far as they need.
-    none_separated = files.separated is None or files.separated.isEmpty()
-    if files.copies.rows == 0 and none_separated and not file_candidates(
-        catalog.files, skip_cold, ignore_empty, settings.minimum_size
-    ).isEmpty():
+    nothing_read = files.copies.rows == 0 and (files.separated is None or files.separated.isEmpty())
+    if nothing_read and not file_candidates(catalog.files, skip_cold, ignore_empty, settings.minimum_size).isEmpty():
         raise OSError("No content could be read of any file that needs it; nothing is published.")
-    hashes = files.hashes if cache is None else files.hashes.unionByName(cache)
-    considered = catalog.files.filter("size_bytes is null").unionByName(
-        min_size(catalog.files.filter("size_bytes is not null"), settings.minimum_size, ignore_empty)
-    )
-    checked = hashes.select("path")
-    if files.separated is not None:
-        checked = checked.unionByName(files.separated)
-    skipped = scan_warnings(metadata(considered), catalog.folders, checked, skip_cold)
+
+    def find_skipped() -> DataFrame:
+        considered = catalog.files.filter("size_bytes is null").unionByName(
+            min_size(catalog.files.filter("size_bytes is not null"), settings.minimum_size, ignore_empty)
+        )
+        checked = (files.hashes if cache is None else files.hashes.unionByName(cache)).select("path")
+        if files.separated is not None:
+            checked = checked.unionByName(files.separated)
+        return scan_warnings(metadata(considered), catalog.folders, checked, skip_cold)
+
     totals = scan_totals(files.sets, folders.sets if folders else None)
     version = None
     if report_dir is not None and not dry_run:
@@ -98,4 +107,4 @@ def scan(
             spark, report_dir, file_rows, file_copies, folder_rows, folder_copies,
             ScanSettings(list(settings.exclude_names), smallest),
         )
-    return ScanResult(files, folders, totals, warnings, version, skipped)
+    return ScanResult(files, folders, totals, warnings, version, find_skipped)
