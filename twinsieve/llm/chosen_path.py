@@ -4,9 +4,10 @@ A document is the set of its word shingles. Equal sets are one class, found by t
 classes. Each class has a sketch of minwise tokens. In every tree a node picks few of the sketch's coordinates at
 random, so that a pair at the threshold agrees in one of them on average, and its members go to the child named
 by their token there. Nodes small enough are compared exhaustively by bits of the sketches; larger ones branch
-again, and what is still large at the last level is compared block by block. Independent trees repeat that: a pair
-at a threshold of 0.85 whose nodes all go down to the last level, the worst case, survives there from each of the
-roots' about 21 choices with a probability of 0.85 x 0.468, and so is missed with one of about 2 in 100,000.
+again, and what is still large at the last level is compared block by block. Independent trees repeat that. The worst
+case is a pair at the threshold whose nodes all go down to the last level: it survives there from each of the roots' about
+29 choices with a probability of 0.85 x 0.468 at a threshold of 0.85. All trees share one sketch, in which such a pair agrees now
+more, now less; averaged over that it is missed with a probability of about 2 in 1,000,000, at a threshold of 0.8 of about 5.
 
 Nothing emits pairs. A node gives a forest over its similar members, so candidates are clusters; the full sets of
 a cluster's members, each fetched once, are intersected with each other where they lie, and links are what passes
@@ -30,7 +31,7 @@ from .base import by_batch, kept, texts
 from .graphs import components
 
 COORDINATES = 128
-TREES = 14
+TREES = 20
 LEVELS = 3
 LEAF = 512  # members of a node, or of a block of a cluster, that are compared exhaustively
 BLOCK_SHINGLES = 4 << 20  # shingles in a block
