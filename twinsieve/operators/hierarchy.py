@@ -129,7 +129,7 @@ def folder_rollup(
 # ---------------------------------------------------------------- fingerprints
 
 
-def _limbs(digest: str) -> list[Column]:
+def limbs_of(digest: str) -> list[Column]:
     """The eight numbers of a SHA-256 column."""
     piece = "cast(conv(substring({}, {}, {}), 16, 10) as bigint) as {}"
     return [F.expr(piece.format(digest, 1 + i * _DIGITS, _DIGITS, limb)) for i, limb in enumerate(LIMBS)]
@@ -139,6 +139,26 @@ def _summed_limbs() -> list[Column]:
     return [F.sum(limb).alias(limb) for limb in LIMBS]
 
 
+def file_line(with_md5: bool) -> tuple[Column, Column]:
+    """A file's line in its folder, and whether everything in it is known."""
+    complete = F.col("size_bytes").isNotNull() & F.col("mtime_us").isNotNull()
+    parts = [F.lit("F"), F.col("saved_s").cast("string"), F.col("size_bytes").cast("string")]
+    if with_md5:
+        complete = complete & F.col("md5").isNotNull()
+        parts.append(F.col("md5"))
+    return F.sha2(F.concat_ws("|", *parts, F.col("name_key")), 256), complete
+
+
+def folder_line(fingerprint: str, path: str) -> Column:
+    """A folder's line in the folder above it."""
+    return F.sha2(F.concat_ws("|", F.lit("D"), F.col(fingerprint), name_key(base_name(path))), 256)
+
+
+def digest_of_sums() -> Column:
+    """A folder's fingerprint, from its number of lines and their sums."""
+    return F.sha2(F.concat_ws("|", "lines", *LIMBS), 256)
+
+
 def folder_base(files: DataFrame, folders: DataFrame, with_md5: bool = False) -> Table:
     """Each folder's own content as fixed-width sums, written by tree level.
 
@@ -147,14 +167,9 @@ def folder_base(files: DataFrame, folders: DataFrame, with_md5: bool = False) ->
     it can be combined before the shuffle, so a folder of any width is never gathered in one place.
     A file without size, time or (in the content pass) hash leaves its folder unprovable.
     """
-    complete = F.col("size_bytes").isNotNull() & F.col("mtime_us").isNotNull()
-    parts = [F.lit("F"), F.col("saved_s").cast("string"), F.col("size_bytes").cast("string")]
-    if with_md5:
-        complete = complete & F.col("md5").isNotNull()
-        parts.append(F.col("md5"))
-    line = F.sha2(F.concat_ws("|", *parts, F.col("name_key")), 256).alias("line")
-    lines = files.select(F.col("folder").alias("path"), "size_bytes", complete.cast("int").alias("complete"), line)
-    direct = lines.select("*", *_limbs("line")).groupBy("path").agg(
+    line, complete = file_line(with_md5)
+    lines = files.select(F.col("folder").alias("path"), "size_bytes", complete.cast("int").alias("complete"), line.alias("line"))
+    direct = lines.select("*", *limbs_of("line")).groupBy("path").agg(
         *_summed_limbs(),
         F.count(F.lit(1)).alias("lines"),
         F.sum("size_bytes").alias("bytes"),
@@ -203,12 +218,11 @@ def _level(own: DataFrame, below: DataFrame | None) -> DataFrame:
         "path", *LIMBS, "lines", "lines as files", "0L as folders", "bytes", "provable", "1 as own"
     )
     if below is not None:
-        child_line = F.sha2(F.concat_ws("|", F.lit("D"), F.col("fingerprint"), name_key(base_name("path"))), 256)
         children = below.select(
-            parent_of("path").alias("path"), child_line.alias("line"), "fingerprint", "file_count", "folder_count",
+            parent_of("path").alias("path"), folder_line("fingerprint", "path").alias("line"), "fingerprint", "file_count", "folder_count",
             "size_bytes",
         ).select(
-            "path", *_limbs("line"), F.expr("1L as lines"), F.col("file_count").alias("files"),
+            "path", *limbs_of("line"), F.expr("1L as lines"), F.col("file_count").alias("files"),
             F.expr("folder_count + 1 as folders"), F.col("size_bytes").alias("bytes"),
             F.expr("cast(fingerprint is not null as int) as provable"), F.lit(0).alias("own"),
         )
@@ -217,9 +231,8 @@ def _level(own: DataFrame, below: DataFrame | None) -> DataFrame:
             *[F.sum(c).alias(c) for c in ("lines", "files", "folders", "bytes")],
             F.min("provable").alias("provable"), F.max("own").alias("own"),
         ).filter("own = 1")
-    digest = F.sha2(F.concat_ws("|", "lines", *LIMBS), 256)
     return lines.select(
-        "path", F.when(F.col("provable") == 1, digest).alias("fingerprint"),
+        "path", F.when(F.col("provable") == 1, digest_of_sums()).alias("fingerprint"),
         F.col("files").alias("file_count"), F.col("folders").alias("folder_count"), F.col("bytes").alias("size_bytes"),
     )
 

@@ -345,6 +345,9 @@ def statements() -> dict[str, str]:
             (SELECT path FROM marked WHERE NOT readable UNION SELECT folder FROM flawed WHERE size_bytes IS NULL) t)"""
     q["folder_fingerprint"] = """
         SELECT path, file_count, folder_count, size_bytes, min(path) OVER (PARTITION BY fp) AS first_equal FROM cheap_prints"""
+    q["folder_fingerprint_delta"] = _sql(
+        "SELECT path, file_count, folder_count, size_bytes, min(path) OVER (PARTITION BY fp) AS first_equal FROM now_prints",
+        _fingerprints("now_", "later", "later_dirs"))
     q["folder_rollup"] = f"""
         SELECT path, {big.format('sum(f)')} AS file_count, {big.format('sum(d)')} AS folder_count,
                {big.format('sum(b)')} AS size_bytes, true AS readable

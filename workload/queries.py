@@ -5,6 +5,7 @@ Each takes (spark, sf_dir) and returns a DataFrame; ``oracle`` has the SQL for t
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 from typing import Callable, Iterator
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from twinsieve import find_duplicate_files, find_duplicate_folders, read_report, scan, scan_tree, validate
 from twinsieve.functions import names, paths, times, values
-from twinsieve.operators import filters, groups, hashing, hierarchy, lookups, ranking, sets, warnings
+from twinsieve.operators import filters, groups, hashing, hierarchy, lookups, ranking, sets, tree_sums, warnings
 from twinsieve.plans import duplicate_files as file_plan
 from twinsieve.plans import duplicate_folders as folder_plan
 from twinsieve.plans import validate as validation
@@ -481,6 +482,23 @@ def folder_fingerprint(spark, sf):
     return _with_twin(folder_plan.cheap_fingerprints(derived.files(spark, sf), derived.folders(spark, sf)).df)
 
 
+@query
+def folder_fingerprint_delta(spark, sf):
+    """Fingerprints of the later snapshot, from those of the first and what has changed."""
+    (files, folders), (later, later_folders) = (
+        (inventory.metadata(c.files), c.folders.select("path", "readable")) for c in (derived.catalog(spark, sf), derived.later(spark, sf))
+    )
+    first = tree_sums.update_tree(None, tree_sums.file_changes(files).unionByName(tree_sums.folder_changes(folders)))
+    state = materialize(tree_sums.next_state(None, first), "tree-state", columnar=True).df
+    changes = [
+        of(rows, sign)
+        for of, before, after in ((tree_sums.file_changes, files, later), (tree_sums.folder_changes, folders, later_folders))
+        for sign, rows in zip((-1, 1), tree_sums.changed_rows(before, after))
+    ]
+    update = tree_sums.update_tree(state, functools.reduce(DataFrame.unionByName, changes))
+    return _with_twin(tree_sums.fingerprints_in(tree_sums.next_state(state, update)))
+
+
 @query
 def folder_rollup(spark, sf):
     return hierarchy.folder_rollup(derived.files(spark, sf), derived.folders(spark, sf))
