@@ -45,10 +45,38 @@ def test_long_texts_go_piece_by_piece(words, net, monkeypatch):
     assert byte_cnn.Scorer(net).score(text) == pytest.approx(want, abs=1e-6)
 
 
+def all_chunks(text):
+    return byte_cnn.training_chunks(byte_cnn.training_bytes(text))
+
+
+def test_long_texts_are_learnt_from_whole(words, net, monkeypatch):
+    text = " ".join(words(3000, 4))
+    x = all_chunks(text)
+    m = byte_cnn.Scorer(net).blocks(np.frombuffer(text.encode(), np.uint8))
+    assert len(x) == len(m) - 1 > 200
+    pooled, at = byte_cnn._pooled(net.taps, x)
+    assert np.allclose(np.maximum(pooled, 0), np.maximum(np.maximum(m[:-1], m[1:]), 0), atol=1e-5)
+    monkeypatch.setattr(byte_cnn, "CHUNKS", 7)
+    again = byte_cnn._pooled(net.taps, x)
+    assert (again[0] == pooled).all() and (again[1] == at).all()
+
+
+def test_the_sample_is_bounded_in_bytes_by_whole_texts(spark, docs, words, monkeypatch):
+    seen = []
+    monkeypatch.setattr(byte_cnn, "train", lambda documents, labels: seen.append(documents))
+    texts = {i: " ".join(words(20, i)) for i in range(1, 9)}
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id bigint, quality int")
+    byte_cnn.learn(docs(list(texts.items())), labels)
+    monkeypatch.setattr(byte_cnn, "SAMPLE_BYTES", sum(map(len, texts.values())) // 2)
+    byte_cnn.learn(docs(list(texts.items())), labels)
+    assert seen[0] == list(texts.values()) and 0 < len(seen[1]) < 8 and set(seen[1]) < set(seen[0])
+    assert sum(len(t.encode()) for t in seen[1]) <= byte_cnn.SAMPLE_BYTES
+
+
 def test_training_chunks_agree_with_scoring(words, net):
     for n in (3, 200, 900):
         text = " ".join(words(n, 2))
-        pooled = np.maximum(byte_cnn._pooled(net.taps, byte_cnn.training_chunks(text)[:1])[0], 0)
+        pooled = np.maximum(byte_cnn._pooled(net.taps, all_chunks(text)[:1])[0], 0)
         m = byte_cnn.Scorer(net).blocks(np.frombuffer(text.encode(), np.uint8))
         assert np.allclose(pooled[0], np.maximum(m[:2].max(0), 0), atol=1e-5)
 
@@ -58,7 +86,7 @@ def test_gradients(words):
     params = [
         rng.normal(0, 0.3, (WIDTH, 256, FILTERS)), rng.normal(0, 0.3, (FILTERS + 1, HIDDEN)), rng.normal(0, 0.3, 2 * HIDDEN + 1),
     ]
-    chunks = [byte_cnn.training_chunks(" ".join(words(n, n))) for n in (10, 120, 60)]
+    chunks = [all_chunks(" ".join(words(n, n))) for n in (10, 120, 60)]
     labels = np.array([1.0, 0.0, 1.0])
 
     def loss(p):

@@ -3,7 +3,7 @@
 A filter looks at WIDTH bytes; its weights are one number per place and byte value. Responses are taken at every
 place of the document, and their maxima over overlapping chunks (two neighbouring blocks each) go through a
 small hidden layer. The document's mean and maximum of the hidden units give one logit. Filters, hidden layer and
-output are learnt together by Adam on a bounded sample of labelled documents.
+output are learnt together by Adam on a bounded sample of labelled documents, each with all of its chunks.
 
 The scores of a document depend on all of its bytes and on nothing else.
 """
@@ -13,21 +13,22 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import by_batch, filter_batches, remainder, texts
+from .base import by_batch, filter_batches, kept, remainder, texts
 
 WIDTH = 6
 FILTERS = 24
 HIDDEN = 24
 BLOCK = 64  # places in a block; a chunk is two blocks
 SAMPLE = 3000  # labelled documents that are learnt from, at most
-SAMPLE_CHUNKS = 64  # chunks of such a document, evenly spread
+SAMPLE_BYTES = 32 << 20  # bytes of text that they have together, at most
 EPOCHS = 8
 BATCH = 48  # documents
 THRESHOLD = 0.3
 PIECE = 1024 * BLOCK  # places whose responses are held at once
+CHUNKS = 512  # chunks of a training batch whose responses are held at once
 
 
 class Net(NamedTuple):
@@ -39,22 +40,29 @@ class Net(NamedTuple):
 # ---------------------------------------------------------------- training
 
 
-def training_chunks(text: str) -> np.ndarray:
-    """(chunk, bytes) of a sampled document; -1 behind its end."""
+def training_bytes(text: str) -> np.ndarray:
+    """Bytes of a sampled document; -1 behind its end."""
     b = np.frombuffer(text.encode(), np.uint8).astype(np.int16)
     if len(b) < WIDTH:
         b = np.r_[b, np.zeros(WIDTH - len(b), np.int16)]
-    places = len(b) - WIDTH + 1
+    return np.r_[b, np.full(2 * BLOCK + WIDTH, -1, np.int16)]
+
+
+def training_chunks(padded: np.ndarray) -> np.ndarray:
+    """(chunk, bytes) of all the chunks of a document's ``training_bytes``."""
+    places = len(padded) - 2 * BLOCK - 2 * WIDTH + 1
     blocks = -(-places // BLOCK)
     starts = np.arange(max(1, blocks - 1)) * BLOCK
-    if len(starts) > SAMPLE_CHUNKS:
-        starts = starts[np.linspace(0, len(starts) - 1, SAMPLE_CHUNKS).round().astype(int)]
-    padded = np.r_[b, np.full(2 * BLOCK + WIDTH, -1, np.int16)]
     return padded[starts[:, None] + np.arange(2 * BLOCK + WIDTH - 1)]
 
 
 def _pooled(taps: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maxima over each chunk, and where they are."""
+    parts = [_pooled_part(taps, x[at : at + CHUNKS]) for at in range(0, len(x), CHUNKS)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _pooled_part(taps: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = 2 * BLOCK
     safe = np.maximum(x, 0)
     response = taps[0][safe[:, :n]]
@@ -82,16 +90,16 @@ def train(documents: list[str], labels: np.ndarray, seed: int = 7) -> Net:
         params[2][:] = 0
         params[2][-1] = np.log(max(share, 1e-3) / max(1 - share, 1e-3))
         return Net(*params)
-    chunks = [training_chunks(t) for t in documents]
+    read = [training_bytes(t) for t in documents]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
-    rounds = EPOCHS * -(-len(chunks) // BATCH)
+    rounds = EPOCHS * -(-len(read) // BATCH)
     for _ in range(EPOCHS):
-        order = rng.permutation(len(chunks))
+        order = rng.permutation(len(read))
         for at in range(0, len(order), BATCH):
             step += 1
             rate = 0.01 * (1 - step / (rounds + 1))
-            grads = _gradients(params, [chunks[i] for i in order[at : at + BATCH]], labels[order[at : at + BATCH]])
+            grads = _gradients(params, [training_chunks(read[i]) for i in order[at : at + BATCH]], labels[order[at : at + BATCH]])
             for p, g, m, v in zip(params, grads, first, second):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
@@ -180,17 +188,21 @@ def accepted(docs: DataFrame, net: Net) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
-    """A net from (doc_id, text) and (doc_id, quality): the ``sample`` labelled documents that come first by a hash of their id.
+    """A net from (doc_id, text) and (doc_id, quality): the ``sample`` labelled documents that come first by a hash of their id, as
+    long as they have SAMPLE_BYTES together.
 
     Rows without text, id or a label of 0 or 1 are left out. Of labels that contradict each other the mean counts, 1 from a half on.
-    The sample's texts are the only ones that reach the driver.
+    The sample's texts are the only ones that reach the driver, whole.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     one = usable.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     sampled = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    # A repeated id counts once.
-    found = sampled.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toArrow()
+    # A repeated id counts once. One window over at most ``sample`` sizes.
+    once = kept(sampled.groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "sample")
+    so_far = F.sum(F.octet_length("text").cast("bigint")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    fits = once.select("doc_id", so_far.alias("bytes")).filter(F.col("bytes") <= SAMPLE_BYTES).select("doc_id")
+    found = once.join(F.broadcast(fits), "doc_id").toArrow()
     rows = sorted(zip(found["doc_id"].to_pylist(), found["text"].to_pylist(), found["quality"].to_pylist()))
     return train([r[1] for r in rows], np.array([r[2] for r in rows], np.float32))
 
