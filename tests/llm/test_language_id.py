@@ -129,3 +129,30 @@ def test_a_quote_of_unseen_letters_keeps_the_language(docs):
     (r,) = language_id.predict(docs([(1, f"hello {word} hello")]).selectExpr("doc_id", "text", "true as held_out"), language_id.Model(["a", "b"], p), MODEL).collect()
     assert r.lang_pred == "b" and 0.9 < r.score <= 1
     assert language_id.accepted(docs([(1, f"hello {word}")]), language_id.Model(["a", "b"], p), MODEL, 0.5).count() == 1
+
+
+def test_long_words_are_not_cut(p, docs):
+    for word in ("hello" * 40, "straßenbahn" * 20):
+        marked = "▁" + word
+        table = language_id.lattice(MODEL)
+        # Sum over all segmentations, place by place, in logarithms.
+        for column in range(p.shape[1]):
+            logs = [0.0] + [-np.inf] * len(marked)
+            for end in range(1, len(marked) + 1):
+                for start in range(max(0, end - 40), end):
+                    piece = table.number.get(marked[start:end], table.pieces if end - start == 1 else None)
+                    if piece is not None:
+                        logs[end] = np.logaddexp(logs[end], logs[start] + np.log(p[piece, column]))
+            assert language_id.word_logs([word, "x"], MODEL, p)[0, column] == pytest.approx(logs[-1], rel=1e-9)
+    assert language_id.WORD.findall("a" * 5000 + " b") == ["a" * 5000, "b"]
+
+
+def test_words_of_any_length_in_bounded_batches():
+    lengths = np.array([3, 40_000, 9, 2, 9, 2_000_000] + [8] * 50_000)
+    parts = list(language_id.by_length(lengths))
+    assert sorted(np.concatenate(parts)) == list(range(len(lengths)))
+    assert all(len(part) == 1 or len(part) * (lengths[part].max() + 1) <= language_id.CELLS for part in parts)
+    assert max(map(len, parts)) <= language_id.BATCH and list(language_id.by_length(np.array([], np.int64))) == []
+    word = "hello" * 8_000
+    found = language_id.lattice(MODEL).edges(["▁" + word, "▁x"])
+    assert found.end.max() == 40_001 and (np.diff(found.end) >= 0).all()

@@ -6,9 +6,9 @@ Training is expectation maximisation over word counts: forward and backward pass
 expected count in every segmentation, Spark adds them up, and the sums become the next probabilities.
 Only sums per (language, piece) reach the driver: at most languages x vocabulary numbers.
 
-Words are maximal runs of letters in lower case with the vocabulary's word mark in front; runs of more than
-48 letters are cut every 48, so that a lattice stays small. A word whose products come near underflow, such as a run of
-letters that no language has shown, is worked out once more in logarithms.
+Words are maximal runs of letters in lower case with the vocabulary's word mark in front, of any length: they are worked
+out in batches of bounded size by length, a longer word than that alone, in memory in proportion to its letters. A word whose products
+come near underflow, such as a run of letters that no language has shown, is worked out once more in logarithms.
 """
 
 from __future__ import annotations
@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from .base import by_batch, filter_batches, kept, remainder
 
 MARK = "▁"
-WORD = re.compile(r"[^\W\d_]{1,48}")
+WORD = re.compile(r"[^\W\d_]+")
 ROUNDS = 4
 UNKNOWN = 1e-5  # probability of a character that no piece has
 PRIOR = 0.5  # count that is shared out to all pieces by their frequency in all languages together
 FLUSH = 400_000  # distinct words counted before a batch of counts goes out
+BATCH, CELLS = 20_000, 1_000_000  # words, and places of lattices, that are worked out at once
 LEAST = 1e-250  # words below this probability are worked out in logarithms
 MEMO = 400_000  # words whose probabilities a worker remembers
 
@@ -106,12 +107,26 @@ class Lattice:
             is_piece = piece >= 0
             found.append((at[is_piece], np.full(int(is_piece.sum()), length), piece[is_piece]))
         at, size, piece = (np.concatenate(x) for x in zip(*found))
-        end = (start[at] + size).astype(np.int16)
+        # Short numbers are sorted by radix.
+        end = (start[at] + size).astype(np.int16 if lengths.max(initial=0) < 1 << 15 else np.int64)
         order = np.argsort(end, kind="stable")
         at = at[order]
         return Edges(word[at], start[at], end[order].astype(np.int64), piece[order])
 
 
+def by_length(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of all words, the shortest first, in batches whose lattices have at most CELLS places, or one word."""
+    order = np.argsort(lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        part = order[at : at + BATCH]
+        # Padded to its longest word, a batch that ends here has this many places.
+        size = np.arange(1, len(part) + 1) * (lengths[part] + 1)
+        take = max(1, int(np.searchsorted(size, CELLS, "right")))
+        yield part[:take]
+        at += take
+
+
 @functools.lru_cache(maxsize=2)
 def lattice(vocabulary: str) -> Lattice:
     return Lattice(vocabulary)
@@ -234,15 +249,15 @@ def _expected(vocabulary: str, model):
         place = {lang: i for i, lang in enumerate(languages)}
         total = np.zeros(probability.shape)
         for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                part = batch.slice(at, 20_000)
-                words = [MARK + w for w in part["word"].to_pylist()]
-                lang = np.fromiter((place[x] for x in part["lang"].to_pylist()), np.int64, len(words))
-                n = part["n"].to_numpy().astype(float)
-                lengths = np.fromiter(map(len, words), np.int64, len(words))
-                edges = lattice(vocabulary).edges(words)
+            words = [MARK + w for w in batch["word"].to_pylist()]
+            langs = np.fromiter((place[x] for x in batch["lang"].to_pylist()), np.int64, len(words))
+            counts = batch["n"].to_numpy().astype(float)
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            for part in by_length(sizes):
+                lang, n = langs[part], counts[part]
+                edges = lattice(vocabulary).edges([words[i] for i in part])
                 word, piece = edges.word, edges.piece
-                share = n[word] * shares(lengths, edges, probability[piece, lang[word]])
+                share = n[word] * shares(sizes[part], edges, probability[piece, lang[word]])
                 total += np.bincount(piece * len(languages) + lang[word], share, total.size).reshape(total.shape)
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({"piece": pa.array(piece, pa.int32()), "lang": pa.array(lang, pa.int32()), "n": pa.array(total[piece, lang])})
@@ -293,9 +308,8 @@ class _Memo:
         first = len(self.place)
         while self.logs.shape[1] < first + len(fresh):
             self.logs = np.hstack([self.logs, np.zeros_like(self.logs)])
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            self.logs[:, first + at : first + at + len(part)] = word_logs(part, vocabulary, probability).T
+        for part in by_length(np.fromiter(map(len, fresh), np.int64, len(fresh)) + 1):
+            self.logs[:, first + part] = word_logs([fresh[i] for i in part], vocabulary, probability).T
         self.place.update(zip(fresh, range(first, first + len(fresh))))
 
 
