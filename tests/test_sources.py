@@ -243,6 +243,33 @@ def test_drops_beside_scans_and_with_folders(spark, tmp_path):
     assert [(r.folder_name, r.copies) for r in last.folder_sets.collect()] == [("T", 3)]
 
 
+def test_folders_of_a_stream_are_brought_up_to_date(spark, tmp_path, monkeypatch):
+    """After each drop the folder sets are those of a whole scan; only folders above changes are written."""
+    from twinsieve.streaming import rescan
+
+    state, at = f"file:{tmp_path}/state", f"file:{tmp_path}/report"
+    trees = [(f"{side}/T{i}/s/f{j}", f"{i}{j}", 0, 1) for side in "ab" for i in range(4) for j in range(2)]
+    drops = [
+        rows(spark, *trees),
+        rows(spark, ("a/T1/s/f0", "x", 0, 1), ("c/T2/s/f0", "20", 0, 1), ("c/T2/s/f1", "21", 0, 1)),
+        rows(spark, ("b/T1/s/f0", "x", 0, 1)),
+        rows(spark, ("c/T2/s/f1", None, 0, 1), ("a/T3/s/f0", None, 0, 1), ("a/T3/s/f1", None, 0, 1)).withColumn("deleted", F.lit(True)),
+    ]
+    want = [
+        [("T0", 2), ("T1", 2), ("T2", 2), ("T3", 2)], [("T0", 2), ("T2", 3), ("T3", 2)],
+        [("T0", 2), ("T1", 2), ("T2", 3), ("T3", 2)], [("T0", 2), ("T1", 2), ("T2", 2)],
+    ]
+    whole = []
+    plain = rescan.update_tree
+    monkeypatch.setattr(rescan, "update_tree", lambda before, *a, **k: whole.append(before is None) or plain(before, *a, **k))
+    for batch, drop in enumerate(drops):
+        apply_drop(drop, batch, state, at, include_folders=True)
+        assert sorted((r.folder_name, r.copies) for r in read_report(spark, at).folder_sets.collect()) == want[batch]
+    assert whole == [True, False, False, False]
+    third = spark.read.parquet(f"{state}/folders/batch=2/delta")
+    assert sorted(r.path for r in third.collect()) == ["/", "/d", "/d/b", "/d/b/T1", "/d/b/T1/s"]
+
+
 def test_file_uris_are_read(spark, tmp_path):
     from twinsieve.sources.content import object_digest
 

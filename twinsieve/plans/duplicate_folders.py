@@ -74,6 +74,10 @@ def find_duplicate_folders(
     files: DataFrame, folders: DataFrame, skip_cold: bool = False, hash_cache: DataFrame | None = None
 ) -> FolderDuplicates:
     """Find sets of folders with the same name and the same tree; only the top-most are listed."""
-    members = confirmed_members(files, folders, skip_cold, hash_cache)
+    return top_duplicates(confirmed_members(files, folders, skip_cold, hash_cache))
+
+
+def top_duplicates(members: Table) -> FolderDuplicates:
+    """The top-most sets of written members."""
     top = top_most(members.df, members.rows)
     return FolderDuplicates(folder_sets(top), folder_copies(top, members.rows), members.df)

@@ -9,17 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.names import name_key
-from ..functions.values import md5_hex
+from ..functions.paths import ancestors
+from ..functions.values import is_cold, md5_hex
 from ..operators.filters import exclude, min_size, split_cold, split_unreadable
 from ..operators.groups import lookup
+from ..operators.hierarchy import folder_members
 from ..operators.sets import file_copies, file_sets
-from ..plans.duplicate_folders import find_duplicate_folders
+from ..operators.tree_sums import TREE_SCHEMA, file_changes, fingerprints_in, update_tree
+from ..plans.duplicate_folders import FolderDuplicates, find_duplicate_folders, top_duplicates
 from ..session import materialize
 from ..sources.inventory import Catalog, folders_of, metadata
 from ..sources.report import (
     BUCKET, ScanSettings, Touched, file_tables, folder_tables, published, report_buckets, versions, write_report,
 )
-from .buckets import BUCKETS, advance, bucket_of, forget, has_state, inventory, load_state, read_delta, written_delta
+from .buckets import (
+    BUCKETS, FOLDERS, State, advance, bucket_of, forget, has_state, inventory, load_state, read_delta, written_delta,
+)
 
 
 def start_rescans(
@@ -72,7 +77,8 @@ def apply_drop(
 
     Only the buckets that the drop's names fall into are read and written, in the inventory and in the report, and
     only sets of the touched name keys are computed; the others are carried over from the version that this stream
-    published last. Folder sets, if included, take the whole inventory. A version is labelled with its stream and batch, so a
+    published last. Folder sets, if included, are grouped from kept fingerprints, of which the drop's folders and those above them are
+    brought up to date; with names to exclude they take the whole inventory. A version is labelled with its stream and batch, so a
     replayed batch that was published already changes nothing, and one that was not starts from the same earlier state.
     A drop without rows publishes a version with the same sets.
     """
@@ -115,7 +121,10 @@ def apply_drop(
         )
     sets, copies = (t.withColumn(BUCKET, bucket_of(name_key("file_name"), after.buckets)) for t in (sets, copies))
     folder_rows = folder_copies = None
-    if include_folders:
+    if include_folders and not exclude_names:
+        found = _folders_after(spark, known, arrived, after, skip_cold)
+        folder_rows, folder_copies = folder_tables(found.sets, found.copies)
+    elif include_folders:
         whole = inventory(spark, after)
         everything = exclude(Catalog(whole, folders_of(whole)), exclude_names)
         hashes = everything.files.filter("md5 is not null").select("path", "md5")
@@ -129,6 +138,35 @@ def apply_drop(
     forget(spark, after, batch_id - 2)
 
 
+def _folders_after(spark: SparkSession, known: DataFrame, arrived: DataFrame, after: State, skip_cold: bool) -> FolderDuplicates:
+    """Folder sets after a batch. Without the batch before's sums all files count as new."""
+    # Cold files have no hash when they are left out, so the two have different sums.
+    folder, batch = f"{after.folder}/{'local-' if skip_cold else ''}folders", after.batch
+    if not has_state(spark, folder, batch):
+
+        def lines(files: DataFrame, sign: int) -> DataFrame:
+            kept = F.when(~is_cold("attributes"), F.col("md5")) if skip_cold else F.col("md5")
+            return file_changes(files.withColumn("md5", kept), sign, with_md5=True)
+
+        if batch > 0 and has_state(spark, folder, batch - 1):
+            earlier = load_state(spark, folder, batch - 1, kind=FOLDERS)
+            gone = known.join(arrived.select("path"), "path", "left_semi")
+            changes = lines(gone, -1).unionByName(lines(arrived.filter("not deleted"), 1))
+            paths = gone.select("folder").unionByName(arrived.select("folder")).distinct()
+            above = paths.select(F.explode(ancestors("folder")).alias("path"))
+            touched = {row[0] for row in above.select(bucket_of("path", earlier.buckets)).distinct().collect()}
+            before = inventory(spark, earlier, touched)
+        else:
+            earlier, before = State(folder, batch - 1, after.buckets, {}, FOLDERS), None
+            changes = lines(inventory(spark, after), 1)
+        update = update_tree(before, changes, implied=True)
+        rows = spark.createDataFrame([], TREE_SCHEMA) if update is None else update.touched.df
+        written_delta(spark, earlier, batch, rows.withColumn("deleted", (F.col("own") == 0) & (F.col("lines") == 0)))
+        forget(spark, advance(spark, earlier, batch), batch - 2)
+    now = inventory(spark, load_state(spark, folder, batch, kind=FOLDERS))
+    return top_duplicates(materialize(folder_members(fingerprints_in(now)), "folder-members"))
+
+
 def _published_batches(spark: SparkSession, report_dir: str, state_dir: str) -> dict[int, int]:
     """Version of each batch that this stream has published in buckets."""
     markers = {v: published(spark, report_dir, v) for v in versions(spark, report_dir)}
