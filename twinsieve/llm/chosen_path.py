@@ -378,7 +378,10 @@ def near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, rule: Rule) -> DataFrame:
-    """The rows of ``docs``, with all their columns, without near duplicates: of each group the smallest id stays."""
+    """The rows of ``docs``, with all their columns, without near duplicates: of each group the smallest id stays.
+
+    Rows of one doc_id count as one document, and go or stay together. Rows with a null doc_id stay.
+    """
     gone = near_duplicates(docs, rule).filter(~F.col("kept")).select("doc_id").distinct()
     table = materialize(gone, "dropped", measure=["doc_id"], columnar=True)
     return docs.join(F.broadcast(table.df) if small(table) else table.df, "doc_id", "left_anti").select(*docs.columns)
