@@ -270,6 +270,14 @@ def test_folders_of_a_stream_are_brought_up_to_date(spark, tmp_path, monkeypatch
     assert sorted(r.path for r in third.collect()) == ["/", "/d", "/d/b", "/d/b/T1", "/d/b/T1/s"]
 
 
+def test_cold_files_of_a_stream_leave_their_folders_unproven(spark, tmp_path):
+    state, at = f"file:{tmp_path}/state", f"file:{tmp_path}/report"
+    drop = rows(spark, ("a/T/f", "1", 0, 1), ("b/T/f", "1", 0, 1), ("a/U/f", "2", 0, 1), ("b/U/f", "2", 0, 1))
+    cold = F.when(F.col("path") == "/d/a/U/f", 0x400000).otherwise(0)
+    apply_drop(drop.withColumn("attributes", cold), 0, state, at, skip_cold=True, include_folders=True)
+    assert [(r.folder_name, r.copies) for r in read_report(spark, at).folder_sets.collect()] == [("T", 2)]
+
+
 def test_file_uris_are_read(spark, tmp_path):
     from twinsieve.sources.content import object_digest
 
