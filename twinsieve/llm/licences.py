@@ -44,7 +44,8 @@ def canonical(text: Column) -> Column:
 
 
 def digest(text: Column) -> Column:
-    return F.sha2(canonical(text).cast("binary"), 256)
+    # Never null where the text is not, which is said here: a join on it would else test it for null, and compute it a second time.
+    return F.coalesce(F.sha2(canonical(text).cast("binary"), 256), F.lit(""))
 
 
 def known_digests(known: DataFrame) -> DataFrame:
