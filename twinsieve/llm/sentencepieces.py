@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import re
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -26,6 +28,8 @@ MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 # Segments a worker remembers; beyond that it starts afresh.
 MEMO = 400_000
+# Symbols up to which an agenda is a plain list whose least entry is looked for; a heap takes longer to build than that.
+SHORT = 48
 
 
 class Pieces:
@@ -61,6 +65,34 @@ class Pieces:
 
     def agenda(self, segment: str) -> tuple[int, ...]:
         """Ids of one normalised segment."""
+        ids: list[int] = []
+        for symbol in self._by_list(segment) if len(segment) <= SHORT else self._by_heap(segment):
+            known = self.ids.get(symbol)
+            if known is not None:
+                ids.append(known)
+            elif self.bytes:
+                ids += [self.bytes[b] for b in symbol.encode()]
+            else:
+                ids.append(self.unknown)
+        return tuple(ids)
+
+    def _by_list(self, segment: str) -> list[str]:
+        """Symbols of a short segment; the agenda has one entry per adjacent pair, in their order."""
+        cost, none = self.cost.get, math.inf
+        symbols = list(segment)
+        agenda = [cost(pair, none) for pair in map(str.__add__, segment, segment[1:])]
+        while agenda and (c := min(agenda)) != none:
+            i = agenda.index(c)
+            symbols[i] = merged = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = cost(merged + symbols[i + 1], none)
+            if i:
+                agenda[i - 1] = cost(symbols[i - 1] + merged, none)
+        return symbols
+
+    def _by_heap(self, segment: str) -> Iterator[str]:
+        """Symbols of a segment of any length, in time of n log n."""
         cost = self.cost.get
         symbols: list[str | None] = list(segment)
         n = len(symbols)
@@ -85,17 +117,7 @@ class Pieces:
                 h = before[i]
                 if h >= 0 and (c := cost(symbols[h] + merged)) is not None:
                     heappush(heap, (c, h))
-        ids: list[int] = []
-        for symbol in symbols:
-            if symbol is not None:
-                known = self.ids.get(symbol)
-                if known is not None:
-                    ids.append(known)
-                elif self.bytes:
-                    ids += [self.bytes[b] for b in symbol.encode()]
-                else:
-                    ids.append(self.unknown)
-        return tuple(ids)
+        return filter(None, symbols)
 
     def encode(self, batch: list[str]) -> tuple[list[list[int]], list[bool]]:
         """Ids of each text, and whether the library agrees."""
