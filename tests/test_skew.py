@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from twinsieve import find_duplicate_files, find_duplicate_folders, session
 from twinsieve.operators.groups import join_groups, group_counts, keep_repeated, lookup
-from twinsieve.operators import lookups
+from twinsieve.operators import lookups, ranking
 from twinsieve.operators.lookups import root_of_path
 from twinsieve.operators.ranking import copy_rank, rank_sliced
 from twinsieve.operators.sets import copies_of
@@ -80,6 +80,22 @@ def test_global_rank(spark):
     assert ranked.count() == 1_000
 
 
+@pytest.mark.parametrize("block", [1, 4, 1024])
+def test_ranks_by_blocks_of_slices(spark, monkeypatch, block):
+    monkeypatch.setattr(session, "HOT_GROUP_ROWS", 10)
+    monkeypatch.setattr(ranking, "BLOCK_SLICES", block)
+    # 60 % of the rows in one group, which lies in dozens of slices; a group without a key; one of a single row
+    rows = spark.range(1_000).selectExpr("if(id % 5 < 3, 0, if(id = 4, 9, if(id % 10 = 9, null, 1))) as k", "id * 7919 % 1000 as v")
+    expected = {}
+    for r in sorted(rows.collect(), key=lambda r: (str(r.k), r.v)):
+        expected.setdefault(r.k, []).append(r.v)
+    in_slices = rank_sliced(rows.filter("k is not null"), [F.col("v")], "rank", ["k"])
+    found = {(r.k, r["rank"]): r.v for r in in_slices.collect()}
+    assert found == {(k, i + 1): v for k, of_k in expected.items() if k is not None for i, v in enumerate(of_k)}
+    whole = rank_sliced(rows, [F.col("v")], "rank")
+    assert sorted((r["rank"], r.v) for r in whole.collect()) == [(i + 1, i) for i in range(1_000)]
+
+
 @pytest.mark.parametrize("limit", [-1, 64 << 20])
 def test_roots_by_both_routes(spark, monkeypatch, limit):
     monkeypatch.setattr(session, "BROADCAST_BYTES", limit)
