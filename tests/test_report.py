@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinsieve import ScanSettings, previous_hashes, read_report, scan, validate, write_report
-from twinsieve.plans.validate import copy_states, folder_copy_states
+from twinsieve.plans.validate import copy_states, folder_copy_states, outcome_counters, row_outcomes, validation_summary
+from twinsieve.session import materialize
 from twinsieve.sources import publishing, report
 from twinsieve.sources.inventory import Catalog
 
@@ -154,6 +155,40 @@ def test_validating_after_removals(spark, tree, roots, tmp_path):
     assert ("/data/two/Album", "Changed", True) in logged and ("/data/cam/img.PNG", "Missing", True) in logged
 
 
+def jobs_of(spark, run):
+    """What ``run`` gives, and the number of Spark jobs it started."""
+    tracker = spark.sparkContext.statusTracker()
+    before = max(tracker.getJobIdsForGroup(None), default=-1)
+    done = run()
+    return done, max(tracker.getJobIdsForGroup(None), default=-1) - before
+
+
+def test_the_summary_is_counted_on_the_way(spark, roots):
+    sets = spark.createDataFrame([(k,) for k in "abcd"], "set_id string")
+    states = spark.createDataFrame(
+        [("a", "Present"), ("a", "Present"), ("a", "Missing"), ("b", "Present"), ("b", "Changed"), ("c", "Unavailable"), ("c", "Present")],
+        "set_id string, state string",
+    )
+    counted = materialize(row_outcomes(sets, states), "counted", counters=outcome_counters())
+    nothing = materialize(row_outcomes(sets.limit(0), states), "nothing", counters=outcome_counters())
+    row, jobs = jobs_of(spark, lambda: validation_summary(spark, counted, nothing).first())
+    assert jobs <= 1 and row.asDict() == {
+        "rows_checked": 4, "copies_checked": 7, "copies_removed": 2, "copies_unavailable": 1, "rows_removed": 2, "rows_remaining": 2,
+        **{f"folder_{c}": 0 for c in ("rows_checked", "copies_checked", "copies_removed", "copies_unavailable", "rows_removed", "rows_remaining")},
+        "changed": True,
+    }
+    assert not validation_summary(spark, nothing).first().changed
+
+
+def test_validation_takes_few_jobs(spark, tree, roots, tmp_path):
+    catalog = tree(TREE)
+    at = str(tmp_path / "report")
+    scan(spark, catalog, at)
+    smaller = Catalog(catalog.files.filter("name <> 'a.txt'"), catalog.folders)
+    done, jobs = jobs_of(spark, lambda: validate(spark, at, smaller, roots))
+    assert done.summary.count() == 1 and jobs <= 60
+
+
 def test_a_row_without_an_offset_is_compared_by_local_time_and_gets_one(spark, tree, roots, tmp_path):
     at = f"file:{tmp_path}/r"
     catalog = tree([("a/f", "abc", 0), ("b/f", "abc", 0), ("c/f", "abc", 60)])

@@ -20,13 +20,13 @@ PRESENT, MISSING, CHANGED, UNAVAILABLE = "Present", "Missing", "Changed", "Unava
 
 
 def measured_roots(roots: DataFrame) -> Table:
-    """One row per root, unreachable if any of its rows is, with their bytes.
+    """One row per root, unreachable if any of its rows is, with its ``level``; their bytes and extreme levels.
 
     Separators at the end do not matter, but for a root that is nothing else; rows without a root are left out.
     """
     plain = roots.filter("root is not null").select(plain_folder("root").alias("root"), "reachable")
     ranked = plain.groupBy("root").agg(F.bool_and("reachable").alias("reachable"))
-    return materialize(ranked, "roots", measure=["root"])
+    return materialize(ranked.withColumn("level", F.size(ancestors("root"))), "roots", measure=["root"], extremes="level")
 
 
 def root_of_path(rows: DataFrame, roots: DataFrame | Table, path: str = "path") -> DataFrame:
@@ -34,15 +34,14 @@ def root_of_path(rows: DataFrame, roots: DataFrame | Table, path: str = "path")
 
     A path's roots are among its own ancestors, each at the place it has among its own. Roots of measured size are
     broadcast, those of each level as a table of their own in which the path's ancestor of that level is looked up; rows
-    are not shuffled. Beyond that, or with roots of more than ROOT_LEVELS levels, different paths are joined with the roots by
+    are not shuffled. Beyond that, or with roots over more than ROOT_LEVELS levels, different paths are joined with the roots by
     all their ancestors.
     """
     table = roots if isinstance(roots, Table) else measured_roots(roots)
-    if small(table):
-        levelled = table.df.withColumn("level", F.size(ancestors("root")))
-        levels = [row[0] for row in levelled.select("level").distinct().orderBy("level").limit(ROOT_LEVELS + 1).collect()]
-        if len(levels) <= ROOT_LEVELS:
-            return _root_by_level(rows, levelled, levels, path)
+    # The extremes were observed when the roots were written: no job is needed to know the levels.
+    levels = range(table.least or 0, (table.most or 0) + 1) if table.rows else range(0)
+    if small(table) and len(levels) <= ROOT_LEVELS:
+        return _root_by_level(rows, table.df, levels, path)
     lines = rows.select(path).distinct().select(path, F.explode(ancestors(path)).alias("root"))
     held = lookup(lines, table, ["root"], [path], "inner")
     longest = F.max_by(F.struct("root", "reachable"), F.octet_length("root"))

@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.filters import exclude, exclude_paths, min_size
 from ..operators.sets import scan_totals
 from ..operators.warnings import scan_warnings
-from ..session import materialize
+from ..session import materialize, together
 from ..sources.inventory import Catalog, metadata
 from ..sources.report import (
     ScanSettings, file_tables, folder_tables, read_report, report_exists, write_report,
 )
 from .duplicate_files import FileDuplicates, file_candidates, find_duplicate_files
-from .duplicate_folders import FolderDuplicates, find_duplicate_folders
+from .duplicate_folders import FolderCandidates, FolderDuplicates, confirmed_members, folder_tree_candidates, top_duplicates
 from .rescan import previous_hashes
 
 
@@ -73,14 +73,19 @@ def scan(
             cache = materialize(reused, "reused-hashes", columnar=True).df
         except (AnalysisException, OSError, ValueError) as problem:
             warnings.append(f"Hashes of '{report_dir}' are not reused: {problem}")
-    files = find_duplicate_files(
-        catalog.files, skip_cold, ignore_empty, settings.minimum_size, hash_cache=cache, tz=tz
-    )
+
+    def find_files() -> FileDuplicates:
+        return find_duplicate_files(catalog.files, skip_cold, ignore_empty, settings.minimum_size, hash_cache=cache, tz=tz)
+
+    def compare_trees() -> FolderCandidates | None:
+        return folder_tree_candidates(catalog.files, catalog.folders, skip_cold) if include_folders else None
+
+    files, trees = together(find_files, compare_trees)
     folders = None
     if include_folders:
         # The file pass has hashed almost everything below a duplicate folder already.
         known = files.hashes if cache is None else files.hashes.unionByName(cache).dropDuplicates(["path"])
-        folders = find_duplicate_folders(catalog.files, catalog.folders, skip_cold, hash_cache=known)
+        folders = top_duplicates(confirmed_members(catalog.files, trees, known))
     # Files told apart by their first bytes were read as far as they need.
     nothing_read = files.copies.rows == 0 and (files.separated is None or files.separated.isEmpty())
     if nothing_read and not file_candidates(catalog.files, skip_cold, ignore_empty, settings.minimum_size).isEmpty():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import join_path
@@ -75,6 +75,10 @@ def row_outcomes(sets: DataFrame, states: DataFrame) -> DataFrame:
     )
 
 
+def _written_outcomes(sets: DataFrame, states: DataFrame) -> Table:
+    return materialize(row_outcomes(sets, states), "row-outcomes", extremes="surviving", counters=outcome_counters())
+
+
 def surviving_rows(sets: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Sets that keep at least two copies, with ``copies`` recomputed."""
     kept = outcomes.filter("surviving >= 2").select("set_id", F.col("surviving").alias("copies"))
@@ -97,26 +101,29 @@ def removed_copies(states: DataFrame, location_is_item: bool = False) -> DataFra
     )
 
 
-def validation_summary(outcomes: DataFrame, folder_outcomes: DataFrame | None = None) -> DataFrame:
-    """One row of counters; the folder counters stay 0 when the report has no folder tables."""
-    rows = outcomes.withColumn("is_file", F.lit(True))
-    if folder_outcomes is not None:
-        rows = rows.unionByName(folder_outcomes.withColumn("is_file", F.lit(False)))
+_COUNTERS = ("rows_checked", "copies_checked", "copies_removed", "copies_unavailable", "rows_removed", "rows_remaining")
 
-    def counters(which, prefix: str) -> list:
-        total = lambda c: F.coalesce(F.sum(F.when(which, F.col(c))), F.lit(0)).cast("bigint")
-        return [
-            F.count_if(which).alias(f"{prefix}rows_checked"),
-            total("checked").alias(f"{prefix}copies_checked"),
-            total("removed").alias(f"{prefix}copies_removed"),
-            total("unavailable").alias(f"{prefix}copies_unavailable"),
-            F.count_if(which & (F.col("surviving") < 2)).alias(f"{prefix}rows_removed"),
-            F.count_if(which & (F.col("surviving") >= 2)).alias(f"{prefix}rows_remaining"),
-        ]
 
-    changed = F.coalesce(F.bool_or((F.col("removed") > 0) | (F.col("surviving") < 2)), F.lit(False))
-    is_file = F.col("is_file")
-    return rows.agg(*counters(is_file, ""), *counters(~is_file, "folder_"), changed.alias("changed"))
+def outcome_counters() -> list[Column]:
+    """What is counted of ``row_outcomes``, under the names of the summary."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    counted = (
+        F.count(F.lit(1)), total("checked"), total("removed"), total("unavailable"), F.count_if(F.col("surviving") < 2),
+        F.count_if(F.col("surviving") >= 2),
+    )
+    return [column.alias(name) for column, name in zip(counted, _COUNTERS)]
+
+
+def validation_summary(spark: SparkSession, outcomes: Table, folder_outcomes: Table | None = None) -> DataFrame:
+    """One row of counters; the folder counters stay 0 when the report has no folder tables.
+
+    They were observed while the outcomes were written, so the outcomes are not read again.
+    """
+    both = [("", outcomes.seen), ("folder_", folder_outcomes.seen if folder_outcomes else {})]
+    row = {f"{prefix}{name}": seen.get(name) or 0 for prefix, seen in both for name in _COUNTERS}
+    row["changed"] = any(value > 0 for name, value in row.items() if name.endswith(("copies_removed", "rows_removed")))
+    kinds = {name: "boolean" if name == "changed" else "bigint" for name in row}
+    return spark.range(0, 1, 1, 1).select(*[F.lit(value).cast(kinds[name]).alias(name) for name, value in row.items()])
 
 
 class Validation(NamedTuple):
@@ -148,7 +155,7 @@ def validate(
     def check_files() -> tuple[Table, Table]:
         checked = copy_states(report.file_copies, catalog, roots, tz, windows_paths)
         states = materialize(checked, "copy-states", columnar=True)
-        return states, materialize(row_outcomes(report.file_sets, states.df), "row-outcomes", extremes="surviving")
+        return states, _written_outcomes(report.file_sets, states.df)
 
     def check_folders() -> tuple[Table, Table] | None:
         if report.folder_sets is None:
@@ -156,14 +163,14 @@ def validate(
         patterns = report.settings.exclude_names
         checked = folder_copy_states(report.folder_copies, catalog, roots, patterns, windows_paths)
         states = materialize(checked, "folder-states")
-        return states, materialize(row_outcomes(report.folder_sets, states.df), "folder-outcomes", extremes="surviving")
+        return states, _written_outcomes(report.folder_sets, states.df)
 
     (states, outcomes), of_folders = together(check_files, check_folders)
     removed = removed_copies(states.df)
     folder_states, folder_outcomes = of_folders or (None, None)
     if folder_states is not None:
         removed = removed.unionByName(removed_copies(folder_states.df, location_is_item=True))
-    summary = materialize(validation_summary(outcomes.df, folder_outcomes.df if folder_outcomes else None), "summary").df
+    summary = validation_summary(spark, outcomes, folder_outcomes)
 
     file_sets = surviving_rows(report.file_sets, outcomes.df)
     file_copies = surviving_copies(states, file_sets, outcomes.most or 0)

@@ -6,9 +6,9 @@ import functools
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from typing import Callable, NamedTuple, Sequence, TypeVar
+from typing import Any, Callable, Mapping, NamedTuple, Sequence, TypeVar
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only when its measured key bytes stay below this.
@@ -66,6 +66,7 @@ class Table(NamedTuple):
     measured_bytes: int
     most: int | None = None
     least: int | None = None
+    seen: Mapping[str, Any] = {}
 
 
 def materialize(
@@ -75,11 +76,12 @@ def materialize(
     extremes: str | None = None,
     columnar: bool = False,
     folder: str | None = None,
+    counters: Sequence[Column] = (),
 ) -> Table:
     """Compute ``df`` once and cut its lineage in the shared folder, where no executor's loss matters.
 
-    Row count, the byte length of the ``measure`` columns and the extremes of one column are
-    observed on the way, so size checks cost no job. Relations with a row per file are kept
+    Row count, the byte length of the ``measure`` columns, the extremes of one column and further ``counters``
+    (named aggregates, found in ``seen``) are observed on the way, so size checks cost no job. Relations with a row per file are kept
     ``columnar`` (Parquet: compact, readers take only their columns); groups and folders are
     checkpointed, which also keeps their partitioning.
     """
@@ -89,6 +91,7 @@ def materialize(
     totals = [F.count(F.lit(1)).alias("rows"), F.sum(width.cast("bigint")).alias("bytes")]
     if extremes is not None:
         totals += [F.max(extremes).alias("most"), F.min(extremes).alias("least")]
+    totals += counters
     seen = Observation(f"{label}-{uuid.uuid4().hex}")
     observed = df.observe(seen, *totals)
     if columnar or folder:
@@ -99,7 +102,7 @@ def materialize(
     else:
         kept = observed.checkpoint()
     found = seen.get
-    return Table(kept, found.get("rows") or 0, found.get("bytes") or 0, found.get("most"), found.get("least"))
+    return Table(kept, found.get("rows") or 0, found.get("bytes") or 0, found.get("most"), found.get("least"), found)
 
 
 def remove_intermediates(spark: SparkSession) -> None:

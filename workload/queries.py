@@ -517,7 +517,8 @@ def folder_candidates(spark, sf):
 
 @query
 def folder_sets_all(spark, sf):
-    members = folder_plan.confirmed_members(derived.files(spark, sf), derived.folders(spark, sf)).df
+    files = derived.files(spark, sf)
+    members = folder_plan.confirmed_members(files, folder_plan.folder_tree_candidates(files, derived.folders(spark, sf))).df
     first = members.groupBy("set_id").agg(F.min("path").alias("first_equal"))
     return members.join(first, "set_id").select("path", "first_equal", "file_count", "folder_count", "size_bytes")
 
