@@ -3,7 +3,8 @@
 A sequence has simultaneous limits on tokens, on segments and on loss-bearing tokens. One sequence is open at
 a time; of the pieces that fit in every dimension, the one with the largest weighted dot product of its
 demands and the room left goes in next. Pieces with equal demands are interchangeable, so a choice
-looks at each distinct demand once.
+looks at each distinct demand once. Where distinct demands can be put in an order in which no dimension ever falls, as
+when every token bears loss, a later one that fits has the larger product, and a choice is a binary search.
 
 A document is cut only where it fills a sequence by itself: whole multiples of the token limit, and a rest that
 is packed uncut. Pieces are dealt evenly over tasks, and each task packs blocks of bounded size.
@@ -11,6 +12,7 @@ is packed uncut. Pieces are dealt evenly over tasks, and each task packs blocks
 
 from __future__ import annotations
 
+import bisect
 import functools
 import json
 import re
@@ -151,6 +153,10 @@ def fill(demands: np.ndarray, capacity: np.ndarray) -> np.ndarray:
     order = np.argsort(kind, kind="stable")
     left = np.bincount(kind, minlength=len(kinds))
     taken = np.r_[0, np.cumsum(left)[:-1]]
+    if (kinds >= 0).all() and (np.diff(kinds, axis=0) >= 0).all():
+        bins = np.empty(len(demands), np.int64)
+        bins[order] = _fill_chain(kinds, left, capacity)
+        return bins
     share = kinds / capacity
     # A dimension weighs what all the items together ask of it.
     weighted = share * (left @ share)
@@ -178,6 +184,40 @@ def fill(demands: np.ndarray, capacity: np.ndarray) -> np.ndarray:
     return bins
 
 
+def _fill_chain(kinds: np.ndarray, left: np.ndarray, capacity: np.ndarray) -> np.ndarray:
+    """``fill`` for kinds of which each asks at least as much as the one before in every dimension: the last that fits is
+    the choice. Bins come kind by kind, ``left`` of each."""
+    columns, rows = kinds.T.tolist(), kinds.tolist()
+    full = [int(c) for c in capacity]
+    counts = left.tolist()
+    bins: list[list[int]] = [[] for _ in rows]
+    before = list(range(-1, len(rows) - 1))  # a kind that has not run out, or one on the way to it
+    alive = sum(counts)
+
+    def last(at: int) -> int:
+        found = at
+        while found >= 0 and not counts[found]:
+            found = before[found]
+        while at >= 0 and not counts[at]:
+            before[at], at = found, before[at]
+        return found
+
+    current, rest, opened = 0, full, False
+    while alive:
+        pick = last(min(map(bisect.bisect_right, columns, rest)) - 1)
+        if pick < 0:
+            if opened:
+                current, rest, opened = current + 1, full, False
+                continue
+            pick = next(i for i, n in enumerate(counts) if n)  # fits nowhere
+        bins[pick].append(current)
+        counts[pick] -= 1
+        alive -= 1
+        rest = [a - b for a, b in zip(rest, rows[pick])]
+        opened = True
+    return np.fromiter(chain.from_iterable(bins), np.int64)
+
+
 def pack(pieces: DataFrame, limits: Limits = Limits(), loss: str = "length") -> DataFrame:
     """``pieces`` (with ``length`` and the ``loss`` column) plus sequence_id and offset.
 
