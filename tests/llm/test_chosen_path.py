@@ -109,3 +109,72 @@ def test_components(spark):
                 changed = True
     got = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert dict(map(tuple, got)) == head and len(got) == len(head)
+
+
+def vectors(spark, group, strangers):
+    """One group of a hundred points around 0 and others far apart, all under one key; a point in two is a bridge."""
+    rows = [(1, i, i % 100) for i in range(group)] + [(1, 10_000 + i, 1_000 * (i + 1)) for i in range(strangers)]
+    return spark.createDataFrame(rows, "k bigint, rep bigint, x int").repartition(3)
+
+
+def near_by(met, most):
+    """A compare function: points at most ``most`` apart are linked. Counts the rows it gets."""
+
+    def compare(rows):
+        rows = rows.localCheckpoint()
+        met.append(rows.count())
+        one, other = rows.alias("one"), rows.alias("other")
+        pairs = one.join(other, "k").where(f"one.rep > other.rep and abs(one.x - other.x) <= {most}")
+        return pairs.selectExpr("one.rep as a", "other.rep as b")
+
+    return compare
+
+
+def test_many_blocks_give_the_same(docs, groups, monkeypatch):
+    monkeypatch.setattr(chosen_path, "LEAF", 8)
+    monkeypatch.setattr(chosen_path, "DIRECT", 1)
+    monkeypatch.setattr(chosen_path, "BLOCK_SHINGLES", 1500)
+    assert Counter(map(tuple, chosen_path.near_duplicates(docs(groups), Rule(3, 85)).collect())) == brute(groups, Rule(3, 85))
+
+
+@pytest.mark.parametrize("most", [99, 50, 1])
+def test_blocks_lose_no_component(spark, monkeypatch, most):
+    monkeypatch.setattr(chosen_path, "LEAF", 10)
+    from pyspark.sql import functions as F
+
+    rows = vectors(spark, 130, 25)
+    got = chosen_path.by_blocks(rows, "k", F.lit(0.1), near_by([], most))
+    found = {r.vertex: r.component for r in components(got).collect()}
+    assert found == {i: 0 for i in range(130)}  # points of the group are all reachable, strangers are not
+
+
+def test_rows_of_like_members_grow_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "LEAF", 10)
+    from pyspark.sql import functions as F
+
+    met = {}
+    for group in (200, 400, 800):
+        rows = vectors(spark, group, 0)
+        components(chosen_path.by_blocks(rows, "k", F.lit(0.1), near_by(met.setdefault(group, []), 99))).count()
+    assert all(sum(met[g]) <= 3 * g for g in met), met  # with all pairs of blocks: group * group / 10
+
+
+def test_members_of_crowded_nodes_grow_in_proportion(spark, monkeypatch):
+    """Rows over all levels for a group of near copies, twice as large: no more than twice as many, and no sketches among them."""
+    monkeypatch.setattr(chosen_path, "LEAF", 20)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 32, chosen_path.COORDINATES, dtype=np.uint64).astype(np.uint32)
+    made = []
+    for group in (400, 800):
+        sketches = [np.where(rng.random(chosen_path.COORDINATES) < 0.05, rng.integers(0, 1 << 32, chosen_path.COORDINATES), base).astype(np.uint32) for _ in range(group)]
+        classes = spark.createDataFrame([(i, 100, s.tobytes()) for i, s in enumerate(sketches)], "rep bigint, n int, sketch binary")
+        rate, crowded = 100 / 85 / chosen_path.COORDINATES, []
+        for _ in range(chosen_path.LEVELS):
+            share = spark.sparkContext.broadcast(list(crowded))
+            sizes = chosen_path.sized(classes, range(chosen_path.TREES), rate, share).groupBy("node").sum("members").collect()
+            crowded.append(np.sort(np.array([n for n, members in sizes if members > 20], np.int64)))
+        share = spark.sparkContext.broadcast(crowded)
+        parts = [chosen_path.branched(classes, range(chosen_path.TREES), rate, share, is_large) for is_large in (False, True)]
+        assert all(p.columns == ["node", "rep", "n", "bits"] for p in parts)
+        made.append([p.count() for p in parts])
+    assert made[0][1] > 0 and sum(made[1]) <= 2.2 * sum(made[0]), made

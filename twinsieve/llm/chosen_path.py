@@ -4,14 +4,17 @@ A document is the set of its word shingles. Equal sets are one class, found by t
 classes. Each class has a sketch of minwise tokens. In every tree a node picks few of the sketch's coordinates at
 random, so that a pair at the threshold agrees in one of them on average, and its members go to the child named
 by their token there. Nodes small enough are compared exhaustively by bits of the sketches; larger ones branch
-again, and what is still large at the last level is compared block by block. Independent trees repeat that. The worst
+again, and what is still large at the last level is compared block by block. Members of a crowded node have a row for each
+coordinate that it picks (1 / threshold on average) at each level below. Independent trees repeat that. The worst
 case is a pair at the threshold whose nodes all go down to the last level: it survives there from each of the roots' about
 29 choices with a probability of 0.85 x 0.468 at a threshold of 0.85. All trees share one sketch, in which such a pair agrees now
 more, now less; averaged over that it is missed with a probability of about 2 in 1,000,000, at a threshold of 0.8 of about 5.
 
 Nothing emits pairs. A node gives a forest over its similar members, so candidates are clusters; the full sets of
 a cluster's members, each fetched once, are intersected with each other where they lie, and links are what passes
-the exact test. Clusters of many members or long texts are again split into blocks, compared two at a time.
+the exact test. Clusters of many members or long texts are again split into blocks. Of many blocks one meets all others first;
+blocks of members that this puts into one component do not meet again, so rows grow with the square of a group only where its
+members are not linked with each other.
 """
 
 from __future__ import annotations
@@ -23,10 +26,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, small
+from ..session import BROADCAST_BYTES, materialize, small
 from .base import by_batch, kept, texts
 from .graphs import components
 
@@ -34,6 +38,7 @@ COORDINATES = 128
 TREES = 20
 LEVELS = 3
 LEAF = 512  # members of a node, or of a block of a cluster, that are compared exhaustively
+DIRECT = 8  # blocks that all meet; more of them meet one block first
 BLOCK_SHINGLES = 4 << 20  # shingles in a block
 MEMO = 400_000
 
@@ -113,6 +118,7 @@ def _sketched(columns, size):
 
 BITS = COORDINATES // 4  # bytes of a short sketch: two bits of every coordinate
 NODE = "node bigint, rep bigint, n int, bits binary"
+_ALL = (1 << 64) - 1
 
 
 def _short(sketch: np.ndarray) -> np.ndarray:
@@ -132,33 +138,72 @@ def _children(node: int, coordinate: int, tokens: np.ndarray) -> np.ndarray:
     return _mixed(seed + tokens.astype(np.uint64))
 
 
-def branched(rows: DataFrame, rate: float, is_root: bool, with_sketch: bool) -> DataFrame:
-    """Children of the nodes that (rep, n, sketch[, node]) rows are in; at the root, of every tree."""
-    schema = f"{NODE}, sketch binary" if with_sketch else NODE
+def _places(sketch: np.ndarray, trees: range, rate: float, crowded: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(level, members, node of each) of all that rows are members of; those of ``crowded``, sorted by level, branch again."""
+
+    def below(node: int, members: np.ndarray, level: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for j in _chosen(node, rate, int(level == 0)):
+            found = _children(node, int(j), sketch[members, j]).view(np.int64)
+            yield level, members, found
+            if level < len(crowded):
+                inner = np.flatnonzero(_among(found, crowded[level]))
+                inner = inner[np.argsort(found[inner], kind="stable")]
+                for same in np.split(inner, np.flatnonzero(np.diff(found[inner])) + 1) if len(inner) else ():
+                    yield from below(int(found[same[0]]) & _ALL, members[same], level + 1)
+
+    for tree in trees:
+        yield from below(tree, np.arange(len(sketch)), 0)
+
+
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether each value is in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def _sketch_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2_000):
+            part = batch.slice(at, 2_000)
+            yield part, np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
+
+
+def sized(classes: DataFrame, trees: range, rate: float, crowded: Broadcast) -> DataFrame:
+    """(node, members) of the level below ``crowded``: the sizes of its nodes, in parts that are still to be added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deepest = len(crowded.value)
+        for _, sketch in _sketch_parts(batches):
+            found = [nodes for level, _, nodes in _places(sketch, trees, rate, crowded.value) if level == deepest]
+            if found:
+                node, members = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"node": pa.array(node), "members": pa.array(members)})
+
+    return classes.select("sketch").mapInArrow(run, "node bigint, members bigint")
+
+
+def branched(classes: DataFrame, trees: range, rate: float, crowded: Broadcast, is_large: bool) -> DataFrame:
+    """A row for each member of the nodes that branch no further: those of at most LEAF members, or the larger ones of the last
+    level if ``is_large``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.slice(at, 2_000)
-                rep, n = part["rep"].to_numpy(), part["n"].to_numpy()
-                sketch = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
-                bits = _short(sketch)
-                if is_root:
-                    nodes = [(tree, np.arange(len(rep))) for tree in range(TREES)]
-                else:
-                    own = part["node"].to_numpy().view(np.uint64)
-                    nodes = [(int(x), np.flatnonzero(own == x)) for x in np.unique(own)]
-                for node, members in nodes:
-                    for j in _chosen(node, rate, int(is_root)):
-                        out = {
-                            "node": pa.array(_children(node, int(j), sketch[members, j]).view(np.int64)), "rep": pa.array(rep[members]), "n": pa.array(n[members]),
-                            "bits": pa.array([x.tobytes() for x in bits[members]], pa.binary()),
-                        }
-                        if with_sketch:
-                            out["sketch"] = part["sketch"].take(pa.array(members))
-                        yield pa.RecordBatch.from_pydict(out)
-
-    return rows.mapInArrow(run, schema)
+        large = crowded.value
+        for part, sketch in _sketch_parts(batches):
+            rep, n = part["rep"].to_numpy(), part["n"].to_numpy()
+            bits = pa.array([x.tobytes() for x in _short(sketch)], pa.binary())
+            at, nodes = [], []
+            for level, members, node in _places(sketch, trees, rate, large[: LEVELS - 1]):
+                if is_large and level < LEVELS - 1:
+                    continue
+                here = _among(node, large[level]) == is_large if level < len(large) else slice(None)
+                at.append(members[here])
+                nodes.append(node[here])
+            if at:
+                at = np.concatenate(at)
+                yield pa.RecordBatch.from_pydict({"node": pa.array(np.concatenate(nodes)), "rep": pa.array(rep[at]), "n": pa.array(n[at]), "bits": bits.take(pa.array(at))})
+
+    return classes.mapInArrow(run, NODE)
 
 
 def _stars(mask: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,40 +282,77 @@ def compared(nodes: DataFrame, percent: int) -> DataFrame:
     return nodes.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint")
 
 
-def _in_blocks(rows: DataFrame, key: str, blocks: str) -> DataFrame:
-    """Rows of a key dealt to ``blocks`` blocks; every two blocks of a key meet under one new key."""
-    own = F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
-    meeting = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int"))))
-    new = F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))
-    return meeting.withColumn(key, F.when(F.col(blocks) > 1, new).otherwise(F.col(key))).drop("own", "other")
+def by_blocks(rows: DataFrame, key: str, weight: Column, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges over rows of (``key``, rep, ...) with more members to a key than ``compare`` can take at once; each row takes up
+    ``weight`` of a block.
+
+    Up to DIRECT blocks of a key all meet. Of more, one meets the others first. Members found in one component by that need no more comparisons among
+    themselves; a key's largest component is dealt to blocks apart from the others, and only pairs of blocks without it on both
+    sides meet. So a group of like members gives rows in proportion to its size; only unlike ones meet block by block.
+    """
+    blocks = F.ceil(F.sum("weight")).cast("int")
+    deal = lambda into: F.pmod(F.xxhash64("rep"), F.col(into)).cast("int")
+    weighed = rows.select(key, "rep", weight.alias("weight"))
+    sizes = materialize(weighed.groupBy(key).agg(blocks.alias("blocks")), "group-sizes", extremes="blocks", columnar=True)
+    own = rows.join(sizes.df, key).withColumn("own", deal("blocks"))
+    all_meet = own.filter(F.col("blocks") <= DIRECT).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    few = compare(_met(all_meet, key, F.least("own", "other"), F.greatest("own", "other")).drop("own", "blocks"))
+    if (sizes.most or 0) <= DIRECT:
+        return few
+    own = own.filter(F.col("blocks") > DIRECT)
+    weighed = weighed.join(sizes.df.filter(F.col("blocks") > DIRECT).select(key), key, "left_semi")
+    # The first block goes to all others, which are met by it where they are.
+    meets = F.when(F.col("own") > 0, F.array("own")).otherwise(F.sequence(F.lit(1), F.col("blocks") - 1))
+    first = kept(compare(_met(own.withColumn("other", F.explode(meets)), key, "other").drop("own", "blocks")), "first-block")
+    named = components(first).select(F.col("vertex").alias("rep"), "component")
+    labelled = kept(weighed.join(named, "rep", "left").select(key, "rep", "weight", F.coalesce("component", "rep").alias("component")), "labelled")
+    each = labelled.groupBy(key, "component").agg(F.sum("weight").alias("weight"))
+    inner = each.groupBy(key).agg(F.max(F.struct("weight", "component")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    inner = inner.filter("parts > 1").select(key, F.col("top.component").alias("inner"))
+    sides = kept(labelled.join(inner, key).select(key, "rep", "weight", (F.col("component") == F.col("inner")).alias("is_inner")), "unlike")
+    held, left = (
+        sides.filter(F.col("is_inner") == is_inner).groupBy(key).agg(blocks.alias(name)) for name, is_inner in (("held", True), ("left", False))
+    )
+    sides = sides.drop("weight").join(held, key).join(left, key)
+    # Blocks of the others have numbers from 0, those of the largest component follow.
+    own = rows.join(sides, [key, "rep"]).withColumn("own", F.when(F.col("is_inner"), F.col("left") + deal("held")).otherwise(deal("left")))
+    last = F.when(F.col("is_inner"), F.col("left") - 1).otherwise(F.col("left") + F.col("held") - 1)
+    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    second = compare(_met(pairs, key, F.least("own", "other"), F.greatest("own", "other")).drop("own", "other", "held", "left", "is_inner"))
+    return few.unionByName(first).unionByName(second)
+
+
+def _met(rows: DataFrame, key: str, *pair: Column | str) -> DataFrame:
+    """Rows with a key of their own for each meeting."""
+    return rows.withColumn(key, F.xxhash64(key, *pair)).drop("other")
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) whose components hold every pair of linked classes, but for the trees' small miss rate."""
+    """Edges (a, b) whose components hold every pair of linked classes, but for the trees' small miss rate.
+
+    A class's nodes are worked out anew from its sketch in each pass, so no sketch is shuffled or written; the tasks know the
+    crowded nodes. Of these there is at most one for LEAF places of a class: trees whose crowded nodes might not fit a broadcast
+    go in several turns.
+    """
     rate = 100 / percent / COORDINATES
-    rows, is_root = classes, True
+    places = 2 * classes.count() * LEVELS  # in a tree, about
+    at_once = max(1, min(TREES, BROADCAST_BYTES // max(1, 8 * places // LEAF)))
     edges = []
-    for level in range(LEVELS):
-        if is_root:
-            # Cheap to make, large to keep: made again for each use, and without the sketches where they are not needed.
-            nodes, whole = branched(rows, rate, True, False), branched(rows, rate, True, True)
-        else:
-            whole = kept(branched(rows, rate, False, True), "children")
-            nodes = whole.drop("sketch")
-        counted = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > LEAF)
-        crowded = materialize(counted, "crowded-nodes", measure=["node", "members"], columnar=True)
-        hint = F.broadcast if small(crowded) else (lambda df: df)
-        if not crowded.rows:
-            edges.append(compared(nodes, percent))
-            break
-        edges.append(compared(nodes.join(hint(crowded.df), "node", "left_anti"), percent))
-        if level == LEVELS - 1:
-            blocks = crowded.df.select("node", F.ceil(F.col("members") / LEAF).alias("blocks"))
-            split = _in_blocks(nodes.join(hint(blocks), "node"), "node", "blocks").drop("blocks")
-            edges.append(compared(split, percent))
-        else:
-            inner = whole.join(hint(crowded.df.select("node")), "node", "left_semi")
-            rows, is_root = kept(inner, "crowded-members"), False
+    for tree in range(0, TREES, at_once):
+        trees = range(tree, min(TREES, tree + at_once))
+        crowded: list[np.ndarray] = []
+        share = classes.sparkSession.sparkContext.broadcast
+        while len(crowded) < LEVELS:
+            counted = sized(classes, trees, rate, share(crowded)).groupBy("node").agg(F.sum("members").alias("members"))
+            found = counted.filter(F.col("members") > LEAF).select("node").toArrow()["node"].to_numpy()
+            if not len(found):
+                break
+            crowded = [*crowded, np.sort(found)]
+        known = share(crowded)
+        edges.append(compared(branched(classes, trees, rate, known, False), percent))
+        if len(crowded) == LEVELS:
+            large = kept(branched(classes, trees, rate, known, True), "crowded-members")
+            edges.append(by_blocks(large, "node", F.lit(1 / LEAF), lambda rows: compared(rows, percent)))
     return edges[0] if len(edges) == 1 else _all(edges)
 
 
@@ -333,7 +415,7 @@ def links(docs: DataFrame, clusters: DataFrame, rule: Rule) -> tuple[DataFrame,
     """
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
     blocks = sizes.select("cluster", F.ceil(F.greatest(F.col("members") / LEAF, F.col("total") / BLOCK_SHINGLES)).alias("blocks"))
-    members = materialize(clusters.join(blocks, "cluster").select("rep", "cluster", "blocks"), "members", measure=["rep", "cluster", "blocks"], columnar=True)
+    members = materialize(clusters.join(blocks, "cluster").select("rep", "cluster", "blocks"), "members", measure=["rep", "cluster", "blocks"], extremes="blocks", columnar=True)
     hint = F.broadcast if small(members) else (lambda df: df)
     own = docs.join(hint(members.df), docs["doc_id"] == members.df["rep"]).select("cluster", "rep", "blocks", "text")
     sets = by_batch(own, _with_sets, "cluster bigint, rep bigint, blocks bigint, shingles binary", rule.words)
@@ -343,7 +425,10 @@ def links(docs: DataFrame, clusters: DataFrame, rule: Rule) -> tuple[DataFrame,
         dealt = part.select("cluster", "rep", "shingles").repartition("cluster").sortWithinPartitions("cluster")
         return dealt.mapInArrow(_linked(rule.percent), "a bigint, b bigint")
 
-    large = kept(linked(_in_blocks(sets.filter("blocks > 1"), "cluster", "blocks")), "block-links")
+    if (members.most or 0) < 2:
+        return linked(sets), docs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    weight = F.greatest(F.lit(1 / LEAF), F.octet_length("shingles") / (8 * BLOCK_SHINGLES))
+    large = kept(by_blocks(sets.filter("blocks > 1").drop("blocks"), "cluster", weight, linked), "block-links")
     return linked(sets.filter("blocks = 1")), large
 
 
