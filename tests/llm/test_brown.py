@@ -157,3 +157,37 @@ def test_large_counts_are_given_in_parts():
     assert {k: int(small[keys == k].sum()) for k in keys.tolist()} == dict(zip([7, 8, 9, 10, 11, 12], n.tolist()))
     assert [keys[a:b].tolist() for a, b in zip(cut, cut[1:])] == [[], [7, 8], [9, 9, 10, 10, 10, 10, 11, 11], [12]]
     assert [x.tolist() for x in brown._in_bytes(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.array([0, 0]))] == [[], [], [0, 0]]
+
+
+def test_chunks_and_buckets_exchange_packed_rows(docs, monkeypatch, words):
+    """A chunk and a bucket tell each other a row, however many words they share; and what a text scores does not depend on them."""
+    rows = [(d, " ".join([f"w{d % 7}x{i % 90}" for i in range(d, d + 150)] + words(40, d))) for d in range(60)]
+    # These fill the places of frequent words, and more words are as frequent as the last of them.
+    rows += [(d, " ".join(f"f{i}" for i in range(1100))) for d in range(60, 90)]
+    whole = {r.doc_id: r for r in brown.score_split(docs(rows)).collect()}
+    written, keep = [], brown.kept
+
+    def kept(df, label):
+        out = keep(df, label)
+        if label in ("neighbours", "word-classes"):
+            chunks, rows = {r.chunk for r in out.select("chunk").collect()} - {None}, out.count()
+            written.append((len(chunks), rows))
+        return out
+
+    monkeypatch.setattr(brown, "kept", kept)
+    monkeypatch.setattr(brown, "CHUNK_BYTES", 40_000)
+    monkeypatch.setattr(brown, "BUCKET_BYTES", 60_000, raising=False)
+    got = brown.score_split(docs(rows)).collect()
+    check_base(rows, got)
+    buckets = sum(len(t) for _, t in rows) // 60_000 + 1
+    assert len(written) == 2 * brown.WORD_SWEEPS and buckets > 3
+    assert all(0 < n <= chunks * (buckets + 1) for chunks, n in written)
+    for r in got:
+        assert r.n_known == whole[r.doc_id].n_known and math.isclose(r.score, whole[r.doc_id].score, abs_tol=1e-6)
+
+
+@pytest.mark.parametrize("kind", ["<u1", "<i2", "<i4", "<i8"])
+def test_packed_numbers_come_back(kind):
+    top = np.iinfo(kind).max
+    for numbers in ([], [0], [1, top, 0, top - 1, 77]):
+        assert brown.unpacked(brown.packed(np.array(numbers, np.int64), kind), kind).tolist() == numbers

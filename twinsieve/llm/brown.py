@@ -9,9 +9,12 @@ from the second sweep on one that lowers the likelihood is taken back and ends t
 class frequencies; a class keeps the share of its once-seen words for unseen ones (Good-Turing).
 
 Counts cover all words of all training documents and are made by Spark. Texts are dealt into chunks of bounded size,
-in which a token is its word's number in the chunk. A chunk asks once for each of its different words, the answers
-(count and class) meet its texts again in one task, and so the vocabulary is never broadcast, however large. The driver
-sees the frequent words and sums per pair of units or classes: numbers bounded by parameters, not by the corpus.
+in which a token is its word's place in the chunk, and words by their hash into buckets, more of them the more text
+there is. A chunk asks once for each of its different words, the answers (count and class) meet its texts again in one
+task, and so the vocabulary is never broadcast, however large. All that a chunk and a bucket tell each other is one row
+of packed numbers, not a row for each word; a word itself goes to its bucket once, and is a number there from then on.
+The driver sees the frequent words and sums per pair of units or classes: numbers bounded by parameters, not by the
+corpus.
 """
 
 from __future__ import annotations
@@ -25,12 +28,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import forgotten, kept, remainder, texts
 
 CHUNK_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20  # text for each bucket of words
 FREQUENT = 1024  # words that are units of their own
 ENDINGS = 256  # units that the other words share
 END = FREQUENT + ENDINGS  # the unit of the end token
@@ -69,74 +73,173 @@ class _Places(dict):
         return place
 
 
-def packed(codes: np.ndarray) -> bytes:
-    """32-bit numbers byte plane by byte plane, which compresses well."""
-    return codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def packed(codes: np.ndarray, kind: str = "<i4") -> bytes:
+    """Numbers byte plane by byte plane, which compresses well."""
+    return codes.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel().astype(np.int64)
+def unpacked(data: bytes, kind: str = "<i4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel().astype(np.int64)
 
 
-CODED = "chunk bigint, doc_id bigint, held_out boolean, codes binary, word binary, place int, n bigint"
+LONG = "<i8"
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text, as its words' places in the chunk, and one for each different word of a chunk, with its
-    training count there (0: only in held-out texts)."""
-    chunk, size, places = TaskContext.get().partitionId() << 32, 0, _Places()
-    counts = np.zeros(1 << 16, np.int64)
+def _joined(column: pa.ChunkedArray, kind: str = "<i4") -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(unpacked(data, kind) for data in column.to_pylist())])
 
-    def rows(chunks, ids, held_out, codes, words, numbers, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({
-            "chunk": pa.array(chunks, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held_out, pa.bool_()),
-            "codes": pa.array(codes, pa.binary()), "word": pa.array(words, pa.binary()), "place": pa.array(numbers, pa.int32()), "n": pa.array(n, pa.int64()),
-        })
 
-    def vocabulary() -> pa.RecordBatch:
-        none = [None] * len(places)
-        out = rows([chunk] * len(places), none, none, none, list(places), np.arange(len(places)), counts[: len(places)].copy())
-        places.clear()
-        counts[:] = 0
-        return out
+def _cut(numbers: np.ndarray, bounds: np.ndarray, kind: str = "<i4") -> list[bytes]:
+    return [packed(numbers[a:b], kind) for a, b in zip(bounds, bounds[1:])]
+
+
+CODED = "chunk bigint, doc_id bigint, held_out boolean, codes binary, bucket int, words binary, n binary"
+
+
+def _coded(buckets: int):
+    """A row for each text, as its words' places in the chunk, and one for each bucket with words of the chunk: the words in
+    the order of their places, each with a line end, and their training counts there (0: only in held-out texts). Places go
+    on from bucket to bucket."""
 
-    for batch in batches:
-        chunks, codes = [], []
-        for length, held_out, text in zip(pa.compute.binary_length(batch["text"]).to_pylist(), batch["held_out"].to_pylist(), batch["text"]):
-            if size and size + length > CHUNK_BYTES:
-                yield vocabulary()
-                chunk, size = chunk + 1, 0
-            size += length
-            chunks.append(chunk)
-            words = tokens(text.as_py())
-            found = np.fromiter(map(places.__getitem__, words), np.int32, len(words))
-            if len(places) > len(counts):
-                counts = np.r_[counts, np.zeros(len(places), np.int64)]
-            if not held_out:
-                np.add.at(counts, found, 1)
-            codes.append(packed(found))
-        none = [None] * len(chunks)
-        yield rows(chunks, batch["doc_id"].to_pylist(), batch["held_out"].to_pylist(), codes, none, none, none)
-    yield vocabulary()
-
-
-def _bigrams(frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(frequent.value)
-        counts = np.zeros((END + 1) ** 2, np.int64)
+        chunk, size, places = TaskContext.get().partitionId() << 32, 0, _Places()
+        ids, held_out, found = [], [], []
+
+        def rows(n, doc_ids, held, codes, numbers, words, counts) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({
+                "chunk": pa.array([chunk] * n, pa.int64()), "doc_id": pa.array(doc_ids, pa.int64()), "held_out": pa.array(held, pa.bool_()),
+                "codes": pa.array(codes, pa.binary()), "bucket": pa.array(numbers, pa.int32()), "words": pa.array(words, pa.binary()),
+                "n": pa.array(counts, pa.binary()),
+            })
+
+        def done() -> Iterator[pa.RecordBatch]:
+            words = list(places)
+            bucket = np.fromiter((zlib.crc32(word) % buckets for word in words), np.int64, len(words))
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(words), np.int32)
+            place[order] = np.arange(len(words))
+            codes = [place[at] for at in found]
+            none = [None] * len(codes)
+            yield rows(len(codes), ids, held_out, [packed(at) for at in codes], none, none, none)
+            counts = np.bincount(np.concatenate([place[:0], *(at for at, held in zip(codes, held_out) if not held)]), minlength=len(words))
+            first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            bounds, none = np.r_[first, len(words)], [None] * len(first)
+            lines = [b"\n".join([*(words[i] for i in order[a:b]), b""]) for a, b in zip(bounds, bounds[1:])]
+            yield rows(len(first), none, none, none, bucket[order][first], lines, _cut(counts, bounds))
+            for each in (places, ids, held_out, found):
+                each.clear()
+
         for batch in batches:
-            flat: list[int] = [END]
-            for text in batch["text"].to_pylist():
-                flat += map(units.__getitem__, tokens(text))
-                flat.append(END)
-            u = np.array(flat)
-            np.add.at(counts, u[:-1] * (END + 1) + u[1:], 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"pair": pa.array(at, pa.int32()), "n": pa.array(counts[at])})
+            for doc_id, length, held, text in zip(
+                batch["doc_id"].to_pylist(), pa.compute.binary_length(batch["text"]).to_pylist(), batch["held_out"].to_pylist(), batch["text"]
+            ):
+                if size and size + length > CHUNK_BYTES:
+                    yield from done()
+                    chunk, size = chunk + 1, 0
+                size += length
+                words = tokens(text.as_py())
+                ids.append(doc_id)
+                held_out.append(held)
+                found.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
+        yield from done()
 
     return run
 
 
+COUNTED = "chunk bigint, bucket int, numbers binary, c binary, unit binary, number int, word binary, n bigint, types bigint"
+
+
+def _counted(rows: pa.Table) -> pa.Table:
+    """A bucket's words as numbers, a row for each chunk: with their training counts in all chunks and the units of their
+    endings. Beside these, rows of the words that may be frequent and a row with the number of words with a count."""
+    lines = b"".join(rows["words"].to_pylist())
+    ends = np.flatnonzero(np.frombuffer(lines, np.uint8) == 10) + 1
+    offsets = np.r_[0, ends]
+    coded = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(lines)]).dictionary_encode()
+    number, words = coded.indices.to_numpy(), [line[:-1] for line in coded.dictionary.to_pylist()]
+    parts = [unpacked(n) for n in rows["n"].to_pylist()]
+    bounds = np.cumsum([0, *map(len, parts)])
+    c = np.zeros(len(words), np.int64)
+    np.add.at(c, number, np.concatenate(parts))
+    unit = np.fromiter((FREQUENT + zlib.crc32(word[-3:]) % ENDINGS for word in words), np.int64, len(words))
+    seen = np.flatnonzero(c)
+    likely = seen[c[seen] >= np.partition(c[seen], -FREQUENT)[-FREQUENT]] if len(seen) > FREQUENT else seen
+    top = sorted(likely.tolist(), key=lambda i: (-c[i], words[i]))[:FREQUENT]
+    bucket = rows["bucket"][0].as_py()
+
+    def table(length: int, **columns) -> pa.Table:
+        return pa.table({
+            name: pa.array(columns.get(name, [None] * length), {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[kind])
+            for name, kind in (part.split() for part in COUNTED.split(", "))
+        })
+
+    return pa.concat_tables([
+        table(len(parts), chunk=rows["chunk"].to_pylist(), bucket=[bucket] * len(parts), numbers=_cut(number, bounds),
+              c=_cut(c[number], bounds, LONG), unit=_cut(unit[number], bounds, "<i2")),
+        table(len(top), bucket=[bucket] * len(top), number=top, word=[words[i] for i in top], n=c[top]),
+        table(1, bucket=[bucket], types=[len(seen)]),
+    ])
+
+
+Frequent = dict[int, tuple[np.ndarray, np.ndarray]]  # of a bucket: numbers of frequent words, ascending, and their units
+
+
+def frequent_units(known: pa.Table, frequent: Frequent) -> np.ndarray:
+    """The unit of each word that has one of its own, -1 for the others."""
+    units = [np.zeros(0, np.int64)]
+    for bucket, data in zip(known["bucket"].to_pylist(), known["numbers"].to_pylist()):
+        numbers = unpacked(data)
+        if bucket in frequent:
+            at, own = frequent[bucket]
+            found = np.minimum(np.searchsorted(at, numbers), len(at) - 1)
+            units.append(np.where(at[found] == numbers, own[found], -1))
+        else:
+            units.append(np.full(len(numbers), -1))
+    return np.concatenate(units)
+
+
+def _units(known: pa.Table, frequent: Frequent) -> np.ndarray:
+    own = frequent_units(known, frequent)
+    return np.where(own >= 0, own, _joined(known["unit"], "<i2"))
+
+
+def _flow(docs: pa.Table, end: np.ndarray) -> np.ndarray:
+    """All places of a chunk's texts, each text between ends."""
+    return np.concatenate([end, *chain.from_iterable((unpacked(codes).astype(end.dtype), end) for codes in docs["codes"].to_pylist())])
+
+
+PAIRS = "slice int, pairs binary, n binary"
+SLICE = 1 << 15  # pairs of units that are added up by one task
+
+
+def _sliced(pairs: np.ndarray, n: np.ndarray) -> pa.Table:
+    """Counts of ascending pairs, a row for each slice of them."""
+    first = np.flatnonzero(np.diff(pairs // SLICE, prepend=-1))
+    bounds = np.r_[first, len(pairs)]
+    return pa.table({
+        "slice": pa.array(pairs[first] // SLICE, pa.int32()), "pairs": pa.array(_cut(pairs, bounds), pa.binary()),
+        "n": pa.array(_cut(n, bounds, LONG), pa.binary()),
+    })
+
+
+def _bigrams(seed):
+    def run(known: pa.Table, docs: pa.Table) -> pa.Table:
+        units = np.r_[_units(known.sort_by("bucket"), seed.value), END]
+        path = units[_flow(docs, np.array([len(units) - 1], np.int32))]
+        n = np.bincount(path[:-1] * (END + 1) + path[1:])
+        at = np.flatnonzero(n)
+        return _sliced(at, n[at])
+
+    return run
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    pairs, inverse = np.unique(_joined(rows["pairs"]), return_inverse=True)
+    n = np.zeros(len(pairs), np.int64)
+    np.add.at(n, inverse, _joined(rows["n"], LONG))
+    return _sliced(pairs, n)
+
+
 # ---------------------------------------------------------------- classes
 
 
@@ -197,17 +300,14 @@ def exchange(bigrams: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
     return of
 
 
-def _known_classes(known: pa.Table, frequent: dict[bytes, int], of: np.ndarray) -> np.ndarray:
-    """The class of each row's word: its own where it has one by now, else its unit's."""
-    if "cls" in known.column_names:
-        return known["cls"].to_numpy().astype(np.int64)
-    units = Units(frequent)
-    return of[np.fromiter(map(units.__getitem__, known["word"].to_pylist()), np.int64, known.num_rows)]
+def _known_classes(known: pa.Table, frequent: Frequent, of: np.ndarray) -> np.ndarray:
+    """The class of each word: its own where it has one by now, else its unit's."""
+    return _joined(known["cls"], "<u1") if "cls" in known.column_names else of[_units(known, frequent)]
 
 
 ONCE = (CLASSES + 1) ** 2  # sums from here on are of once-seen words per class, those before of pairs of classes
-NEIGHBOURS = "chunk bigint, place int, word binary, c bigint, cls int, keys binary, counts binary"
-CLASSED = "chunk bigint, place int, word binary, c bigint, cls int"
+NEIGHBOURS = "chunk bigint, bucket int, numbers binary, c binary, cls binary, sizes binary, keys binary, counts binary, sums binary"
+CLASSED = "chunk bigint, bucket int, numbers binary, c binary, cls binary"
 
 
 def _pieces(numbers: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -226,30 +326,30 @@ def _in_bytes(keys: np.ndarray, n: np.ndarray, bounds: np.ndarray) -> tuple[np.n
 
 
 def _neighbours(seed, summed: bool):
-    """A chunk's words, with their neighbours per class if ``summed``, and its sums: rows without a word. Frequent words, which keep
+    """A chunk's words, with their neighbours per class if ``summed``, and a row with its sums. Frequent words, which keep
     their classes, have no neighbours here."""
 
     def run(known: pa.Table, docs: pa.Table) -> pa.Table:
         size = CLASSES + 1
-        known = known.sort_by("place")
-        words, c = known.num_rows, known["c"].to_numpy()
+        known = known.sort_by("bucket")
+        c = _joined(known["c"], LONG)
+        words = len(c)
         cls = np.r_[_known_classes(known, *seed.value), CLASSES].astype(np.int32)
         # As narrow as the numbers allow: a chunk has millions of tokens.
         kind = np.int32 if (words + 1) * 2 * size < 1 << 31 else np.int64
-        end = np.array([words], kind)
-        flow = np.concatenate([end, *chain.from_iterable((unpacked(codes).astype(kind), end) for codes in docs["codes"].to_pylist())])
+        flow = _flow(docs, np.array([words], kind))
         del docs
         path = cls[flow]
         own = np.bincount(flow, minlength=words + 1)[:-1]
         sums = np.r_[np.bincount(path[:-1] * size + path[1:], minlength=size * size), np.bincount(cls[:-1][(c == 1) & (own > 0)], minlength=size)]
-        at = np.flatnonzero(sums)
-        none = [None] * len(at)
+        none = [None]
         parts = [pa.table({
-            "chunk": pa.array(none, pa.int64()), "place": pa.array(at, pa.int32()), "word": pa.array(none, pa.binary()), "c": pa.array(sums[at], pa.int64()),
-            "cls": pa.array(none, pa.int32()), "keys": pa.array(none, pa.binary()), "counts": pa.array(none, pa.binary()),
+            "chunk": pa.array(none, pa.int64()), "bucket": pa.array(none, pa.int32()),
+            **{name: pa.array(none, pa.binary()) for name in ("numbers", "c", "cls", "sizes", "keys", "counts")},
+            "sums": pa.array([packed(sums, LONG)], pa.binary()),
         })]
         if summed:
-            stays = np.r_[np.fromiter((w in seed.value[0] for w in known["word"].to_pylist()), bool, words), True]
+            stays = np.r_[frequent_units(known, seed.value[0]) >= 0, True]
             inner = np.flatnonzero(~stays[flow])
             both = np.empty(2 * len(inner), kind)
             both[: len(inner)] = flow[inner] * (2 * size) + path[inner - 1]
@@ -262,15 +362,27 @@ def _neighbours(seed, summed: bool):
             del both, first
             bounds = np.searchsorted(found, np.arange(words + 1, dtype=kind) * (2 * size))
             keys, n, bounds = _in_bytes((found % (2 * size)).astype(np.uint8), n, bounds)
+            # From a place to a row's words: 8 bytes of ``c`` each.
+            ends = np.r_[0, np.cumsum(pa.compute.binary_length(known["c"]).to_numpy() // 8)].astype(np.int64)
             parts.append(pa.table({
-                **{name: known[name] for name in ("chunk", "place", "word", "c")}, "cls": pa.array(cls[:-1]),
-                "keys": _pieces(keys, bounds), "counts": _pieces(n, bounds),
+                **{name: known[name] for name in ("chunk", "bucket", "numbers", "c")}, "cls": pa.array(_cut(cls[:-1], ends, "<u1"), pa.binary()),
+                "sizes": pa.array(_cut(np.diff(bounds), ends), pa.binary()), "keys": _pieces(keys, bounds[ends]), "counts": _pieces(n, bounds[ends]),
+                "sums": pa.array([None] * known.num_rows, pa.binary()),
             }))
         return pa.concat_tables(parts)
 
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = np.zeros(ONCE + CLASSES + 1, np.int64)
+    for batch in batches:
+        for data in batch["sums"].to_pylist():
+            sums += unpacked(data, LONG)
+    at = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_pydict({"place": pa.array(at, pa.int32()), "c": pa.array(sums[at])})
+
+
 def best_classes(table: np.ndarray, own: np.ndarray, total: np.ndarray, word: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The class of each word that raises the likelihood most while all other words stay.
 
@@ -304,70 +416,75 @@ def best_classes(table: np.ndarray, own: np.ndarray, total: np.ndarray, word: np
 
 
 def _moved(seed, shared):
-    """Words with new classes, from rows in the order of words; frequent ones keep those of their own exchange."""
-
-    def moved(rows: pa.Table) -> pa.RecordBatch:
-        table, frequent = shared.value, seed.value[0]
-        words = rows["word"].combine_chunks()
-        group = np.r_[0, np.cumsum(pa.compute.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False))].astype(np.int64)
-        first = np.flatnonzero(np.diff(group, prepend=-1))
-        cls, c = rows["cls"].to_numpy().astype(np.int64), rows["c"].to_numpy()
-        stay = np.fromiter((w in frequent for w in words.take(pa.array(first)).to_pylist()), bool, len(first))
-        taken = np.flatnonzero((c[first] > 0) & ~stay)
-        keys = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.uint8).astype(np.int64)
-        counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), np.uint8).astype(np.int64)
-        at = np.repeat(group, pa.compute.binary_length(rows["keys"]).to_numpy())
-        width, moving = 2 * (CLASSES + 1), ~stay[at]
-        found, inverse = np.unique(np.searchsorted(taken, at[moving]) * width + keys[moving], return_inverse=True)
-        n = np.bincount(inverse, counts[moving], len(found)).astype(np.int64)
-        own = cls[first]
+    """A bucket's words with new classes; frequent ones keep those of their own exchange."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        at, all_c, cls = _joined(rows["numbers"]), _joined(rows["c"], LONG), _joined(rows["cls"], "<u1")
+        words, width = int(at.max()) + 1, 2 * (CLASSES + 1)
+        own, c, stay = np.zeros(words, np.int64), np.zeros(words, np.int64), np.zeros(words, bool)
+        own[at], c[at], stay[at] = cls, all_c, frequent_units(rows, seed.value[0]) >= 0
+        del all_c, cls
+        taken = np.flatnonzero((c > 0) & ~stay)
+        # Word, key and count in one number, to be sorted.
+        found = np.repeat(at, _joined(rows["sizes"])) * width
+        found += np.frombuffer(b"".join(rows["keys"].to_pylist()), np.uint8)
+        found <<= 8
+        found |= np.frombuffer(b"".join(rows["counts"].to_pylist()), np.uint8)
+        found.sort()
         if len(taken):
-            own[taken] = best_classes(table, own[taken], c[first[taken]], found // width, found % width, n)
-        out = rows.select(["chunk", "place", "word", "c"]).append_column("cls", pa.array(own[group], pa.int32()))
-        return out.combine_chunks().to_batches()[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            if held[0]["word"][0] == batch["word"][-1]:
-                continue
-            rows = pa.Table.from_batches(held)
-            # The last word may go on in the next batch.
-            last = rows.num_rows - pa.compute.sum(pa.compute.equal(rows["word"], batch["word"][-1])).as_py()
-            yield moved(rows.slice(0, last))
-            held = rows.slice(last).combine_chunks().to_batches()
-        if held:
-            yield moved(pa.Table.from_batches(held))
+            first = np.flatnonzero(np.diff(found >> 8, prepend=-1))
+            n = np.add.reduceat(found & 255, first)
+            found = found[first] >> 8
+            own[taken] = best_classes(shared.value, own[taken], c[taken], np.searchsorted(taken, found // width), found % width, n)
+        ends = np.r_[0, np.cumsum(pa.compute.binary_length(rows["c"]).to_numpy() // 8)]
+        new = pa.array(_cut(own[at], ends, "<u1"), pa.binary())
+        return rows.select(["chunk", "bucket", "numbers", "c"]).append_column("cls", new)
 
     return run
 
 
-def word_classes(known: DataFrame, train: DataFrame, frequent: dict[bytes, int], of: np.ndarray) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def _spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for words, cls in zip(batch["words"].to_pylist(), batch["cls"].to_pylist()):
+            yield pa.RecordBatch.from_pydict({"word": pa.array(words.split(b"\n")[:-1], pa.binary()), "cls": pa.array(unpacked(cls, "<u1"), pa.int32())})
+
+
+class Words(NamedTuple):
+    """The words of all chunks, with counts and units or classes: a row for each chunk and bucket."""
+
+    rows: DataFrame
+    spelt: DataFrame  # (chunk, bucket, words)
+
+    def distinct(self) -> DataFrame:
+        """A row for each word, with its class."""
+        rows = self.rows.select("chunk", "bucket", "cls").join(self.spelt, ["chunk", "bucket"])
+        return rows.select("words", "cls").mapInArrow(_spelt, "word binary, cls int").distinct()
+
+
+def word_classes(known: Words, train: DataFrame, frequent: Frequent, of: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
     """The words of each chunk with their classes (as yet those of their units if there is no ``cls``), the table of
     classes and the once-seen words of each class."""
-    context, size = known.sparkSession.sparkContext, CLASSES + 1
+    context, size = train.sparkSession.sparkContext, CLASSES + 1
     seed = context.broadcast((frequent, of))
     best = before = None
     for sweep in range(WORD_SWEEPS + 1):
         summed = sweep < WORD_SWEEPS
-        met = known.groupBy("chunk").cogroup(train.groupBy("chunk")).applyInArrow(_neighbours(seed, summed), NEIGHBOURS)
+        met = known.rows.groupBy("chunk").cogroup(train.groupBy("chunk")).applyInArrow(_neighbours(seed, summed), NEIGHBOURS)
         if summed:
             met = kept(met, "neighbours")
         sums = np.zeros(ONCE + size)
-        for at, n in met.filter("word is null").groupBy("place").agg(F.sum("c")).collect():
+        parts = met.filter("sums is not null").select("sums").mapInArrow(_summed, "place int, c bigint")
+        for at, n in parts.groupBy("place").agg(F.sum("c")).collect():
             sums[at] = n
         table, once = sums[:ONCE].reshape(size, size), sums[ONCE:]
         if sweep > 1 and likelihood(table, np.arange(size)) < likelihood(best[1], np.arange(size)):
             break
         if before is not None:
             forgotten(before)  # the classes that could have been gone back to
-        best, before = (known, table, once), known
+        best, before = (known, table, once), known.rows
         if summed:
-            ordered = met.filter("word is not null").repartition("word").sortWithinPartitions("word")
-            known = kept(ordered.mapInArrow(_moved(seed, context.broadcast(table)), CLASSED), "word-classes")
+            moved = met.filter("bucket is not null").drop("sums").groupBy("bucket").applyInArrow(_moved(seed, context.broadcast(table)), CLASSED)
+            known = known._replace(rows=kept(moved, "word-classes"))
             forgotten(met)
     return best
 
@@ -411,6 +528,11 @@ def word_columns(words: list[bytes], counts: np.ndarray, model: Model, own: np.n
     cls = model.of[np.fromiter(map(units.__getitem__, words), np.int64, len(words))] if words else np.zeros(0, np.int64)
     if own is not None:
         cls = np.where(counts > 0, own, cls)
+    return class_columns(counts, cls, model)
+
+
+def class_columns(counts: np.ndarray, cls: np.ndarray, model: Model) -> tuple[np.ndarray, ...]:
+    """``word_columns`` of words whose classes are known."""
     cls, counts = np.r_[cls, CLASSES].astype(np.int64), np.r_[counts, model.documents].astype(np.int64)
     seen = (1 - model.unseen[cls]) * counts / np.maximum(model.total[cls], 1)
     emission = np.log10(np.where(counts > 0, seen, model.unseen[cls]))
@@ -431,12 +553,11 @@ def text_scores(codes: np.ndarray, columns: tuple[np.ndarray, ...], model: Model
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
 
 
-def _scored(model):
-    def run(answers: pa.Table, docs: pa.Table) -> pa.Table:
+def _scored(model, seed):
+    def run(known: pa.Table, docs: pa.Table) -> pa.Table:
         m = model.value
-        answers = answers.sort_by("place")
-        own = answers["cls"].to_numpy() if "cls" in answers.column_names else None
-        columns = word_columns(answers["word"].to_pylist(), answers["c"].to_numpy(), m, own)
+        known = known.sort_by("bucket")
+        columns = class_columns(_joined(known["c"], LONG), _known_classes(known, *seed.value), m)
         found = [text_scores(unpacked(codes.as_py()), columns, m) for codes in docs["codes"]]
         n, known, base, score = (np.array(x) for x in zip(*found)) if found else [np.zeros(0)] * 4
         return pa.table({
@@ -455,34 +576,29 @@ def score_documents(docs: DataFrame) -> DataFrame:
     ``score`` the class model's. A null text counts as empty and has the end token alone. Repeated rows and null
     doc_ids give a row each; without training rows every token is unseen; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     rows = texts(docs, "held_out")
-    staged = kept(rows.mapInArrow(_coded, CODED), "chunks")
+    size, documents = rows.agg(F.sum(F.octet_length("text").cast("bigint")), F.count_if(~F.col("held_out"))).first()
+    staged = kept(rows.mapInArrow(_coded((size or 0) // BUCKET_BYTES + 1), CODED), "chunks")
     coded = staged.filter("codes is not null").select("chunk", "doc_id", "held_out", "codes")
     train = coded.filter(~F.col("held_out")).select("chunk", "codes")
-    asked = staged.filter("word is not null").select("chunk", "place", "word", "n")
-    word = Window.partitionBy("word")
-    # A word has at most a row per chunk.
-    answers = kept(
-        asked.select(
-            "chunk", "place", "word", F.sum("n").over(word).alias("c"), (F.row_number().over(word.orderBy("chunk")) == 1).alias("is_first")
-        ), "word-counts",
-    )
-    words = answers.filter(F.col("is_first") & (F.col("c") > 0)).select("word", "c")
-    types, = words.agg(F.count(F.lit(1))).first()
-    documents = train.count()
-    top = words.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
-    frequent = {bytes(r["word"]): i for i, r in enumerate(top)}
-    shared = spark.sparkContext.broadcast(frequent)
-    known_texts = rows.filter(~F.col("held_out")).select("text")
-    pairs = known_texts.mapInArrow(_bigrams(shared), "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    asked = staged.filter("words is not null").select("chunk", "bucket", "words", "n")
+    answers = kept(asked.groupBy("bucket").applyInArrow(_counted, COUNTED), "word-counts")
+    types = answers.agg(F.sum("types")).first()[0] or 0
+    top = answers.filter("word is not null").select("word", "n", "bucket", "number").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    frequent: Frequent = {}
+    for bucket in {r.bucket for r in top}:
+        frequent[bucket] = tuple(np.array(sorted((r.number, i) for i, r in enumerate(top) if r.bucket == bucket)).T)
+    known = Words(answers.filter("numbers is not null").select("chunk", "bucket", "numbers", "c", "unit"), asked.select("chunk", "bucket", "words"))
+    met = known.rows.groupBy("chunk").cogroup(train.groupBy("chunk")).applyInArrow(_bigrams(context.broadcast(frequent)), PAIRS)
+    pairs = met.groupBy("slice").applyInArrow(_added, PAIRS).toArrow()
     bigrams = np.zeros((END + 1) ** 2)
-    bigrams[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
+    bigrams[_joined(pairs["pairs"])] = _joined(pairs["n"], LONG)
     of = exchange(bigrams.reshape(END + 1, END + 1))
-    known, table, once = word_classes(answers.select("chunk", "place", "word", "c"), train, frequent, of)
-    model = class_model(frequent, of, table, table.sum(0), once, types + (documents > 0))
-    scored = _scored(spark.sparkContext.broadcast(model))
-    return known.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(scored, SCORES)
+    known, table, once = word_classes(known, train, frequent, of)
+    model = class_model({bytes(r.word): i for i, r in enumerate(top)}, of, table, table.sum(0), once, types + (documents > 0))
+    scored = _scored(context.broadcast(model), context.broadcast((frequent, of)))
+    return known.rows.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(scored, SCORES)
 
 
 def score_split(docs: DataFrame) -> DataFrame:
