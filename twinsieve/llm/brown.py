@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import forgotten, kept, remainder, texts
+from .base import ROWS, forgotten, kept, remainder, texts
 
 CHUNK_BYTES = 16 << 20
 BUCKET_BYTES = 8 << 20  # text for each bucket of words
@@ -42,7 +41,8 @@ CLASSES = 64  # besides the class of the end token
 SWEEPS = 6  # of the exchange over all units
 WORD_SWEEPS = 2  # of the exchange over all words
 SMALL = 16  # neighbour counts below this have their gains looked up
-GROUPS = 512  # words whose gains are computed at once
+GROUPS = 512  # words whose gains are computed at once, fewer if they have more neighbours than
+ENTRIES = 8192
 SHARED = 8.0  # weight of class frequencies in a transition
 MEMO = 400_000
 
@@ -118,10 +118,13 @@ def _coded(buckets: int):
             order = np.argsort(bucket, kind="stable")
             place = np.empty(len(words), np.int32)
             place[order] = np.arange(len(words))
-            codes = [place[at] for at in found]
-            none = [None] * len(codes)
-            yield rows(len(codes), ids, held_out, [packed(at) for at in codes], none, none, none)
-            counts = np.bincount(np.concatenate([place[:0], *(at for at, held in zip(codes, held_out) if not held)]), minlength=len(words))
+            counts = np.zeros(len(words), np.int64)
+            for a in range(0, len(found), ROWS):
+                codes, none = [place[at] for at in found[a : a + ROWS]], [None] * len(found[a : a + ROWS])
+                for at, held in zip(codes, held_out[a:]):
+                    if not held:
+                        np.add.at(counts, at, 1)
+                yield rows(len(codes), ids[a : a + ROWS], held_out[a : a + ROWS], [packed(at) for at in codes], none, none, none)
             first = np.flatnonzero(np.diff(bucket[order], prepend=-1))
             bounds, none = np.r_[first, len(words)], [None] * len(first)
             lines = [b"\n".join([*(words[i] for i in order[a:b]), b""]) for a, b in zip(bounds, bounds[1:])]
@@ -203,9 +206,28 @@ def _units(known: pa.Table, frequent: Frequent) -> np.ndarray:
     return np.where(own >= 0, own, _joined(known["unit"], "<i2"))
 
 
-def _flow(docs: pa.Table, end: np.ndarray) -> np.ndarray:
+def _flow(docs: pa.Table, end: int, kind: type = np.int32) -> np.ndarray:
     """All places of a chunk's texts, each text between ends."""
-    return np.concatenate([end, *chain.from_iterable((unpacked(codes).astype(end.dtype), end) for codes in docs["codes"].to_pylist())])
+    codes = docs["codes"]
+    flow = np.full((pa.compute.sum(pa.compute.binary_length(codes)).as_py() or 0) // 4 + len(codes) + 1, end, kind)
+    at = 1
+    for data in codes:
+        places = unpacked(data.as_py())
+        flow[at : at + len(places)] = places
+        at += len(places) + 1
+    return flow
+
+
+BLOCK = 1 << 18  # numbers that are counted at once
+
+
+def _occurrences(numbers: np.ndarray, length: int) -> np.ndarray:
+    """How often each of ``length`` numbers occurs; ``bincount`` alone would widen all of them at once."""
+    n = np.zeros(length, np.int64)
+    for at in range(0, len(numbers), BLOCK):
+        some = np.bincount(numbers[at : at + BLOCK])
+        n[: len(some)] += some
+    return n
 
 
 PAIRS = "slice int, pairs binary, n binary"
@@ -224,9 +246,9 @@ def _sliced(pairs: np.ndarray, n: np.ndarray) -> pa.Table:
 
 def _bigrams(seed):
     def run(known: pa.Table, docs: pa.Table) -> pa.Table:
-        units = np.r_[_units(known.sort_by("bucket"), seed.value), END]
-        path = units[_flow(docs, np.array([len(units) - 1], np.int32))]
-        n = np.bincount(path[:-1] * (END + 1) + path[1:])
+        units = np.r_[_units(known.sort_by("bucket"), seed.value), END].astype(np.int32)
+        path = units[_flow(docs, len(units) - 1)]
+        n = _occurrences(path[:-1] * (END + 1) + path[1:], (END + 1) ** 2)
         at = np.flatnonzero(n)
         return _sliced(at, n[at])
 
@@ -337,11 +359,10 @@ def _neighbours(seed, summed: bool):
         cls = np.r_[_known_classes(known, *seed.value), CLASSES].astype(np.int32)
         # As narrow as the numbers allow: a chunk has millions of tokens.
         kind = np.int32 if (words + 1) * 2 * size < 1 << 31 else np.int64
-        flow = _flow(docs, np.array([words], kind))
-        del docs
+        flow = _flow(docs, words, kind)
         path = cls[flow]
-        own = np.bincount(flow, minlength=words + 1)[:-1]
-        sums = np.r_[np.bincount(path[:-1] * size + path[1:], minlength=size * size), np.bincount(cls[:-1][(c == 1) & (own > 0)], minlength=size)]
+        own = _occurrences(flow, words + 1)[:-1]
+        sums = np.r_[_occurrences(path[:-1] * size + path[1:], size * size), np.bincount(cls[:-1][(c == 1) & (own > 0)], minlength=size)]
         none = [None]
         parts = [pa.table({
             "chunk": pa.array(none, pa.int64()), "bucket": pa.array(none, pa.int32()),
@@ -394,9 +415,13 @@ def best_classes(table: np.ndarray, own: np.ndarray, total: np.ndarray, word: np
     small = np.stack([_g(cells + i) - base for i in range(SMALL)])
     sides = table.sum(1)[:CLASSES], table.sum(0)[:CLASSES]
     new = own.copy()
-    for first in range(0, len(own), GROUPS):
-        mine, count = own[first : first + GROUPS], total[first : first + GROUPS].astype(float)
-        a, b = np.searchsorted(word, [first, first + len(mine)])
+    starts = np.searchsorted(word, np.arange(len(own) + 1))
+    last = 0
+    while last < len(own):
+        first = last
+        last = min(max(int(np.searchsorted(starts, starts[first] + ENTRIES, "right")) - 1, first + 1), first + GROUPS, len(own))
+        mine, count = own[first:last], total[first:last].astype(float)
+        a, b = starts[first], starts[last]
         w, k, x = word[a:b] - first, key[a:b], n[a:b]
         change = small[np.minimum(x, SMALL - 1), k]
         large = np.flatnonzero(x >= SMALL)
@@ -411,7 +436,7 @@ def best_classes(table: np.ndarray, own: np.ndarray, total: np.ndarray, word: np
             loss[each, mine] = _g(side[mine]) - _g(side[mine] - count)
             gain -= loss
         best = gain.argmax(1)
-        new[first : first + GROUPS] = np.where(gain[each, best] > gain[each, mine] + 1e-9, best, mine)
+        new[first:last] = np.where(gain[each, best] > gain[each, mine] + 1e-9, best, mine)
     return new
 
 
