@@ -1,9 +1,11 @@
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from twinsieve.llm import prefix_free
@@ -106,6 +108,57 @@ def test_bit_table_has_what_was_put_in():
     assert not prefix_free.likely_of(h[:0]).has(h).any()
 
 
+def test_bit_table_has_a_largest_size():
+    h = np.random.default_rng(2).integers(0, 1 << 63, 12_000_000).astype(np.uint64) * np.uint64(2)
+    table = prefix_free.likely_of(h)
+    assert table.bits.nbytes == 32 << 20 and table.has(h).all() and table.has(h + np.uint64(1 << 60)).mean() < 0.1
+
+
+def test_slices_make_the_same_bit_table(spark, rows, monkeypatch):
+    h = np.random.default_rng(3).integers(-(1 << 63), (1 << 63) - 1, 2000)
+    for hashes, width in ((h, 28), (h, 12), (h[:1], 28), (h[:0], 28)):
+        monkeypatch.setattr(prefix_free, "WIDTH", width)
+        want = prefix_free.likely_of(hashes.view(np.uint64))
+        got = prefix_free.likely_among(spark.createDataFrame([(int(x),) for x in hashes], "h bigint").repartition(3), len(hashes))
+        assert got.shift == want.shift and (got.bits == want.bits).all()
+    # A table too small for its hashes lets more phrases through and changes no result.
+    df = spark.createDataFrame(rows, "text string, lang string")
+    want = sorted(map(tuple, prefix_free.collocations(df, 5).collect()))
+    monkeypatch.setattr(prefix_free, "WIDTH", 9)
+    assert sorted(map(tuple, prefix_free.collocations(df, 5).collect())) == want
+
+
+def test_tasks_hold_a_bounded_number_of_counts():
+    """Chunks of 13 MB whose words are all different, so that every phrase is counted."""
+    n, each = 40_000, 40
+    flow = np.char.mod("%07x", np.arange(n * each)).reshape(n, each)
+    chunks = [" ".join(x).encode() for x in flow.tolist()]
+    rows = pa.RecordBatch.from_pydict({"lang": ["en"] * n, "chunk": pa.array(chunks, pa.binary()), "behind": pa.array([0] * n, pa.int32()), "n": pa.array([1] * n, pa.int64())})
+    for make, counts in ((prefix_free._hash_counts, n * (2 * each - 1)), (prefix_free._phrase_counts(None), n * (4 * each - 3))):
+        tracemalloc.start()
+        total = most = 0
+        for batch in prefix_free._by_held(make)(iter([rows])):
+            total, most = total + pc.sum(batch["n"]).as_py(), max(most, batch.num_rows)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # Words, pairs and triples; _phrase_counts gives the sum of the words besides.
+        assert total == counts and most <= 1 << 16 and peak < 150 << 20
+
+
+def test_rows_are_cut_where_they_are_too_many(monkeypatch):
+    monkeypatch.setattr(prefix_free, "HELD", 10)
+    held = []
+
+    def make(_, rows):
+        held.append(rows["chunk"].to_pylist())
+        return iter(())
+
+    batches = [pa.RecordBatch.from_pydict({"lang": pa.array(["en"] * len(c), pa.string()), "chunk": pa.array(c, pa.binary()), "behind": pa.array([0] * len(c), pa.int32()), "n": pa.array([1] * len(c), pa.int64())}) for c in (
+        [b"aaaa", b"bbbb", b"cc", b"dd"], [], [b"e", b"f" * 30, b"g"])]
+    assert not list(prefix_free._by_held(make)(iter(batches)))
+    assert held == [[b"aaaa", b"bbbb", b"cc"], [b"dd", b"e"], [b"f" * 30], [b"g"]]
+
+
 def test_repeated_passages_are_parsed_once(spark, words):
     passage = " ".join(words(400, 3))
     df = spark.createDataFrame([(passage, "en")] * 500, "text string, lang string")

@@ -8,8 +8,9 @@ dictionary's chunks, weighted by these numbers, not in the texts.
 
 Words and pairs are counted by 64-bit hash first. Equal hashes only add up, so what stays below the least count there is no
 candidate nor part of one, and of longer phrases only those need counting whose pairs are all left. A bit table
-of those hashes is sent to the tasks if their measured number allows; beyond that all phrases are counted. Either way the
-counts that follow are of the words themselves and exact.
+of those hashes is made in slices, one by one in the tasks, and sent to them all. It grows with the hashes' measured number up
+to a fixed size; from there it lets more phrases through that are not frequent, and far beyond that all phrases are counted.
+Either way the counts that follow are of the words themselves and exact, and a task holds a bounded number of chunks and counts.
 """
 
 from __future__ import annotations
@@ -34,9 +35,12 @@ SHARE = 50  # percent of a phrase's occurrences in one longer phrase that take i
 TOP = 2000  # phrases reported for each language
 NO_LANG = "und"
 SCANNED = 2 << 20  # bytes of text that are scanned at once
-HELD = 16 << 20  # bytes of chunks whose phrases a task counts at once
+HELD = 4 << 20  # bytes of chunks whose phrases a task counts at once; it has some 40 times as much in memory
+GIVEN = 1 << 16  # counts that a task hands over at once
 PARTS = 16  # in which a language's phrases are ranked first
-HASHES = 4 << 20  # hashes in a bit table that is sent to the tasks, 4 bytes each
+HASHES = 64 << 20  # hashes in a bit table that is sent to the tasks, at most
+WIDTH = 28  # first bits of a hash that have a bit in the table, at most; it has 32 MB then
+SLICES = 6  # first bits of the hashes that are in one slice of the table
 
 SPACE, END = 32, 10
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
@@ -117,18 +121,23 @@ def chunks(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return row, [data[a:b] for a, b in zip(begin[first].tolist(), stop.tolist())], reach - after
 
 
+def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Rows whose values in ``column`` have at most ``most`` bytes together, or one row that has more, and their bytes."""
+    ends = np.r_[0, np.cumsum(pc.binary_length(batch[column]).to_numpy(zero_copy_only=False))] if batch.num_rows else np.zeros(1)
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, "right")) - 1)
+        yield batch.slice(first, last - first), int(ends[last] - ends[first])
+        first = last
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)
-        first = 0
-        while first < batch.num_rows:
-            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 4 * SCANNED, "right")))
-            part = batch.slice(first, last - first)
+        for part, _ in _slices(batch, "text", 2 * SCANNED):
             row, found, behind = chunks(part["text"])
             yield pa.RecordBatch.from_pydict({
                 "lang": part["lang"].take(pa.array(row)), "chunk": pc.ascii_rtrim_whitespace(pa.array(found, pa.binary()).cast(pa.string())), "behind": pa.array(behind, pa.int32()),
             })
-            first = last
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -177,21 +186,25 @@ def _held(rows: pa.Table) -> _Held:
     return _Held(lang.dictionary, lang.indices.to_numpy()[words.row], words, np.where(mine, rows["n"].to_numpy()[words.row], 0))
 
 
-def _by_held(make: Callable[[_Held, pa.Table], pa.RecordBatch]):
+def _by_held(make: Callable[[_Held, pa.Table], Iterator[pa.Table]]):
     """Apply ``make`` to the chunks of a dictionary, many at a time."""
 
+    def given(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows)
+        for found in make(_held(table), table):
+            yield from found.to_batches(GIVEN)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            rows.append(batch)
-            size += batch["chunk"].nbytes
-            if size >= HELD:
-                table = pa.Table.from_batches(rows)
-                yield make(_held(table), table)
-                rows, size = [], 0
+            for part, more in _slices(batch, "chunk", HELD):
+                if rows and size + more > HELD:
+                    yield from given(rows)
+                    rows, size = [], 0
+                rows.append(part)
+                size += more
         if rows:
-            table = pa.Table.from_batches(rows)
-            yield make(_held(table), table)
+            yield from given(rows)
 
     return run
 
@@ -206,16 +219,16 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, sums
 
 
-def _hash_counts(held: _Held, rows: pa.Table) -> pa.RecordBatch:
+def _hash_counts(held: _Held, rows: pa.Table) -> Iterator[pa.Table]:
     h = held.hashes()
     two = held.follows(2)
-    parts = [_summed(h, held.times), _summed(held.pairs(h)[two], held.times[two])]
-    found, n = (np.concatenate(x) for x in zip(*parts))
-    return pa.RecordBatch.from_pydict({"h": pa.array(found.view(np.int64)), "n": pa.array(n)})
+    for key, times in ((h, held.times), (held.pairs(h)[two], held.times[two])):
+        found, n = _summed(key, times)
+        yield pa.table({"h": pa.array(found.view(np.int64)), "n": pa.array(n)})
 
 
 class Likely(NamedTuple):
-    """A bit for each value of a hash's first bits, with at least 32 bits for each hash."""
+    """A bit for each value of a hash's first bits, with at least 32 bits for each hash as long as WIDTH allows."""
 
     bits: np.ndarray
     shift: np.uint64
@@ -225,18 +238,42 @@ class Likely(NamedTuple):
         return ((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).astype(bool)
 
 
-def likely_of(hashes: np.ndarray) -> Likely:
-    width = max(3, int(32 * max(1, len(hashes)) - 1).bit_length())
+def _width(hashes: int) -> int:
+    return min(WIDTH, max(SLICES + 3, int(32 * max(1, hashes) - 1).bit_length()))
+
+
+def _bits(hashes: np.ndarray, width: int) -> np.ndarray:
     at = (hashes >> np.uint64(64 - width)).astype(np.int64)
     bits = np.zeros(1 << (width - 3), np.uint8)
     np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    return Likely(bits, np.uint64(64 - width))
+    return bits
+
+
+def likely_of(hashes: np.ndarray) -> Likely:
+    width = _width(len(hashes))
+    return Likely(_bits(hashes, width), np.uint64(64 - width))
+
+
+def likely_among(found: DataFrame, rows: int) -> Likely:
+    """The table of ``rows`` hashes in column h; tasks make a slice each, so no hash comes to the driver."""
+    width, skipped = _width(rows), SLICES
+
+    def slice_of(key: tuple[pa.Scalar], hashes: pa.Table) -> pa.Table:
+        h = hashes["h"].to_numpy().view(np.uint64) << np.uint64(skipped)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([_bits(h, width - skipped).tobytes()], pa.binary())})
+
+    of = F.shiftrightunsigned("h", 64 - SLICES).cast("int").alias("slice")
+    made = found.select("h", of).groupBy("slice").applyInArrow(slice_of, "slice int, bits binary").toArrow()
+    bits = np.zeros((1 << SLICES, 1 << (width - SLICES - 3)), np.uint8)
+    for number, part in zip(made["slice"].to_pylist(), made["bits"]):
+        bits[number] = np.frombuffer(part.as_buffer(), np.uint8)
+    return Likely(bits.reshape(-1), np.uint64(64 - width))
 
 
 def _phrase_counts(likely):
     """Counts of the phrases that ``likely`` does not rule out, and of all words of each language."""
 
-    def make(held: _Held, rows: pa.Table) -> pa.RecordBatch:
+    def make(held: _Held, rows: pa.Table) -> Iterator[pa.Table]:
         words = pc.list_flatten(pc.ascii_split_whitespace(rows["chunk"].combine_chunks().cast(pa.string())))
         coded = words.filter(pc.greater(pc.binary_length(words), 0)).dictionary_encode()
         ids, texts = coded.indices.to_numpy().astype(np.int64), coded.dictionary
@@ -244,7 +281,7 @@ def _phrase_counts(likely):
         if likely is not None:
             h = held.hashes()
             alive, pairs = likely.value.has(h), likely.value.has(held.pairs(h))
-        out, total = [], max(1, len(texts))
+        total = max(1, len(texts))
         group, heads = held.lang.astype(np.int64), np.zeros((len(held.langs), 0), np.int64)
         for size in range(1, LONGEST + 1):
             if size > 1 and pairs is not None:
@@ -260,15 +297,14 @@ def _phrase_counts(likely):
             n = np.bincount(inverse, held.times[at], len(found)).astype(np.int64)
             some = np.flatnonzero(n)
             parts = [texts.take(pa.array(column[some])) for column in heads[:, 1:].T]
-            out.append(pa.table({
+            yield pa.table({
                 "lang": held.langs.take(pa.array(heads[some, 0])), "phrase": pc.binary_join_element_wise(*parts, " "),
                 "size": pa.array(np.full(len(some), size, np.int32)), "n": pa.array(n[some]),
-            }))
+            })
         sums = np.bincount(held.lang, held.times, len(held.langs)).astype(np.int64)
-        out.append(pa.table({
+        yield pa.table({
             "lang": held.langs, "phrase": pa.array([""] * len(held.langs), pa.string()), "size": pa.array([0] * len(held.langs), pa.int32()), "n": pa.array(sums),
-        }))
-        return pa.concat_tables(out).combine_chunks().to_batches()[0]
+        })
 
     return make
 
@@ -281,7 +317,7 @@ def phrase_counts(parsed: DataFrame, least: int) -> DataFrame:
     found = materialize(hashed.filter(F.col("n") >= least).select("h"), "likely", columnar=True)
     likely = None
     if found.rows <= HASHES:
-        likely = parsed.sparkSession.sparkContext.broadcast(likely_of(found.df.toArrow()["h"].to_numpy().view(np.uint64)))
+        likely = parsed.sparkSession.sparkContext.broadcast(likely_among(found.df, found.rows))
     counts = rows.mapInArrow(_by_held(_phrase_counts(likely)), "lang string, phrase string, size int, n bigint")
     return counts.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("size") == 0))
 
